@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from tarnmill.llm import line_dedup, line_quality
+from tarnmill.llm import chat_format, line_dedup, line_quality
 
 
 def queries() -> dict:
     return {
         "op6_line_quality": line_quality.op6_line_quality,
         "op8_line_dedup": line_dedup.op8_line_dedup,
+        "op10_chat_format": chat_format.op10_chat_format,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_quality": line_quality.OP6_SQL, "op8_line_dedup": line_dedup.OP8_SQL}
+    return {"op6_line_quality": line_quality.OP6_SQL, "op8_line_dedup": line_dedup.OP8_SQL, "op10_chat_format": chat_format.OP10_SQL}
