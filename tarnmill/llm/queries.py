@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from tarnmill.llm import chat_format, line_dedup, line_quality
+from tarnmill.llm import chat_format, line_dedup, line_quality, phrase_index
+
+_ALL = {
+    "op6_line_quality": (line_quality.op6_line_quality, line_quality.OP6_SQL),
+    "op8_line_dedup": (line_dedup.op8_line_dedup, line_dedup.OP8_SQL),
+    "op9_phrase_index": (phrase_index.op9_phrase_index, phrase_index.OP9_SQL),
+    "op10_chat_format": (chat_format.op10_chat_format, chat_format.OP10_SQL),
+}
 
 
 def queries() -> dict:
-    return {
-        "op6_line_quality": line_quality.op6_line_quality,
-        "op8_line_dedup": line_dedup.op8_line_dedup,
-        "op10_chat_format": chat_format.op10_chat_format,
-    }
+    return {name: f for name, (f, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_quality": line_quality.OP6_SQL, "op8_line_dedup": line_dedup.OP8_SQL, "op10_chat_format": chat_format.OP10_SQL}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql is not None}
