@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tarnmill.llm import chat_format, line_dedup, line_quality, phrase_index
+from tarnmill.llm import chat_format, line_dedup, line_quality, phrase_index, secret_scan
 
 _ALL = {
     "op6_line_quality": (line_quality.op6_line_quality, line_quality.OP6_SQL),
+    "op7_secret_scan": (secret_scan.op7_secret_scan, secret_scan.OP7_SQL),
     "op8_line_dedup": (line_dedup.op8_line_dedup, line_dedup.OP8_SQL),
     "op9_phrase_index": (phrase_index.op9_phrase_index, phrase_index.OP9_SQL),
     "op10_chat_format": (chat_format.op10_chat_format, chat_format.OP10_SQL),
