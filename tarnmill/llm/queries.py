@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tarnmill.llm import chat_format, line_dedup, line_quality, phrase_index, secret_scan
+from tarnmill.llm import chat_format, line_dedup, line_quality, phrase_index, pii_bootstrap, secret_scan
 
 _ALL = {
+    "op5_pii_bootstrap": (pii_bootstrap.op5_pii_bootstrap, None),
     "op6_line_quality": (line_quality.op6_line_quality, line_quality.OP6_SQL),
     "op7_secret_scan": (secret_scan.op7_secret_scan, secret_scan.OP7_SQL),
     "op8_line_dedup": (line_dedup.op8_line_dedup, line_dedup.OP8_SQL),
