@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tarnmill.llm import arc_convert, chat_format, licence_scan, line_dedup, line_quality, mixing, phrase_index, pii_bootstrap, secret_scan
+from tarnmill.llm import arc_convert, chat_format, licence_scan, line_dedup, line_quality, mixing, near_dedup, phrase_index, pii_bootstrap, secret_scan
 
 _ALL = {
     "op1_mixing": (mixing.op1_mixing, mixing.OP1_SQL),
     "op2_arc_convert": (arc_convert.op2_arc_convert, arc_convert.OP2_SQL),
+    "op3_near_dedup": (near_dedup.op3_near_dedup, near_dedup.OP3_SQL),
     "op4_licence_scan": (licence_scan.op4_licence_scan, licence_scan.OP4_SQL),
     "op5_pii_bootstrap": (pii_bootstrap.op5_pii_bootstrap, None),
     "op6_line_quality": (line_quality.op6_line_quality, line_quality.OP6_SQL),
