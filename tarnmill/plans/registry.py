@@ -27,7 +27,7 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from tarnmill.plans import blends, metrics, relational, scores  # noqa: F401
+    from tarnmill.plans import audits, blends, metrics, relational, scores, windows  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
