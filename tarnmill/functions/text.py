@@ -108,4 +108,4 @@ def char_ngrams(text: Column, n: int) -> Column:
     grams = lambda c: F.when(
         F.size(c) >= n, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(c) - n), lambda i: F.concat(*[c[i + k] for k in range(n)])))
     ).otherwise(F.array().cast("array<string>"))
-    return F.transform(F.array(F.split(text, "", -1)), lambda c: grams(F.filter(c, lambda x: x != "")))[0]
+    return F.transform(F.array(F.array_remove(F.split(text, "", -1), "")), grams)[0]
