@@ -16,9 +16,11 @@ from tarnmill.llm.common import materialise
 from tarnmill.llm.graph import connected_components
 
 #: Coordinates of a signature, and the chance with which a pair right at the threshold may be missed.
-COORDINATES, MISS = 64, 1e-8
-#: Members of a block and of a chunk whose pairs one group of the last step compares.
+COORDINATES, MISS = 48, 1e-8
+#: Members of a block and of a chunk whose pairs one group of the last steps compares.
 BLOCK = 512
+#: 64-bit words of the fixed-size filter that keeps texts of no interest out of a shuffle.
+FILTER_WORDS = 1 << 16
 
 _RANDOM = np.random.default_rng(20240607)
 _TIMES = _RANDOM.integers(0, 2**64, 256, dtype=np.uint64) | np.uint64(1)
@@ -91,10 +93,13 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def text_signatures(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, n, k1, k2, sig) of each row: set size, a 128-bit key of the set, the signature (empty without shingles)."""
+    """(id, n, k1, k2, sig, mini) of each row: set size, a 128-bit key of the set, the signature (empty without
+    shingles), and as bytes 16 bits of each of its coordinates, with which collisions are counted."""
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     long = T.LongType()
-    schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), *(T.StructField(c, long) for c in ("n", "k1", "k2")), T.StructField("sig", T.ArrayType(long))])
+    schema = T.StructType(
+        [T.StructField("id", rows.schema["id"].dataType), *(T.StructField(c, long) for c in ("n", "k1", "k2")), T.StructField("sig", T.ArrayType(long)), T.StructField("mini", T.BinaryType())]
+    )
     arrow = to_arrow_schema(schema)
 
     def sign(batches):
@@ -107,30 +112,52 @@ def text_signatures(df: DataFrame, id_col: str, text_col: str, width: int) -> Da
                 size = np.diff(bounds)
                 sig = signatures(values, bounds)[size > 0]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum((size > 0) * COORDINATES)]).astype(np.int32)), _signed(sig.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([piece.column(0).cast(arrow.field(0).type), pa.array(size.astype(np.int64)), _signed(k1), _signed(k2), lists.cast(arrow.field(4).type)], schema=arrow)
+                mini = np.zeros((len(size), COORDINATES), np.uint16)
+                mini[size > 0] = (tb.mix(sig) & np.uint64(0xFFFF)).astype(np.uint16)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        piece.column(0).cast(arrow.field(0).type), pa.array(size.astype(np.int64)), _signed(k1), _signed(k2), lists.cast(arrow.field(4).type),
+                        pa.array([r.tobytes() for r in mini], pa.binary()),
+                    ],
+                    schema=arrow,
+                )
 
     return rows.mapInArrow(sign, schema)
 
 
-def text_sets(df: DataFrame, width: int) -> DataFrame:
-    """(node, sig, members) from (node, text): signature and sorted shingle hashes as bytes."""
-    schema = T.StructType([T.StructField("node", df.schema["node"].dataType), T.StructField("sig", T.BinaryType()), T.StructField("members", T.BinaryType())])
-    arrow = to_arrow_schema(schema)
+def maybe_among(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows (node, text) whose node may be in ``ids`` (node): all that are, and few others.
 
-    def make(batches):
+    A Bloom filter of fixed size (``FILTER_WORDS`` words) is built by a combined bitwise OR and broadcast, so that
+    texts of no interest stay out of the join that follows. With very many ids it lets more through, which costs
+    time and no row.
+    """
+    spots = lambda c: F.array(*[F.pmod(F.xxhash64(F.lit(k), F.col(c)), F.lit(FILTER_WORDS * 64)) for k in range(2)])
+    words = (
+        ids.select(F.explode(spots("node")).alias("s"))
+        .groupBy((F.col("s") / 64).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("s") % 64).cast("int"))).alias("bits")).collect()
+    )
+    table = np.zeros(FILTER_WORDS, np.int64)
+    for r in words:
+        table[r["w"]] = r["bits"]
+    sent = rows.sparkSession.sparkContext.broadcast(table.view(np.uint64))
+
+    def keep(batches):
+        bits = sent.value
         for batch in batches:
-            for piece in tb.slices(batch, "text"):
-                values, bounds = shingle_sets(piece.column(1), width)
-                sig = signatures(values, bounds)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        piece.column(0).cast(arrow.field(0).type), pa.array([r.tobytes() for r in sig], pa.binary()),
-                        pa.array([values[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary()),
-                    ],
-                    schema=arrow,
-                )
+            mask = np.ones(batch.num_rows, bool)
+            spot = batch.column(2).flatten().to_numpy().reshape(-1, 2)
+            for k in range(2):
+                mask &= ((bits[spot[:, k] // 64] >> (spot[:, k] % 64).astype(np.uint64)) & np.uint64(1)).astype(bool)
+            yield batch.filter(pa.array(mask)).select([0, 1])
 
-    return df.select("node", "text").mapInArrow(make, schema)
+    source = rows.select("node", "text", spots("node").alias("s"))
+    return source.mapInArrow(keep, rows.select("node", "text").schema)
+
+
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(node, text) of the documents with ``ids`` (node)."""
+    return maybe_among(docs, ids).join(ids, "node", "left_semi")
 
 
 def similar(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
@@ -138,33 +165,64 @@ def similar(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
     return 100 * common >= threshold * (len(a) + len(b) - common)
 
 
-def confirm_pairs(pairs: DataFrame, threshold: int, matches: int) -> DataFrame:
-    """(a, b) of the pairs with at least ``matches`` equal coordinates and enough of their sets in common."""
+def _pair_filter(pairs: DataFrame, kept) -> DataFrame:
+    """(a, b) of the rows for which ``kept`` (a batch's columns by name -> booleans) holds."""
     kind = pairs.schema["a"].dataType
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
     arrow = to_arrow_schema(schema)
 
-    def confirm(batches):
+    def run(batches):
         for batch in batches:
-            cols = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
-            keep = np.zeros(batch.num_rows, bool)
-            for k in range(batch.num_rows):
-                sigs = [np.frombuffer(cols[c][k].as_py(), np.uint64) for c in ("sig_a", "sig_b")]
-                if int((sigs[0] == sigs[1]).sum()) >= matches:
-                    keep[k] = similar(*(np.frombuffer(cols[c][k].as_py(), np.uint64) for c in ("set_a", "set_b")), threshold)
-            mask = pa.array(keep)
-            yield pa.RecordBatch.from_arrays([cols["a"].filter(mask).cast(arrow.field(0).type), cols["b"].filter(mask).cast(arrow.field(1).type)], schema=arrow)
+            step = 1024
+            for at in range(0, batch.num_rows, step):
+                piece = batch.slice(at, step)
+                cols = {c: piece.column(i) for i, c in enumerate(piece.schema.names)}
+                mask = pa.array(kept(cols))
+                yield pa.RecordBatch.from_arrays([cols["a"].filter(mask).cast(arrow.field(0).type), cols["b"].filter(mask).cast(arrow.field(1).type)], schema=arrow)
+
+    return pairs.mapInArrow(run, schema)
+
+
+def _minis(col: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_pylist()), np.uint16).reshape(-1, COORDINATES)
 
-    return pairs.mapInArrow(confirm, schema)
 
+def count_collisions(pairs: DataFrame, matches: int) -> DataFrame:
+    """(a, b) of the pairs (a, b, mini_a, mini_b) with at least ``matches`` equal coordinates."""
+    return _pair_filter(pairs, lambda c: (_minis(c["mini_a"]) == _minis(c["mini_b"])).sum(axis=1) >= matches)
 
-def block_links(left: pa.Table, right: pa.Table, threshold: int) -> list[tuple]:
-    """Links between two blocks of (node, label, members), as a forest: nodes with one label count as joined."""
+
+def confirm_pairs(pairs: DataFrame, threshold: int, width: int) -> DataFrame:
+    """(a, b) of the pairs (a, b, text_a, text_b) whose full sets are similar enough."""
+
+    def confirmed(c):
+        (va, ba), (vb, bb) = shingle_sets(c["text_a"], width), shingle_sets(c["text_b"], width)
+        return np.array([similar(va[ba[k] : ba[k + 1]], vb[bb[k] : bb[k + 1]], threshold) for k in range(len(c["a"]))], bool)
+
+    return _pair_filter(pairs, confirmed)
+
+
+def block_partners(left: pa.Table, right: pa.Table, matches: int) -> list:
+    """Nodes of two blocks of (node, label, mini) with enough collisions with a node of another label across."""
     if not left.num_rows or not right.num_rows:
         return []
-    sets = [np.frombuffer(x, np.uint64) for x in left["members"].to_pylist()]
-    size = np.array([len(s) for s in sets])
-    values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    a, b = (_minis(t["mini"]) for t in (left, right))
+    la, lb = (np.unique(np.array(t["label"].to_pylist() + u["label"].to_pylist(), dtype=object), return_inverse=True)[1][: t.num_rows] for t, u in ((left, right), (right, left)))
+    hit_a, hit_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+    for k in range(len(b)):
+        found = ((a == b[k]).sum(axis=1) >= matches) & (la != lb[k])
+        hit_a |= found
+        hit_b[k] = found.any()
+    return [n for t, hit in ((left, hit_a), (right, hit_b)) for n, h in zip(t["node"].to_pylist(), hit) if h]
+
+
+def block_links(left: pa.Table, right: pa.Table, threshold: int, width: int) -> list[tuple]:
+    """Links between two blocks of (node, label, text), as a forest: nodes with one label count as joined."""
+    if not left.num_rows or not right.num_rows:
+        return []
+    (values, bounds), (others, ends) = (shingle_sets(t["text"].combine_chunks(), width) for t in (left, right))
+    size = np.diff(bounds)
+    owner = np.repeat(np.arange(left.num_rows), size)
     order = np.argsort(values, kind="stable")
     values, owner = values[order], owner[order]
     nodes, labels = left["node"].to_pylist(), left["label"].to_pylist()
@@ -177,31 +235,47 @@ def block_links(left: pa.Table, right: pa.Table, threshold: int) -> list[tuple]:
         return x
 
     out = []
-    for node, label, raw in zip(right["node"].to_pylist(), right["label"].to_pylist(), right["members"].to_pylist()):
-        own = np.frombuffer(raw, np.uint64)
+    for k, (node, label) in enumerate(zip(right["node"].to_pylist(), right["label"].to_pylist())):
+        own = others[ends[k] : ends[k + 1]]
         low, high = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
         found = high - low
         at = np.repeat(low - np.concatenate([[0], np.cumsum(found)[:-1]]), found) + np.arange(int(found.sum()))
-        common = np.bincount(owner[at], minlength=len(sets))
-        for k in np.flatnonzero(100 * common >= threshold * (size + len(own) - common)).tolist():
-            a, b = root(labels[k]), root(label)
+        common = np.bincount(owner[at], minlength=len(size))
+        for j in np.flatnonzero(100 * common >= threshold * (size + len(own) - common)).tolist():
+            a, b = root(labels[j]), root(label)
             if a != b:
                 parent[a] = b
-                out.append((nodes[k], node))
+                out.append((nodes[j], node))
     return out
 
 
-def confirm_blocks(left: DataFrame, right: DataFrame, threshold: int) -> DataFrame:
-    """Links (a, b) between all of ``left`` and all of ``right`` that share (key, lb, rb)."""
+def over_blocks(left: DataFrame, right: DataFrame, names: tuple[str, ...], work) -> DataFrame:
+    """Rows with columns ``names`` that ``work`` makes of each pair of blocks with the same (key, lb, rb)."""
     kind = left.schema["node"].dataType
-    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
+    schema = T.StructType([T.StructField(c, kind) for c in names])
     arrow = to_arrow_schema(schema)
+    keys = ("key", "lb", "rb")
 
-    def link(a: pa.Table, b: pa.Table) -> pa.Table:
-        return pa.Table.from_pylist([{"a": x, "b": y} for x, y in block_links(a, b, threshold)], schema=arrow)
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        return pa.Table.from_pylist([dict(zip(names, x if isinstance(x, tuple) else (x,))) for x in work(a, b)], schema=arrow)
 
-    keys = ("key", "lb", "rb")
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(link, schema)
+    right = right.toDF(*right.columns)  # both sides may stem from one table
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, schema)
+
+
+def in_blocks(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with (lb, rb): each key's pairs of a left and a right row meet in one of its pairs of blocks.
+
+    A side is dealt to blocks of about ``BLOCK`` rows by hash and repeated for each block of the other side.
+    """
+    blocks = lambda side, name: side.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
+    sizes = blocks(left, "lbs").join(blocks(right, "rbs"), "key")
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["key", "node", "label", "lb", "rb"]
+    a = left.join(sizes, "key").withColumn("lb", own("lbs")).withColumn("rb", every("rbs")).select(*columns)
+    b = right.join(sizes, "key").withColumn("rb", own("rbs")).withColumn("lb", every("lbs")).select(*columns)
+    return a, b
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: int = 80) -> DataFrame:
@@ -210,20 +284,21 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     1. Each text's shingle set gives a key and a MinHash signature; equal sets become one class, named by its least
        id, with a combined minimum.
     2. Classes are posted under each (coordinate, value). Two sets at the threshold agree in ``match_threshold`` of
-       64 coordinates but for one case in 10**8, so by the prefix principle they share a posting among the
-       64 - matches + 1 rarest of both; the others are skipped, as are values that only one class has, and classes
+       the coordinates but for one case in 10**8, so by the prefix principle they share a posting among the
+       coordinates - matches + 1 rarest of both; the others are skipped, as are values that only one class has, and classes
        with fewer shared values than matches.
     3. A posting list is never paired with itself. Each list is compared with its hub, the member with most shared
-       values; pairs are distinct, their collisions are counted, and those over the match threshold are confirmed on
+       values: pairs are distinct, their collisions are counted, and those over the match threshold are confirmed on
        the full sets. Components of these links contract the lists.
-    4. Lists that still hold several components are finished exactly: what is outside a list's main component is
-       compared with that component and with the others outside it, in blocks of bounded size whose results are
-       forests. So every pair that shares a posting and is not joined already is compared, whatever its list's size;
-       no list or candidate is capped.
+    4. Lists that, without their hub, still hold several components are finished exactly: what is outside a list's
+       main component meets all members of the list, in blocks of bounded size. Where the lists of one component have nearly the same
+       members, these meet once for all its lists. A first pass counts collisions and keeps
+       only the members that have a partner; a second confirms these on the full sets and gives forests. So every pair
+       that shares a posting and is not joined already is compared, whatever its list's size; no list or candidate
+       is capped, and what leaves a step is linear in what enters it.
 
-    Tokens and postings are combined or joined on hashed keys, without windows over hot keys. Sets are made only for
-    classes in lists with two or more members. The texts move once. What a step needs twice is written to the shared
-    folder.
+    Values and postings are counted and joined on hashed keys, without windows over hot keys. Texts of candidates alone
+    move, past a filter of fixed size. What a step needs twice is written to the shared folder.
 
     Defined cases: null text and text without words have no shingles, n_shingles 0, and are linked with nothing;
     shorter texts than ``width`` words have one shingle; repeated rows are equal sets and so one component; rows that
@@ -247,31 +322,45 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lists = materialise(postings.join(hubs, "token").select("token", "node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "lists")
     fits = 100 * F.least("n", "hub_n") >= threshold * F.greatest("n", "hub_n")
     pairs = lists.filter((F.col("node") != F.col("hub")) & fits).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    wanted = lists.select("node").distinct()
-    texts = df.select(F.col(id_col).alias("node"), F.col(text_col).cast("string").alias("text")).join(wanted, "node", "left_semi")
-    sets = materialise(text_sets(texts, width).dropDuplicates(["node"]), "sets")
-
-    side = lambda c: sets.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("members").alias(f"set_{c}"))
-    first = materialise(confirm_pairs(pairs.join(side("a"), "a").join(side("b"), "b"), threshold, matches), "links")
-    found = connected_components(first)
-
-    labelled = lists.select("token", "node").join(found, "node", "left").select("token", "node", F.coalesce("component", "node").alias("label"))
+    minis = lambda c: named.select(F.col("id").alias(c), F.col("mini").alias(f"mini_{c}"))
+    counted = materialise(count_collisions(pairs.join(minis("a"), "a").join(minis("b"), "b"), matches).distinct(), "collisions")
+    docs = df.select(F.col(id_col).alias("node"), F.col(text_col).cast("string").alias("text"))
+    wanted = materialise(counted.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
+    texts = materialise(texts_of(docs, wanted), "texts")
+    side = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
+    first = materialise(confirm_pairs(counted.join(side("a"), "a").join(side("b"), "b"), threshold, width), "links")
+    found = materialise(connected_components(first), "components")
+
+    rest_of_lists = lists.filter("node <> hub").select("token", "node")  # a hub has met its whole list
+    labelled = rest_of_lists.join(found, "node", "left").select("token", "node", F.coalesce("component", "node").alias("label"))
     counts = labelled.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k"))
-    main = counts.groupBy("token").agg(F.max(F.struct("k", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).filter("labels > 1").select("token", F.col("main.label").alias("key"))
-    outside = materialise(labelled.join(main, "token").filter("label <> key").select("key", "node", "label").distinct(), "outside")
-    keys = outside.groupBy("key").agg(F.count(F.lit(1)).alias("n_left"))
-    labels = wanted.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("label"))
-    against = labels.join(keys.select("key"), F.col("label") == F.col("key")).select("key", "node", "label").unionByName(outside)
-    sizes = keys.join(against.groupBy("key").agg(F.count(F.lit(1)).alias("n_right")), "key").select(
-        "key", F.ceil(F.col("n_left") / BLOCK).cast("int").alias("lbs"), F.ceil(F.col("n_right") / BLOCK).cast("int").alias("rbs")
-    )
-    with_sets = lambda rows: rows.join(sizes, "key").join(sets.select("node", "members"), "node")
-    numbered = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ("key", "lb", "rb", "node", "label", "members")
-    left = with_sets(outside).withColumn("lb", numbered("lbs")).withColumn("rb", every("rbs")).select(*columns)
-    right = with_sets(against).withColumn("rb", numbered("rbs")).withColumn("lb", every("lbs")).select(*columns).toDF(*columns)
-    rest = materialise(confirm_blocks(left, right, threshold), "links")
+    main = (
+        counts.groupBy("token").agg(F.max(F.struct("k", "label")).alias("main"), F.count(F.lit(1)).alias("labels"), F.sum("k").alias("n"))
+        .filter("labels > 1").select("token", F.col("main.label").alias("main"), "n", (F.col("n") - F.col("main.k")).alias("n_out"))
+    )
+    open_lists = materialise(labelled.join(main, "token"), "open-lists")
+    labels = rest_of_lists.select("node").distinct().join(found, "node", "left").select("node", F.coalesce("component", "node").alias("label"))
+    away = open_lists.filter("label <> main")
+    around = away.groupBy("main").agg(F.countDistinct("node").alias("away")).join(labels.groupBy(F.col("label").alias("main")).agg(F.count(F.lit(1)).alias("in")), "main")
+    # lists of one family have nearly the same members: they are compared once, with the component itself as the key
+    family = open_lists.groupBy("main").agg(F.max("n").alias("n"), F.max("n_out").alias("n_out")).join(around, "main").filter(
+        (F.col("away") <= 2 * F.col("n_out")) & (F.col("in") + F.col("away") <= 4 * F.col("n"))
+    ).select("main")
+    family = materialise(family, "families")
+    keyed = lambda rows, kind, c: rows.select(F.xxhash64(F.lit(kind), c).alias("key"), "node", "label")
+    single = materialise(open_lists.join(family, "main", "left_anti").select("token", "node", "label", "main"), "lists")
+    near = keyed(away.join(family, "main", "left_semi"), 0, "main").distinct()
+    inner = keyed(labels.join(family, F.col("label") == F.col("main"), "left_semi"), 0, "label")
+    outside = materialise(near.unionByName(keyed(single.filter("label <> main"), 1, "token")), "outside")
+    against = materialise(inner.unionByName(near).unionByName(keyed(single, 1, "token")), "against")
+    left, right = in_blocks(outside, against)
+    with_mini = lambda rows: rows.join(named.select(F.col("id").alias("node"), "mini"), "node")
+    partners = materialise(over_blocks(with_mini(left), with_mini(right), ("node",), lambda a, b: block_partners(a, b, matches)).distinct(), "partners")
+    more = materialise(texts_of(docs, materialise(partners.join(wanted, "node", "left_anti"), "wanted")), "texts")
+    some = lambda rows: materialise(rows.join(partners, "node", "left_semi").select("key", "node", "label"), "partners")
+    left, right = in_blocks(some(outside), some(against))
+    with_text = lambda rows: rows.join(texts.unionByName(more), "node")
+    rest = materialise(over_blocks(with_text(left), with_text(right), ("a", "b"), lambda a, b: block_links(a, b, threshold, width)), "links")
     final = connected_components(first.unionByName(rest))
 
     placed = classes.join(final, "node", "left").select("k1", "k2", "n", F.coalesce("component", "node").alias("component"))

@@ -33,7 +33,7 @@ def fuse_study_source(spark, sf_dir):
     return fusion.study_source(fusion.fuse(_sources(spark, sf_dir)))
 
 
-@query("fuse_gold_regex", PREDS_SQL + _FUSE_IN + " SELECT study, target, coalesce(gold, r, 0.5) AS value, CASE WHEN gold IS NOT NULL THEN 1.0 WHEN r IS NOT NULL THEN 0.8 ELSE 0.2 END AS weight FROM f")
+@query("fuse_gold_regex", PREDS_SQL + _FUSE_IN + " SELECT study, target, coalesce(gold, r, 0.5) AS value, CASE WHEN gold IS NOT NULL THEN 1.0 WHEN r IS NOT NULL THEN 0.8 ELSE 0.2 END::DOUBLE AS weight FROM f")
 def fuse_gold_regex(spark, sf_dir):
     return fusion.fuse(_sources(spark, sf_dir).withColumn("model", F.lit(None).cast("double"))).select("study", "target", "value", "weight")
 
@@ -45,7 +45,7 @@ def fuse_overlay(spark, sf_dir):
     return rows.filter("model = 'm1'").join(over, ["study", "target"], "left").select("study", "target", F.coalesce("q", "p").alias("p"), F.col("q").isNotNull().alias("covered"))
 
 
-@query("weight_study", PREDS_SQL + " SELECT study, CASE WHEN is_gold THEN 1.0 ELSE round(greatest(0.3, least(0.9, 0.9 - 0.05 * count(*) FILTER (p > 0.3 AND p < 0.7))), 6) END AS weight FROM preds WHERE model = 'm1' GROUP BY study, is_gold")
+@query("weight_study", PREDS_SQL + " SELECT study, CASE WHEN is_gold THEN 1.0 ELSE round(greatest(0.3, least(0.9, 0.9 - 0.05 * count(*) FILTER (p > 0.3 AND p < 0.7))), 6) END::DOUBLE AS weight FROM preds WHERE model = 'm1' GROUP BY study, is_gold")
 def weight_study(spark, sf_dir):
     return fusion.study_weight(fixtures.one_model(spark, sf_dir))
 
@@ -62,7 +62,7 @@ def weight_source_default(spark, sf_dir):
     return fixtures.one_model(spark, sf_dir).select("study", "target", F.coalesce(given, F.when(F.col("is_gold"), 1.0).otherwise(0.8)).alias("weight"))
 
 
-@query("weight_zero_flagged", PREDS_SQL + ", w AS (SELECT *, CASE WHEN is_gold THEN 1.0 WHEN abs(y - p) >= 0.5 THEN 0.0 ELSE 0.8 END AS weight FROM preds WHERE model = 'm1') SELECT target, round(sum(weight), 4) AS total, count(*) FILTER (weight = 0) AS zeroed, count(*) FILTER (is_gold AND weight <> 1) AS broken_gold FROM w GROUP BY target")
+@query("weight_zero_flagged", PREDS_SQL + ", w AS (SELECT *, CASE WHEN is_gold THEN 1.0 WHEN abs(y - p) >= 0.5 THEN 0.0 ELSE 0.8 END AS weight FROM preds WHERE model = 'm1') SELECT target, round(sum(weight::DOUBLE), 4) AS total, count(*) FILTER (weight = 0) AS zeroed, count(*) FILTER (is_gold AND weight <> 1) AS broken_gold FROM w GROUP BY target")
 def weight_zero_flagged(spark, sf_dir):
     rows = fixtures.one_model(spark, sf_dir).withColumn("weight", F.when(F.col("is_gold"), 1.0).otherwise(0.8))
     out = fusion.zero_flagged(rows, rows.filter(F.abs(F.col("y") - F.col("p")) >= 0.5))

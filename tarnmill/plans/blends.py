@@ -241,7 +241,7 @@ def opt_grid_weight(spark, sf_dir):
 
 _SWEEP_PART = """r{k} AS (SELECT target, (y >= 0.5)::INT AS pos, rank() OVER (PARTITION BY target ORDER BY p) + (count(*) OVER (PARTITION BY target, p) - 1) / 2.0 AS r FROM (SELECT target, y, round(p, 6) AS p FROM bay{k}) WHERE y IS NOT NULL AND y <> 0.5),
 s{k} AS (SELECT target, sum(pos) AS n1, sum(1 - pos) AS n0, sum(r) FILTER (pos = 1) AS rs FROM r{k} GROUP BY 1),
-f{k} AS (SELECT {beta} AS beta, round(avg((rs - n1 * (n1 + 1) / 2.0) / (n1 * n0)), 6) AS macro_auc FROM s{k} WHERE n1 > 0 AND n0 > 0)"""
+f{k} AS (SELECT {beta}::DOUBLE AS beta, round(avg((rs - n1 * (n1 + 1) / 2.0) / (n1 * n0)), 6) AS macro_auc FROM s{k} WHERE n1 > 0 AND n0 > 0)"""
 _BETAS = (0.1, 0.2, 0.5)
 _SWEEP = (
     PREDS_SQL + _BAYES.split(",\nbay AS")[0]

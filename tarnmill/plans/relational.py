@@ -150,7 +150,7 @@ def join_anti(spark, sf_dir):
     return rel.remaining(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "source")
 
 
-@query("join_pair_lookup", PREDS_SQL + " SELECT study, target, CASE WHEN is_gold THEN 1.0 WHEN abs(y - p) >= 0.6 THEN 0.0 ELSE 0.8 END AS weight FROM preds WHERE model = 'm1'")
+@query("join_pair_lookup", PREDS_SQL + " SELECT study, target, CASE WHEN is_gold THEN 1.0 WHEN abs(y - p) >= 0.6 THEN 0.0 ELSE 0.8 END::DOUBLE AS weight FROM preds WHERE model = 'm1'")
 def join_pair_lookup(spark, sf_dir):
     from tarnmill.operators import fusion
 

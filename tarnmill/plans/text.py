@@ -68,7 +68,7 @@ def _label_sql(select: str) -> str:
         f"bool_or(coalesce(regexp_matches(s, '(?i)({'|'.join(r.asserts)})') AND NOT hedged AND NOT negated, false)) AS p{i}, bool_or(coalesce(regexp_matches(s, '(?i)({'|'.join(r.denies)})'), false)) AS n{i}"
         for i, r in enumerate(TEST_RULES)
     )
-    rows = " UNION ALL ".join(f"SELECT doc_id, '{r.target}' AS target, CASE WHEN p{i} THEN 1.0 WHEN n{i} THEN 0.0 END AS label FROM g" for i, r in enumerate(TEST_RULES))
+    rows = " UNION ALL ".join(f"SELECT doc_id, '{r.target}' AS target, CASE WHEN p{i} THEN 1.0 WHEN n{i} THEN 0.0 END::DOUBLE AS label FROM g" for i, r in enumerate(TEST_RULES))
     return f"""WITH s0 AS (SELECT doc_id, unnest(list_filter(list_transform(string_split_regex({_NORM}, '[.\\n;•\\->]+'), lambda x: trim(x)), lambda x: x <> '')) AS s FROM documents),
 s1 AS (SELECT doc_id, s, regexp_matches(s, '(?i)({'|'.join(_HEDGE)})') AS hedged, regexp_matches(s, '(?i)({'|'.join(_NEG)})') AS negated FROM s0),
 g AS (SELECT doc_id, {flags} FROM s1 GROUP BY doc_id), l AS ({rows}) {select}"""
@@ -108,7 +108,7 @@ def label_medical_rules(spark, sf_dir):
 _GRADE = """WITH s0 AS (SELECT doc_id, unnest(list_filter(list_transform(string_split_regex(lower(text), '[.\\n;•\\->]+'), lambda x: trim(x)), lambda x: x <> '')) AS s FROM documents),
 k AS (SELECT doc_id, CASE WHEN regexp_matches(s, 'that is|this is') THEN 'uncertain' WHEN regexp_matches(s, '(^| )(no|pas|nicht) ') THEN 'negative' ELSE 'positive' END AS kind, regexp_matches(s, 'para|pour|für') AS severe FROM s0 WHERE regexp_matches(s, 'para|pour|für|with|avec|mit')),
 g AS (SELECT doc_id, max(CASE WHEN kind = 'negative' THEN NULL WHEN kind = 'uncertain' THEN 0.3 WHEN severe THEN 1.0 ELSE 0.75 END) AS best, count(*) FILTER (kind <> 'negative') AS n_pos, count(*) FILTER (kind = 'negative') AS n_neg FROM k GROUP BY doc_id)
-SELECT doc_id, 'x' AS target, coalesce(n_pos, 0) AS n_pos, coalesce(n_neg, 0) AS n_neg, round(CASE WHEN coalesce(n_pos, 0) > 0 THEN least(0.95, 0.5 + 0.42 * best + 0.03 * least(n_pos, 3)) WHEN coalesce(n_neg, 0) > 0 THEN greatest(0.04, 0.2 - 0.04 * n_neg) ELSE 0.28 END, 6) AS score
+SELECT doc_id, 'x' AS target, coalesce(n_pos, 0) AS n_pos, coalesce(n_neg, 0) AS n_neg, round(CASE WHEN coalesce(n_pos, 0) > 0 THEN least(0.95, 0.5 + 0.42 * best + 0.03 * least(n_pos, 3)) WHEN coalesce(n_neg, 0) > 0 THEN greatest(0.04, 0.2 - 0.04 * n_neg) ELSE 0.28 END::DOUBLE, 6) AS score
 FROM documents LEFT JOIN g USING (doc_id)"""
 
 
@@ -175,7 +175,7 @@ def log_regex_extract(spark, sf_dir):
 
 
 _FENCE = """WITH r AS (SELECT study, target, CASE WHEN study % 5 = 0 THEN 'MAYBE' WHEN y = 1 THEN 'yes' ELSE 'NO' END AS status, p FROM preds WHERE model = 'm1' AND target = 'acl')
-SELECT study, CASE WHEN study % 11 = 0 THEN NULL WHEN upper(status) = 'YES' THEN 1.0 WHEN status = 'NO' THEN 0.0 ELSE 0.5 END AS value, CASE WHEN study % 11 = 0 THEN NULL ELSE p END AS confidence FROM r"""
+SELECT study, CASE WHEN study % 11 = 0 THEN NULL WHEN upper(status) = 'YES' THEN 1.0 WHEN status = 'NO' THEN 0.0 ELSE 0.5 END::DOUBLE AS value, CASE WHEN study % 11 = 0 THEN NULL ELSE p END AS confidence FROM r"""
 
 
 @query("json_block_parse", PREDS_SQL + ", " + _FENCE.removeprefix("WITH "))
@@ -189,7 +189,7 @@ def json_block_parse(spark, sf_dir):
     return parsed.select("study", F.when(F.col("a.status").isNotNull(), tx.status_value(F.col("a.status"))).alias("value"), F.col("a.confidence").alias("confidence"))
 
 
-@query("status_to_float", "SELECT event_id, CASE event_type WHEN 'purchase' THEN 1.0 WHEN 'error' THEN 0.0 ELSE 0.5 END AS value FROM events")
+@query("status_to_float", "SELECT event_id, CASE event_type WHEN 'purchase' THEN 1.0 WHEN 'error' THEN 0.0 ELSE 0.5 END::DOUBLE AS value FROM events")
 def status_to_float(spark, sf_dir):
     named = F.when(F.col("event_type") == "purchase", "yes").when(F.col("event_type") == "error", " No ").otherwise(F.col("event_type"))
     return table(spark, sf_dir, "events").select("event_id", tx.status_value(named).alias("value"))

@@ -11,19 +11,15 @@ os.environ.setdefault("PYSPARK_PYTHON", sys.executable)
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
+def spark():
     from tarnmill.session import local_session
 
     s = local_session(8, "tests")
     s.sparkContext.setLogLevel("ERROR")
-    s.conf.set("spark.checkpoint.dir", "file://" + str(tmp_path_factory.mktemp("shared"))) if s.conf.get("spark.checkpoint.dir", None) is None else None
     yield s
     s.stop()
 
 
-SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-
-
 @pytest.fixture(scope="session")
 def sf_dir():
-    return SF
+    return os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
