@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -126,7 +127,9 @@ def text_signatures(df: DataFrame, id_col: str, text_col: str, width: int) -> Da
 
 
 def maybe_among(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows (node, text) whose node may be in ``ids`` (node): all that are, and few others.
+    """(node, packed) of the rows (node, text) whose node may be in ``ids`` (node): all that are, and few others.
+
+    Texts travel compressed from here on (``packed``).
 
     A Bloom filter of fixed size (``FILTER_WORDS`` words) is built by a combined bitwise OR and broadcast, so that
     texts of no interest stay out of the join that follows. With very many ids it lets more through, which costs
@@ -141,22 +144,31 @@ def maybe_among(rows: DataFrame, ids: DataFrame) -> DataFrame:
     for r in words:
         table[r["w"]] = r["bits"]
     sent = rows.sparkSession.sparkContext.broadcast(table.view(np.uint64))
+    schema = T.StructType([T.StructField("node", rows.schema["node"].dataType), T.StructField("packed", T.BinaryType())])
+    arrow = to_arrow_schema(schema)
 
     def keep(batches):
-        bits = sent.value
+        bits, pack = sent.value, zstandard.ZstdCompressor(level=6)
         for batch in batches:
             mask = np.ones(batch.num_rows, bool)
             spot = batch.column(2).flatten().to_numpy().reshape(-1, 2)
             for k in range(2):
                 mask &= ((bits[spot[:, k] // 64] >> (spot[:, k] % 64).astype(np.uint64)) & np.uint64(1)).astype(bool)
-            yield batch.filter(pa.array(mask)).select([0, 1])
+            kept = batch.filter(pa.array(mask))
+            packed = pa.array([pack.compress((t or "").encode()) for t in kept.column(1).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([kept.column(0).cast(arrow.field(0).type), packed], schema=arrow)
 
     source = rows.select("node", "text", spots("node").alias("s"))
-    return source.mapInArrow(keep, rows.select("node", "text").schema)
+    return source.mapInArrow(keep, schema)
+
+
+def unpacked(col: pa.Array) -> pa.Array:
+    unpack = zstandard.ZstdDecompressor()
+    return pa.array([unpack.decompress(x).decode() for x in col.to_pylist()], pa.large_string())
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(node, text) of the documents with ``ids`` (node)."""
+    """(node, packed) of the documents with ``ids`` (node)."""
     return maybe_among(docs, ids).join(ids, "node", "left_semi")
 
 
@@ -196,14 +208,15 @@ def confirm_pairs(pairs: DataFrame, threshold: int, width: int) -> DataFrame:
     """(a, b) of the pairs (a, b, text_a, text_b) whose full sets are similar enough."""
 
     def confirmed(c):
-        (va, ba), (vb, bb) = shingle_sets(c["text_a"], width), shingle_sets(c["text_b"], width)
+        (va, ba), (vb, bb) = (shingle_sets(unpacked(c[x]), width) for x in ("text_a", "text_b"))
         return np.array([similar(va[ba[k] : ba[k + 1]], vb[bb[k] : bb[k + 1]], threshold) for k in range(len(c["a"]))], bool)
 
     return _pair_filter(pairs, confirmed)
 
 
 def block_partners(left: pa.Table, right: pa.Table, matches: int) -> list:
-    """Nodes of two blocks of (node, label, mini) with enough collisions with a node of another label across."""
+    """(key, node) for the nodes of two blocks of (key, node, label, mini) with enough collisions with a node of another
+    label across."""
     if not left.num_rows or not right.num_rows:
         return []
     a, b = (_minis(t["mini"]) for t in (left, right))
@@ -213,14 +226,15 @@ def block_partners(left: pa.Table, right: pa.Table, matches: int) -> list:
         found = ((a == b[k]).sum(axis=1) >= matches) & (la != lb[k])
         hit_a |= found
         hit_b[k] = found.any()
-    return [n for t, hit in ((left, hit_a), (right, hit_b)) for n, h in zip(t["node"].to_pylist(), hit) if h]
+    key = left["key"][0].as_py()
+    return [(key, n) for t, hit in ((left, hit_a), (right, hit_b)) for n, h in zip(t["node"].to_pylist(), hit) if h]
 
 
 def block_links(left: pa.Table, right: pa.Table, threshold: int, width: int) -> list[tuple]:
-    """Links between two blocks of (node, label, text), as a forest: nodes with one label count as joined."""
+    """Links between two blocks of (node, label, packed), as a forest: nodes with one label count as joined."""
     if not left.num_rows or not right.num_rows:
         return []
-    (values, bounds), (others, ends) = (shingle_sets(t["text"].combine_chunks(), width) for t in (left, right))
+    (values, bounds), (others, ends) = (shingle_sets(unpacked(t["packed"]), width) for t in (left, right))
     size = np.diff(bounds)
     owner = np.repeat(np.arange(left.num_rows), size)
     order = np.argsort(values, kind="stable")
@@ -249,15 +263,16 @@ def block_links(left: pa.Table, right: pa.Table, threshold: int, width: int) ->
     return out
 
 
-def over_blocks(left: DataFrame, right: DataFrame, names: tuple[str, ...], work) -> DataFrame:
-    """Rows with columns ``names`` that ``work`` makes of each pair of blocks with the same (key, lb, rb)."""
+def over_blocks(left: DataFrame, right: DataFrame, names: tuple[str, str], work) -> DataFrame:
+    """Rows with columns ``names`` that ``work`` makes of each pair of blocks with the same (key, lb, rb); all of the
+    type of node, but for key."""
     kind = left.schema["node"].dataType
-    schema = T.StructType([T.StructField(c, kind) for c in names])
+    schema = T.StructType([T.StructField(c, T.LongType() if c == "key" else kind) for c in names])
     arrow = to_arrow_schema(schema)
     keys = ("key", "lb", "rb")
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        return pa.Table.from_pylist([dict(zip(names, x if isinstance(x, tuple) else (x,))) for x in work(a, b)], schema=arrow)
+        return pa.Table.from_pylist([dict(zip(names, x)) for x in work(a, b)], schema=arrow)
 
     right = right.toDF(*right.columns)  # both sides may stem from one table
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, schema)
@@ -314,9 +329,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     large = named.filter(F.col("n") >= least).join(classes.filter(F.col("n") >= least).select("k1", "k2", "n", F.col("node").alias("id")), ["k1", "k2", "n", "id"], "left_semi")
     tokens = large.select(F.col("id").alias("node"), "n", F.posexplode("sig").alias("pos", "value")).select("node", "n", F.xxhash64("pos", "value").alias("token"))
     often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    shared = tokens.join(often, "token").groupBy("node", "n").agg(F.sort_array(F.collect_set(F.struct("df", "token"))).alias("ts"))
+    # rare values first: the count above 48 bits of the value's hash, one number to move and to sort by
+    ranked = F.shiftleft(F.least(F.col("df"), F.lit(32767)).cast("bigint"), 48).bitwiseOR(F.col("token").bitwiseAND(F.lit((1 << 48) - 1)))
+    shared = tokens.join(often, "token").select("node", "n", ranked.alias("token")).groupBy("node", "n").agg(F.array_sort(F.collect_set("token")).alias("ts"))
     posted = shared.withColumn("c", F.size("ts")).filter(F.col("c") >= matches)
-    postings = materialise(posted.select("node", "n", "c", F.explode(F.slice("ts", 1, F.col("c") - matches + 1)).alias("t")).select(F.col("t.token").alias("token"), "node", "n", "c"), "postings")
+    postings = materialise(posted.select("node", "n", "c", F.explode(F.slice("ts", 1, F.col("c") - matches + 1)).alias("token")).select("token", "node", "n", "c"), "postings")
 
     hubs = postings.groupBy("token").agg(F.max(F.struct("c", "node", "n")).alias("hub"), F.count(F.lit(1)).alias("m")).filter("m > 1")
     lists = materialise(postings.join(hubs, "token").select("token", "node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "lists")
@@ -327,7 +344,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = df.select(F.col(id_col).alias("node"), F.col(text_col).cast("string").alias("text"))
     wanted = materialise(counted.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
     texts = materialise(texts_of(docs, wanted), "texts")
-    side = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
+    side = lambda c: texts.select(F.col("node").alias(c), F.col("packed").alias(f"text_{c}"))
     first = materialise(confirm_pairs(counted.join(side("a"), "a").join(side("b"), "b"), threshold, width), "links")
     found = materialise(connected_components(first), "components")
 
@@ -355,9 +372,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     against = materialise(inner.unionByName(near).unionByName(keyed(single, 1, "token")), "against")
     left, right = in_blocks(outside, against)
     with_mini = lambda rows: rows.join(named.select(F.col("id").alias("node"), "mini"), "node")
-    partners = materialise(over_blocks(with_mini(left), with_mini(right), ("node",), lambda a, b: block_partners(a, b, matches)).distinct(), "partners")
-    more = materialise(texts_of(docs, materialise(partners.join(wanted, "node", "left_anti"), "wanted")), "texts")
-    some = lambda rows: materialise(rows.join(partners, "node", "left_semi").select("key", "node", "label"), "partners")
+    partners = materialise(over_blocks(with_mini(left), with_mini(right), ("key", "node"), lambda a, b: block_partners(a, b, matches)).distinct(), "partners")
+    more = materialise(texts_of(docs, materialise(partners.select("node").distinct().join(wanted, "node", "left_anti"), "wanted")), "texts")
+    some = lambda rows: materialise(rows.join(partners, ["key", "node"], "left_semi").select("key", "node", "label"), "partners")
     left, right = in_blocks(some(outside), some(against))
     with_text = lambda rows: rows.join(texts.unionByName(more), "node")
     rest = materialise(over_blocks(with_text(left), with_text(right), ("a", "b"), lambda a, b: block_links(a, b, threshold, width)), "links")
