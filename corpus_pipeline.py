@@ -42,11 +42,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a window of ten words of a benchmark item occurs go; items of fewer words, which clean
-    documents hold by chance, are not looked for."""
+    """Documents in which a window of ten words of a benchmark item occurs go, and those that hold the whole of an
+    item of fewer words."""
     keyed = docs.withColumn("_tm_th", F.xxhash64(text_or_empty(F.col("text"))))
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
-    found = contamination(keyed.select(F.struct("doc_id", "_tm_th").alias("key"), "text"), benchmark, id_col="key", min_item_words=10)
+    found = contamination(keyed.select(F.struct("doc_id", "_tm_th").alias("key"), "text"), benchmark, id_col="key")
     leaked = found.filter(F.size("hits") > 0).select(F.col("key.doc_id").alias("_tm_id"), F.col("key._tm_th").alias("_tm_leak")).distinct()
     clean = keyed.join(leaked, F.col("doc_id").eqNullSafe(F.col("_tm_id")) & (F.col("_tm_th") == F.col("_tm_leak")), "left_anti")
     return clean.select(*COLUMNS)

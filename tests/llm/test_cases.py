@@ -60,6 +60,16 @@ def test_stage_edges(spark, sf_dir, name, stage):
         assert out.count() >= 0
 
 
+def test_decontamination_finds_short_items(spark, tmp_path):
+    items = [(k, " ".join(f"item{k}x{j}" for j in range(k))) for k in range(1, 13)]
+    spark.createDataFrame(items, "item_id int, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(k, f"Some words first. {t} And after.", "s") for k, t in items]
+    rows += [(100 + k, f"Some words first. {t[:-1]} And after.", "s") for k, t in items if k < 11] + [(200, "nothing here", "s")]
+    d = docs(spark, rows).select("doc_id", "text", F.lit("en").alias("lang"), "source", F.lit(1).cast("long").alias("n_chars"))
+    out = corpus_pipeline.decontaminate(spark, d, str(tmp_path))
+    assert sorted(r["doc_id"] for r in out.collect()) == [*range(101, 111), 200]
+
+
 # 1
 
 
