@@ -14,40 +14,130 @@ def normalised_words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+", -1), "")
 
 
-def bigrams(words: Column) -> Column:
-    """The distinct word bigrams as 64-bit hashes; fewer than two words have none."""
+def ordered_bigrams(words: Column) -> Column:
+    """The word bigrams in their order as 64-bit hashes; fewer than two words have none."""
     return let(
         words,
-        lambda w: F.when(F.size(w) >= 2, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.xxhash64(w[i], w[i + 1])))).otherwise(
-            F.array().cast("array<bigint>")
-        ),
+        lambda w: F.when(F.size(w) >= 2, F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.xxhash64(w[i], w[i + 1]))).otherwise(F.array().cast("array<bigint>")),
     )
 
 
-def template_array(spark: SparkSession, templates) -> Column:
-    """The templates as one literal: array of (licence, n, bigrams). Their number and size are fixed in the code."""
+def bigrams(words: Column) -> Column:
+    """The distinct word bigrams."""
+    return F.array_distinct(ordered_bigrams(words))
+
+
+def template_array(spark: SparkSession, templates) -> tuple[Column, int]:
+    """The templates as one literal, array of (licence, n, bigrams), and the least n. Their number and size are fixed in
+    the code."""
     rows = spark.createDataFrame([(k, name, text) for k, (name, text) in enumerate(templates)], "k int, name string, text string")
     hashed = rows.orderBy("k").select("name", bigrams(normalised_words(F.col("text"))).alias("b")).collect()
-    return F.array(*[F.struct(F.lit(r["name"]).alias("licence"), F.lit(len(r["b"])).alias("n"), F.array(*map(F.lit, r["b"])).alias("bigrams")) for r in hashed])
+    table = F.array(*[F.struct(F.lit(r["name"]).alias("licence"), F.lit(len(r["b"])).alias("n"), F.array(*map(F.lit, r["b"])).alias("bigrams")) for r in hashed])
+    return table, min((len(r["b"]) for r in hashed), default=0)
+
+
+def windows(seq: Column, distinct: Column, table: Column, vocabulary: Column, least: int, threshold: int) -> Column:
+    """Array of (start, stop, licence, n, shared, total): for each template, the best runs of bigrams ``seq[start..stop]``
+    at or over ``threshold``, of those that share bigrams the best, then the first.
+
+    A best run begins and ends with a bigram of the template and holds at least ``need`` distinct ones, among at most
+    ``most`` distinct bigrams. So a template is dropped unless the whole text shares ``need`` with it, and a start
+    unless ``need`` of them lie ahead within such a size. From each start left every end is scored: a bigram is new
+    to a run if its previous place lies before the start.
+    """
+    seen = F.array_intersect(distinct, vocabulary)
+    close = let(
+        seen,
+        lambda s: F.when(
+            F.size(s) * (200 - threshold) >= least * threshold,
+            F.filter(
+                F.transform(table, lambda t: F.struct(t["licence"].alias("licence"), t["n"].alias("n"), F.array_intersect(t["bigrams"], s).alias("b"))),
+                lambda t: (F.size(t["b"]) > 0) & (F.size(t["b"]) * (200 - threshold) >= t["n"] * threshold),
+            ),
+        ),
+    )
+    by_value = F.array_sort(F.transform(seq, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
+    placed = let(
+        by_value,
+        lambda v: F.transform(v, lambda x, j: F.struct(x["i"].alias("i"), F.when(F.get(v, j - 1)["g"] == x["g"], F.get(v, j - 1)["i"]).otherwise(-1).alias("prev"))),
+    )
+    previous = F.transform(F.array_sort(placed), lambda x: x["prev"])
+
+    def best_end(a, reach, steps, n):
+        """The best end of a run from ``a``, scored over ``reach`` bigrams."""
+        zero = F.struct(*[F.lit(0).alias(c) for c in ("at", "shared", "size", "best", "of", "stop")])
+
+        def step(s, x):
+            new = (x["prev"] < a).cast("int")
+            shared, size = s["shared"] + new * x["hit"], s["size"] + new
+            better = (x["hit"] == 1) & (shared.cast("long") * (n + s["of"]) > s["best"].cast("long") * (n + size))
+            keep = lambda value, old: F.when(better, value).otherwise(s[old]).alias(old)
+            return F.struct((s["at"] + 1).alias("at"), shared.alias("shared"), size.alias("size"), keep(shared, "best"), keep(size, "of"), keep(a + s["at"], "stop"))
+
+        return F.aggregate(F.slice(steps, a + 1, reach), zero, step)
+
+    def runs(t, prev):
+        need = F.ceil(t["n"] * threshold / (200 - threshold)).cast("int")
+        most = F.floor(t["n"] * (200 - threshold) / threshold).cast("int")
+        steps = F.transform(seq, lambda g, i: F.struct(i.alias("i"), F.array_contains(t["b"], g).cast("int").alias("hit"), F.get(prev, i).alias("prev")))
+
+        def from_starts(steps):
+            hits = F.transform(F.filter(steps, lambda x: x["hit"] == 1), lambda x: x["i"])
+            distinct_in = lambda a, length: F.size(F.array_distinct(F.slice(seq, a + 1, length)))
+            starts = let(
+                hits,
+                lambda h: F.filter(
+                    F.transform(h, lambda a, k: F.struct(a.alias("a"), F.get(h, k + need - 1).alias("z"))),
+                    lambda x: F.coalesce((x["z"] - x["a"] < most) | (distinct_in(x["a"], x["z"] - x["a"] + 1) <= most), F.lit(False)),
+                ),
+            )
+            # A reach with more than ``most`` distinct bigrams holds every run in question.
+            reach = lambda a: F.when(distinct_in(a, 2 * most) > most, 2 * most).when(distinct_in(a, 16 * most) > most, 16 * most).otherwise(F.size(seq))
+            ahead = F.filter(
+                F.transform(starts, lambda x: F.struct(x["a"].alias("a"), reach(x["a"]).alias("reach"))),
+                lambda x: F.size(F.array_intersect(F.slice(seq, x["a"] + 1, x["reach"]), t["b"])) >= need,
+            )
+            ends = F.transform(
+                ahead,
+                lambda x: let(
+                    best_end(x["a"], x["reach"], steps, t["n"]),
+                    lambda e: F.struct(
+                        (-2.0 * e["best"] / (t["n"] + e["of"])).alias("dice"), x["a"].alias("start"), e["stop"].alias("stop"), t["licence"].alias("licence"), t["n"].alias("n"),
+                        e["best"].alias("shared"), (t["n"] + e["of"]).alias("total"),
+                    ),
+                ),
+            )
+            good = F.array_sort(F.filter(ends, lambda e: 200 * e["shared"] >= threshold * e["total"]))
+            pick = lambda told, e: F.when(F.exists(told, lambda o: (o["start"] <= e["stop"]) & (e["start"] <= o["stop"])), told).otherwise(F.concat(told, F.array(e)))
+            return let(good, lambda g: F.aggregate(g, F.filter(g, lambda _: F.lit(False)), pick))
+
+        return let(steps, from_starts)
+
+    return let(close, lambda c: F.when(F.size(c) > 0, let(previous, lambda p: F.flatten(F.transform(c, lambda t: runs(t, p))))))
 
 
 def scan_licences(df: DataFrame, text_col: str = "text", threshold: int = 80, templates=TEMPLATES) -> DataFrame:
-    """Compares the whole text, each paragraph and each line with the licence templates.
+    """Compares the whole text, each paragraph, each line and every run of words with the licence templates.
 
     Returns the columns of ``df`` with ``n_bigrams`` (distinct, of the whole text) and ``licences``, an array of
-    (unit, place, licence, shared, total): unit is "text", "paragraph" or "line", place counts units from 0, and the
-    Dice coefficient 2 * shared / total is at least ``threshold`` percent; total is the sum of both set sizes. These
+    (unit, place, licence, shared, total): unit is "text", "paragraph", "line" or "window", place counts units from 0
+    (for a window, the words before it), and the Dice coefficient 2 * shared / total is at least ``threshold`` percent; total is the sum of both set sizes. These
     replace input columns of the same name. Paragraphs are told apart by blank lines and compared only where there
     are at least two; a text of one line is not compared again as a line.
 
+    A window is any run of words, over line and paragraph ends too, so a template is found with whatever stands around
+    it. Of windows of a template that overlap, the best is told. A window that overlaps a matched unit is not told
+    again where that unit was itself compared with the template, its size being within the bounds.
+
     A Dice coefficient of t needs sizes within t / (2 - t) of each other, so a template outside these bounds is
-    pruned before any intersection. The templates are a literal, so the whole is one narrow pass of SQL expressions.
+    pruned before any intersection. Windows are looked for only where the text shares enough bigrams with a template for
+    one to match, which few texts do. The templates are a literal, so the whole is one narrow pass of SQL expressions.
 
     Defined cases: null, empty and one-word texts match nothing; all templates at or over the threshold are returned,
     in the order of the templates, so ties need no choice; equal rows get equal results; an empty table gives an
     empty table.
     """
-    table = template_array(df.sparkSession, templates)
+    table, least = template_array(df.sparkSession, templates)
 
     def matches(sets: Column, unit: str) -> Column:
         """``sets``: array of bigram sets."""
@@ -59,7 +149,8 @@ def scan_licences(df: DataFrame, text_col: str = "text", threshold: int = 80, te
             scored = F.transform(
                 near,
                 lambda t: F.struct(
-                    F.lit(unit).alias("unit"), place.alias("place"), t["licence"].alias("licence"), F.size(F.array_intersect(b, t["bigrams"])).alias("shared"), (t["n"] + F.size(b)).alias("total")
+                    F.lit(unit).alias("unit"), place.alias("place"), t["licence"].alias("licence"), F.size(F.array_intersect(b, t["bigrams"])).alias("shared"), (t["n"] + F.size(b)).alias("total"),
+                    F.size(b).alias("size"),
                 ),
             )
             return F.filter(scored, lambda m: 200 * m["shared"] >= threshold * m["total"])
@@ -70,15 +161,39 @@ def scan_licences(df: DataFrame, text_col: str = "text", threshold: int = 80, te
     none = F.array().cast("array<array<bigint>>")
     lines = F.split(text, "\n", -1)
     paragraphs = F.split(text, r"\n[\x20\t\r]*\n", -1)
-    staged = df.withColumns(
+    staged = df.withColumn("_tm_seq", ordered_bigrams(normalised_words(text))).withColumns(
         {
-            "_tm_text": bigrams(normalised_words(text)),
+            "_tm_text": F.array_distinct("_tm_seq"),
             "_tm_lines": F.when(F.instr(text, "\n") > 0, F.transform(lines, lambda x: bigrams(normalised_words(x)))).otherwise(none),
             "_tm_paragraphs": let(paragraphs, lambda p: F.when(F.size(p) >= 2, F.transform(p, lambda x: bigrams(normalised_words(x)))).otherwise(none)),
         }
     )
     found = F.concat(matches(F.array("_tm_text"), "text"), matches(F.col("_tm_paragraphs"), "paragraph"), matches(F.col("_tm_lines"), "line"))
-    return staged.withColumns({"n_bigrams": F.size("_tm_text").cast("long"), "licences": found}).drop("_tm_text", "_tm_lines", "_tm_paragraphs")
+    counts = lambda parts: F.transform(parts, lambda x: F.size(normalised_words(x)))
+
+    def told_anew(found, wins):
+        """The windows that overlap no matched unit which was compared with their template."""
+
+        def ranged(line_words, paragraph_words):
+            span = lambda sizes, p: F.struct(F.aggregate(F.slice(sizes, 1, p), F.lit(0), lambda s, x: s + x).alias("first"), F.get(sizes, p).alias("words"))
+            whole = F.struct(F.lit(0).alias("first"), (F.size("_tm_seq") + 1).alias("words"))
+            at = lambda m: F.when(m["unit"] == "text", whole).when(m["unit"] == "line", span(line_words, m["place"])).otherwise(span(paragraph_words, m["place"]))
+            return F.transform(found, lambda m: F.struct(at(m).alias("at"), m["size"].alias("size")))
+
+        units = let(counts(lines), lambda a: let(counts(paragraphs), lambda b: ranged(a, b)))
+        compared = lambda u, w: (w["n"] * (200 - threshold) >= u["size"] * threshold) & (u["size"] * (200 - threshold) >= w["n"] * threshold)
+        overlap = lambda u, w: (w["start"] < u["at"]["first"] + u["at"]["words"]) & (w["stop"] + 1 >= u["at"]["first"])
+        return let(units, lambda us: F.filter(wins, lambda w: ~F.exists(us, lambda u: compared(u, w) & overlap(u, w))))
+
+    told = lambda ms, unit, place: F.transform(
+        ms, lambda m: F.struct(unit(m).alias("unit"), place(m).alias("place"), m["licence"].alias("licence"), m["shared"].alias("shared"), m["total"].alias("total"))
+    )
+    vocabulary = F.array_distinct(F.flatten(F.transform(table, lambda t: t["bigrams"])))
+    staged = staged.withColumns({"_tm_found": found, "_tm_windows": windows(F.col("_tm_seq"), F.col("_tm_text"), table, vocabulary, least, threshold)})
+    units = told(F.col("_tm_found"), lambda m: m["unit"], lambda m: m["place"])
+    more = told(told_anew(F.col("_tm_found"), F.col("_tm_windows")), lambda m: F.lit("window"), lambda m: m["start"])
+    both = F.when(F.size("_tm_windows") > 0, F.concat(units, more)).otherwise(units)
+    return staged.withColumns({"n_bigrams": F.size("_tm_text").cast("long"), "licences": both}).drop("_tm_seq", "_tm_text", "_tm_lines", "_tm_paragraphs", "_tm_found", "_tm_windows")
 
 
 def op4_licence_scan(spark, sf_dir: str) -> DataFrame:

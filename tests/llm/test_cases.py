@@ -6,6 +6,7 @@ import io
 import itertools
 import random
 import re
+import textwrap
 
 import numpy as np
 import pyarrow as pa
@@ -203,6 +204,60 @@ def test_licences(spark):
     assert got[1] == {("text", "MIT")} and ("paragraph", "MIT") in got[2] and ("line", "MIT") in got[3] and got[4] == set()
 
 
+_LGPL = """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.
+
+You should have received a copy of the GNU Lesser General Public License along with this library; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA"""
+_AGPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.
+
+You should have received a copy of the GNU Affero General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."""
+
+
+def _best_window(text, template):
+    """Brute force over all runs of words: the best Dice coefficient."""
+    words = lambda t: re.findall(r"[^\W_]+", t.lower())
+    grams = lambda t: list(zip(words(t), words(t)[1:]))
+    g, t, best = grams(text), set(grams(template)), 0.0
+    for a in range(len(g)):
+        run = set()
+        for b in range(a, len(g)):
+            run.add(g[b])
+            best = max(best, 2 * len(run & t) / (len(run) + len(t)))
+    return best
+
+
+def test_licences_inside_documents(spark):
+    from tarnmill.llm.licence_texts import TEMPLATES
+
+    templates = (*TEMPLATES, ("LGPL-2.1-or-later", _LGPL), ("AGPL-3.0-or-later", _AGPL))
+    code = "def area(w, h):\n    return w * h\n\nprint(area(3, 4), 'Some more words of a program here')\n"
+    wrap = lambda t: "\n".join("# " + line for p in t.split("\n") for line in textwrap.wrap(p, 60) or [""])
+    rows = [(k, f"{code}\n{t}\n\n{code * 3}", "s") for k, (_, t) in enumerate(templates)] + [(100 + k, f"{wrap(t)}\n{code}", "s") for k, (_, t) in enumerate(templates)]
+    line = "Copyright (c) 2024 Jane Doe. Released under the MIT License. See LICENSE for details."
+    rows += [(200, line, "s"), (201, f"{code}{line}\n{code}", "s"), (202, f"This file is released under the MIT license by Jane Doe and others {code}", "s"), (203, code, "s")]
+    got = {r["doc_id"]: r["licences"] for r in licence_scan.scan_licences(docs(spark, rows), templates=templates).collect()}
+    for k, (name, _) in enumerate(templates):
+        assert name in {m["licence"] for m in got[k]} and name in {m["licence"] for m in got[100 + k]}, name
+    assert [(m["unit"], m["place"], m["licence"], m["shared"], m["total"]) for m in got[200] if m["shared"] * 2 == m["total"]] == [("window", 5, "MIT", 4, 8)]
+    assert all({m["licence"] for m in got[k]} == {"MIT"} for k in (200, 201, 202)) and got[203] == []
+
+
+def test_licence_windows_match_brute_force(spark):
+    rng = random.Random(7)
+    templates = [("A", "a b c d e f g h"), ("B", "b c b d a"), ("C", "c d")]
+    rows = [(k, " ".join(rng.choice("abcdefghxy") if rng.random() < 0.4 else "abcdefgh"[j % 8] for j in range(rng.randint(2, 40))), "s") for k in range(300)]
+    rows += [(300, "a b c d " + "x " * 100 + "e f g h", "s")]
+    got = {r["doc_id"]: r["licences"] for r in licence_scan.scan_licences(docs(spark, rows), templates=templates).collect()}
+    for k, text, _ in rows:
+        for name, t in templates:
+            best, found = _best_window(text, t), [2 * m["shared"] / m["total"] for m in got[k] if m["licence"] == name]
+            whole = any(m["unit"] == "text" for m in got[k])
+            assert whole or max(found, default=0) == (pytest.approx(best) if best >= 0.8 else 0), (text, name)
+
+
 # 5
 
 
