@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 import xxhash
@@ -24,9 +25,10 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _MARK = re.compile(r"[0-9@]")
 _BLANK = re.compile(r"[\x20\x09-\x0D]")
+_WORD = re.compile(r"\S+")
 _EDGES = "\"'`.,;:!?()[]{}<>|#*$%&="
-#: Characters on either side of an entity in which context words are looked for.
-CONTEXT_CHARS = 64
+#: Characters of a context word, those nearest to the entity.
+WORD_CHARS = 64
 
 
 def luhn(digits: str) -> bool:
@@ -69,8 +71,10 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Words with a digit or an at sign, at least 5 characters after outer punctuation, that touch no base span."""
+    """Words with a digit or an at sign, without outer punctuation, that touch no base span. Neighbours on a line that
+    hold digits are one candidate, unless punctuation other than brackets or an at sign parts them."""
     out, free, spans, k = [], 0, sorted((a, b) for _, a, b in taken), 0
+    joins, last = False, 0
     m = _MARK.search(text)
     while m:
         pos = m.start()
@@ -82,19 +86,44 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
         right = max(left, stop - (len(token) - len(token.rstrip(_EDGES))))
         while k < len(spans) and spans[k][1] <= start:
             k += 1
-        if right - left >= 5 and not (k < len(spans) and spans[k][0] < stop):
-            out.append((left, right))
+        if right > left and not (k < len(spans) and spans[k][0] < stop):
+            grouped = "@" not in token
+            if joins and grouped and not text[start:left].strip("([") and not text[last:start].strip(" \t"):
+                out[-1] = (out[-1][0], right)
+            else:
+                out.append((left, right))
+            joins, last = grouped and not text[right:stop].strip(")]"), stop
+        else:
+            joins = False
         free = stop
         m = _MARK.search(text, stop)
     return out
 
 
-def patterns_of(text: str, start: int, end: int) -> list[str]:
-    """The lexical patterns that hold an entity: its two words to the left, and one word on either side."""
-    clean = lambda w: re.sub("[0-9]+", "0", w.strip(_EDGES).lower()) or "-"
-    left = ["^", "^", *map(clean, text[max(0, start - CONTEXT_CHARS) : start].split())][-2:]
-    right = [*map(clean, text[end : end + CONTEXT_CHARS].split()), "$"][0]
-    return [f"{left[0]} {left[1]} _", f"{left[1]} _ {right}"]
+class Context:
+    """The words of a text, from which the lexical patterns of its entities are read."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.starts, self.ends = [], []
+        for m in _WORD.finditer(text):
+            self.starts.append(m.start())
+            self.ends.append(m.end())
+
+    def patterns_of(self, start: int, end: int) -> list[str]:
+        """The patterns that hold an entity: its two words to the left, and one word on either side. A part of a word
+        that the entity leaves over is a word; of each, the ``WORD_CHARS`` nearest characters count."""
+        clean = lambda w: re.sub("[0-9]+", "0", w.strip(_EDGES).lower()) or "-"
+        left, k = ["^", "^"], bisect_left(self.starts, start)
+        for i in range(max(0, k - 2), k):
+            stop = min(self.ends[i], start)
+            left.append(clean(self.text[max(self.starts[i], stop - WORD_CHARS) : stop]))
+        k = bisect_right(self.ends, end)
+        right = "$"
+        if k < len(self.starts):
+            first = max(self.starts[k], end)
+            right = clean(self.text[first : min(self.ends[k], first + WORD_CHARS)])
+        return [f"{left[-2]} {left[-1]} _", f"{left[-1]} _ {right}"]
 
 
 def mentions(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -110,9 +139,10 @@ def mentions(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
     arrow = to_arrow_schema(schema)
 
-    def entry(text: str, kind: int | None, a: int, b: int) -> dict:
-        instance = xxhash.xxh64_intdigest(text[a:b].lower()) - (1 << 63)
-        return {"instance": instance, "kind": kind, "start": a, "end": b, "patterns": patterns_of(text, a, b)}
+    def entries(text: str, spans: list[tuple[int | None, int, int]]) -> list[dict]:
+        context = Context(text) if spans else None
+        instance = lambda a, b: xxhash.xxh64_intdigest(text[a:b].lower()) - (1 << 63)
+        return [{"instance": instance(a, b), "kind": kind, "start": a, "end": b, "patterns": context.patterns_of(a, b)} for kind, a, b in spans]
 
     def find(batches):
         number = TaskContext.get().partitionId() << 40
@@ -123,7 +153,7 @@ def mentions(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     text = text or ""
                     base = base_spans(text)
                     spans.append([{"kind": k, "start": a, "end": b} for k, a, b in base])
-                    found.append([entry(text, k, a, b) for k, a, b in base] + [entry(text, None, a, b) for a, b in candidates(text, base)])
+                    found.append(entries(text, base + [(None, a, b) for a, b in candidates(text, base)]))
                 n = piece.num_rows
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(range(number, number + n), pa.int64()), piece.column(0).cast(arrow.field(1).type), pa.array(spans, arrow.field(2).type), pa.array(found, arrow.field(3).type)], schema=arrow
@@ -133,28 +163,39 @@ def mentions(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(find, schema)
 
 
-def score_patterns(edges: DataFrame, rounds: int, smoothing: float) -> DataFrame:
+def score_patterns(edges: DataFrame, rounds: int, smoothing: float, min_confidence: float, min_seeds: int) -> DataFrame:
     """(pattern, kind, confidence, n_seeds) after ``rounds`` of passing scores over the pattern-instance graph.
 
     ``edges``: distinct (pattern, instance, kind), kind null for candidates. A seed's score is 1 for its kind. A
-    pattern's confidence for a kind is the sum of its instances' scores over their number plus ``smoothing``; a
-    candidate's score is one minus the product of what its patterns leave open. Only patterns that hold a seed can
-    score, so the graph is cut to these first. Each round is two combined aggregates and a join.
+    pattern's confidence for a kind is the sum of its instances' scores over their number plus ``smoothing``. A
+    candidate in a pattern with at least ``min_seeds`` seeds and ``min_confidence`` is accepted: in the next round it
+    is a seed of the kind of the best such pattern, and counts among ``n_seeds``, also of patterns that hold no base
+    seed. The score of any other candidate is one minus the product of what its patterns leave open. Each round is
+    three combined aggregates and two joins.
     """
-    totals = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.count("kind").alias("seeds")).filter("seeds > 0")
-    graph = materialise(edges.join(totals.select("pattern", "n"), "pattern"), "pii-graph")
+    totals = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
+    graph = materialise(edges.join(totals, "pattern"), "pii-graph")
     seeds = graph.filter("kind IS NOT NULL").groupBy("pattern", "kind", "n").agg(F.count(F.lit(1)).alias("n_seeds"))
-    opened = graph.filter("kind IS NULL").select("pattern", "instance")
+    opened = graph.filter("kind IS NULL").select("pattern", "instance", "n")
     scored = seeds.select("pattern", "kind", "n", "n_seeds", (F.col("n_seeds") / (F.col("n") + smoothing)).alias("confidence"))
+    good = (F.col("confidence") >= min_confidence) & (F.col("n_seeds") >= min_seeds)
     for _ in range(rounds - 1):
+        by_kind = (
+            opened.select("pattern", "instance").join(scored.select("pattern", "kind", "confidence", "n_seeds"), "pattern").groupBy("instance", "kind")
+            .agg((1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.999)))))).alias("score"), F.max(F.when(good, F.col("confidence"))).alias("best"))
+        )
         instance = (
-            opened.join(scored.select("pattern", "kind", "confidence"), "pattern")
-            .groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.999)))))).alias("score"))
+            by_kind.groupBy("instance")
+            .agg(F.max_by("kind", F.when(F.col("best").isNotNull(), F.struct("best", -F.col("kind")))).alias("taken"), F.collect_list(F.struct("kind", "score")).alias("scores"))
+            .withColumn("s", F.explode("scores"))
+            .select("instance", "s.kind", F.when(F.col("taken").isNull(), F.col("s.score")).otherwise((F.col("taken") == F.col("s.kind")).cast("double")).alias("score"),
+                    F.coalesce(F.col("taken") == F.col("s.kind"), F.lit(False)).cast("long").alias("accepted"))
         )
-        gained = opened.join(instance, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("gained"))
+        gained = opened.join(instance, "instance").groupBy("pattern", "kind", "n").agg(F.sum("accepted").alias("n_seeds"), F.sum("score").alias("gained"))
+        held = seeds.select("pattern", "kind", "n", "n_seeds", F.col("n_seeds").cast("double").alias("gained"))
         scored = materialise(
-            seeds.join(gained, ["pattern", "kind"], "left")
-            .select("pattern", "kind", "n", "n_seeds", ((F.col("n_seeds") + F.coalesce("gained", F.lit(0.0))) / (F.col("n") + smoothing)).alias("confidence")),
+            held.unionByName(gained).groupBy("pattern", "kind", "n").agg(F.sum("n_seeds").alias("n_seeds"), F.sum("gained").alias("gained"))
+            .select("pattern", "kind", "n", "n_seeds", (F.col("gained") / (F.col("n") + smoothing)).alias("confidence")),
             "pii-patterns",
         )
     return scored.select("pattern", "kind", "confidence", "n_seeds")
@@ -166,9 +207,10 @@ def extract_pii(
     """(id, spans): personal data of each text as an array of (kind, start, end, base), by kind, then start.
 
     Base spans come from the patterns of the four kinds. They are the seeds: their contexts are lexical patterns,
-    and in ``rounds`` rounds scores pass between patterns and all id-like words of the corpus. Patterns with at
-    least ``min_seeds`` distinct seeds and ``min_confidence`` then mark the id-like words in their place as found
-    entities, of kind ``found_<kind>``; a word that several patterns mark takes the kind of the best.
+    and in ``rounds`` rounds scores pass between patterns and all id-like words, or groups of them, of the corpus.
+    Patterns with at least ``min_seeds`` distinct seeds and ``min_confidence`` mark the id-like words in their place as
+    found entities, of kind ``found_<kind>``; these are seeds of the next round, so entities found in one context lead
+    to others, a context further a round. A word that several patterns mark takes the kind of the best.
 
     One pass over the texts, in slices of bounded bytes; what follows handles only mentions. Patterns and instances
     that a third of the documents share are combined before each shuffle, and joins on them are left to AQE to
@@ -181,7 +223,7 @@ def extract_pii(
     docs = materialise(mentions(df, id_col, text_col), "pii-mentions")
     found = docs.select("row", F.explode("mentions").alias("m")).select("row", "m.instance", "m.kind", "m.start", "m.end", F.explode("m.patterns").alias("pattern"))
     edges = found.groupBy("pattern", "instance").agg(F.min("kind").alias("kind"))
-    good = score_patterns(edges, rounds, smoothing).filter((F.col("confidence") >= min_confidence) & (F.col("n_seeds") >= min_seeds))
+    good = score_patterns(edges, rounds, smoothing, min_confidence, min_seeds).filter((F.col("confidence") >= min_confidence) & (F.col("n_seeds") >= min_seeds))
     extra = (
         found.filter("kind IS NULL").drop("kind").join(good.select("pattern", F.col("kind").alias("guess"), "confidence"), "pattern")
         .groupBy("row", "start", "end").agg(F.max_by("guess", F.struct("confidence", -F.col("guess"))).alias("kind"))
@@ -205,6 +247,6 @@ def op5_pii_bootstrap(spark, sf_dir: str) -> DataFrame:
     found = extract_pii(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select(
-        "doc_id", *(count(k) for k in KINDS),
+        "doc_id", *(count(k) for k in KINDS), F.size(F.filter("spans", lambda s: ~s["base"])).cast("long").alias("n_found"),
         F.sha2(spans_string(F.filter("spans", lambda s: s["base"])), 256).alias("base_sha256"), spans_string(F.col("spans")).alias("spans"),
     )

@@ -268,6 +268,33 @@ def test_pii_patterns_find_unseen(spark):
     assert got[3] == [("email", 21, 36, True)]
 
 
+def test_pii_found_identifiers_are_seeds(spark):
+    """Identifiers found by a seeded pattern make a pattern without base seeds good, which finds another."""
+    rows = [(k, f"please write to mail user{k}@site{k}.org today", "s") for k in range(20)]
+    rows += [(100 + k, f"please write to mail member-{k}x today", "s") for k in range(6)]
+    rows += [(200 + k, f"our ledger shows account member-{k}x as open", "s") for k in range(6)]
+    rows += [(300, "our ledger shows account other-77 as open", "s"), (301, "room 12345 is free", "s")]
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in pii_bootstrap.extract_pii(docs(spark, rows)).collect()}
+    assert got[103] == [("found_email", 21, 30)] and got[203] == [("found_email", 25, 34)]
+    assert got[300] == [("found_email", 25, 33)] and got[301] == []
+
+
+def test_pii_candidates_are_grouped():
+    found = lambda t, taken=(): [t[a:b] for a, b in pii_bootstrap.candidates(t, list(taken))]
+    assert found("iban DE89 3704 0044 0532 0130 00, paid") == ["DE89 3704 0044 0532 0130 00"]
+    assert found("ssn 123 45 6789 and pin 471") == ["123 45 6789", "471"]
+    assert found("call (030) 12 34 56.\n77 88") == ["030) 12 34 56", "77 88"]
+    assert found("in 2019, 12345 x@ 12 5@") == ["2019", "12345", "x@", "12", "5@"]
+    assert found("id 12 34 56", [(0, 6, 8)]) == ["12", "56"]
+
+
+def test_pii_context_is_words():
+    text = "please write" + " " * 100 + "x" * 70 + " 12345" + " " * 100 + "today"
+    a = text.index("12345")
+    assert pii_bootstrap.Context(text).patterns_of(a, a + 5) == ["write " + "x" * 64 + " _", "x" * 64 + " _ today"]
+    assert pii_bootstrap.Context("a:12345,b c").patterns_of(2, 7) == ["^ a _", "a _ b"]
+
+
 def test_pii_base_fuzz():
     from tests.llm.test_queries import base_pii
 
