@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,10 +19,10 @@ from tarnmill.llm.graph import connected_components
 
 #: Coordinates of a signature, and the chance with which a pair right at the threshold may be missed.
 COORDINATES, MISS = 48, 1e-8
-#: Members of a block and of a chunk whose pairs one group of the last steps compares.
-BLOCK = 512
-#: 64-bit words of the fixed-size filter that keeps texts of no interest out of a shuffle.
-FILTER_WORDS = 1 << 16
+#: Most 64-bit words (8 MB) of the filter that keeps texts of no interest out of a shuffle.
+FILTER_WORDS = 1 << 20
+#: Packed bytes of the texts that are read at once.
+PART_BYTES = 1 << 20
 
 _RANDOM = np.random.default_rng(20240607)
 _TIMES = _RANDOM.integers(0, 2**64, 256, dtype=np.uint64) | np.uint64(1)
@@ -126,23 +127,23 @@ def text_signatures(df: DataFrame, id_col: str, text_col: str, width: int) -> Da
     return rows.mapInArrow(sign, schema)
 
 
-def maybe_among(rows: DataFrame, ids: DataFrame) -> DataFrame:
+def maybe_among(rows: DataFrame, ids: DataFrame, count: int) -> DataFrame:
     """(node, packed) of the rows (node, text) whose node may be in ``ids`` (node): all that are, and few others.
 
     Texts travel compressed from here on (``packed``).
 
-    A Bloom filter of fixed size (``FILTER_WORDS`` words) is built by a combined bitwise OR and broadcast, so that
-    texts of no interest stay out of the join that follows. With very many ids it lets more through, which costs
-    time and no row.
+    A Bloom filter of 16 bits for each of the ``count`` ids, but at most ``FILTER_WORDS`` words, is built by a combined
+    bitwise OR and broadcast, so that texts of no interest stay out of the join that follows. Beyond that size it
+    lets more through, which costs time and no row.
     """
-    spots = lambda c: F.array(*[F.pmod(F.xxhash64(F.lit(k), F.col(c)), F.lit(FILTER_WORDS * 64)) for k in range(2)])
+    size = min(FILTER_WORDS, max(1 << 10, 1 << max(0, count // 4).bit_length()))
+    spots = lambda c: F.array(*[F.pmod(F.xxhash64(F.lit(k), F.col(c)), F.lit(size * 64)) for k in range(2)])
     words = (
         ids.select(F.explode(spots("node")).alias("s"))
-        .groupBy((F.col("s") / 64).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("s") % 64).cast("int"))).alias("bits")).collect()
+        .groupBy((F.col("s") / 64).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("s") % 64).cast("int"))).alias("bits")).toArrow()
     )
-    table = np.zeros(FILTER_WORDS, np.int64)
-    for r in words:
-        table[r["w"]] = r["bits"]
+    table = np.zeros(size, np.int64)
+    table[words["w"].to_numpy()] = words["bits"].to_numpy()
     sent = rows.sparkSession.sparkContext.broadcast(table.view(np.uint64))
     schema = T.StructType([T.StructField("node", rows.schema["node"].dataType), T.StructField("packed", T.BinaryType())])
     arrow = to_arrow_schema(schema)
@@ -162,32 +163,38 @@ def maybe_among(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return source.mapInArrow(keep, schema)
 
 
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(node, packed) of the documents with ``ids`` (node, distinct and materialised)."""
+    return maybe_among(docs, ids, ids.count()).join(ids, "node", "left_semi")
+
+
 def unpacked(col: pa.Array) -> pa.Array:
     unpack = zstandard.ZstdDecompressor()
     return pa.array([unpack.decompress(x).decode() for x in col.to_pylist()], pa.large_string())
 
 
-def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(node, packed) of the documents with ``ids`` (node)."""
-    return maybe_among(docs, ids).join(ids, "node", "left_semi")
-
-
-def similar(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * common >= threshold * (len(a) + len(b) - common)
+def _steps(batch: pa.RecordBatch, columns: tuple[str, ...], limit: int):
+    """Parts of ``batch`` with at most ``limit`` bytes in its binary ``columns``, or one row."""
+    size = np.zeros(batch.num_rows, np.int64)
+    for c in columns:
+        size += pc.binary_length(batch.column(batch.schema.get_field_index(c))).to_numpy(zero_copy_only=False).astype(np.int64)
+    upto, at = np.concatenate([[0], np.cumsum(size + 64)]), 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(upto, upto[at] + limit, "right")) - 1)
+        yield batch.slice(at, stop - at)
+        at = stop
 
 
-def _pair_filter(pairs: DataFrame, kept) -> DataFrame:
-    """(a, b) of the rows for which ``kept`` (a batch's columns by name -> booleans) holds."""
+def _pair_filter(pairs: DataFrame, columns: tuple[str, ...], kept) -> DataFrame:
+    """(a, b) of the rows for which ``kept`` (a part's columns by name -> booleans) holds; parts are bounded by the
+    bytes of ``columns``."""
     kind = pairs.schema["a"].dataType
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
     arrow = to_arrow_schema(schema)
 
     def run(batches):
         for batch in batches:
-            step = 1024
-            for at in range(0, batch.num_rows, step):
-                piece = batch.slice(at, step)
+            for piece in _steps(batch, columns, PART_BYTES):
                 cols = {c: piece.column(i) for i, c in enumerate(piece.schema.names)}
                 mask = pa.array(kept(cols))
                 yield pa.RecordBatch.from_arrays([cols["a"].filter(mask).cast(arrow.field(0).type), cols["b"].filter(mask).cast(arrow.field(1).type)], schema=arrow)
@@ -199,98 +206,124 @@ def _minis(col: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), np.uint16).reshape(-1, COORDINATES)
 
 
-def count_collisions(pairs: DataFrame, matches: int) -> DataFrame:
-    """(a, b) of the pairs (a, b, mini_a, mini_b) with at least ``matches`` equal coordinates."""
-    return _pair_filter(pairs, lambda c: (_minis(c["mini_a"]) == _minis(c["mini_b"])).sum(axis=1) >= matches)
-
-
-def confirm_pairs(pairs: DataFrame, threshold: int, width: int) -> DataFrame:
-    """(a, b) of the pairs (a, b, text_a, text_b) whose full sets are similar enough."""
-
-    def confirmed(c):
-        (va, ba), (vb, bb) = (shingle_sets(unpacked(c[x]), width) for x in ("text_a", "text_b"))
-        return np.array([similar(va[ba[k] : ba[k + 1]], vb[bb[k] : bb[k + 1]], threshold) for k in range(len(c["a"]))], bool)
-
-    return _pair_filter(pairs, confirmed)
-
-
-def block_partners(left: pa.Table, right: pa.Table, matches: int) -> list:
-    """(key, node) for the nodes of two blocks of (key, node, label, mini) with enough collisions with a node of another
-    label across."""
-    if not left.num_rows or not right.num_rows:
-        return []
-    a, b = (_minis(t["mini"]) for t in (left, right))
-    la, lb = (np.unique(np.array(t["label"].to_pylist() + u["label"].to_pylist(), dtype=object), return_inverse=True)[1][: t.num_rows] for t, u in ((left, right), (right, left)))
-    hit_a, hit_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
-    for k in range(len(b)):
-        found = ((a == b[k]).sum(axis=1) >= matches) & (la != lb[k])
-        hit_a |= found
-        hit_b[k] = found.any()
-    key = left["key"][0].as_py()
-    return [(key, n) for t, hit in ((left, hit_a), (right, hit_b)) for n, h in zip(t["node"].to_pylist(), hit) if h]
-
-
-def block_links(left: pa.Table, right: pa.Table, threshold: int, width: int) -> list[tuple]:
-    """Links between two blocks of (node, label, packed), as a forest: nodes with one label count as joined."""
-    if not left.num_rows or not right.num_rows:
-        return []
-    (values, bounds), (others, ends) = (shingle_sets(unpacked(t["packed"]), width) for t in (left, right))
-    size = np.diff(bounds)
-    owner = np.repeat(np.arange(left.num_rows), size)
-    order = np.argsort(values, kind="stable")
-    values, owner = values[order], owner[order]
-    nodes, labels = left["node"].to_pylist(), left["label"].to_pylist()
-    parent: dict = {}
-
-    def root(x):
-        while (up := parent.get(x, x)) != x:
-            parent[x] = parent.get(up, up)
-            x = up
-        return x
-
-    out = []
-    for k, (node, label) in enumerate(zip(right["node"].to_pylist(), right["label"].to_pylist())):
-        own = others[ends[k] : ends[k + 1]]
-        low, high = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
-        found = high - low
-        at = np.repeat(low - np.concatenate([[0], np.cumsum(found)[:-1]]), found) + np.arange(int(found.sum()))
-        common = np.bincount(owner[at], minlength=len(size))
-        for j in np.flatnonzero(100 * common >= threshold * (size + len(own) - common)).tolist():
-            a, b = root(labels[j]), root(label)
-            if a != b:
-                parent[a] = b
-                out.append((nodes[j], node))
-    return out
+def count_collisions(pairs: DataFrame, facts: DataFrame, matches: int, threshold: int) -> DataFrame:
+    """(a, b) of the distinct pairs (a, b) of fitting sizes with at least ``matches`` equal coordinates.
+
+    The merged lists were the short ones; the long ones that merging skipped are probed here, coordinate by
+    coordinate, for each pair that a short list names. ``facts``: (node, n, mini).
+    """
+    side = lambda c: facts.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("mini").alias(f"mini_{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").filter(100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
+    return _pair_filter(both.select("a", "b", "mini_a", "mini_b"), ("mini_a", "mini_b"), lambda c: (_minis(c["mini_a"]) == _minis(c["mini_b"])).sum(axis=1) >= matches)
+
+
+def _pairs_of_sets(c: dict, width: int):
+    """The two full sets of each pair of texts."""
+    (va, ba), (vb, bb) = (shingle_sets(unpacked(c[x]), width) for x in ("text_a", "text_b"))
+    for k in range(len(ba) - 1):
+        yield va[ba[k] : ba[k + 1]], vb[bb[k] : bb[k + 1]]
+
+
+def similar(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * common >= threshold * (len(a) + len(b) - common)
+
+
+def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    side = lambda c: texts.select(F.col("node").alias(c), F.col("packed").alias(f"text_{c}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b")
+
 
+def confirm_pairs(pairs: DataFrame, texts: DataFrame, threshold: int, width: int) -> DataFrame:
+    """(a, b) of the pairs (a, b) whose full sets are similar enough."""
+    return _pair_filter(with_texts(pairs, texts), ("text_a", "text_b"), lambda c: np.array([similar(x, y, threshold) for x, y in _pairs_of_sets(c, width)], bool))
 
-def over_blocks(left: DataFrame, right: DataFrame, names: tuple[str, str], work) -> DataFrame:
-    """Rows with columns ``names`` that ``work`` makes of each pair of blocks with the same (key, lb, rb); all of the
-    type of node, but for key."""
-    kind = left.schema["node"].dataType
-    schema = T.StructType([T.StructField(c, T.LongType() if c == "key" else kind) for c in names])
+
+def differences(pairs: DataFrame, texts: DataFrame, width: int, centred: bool) -> DataFrame:
+    """(a, b, centre, own, n, ds) of the pairs (a, b): the shingles in which the set of a differs from its centre.
+
+    ``centred``: the centre is the set of b, and ``centre`` a key of it; else it is the empty set, so that ``ds`` is all
+    of the set of a. ``own`` is a key of the set of a, and ``n`` its size.
+    """
+    kind, long = pairs.schema["a"].dataType, T.LongType()
+    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), *(T.StructField(c, long) for c in ("centre", "own", "n")), T.StructField("ds", T.ArrayType(long))])
     arrow = to_arrow_schema(schema)
-    keys = ("key", "lb", "rb")
+    columns = ("text_a", "text_b") if centred else ("text_a",)
+    rows = with_texts(pairs, texts) if centred else pairs.join(texts.select(F.col("node").alias("a"), F.col("packed").alias("text_a")), "a").select("a", "b", "text_a")
+    key = lambda x: int(np.bitwise_xor.reduce(tb.mix(x), initial=np.uint64(0)).astype(np.int64))
+
+    def run(batches):
+        for batch in batches:
+            for piece in _steps(batch, columns, PART_BYTES):
+                c = {x: piece.column(i) for i, x in enumerate(piece.schema.names)}
+                if centred:
+                    sets = list(_pairs_of_sets(c, width))
+                else:
+                    v, e = shingle_sets(unpacked(c["text_a"]), width)
+                    sets = [(v[e[k] : e[k + 1]], v[:0]) for k in range(len(e) - 1)]
+                found = [np.setxor1d(x, y, assume_unique=True) for x, y in sets]
+                bounds = np.concatenate([[0], np.cumsum([len(d) for d in found])]).astype(np.int32)
+                values = np.concatenate(found) if found else np.zeros(0, np.uint64)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        c["a"].cast(arrow.field(0).type), c["b"].cast(arrow.field(1).type), pa.array([key(y) for _, y in sets], pa.int64()), pa.array([key(x) for x, _ in sets], pa.int64()),
+                        pa.array([len(x) for x, _ in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(bounds), _signed(values)).cast(arrow.field(5).type),
+                    ],
+                    schema=arrow,
+                )
+
+    return rows.mapInArrow(run, schema)
 
-    def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        return pa.Table.from_pylist([dict(zip(names, x)) for x in work(a, b)], schema=arrow)
 
-    right = right.toDF(*right.columns)  # both sides may stem from one table
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, schema)
+def labelled(rows: DataFrame, components: DataFrame, node: str = "node", label: str = "label") -> DataFrame:
+    """``rows`` with the component of ``node`` as ``label``; a node without links is its own."""
+    found = components.select(F.col("node").alias(node), F.col("component").alias("_tm_component"))
+    return rows.join(found, node, "left").withColumn(label, F.coalesce("_tm_component", node)).drop("_tm_component")
 
 
-def in_blocks(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both sides with (lb, rb): each key's pairs of a left and a right row meet in one of its pairs of blocks.
+def still_open(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows (keys, node, label, ...) of the keys that hold several labels."""
+    mixed = rows.groupBy(*keys).agg(F.min("label").alias("_tm_low"), F.max("label").alias("_tm_high")).filter("_tm_low <> _tm_high")
+    return rows.join(mixed.select(*keys), keys, "left_semi")
 
-    A side is dealt to blocks of about ``BLOCK`` rows by hash and repeated for each block of the other side.
+
+def difference_postings(members: DataFrame, hub_labels: DataFrame, threshold: int) -> DataFrame:
+    """(key, d, node, label, s, left, related) from members (hub, centred, centre, node, own, n, related, label, ds).
+
+    Let D be the difference of a set from its centre. Two sets x, y of one centre are similar exactly if
+    2 (100 + t) |D_x & D_y| >= s_x + s_y with s = (100 + t) |D| - (100 - t) n. So a pair needs common elements of D, and
+    by the prefix principle one among each member's rarest ``c - o + 1``, with c the elements that it has in common with
+    any member of another label and o the least overlap that any such member asks for. ``left`` counts the elements of
+    a member from a posting on, which bounds the overlap of two members that meet first there.
     """
-    blocks = lambda side, name: side.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
-    sizes = blocks(left, "lbs").join(blocks(right, "rbs"), "key")
-    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ["key", "node", "label", "lb", "rb"]
-    a = left.join(sizes, "key").withColumn("lb", own("lbs")).withColumn("rb", every("rbs")).select(*columns)
-    b = right.join(sizes, "key").withColumn("rb", own("rbs")).withColumn("lb", every("lbs")).select(*columns)
-    return a, b
+    t = threshold
+    keyed = members.withColumn("key", F.xxhash64("hub", "centred", "centre")).withColumn("s", (100 + t) * F.size("ds").cast("long") - (100 - t) * F.col("n"))
+    keyed = labelled(keyed, hub_labels, "hub", "hub_label").select("key", "centred", "node", "own", "n", "s", "related", "label", "ds", (F.col("label") == F.col("hub_label")).alias("inside"))
+    low = keyed.groupBy("key").agg(F.min("s").alias("low"), F.min(F.when(~F.col("inside"), F.col("s"))).alias("low_out"))
+    elements = keyed.select("key", "centred", "node", "own", "related", "label", F.explode("ds").alias("d"))
+    groups = (
+        elements.groupBy("key", "d").agg(F.count(F.lit(1)).alias("df"), F.min("label").alias("_a"), F.max("label").alias("_b"), F.min("related").alias("_r"), F.max("centred").alias("_c"))
+        .filter("df > 1 AND _a <> _b AND (_c OR NOT _r)").select("key", "d", "df")
+    )
+    common = elements.join(groups, ["key", "d"]).groupBy("key", "node", "own").agg(F.array_sort(F.collect_list(F.struct("df", "d"))).alias("ds"))
+    facts = keyed.drop("ds").join(low, "key").withColumn(
+        # a member of the hub's component looks for members outside it; without a centre sizes give the bound
+        "least", F.when(F.col("centred"), F.when(F.col("inside"), F.col("low_out")).otherwise(F.col("low"))).otherwise(F.ceil(2 * t * t * F.col("n") / 100))
+    )
+    ready = (
+        common.join(facts.filter("least IS NOT NULL"), ["key", "node", "own"]).withColumn("c", F.size("ds"))
+        .withColumn("o", F.greatest(F.lit(1), F.ceil((F.col("s") + F.col("least")) / (2 * (100 + t)))).cast("int")).filter("c >= o")
+    )
+    return ready.select("key", "centred", "node", "label", "s", "related", "c", F.posexplode(F.slice("ds", 1, F.col("c") - F.col("o") + 1)).alias("pos", "e")).select(
+        "key", F.col("e.d").alias("d"), "node", "label", "s", (F.col("c") - F.col("pos")).alias("left"), (F.col("related") & ~F.col("centred")).alias("related")
+    )
+
+
+def meeting(rows: DataFrame, others: DataFrame, threshold: int) -> DataFrame:
+    """The pairs of a posting in ``rows`` and one in ``others`` (columns with ``_2``) of the same key and element that may
+    be similar and have different labels."""
+    enough = 2 * (100 + threshold) * F.least("left", "left_2") >= F.col("s") + F.col("s_2")
+    return rows.join(others, ["key", "d"]).filter((F.col("label") != F.col("label_2")) & enough & ~(F.col("related") & F.col("related_2")))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: int = 80) -> DataFrame:
@@ -300,20 +333,23 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
        id, with a combined minimum.
     2. Classes are posted under each (coordinate, value). Two sets at the threshold agree in ``match_threshold`` of
        the coordinates but for one case in 10**8, so by the prefix principle they share a posting among the
-       coordinates - matches + 1 rarest of both; the others are skipped, as are values that only one class has, and classes
-       with fewer shared values than matches.
-    3. A posting list is never paired with itself. Each list is compared with its hub, the member with most shared
-       values: pairs are distinct, their collisions are counted, and those over the match threshold are confirmed on
-       the full sets. Components of these links contract the lists.
-    4. Lists that, without their hub, still hold several components are finished exactly: what is outside a list's
-       main component meets all members of the list, in blocks of bounded size. Where the lists of one component have nearly the same
-       members, these meet once for all its lists. A first pass counts collisions and keeps
-       only the members that have a partner; a second confirms these on the full sets and gives forests. So every pair
-       that shares a posting and is not joined already is compared, whatever its list's size; no list or candidate
-       is capped, and what leaves a step is linear in what enters it.
-
-    Values and postings are counted and joined on hashed keys, without windows over hot keys. Texts of candidates alone
-    move, past a filter of fixed size. What a step needs twice is written to the shared folder.
+       coordinates - matches + 1 rarest of both. Only these lists are merged; the long ones are skipped, and probed
+       through the signature for the pairs that the short ones name. Values that only one class has are dropped, and
+       so are classes with fewer shared values than matches.
+    3. A posting list is never paired with itself. Its hub, the member with most shared values, meets each member:
+       pairs are distinct, their collisions are counted, and those over the match threshold are confirmed on the
+       full sets. Components of these links contract the lists. Of lists that still hold several components, two
+       further hubs meet the members of other components in the same way.
+    4. What is open then are lists around a hub whose members differ from it in different ways. Each member is
+       written as its difference from the hub (``difference_postings``): what all have in common drops out, and
+       members are posted again under the rarest elements of their differences, for which an exact overlap bound
+       holds. These lists have a hub each too, contract, and only pairs of different components that the
+       bound admits are left to be confirmed. Members unlike the hub are posted under their whole sets.
+
+    So each pair that shares a posting and is not joined already is met or excluded by an exact bound, whatever its
+    list's size; no list or candidate is capped. Values and postings are counted and joined on hashed keys, without
+    windows over hot keys. Texts of candidates alone move, and are read in parts of bounded bytes. What a step needs
+    twice is written to the shared folder.
 
     Defined cases: null text and text without words have no shingles, n_shingles 0, and are linked with nothing;
     shorter texts than ``width`` words have one shingle; repeated rows are equal sets and so one component; rows that
@@ -327,58 +363,63 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = materialise(named.groupBy("k1", "k2", "n").agg(F.min("id").alias("node")), "classes")
 
     large = named.filter(F.col("n") >= least).join(classes.filter(F.col("n") >= least).select("k1", "k2", "n", F.col("node").alias("id")), ["k1", "k2", "n", "id"], "left_semi")
-    tokens = large.select(F.col("id").alias("node"), "n", F.posexplode("sig").alias("pos", "value")).select("node", "n", F.xxhash64("pos", "value").alias("token"))
+    tokens = large.select(F.col("id").alias("node"), F.posexplode("sig").alias("pos", "value")).select("node", F.xxhash64("pos", "value").alias("token"))
     often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     # rare values first: the count above 48 bits of the value's hash, one number to move and to sort by
     ranked = F.shiftleft(F.least(F.col("df"), F.lit(32767)).cast("bigint"), 48).bitwiseOR(F.col("token").bitwiseAND(F.lit((1 << 48) - 1)))
-    shared = tokens.join(often, "token").select("node", "n", ranked.alias("token")).groupBy("node", "n").agg(F.array_sort(F.collect_set("token")).alias("ts"))
+    shared = tokens.join(often, "token").select("node", ranked.alias("token")).groupBy("node").agg(F.array_sort(F.collect_set("token")).alias("ts"))
     posted = shared.withColumn("c", F.size("ts")).filter(F.col("c") >= matches)
-    postings = materialise(posted.select("node", "n", "c", F.explode(F.slice("ts", 1, F.col("c") - matches + 1)).alias("token")).select("token", "node", "n", "c"), "postings")
-
-    hubs = postings.groupBy("token").agg(F.max(F.struct("c", "node", "n")).alias("hub"), F.count(F.lit(1)).alias("m")).filter("m > 1")
-    lists = materialise(postings.join(hubs, "token").select("token", "node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "lists")
-    fits = 100 * F.least("n", "hub_n") >= threshold * F.greatest("n", "hub_n")
-    pairs = lists.filter((F.col("node") != F.col("hub")) & fits).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    minis = lambda c: named.select(F.col("id").alias(c), F.col("mini").alias(f"mini_{c}"))
-    counted = materialise(count_collisions(pairs.join(minis("a"), "a").join(minis("b"), "b"), matches).distinct(), "collisions")
+    postings = materialise(posted.select("node", "c", F.explode(F.slice("ts", 1, F.col("c") - matches + 1)).alias("token")).select("token", "node", "c"), "postings")
+
+    hubs = postings.groupBy("token").agg(F.max(F.struct("c", "node")).alias("hub"), F.count(F.lit(1)).alias("m")).filter("m > 1")
+    lists = materialise(postings.join(hubs, "token").select("token", "node", F.col("hub.node").alias("hub")).filter("node <> hub"), "lists")
+    met = lists.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    facts = named.select(F.col("id").alias("node"), "n", "k1", "mini").join(postings.select("node").distinct(), "node", "left_semi").dropDuplicates(["node", "k1"])
+    facts = materialise(facts.select("node", "n", "mini"), "facts")
     docs = df.select(F.col(id_col).alias("node"), F.col(text_col).cast("string").alias("text"))
-    wanted = materialise(counted.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
+    ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("node"))
+
+    hits = materialise(count_collisions(met, facts, matches, threshold).distinct(), "collisions")
+    wanted = materialise(ends(hits).distinct(), "wanted")
     texts = materialise(texts_of(docs, wanted), "texts")
-    side = lambda c: texts.select(F.col("node").alias(c), F.col("packed").alias(f"text_{c}"))
-    first = materialise(confirm_pairs(counted.join(side("a"), "a").join(side("b"), "b"), threshold, width), "links")
-    found = materialise(connected_components(first), "components")
-
-    rest_of_lists = lists.filter("node <> hub").select("token", "node")  # a hub has met its whole list
-    labelled = rest_of_lists.join(found, "node", "left").select("token", "node", F.coalesce("component", "node").alias("label"))
-    counts = labelled.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k"))
-    main = (
-        counts.groupBy("token").agg(F.max(F.struct("k", "label")).alias("main"), F.count(F.lit(1)).alias("labels"), F.sum("k").alias("n"))
-        .filter("labels > 1").select("token", F.col("main.label").alias("main"), "n", (F.col("n") - F.col("main.k")).alias("n_out"))
+    links = materialise(confirm_pairs(hits, texts, threshold, width), "links")
+    found = materialise(connected_components(links), "components")
+
+    open_lists = materialise(still_open(labelled(lists, found), ["token"]), "open-lists")
+    more = materialise(open_lists.select("node").distinct().join(wanted, "node", "left_anti"), "wanted")
+    texts = texts.unionByName(materialise(texts_of(docs, more), "texts"))
+    second = open_lists.groupBy("token").agg(F.array(F.min(F.struct("node", "label")), F.max(F.struct("node", "label"))).alias("second"))
+    met = (
+        open_lists.join(second, "token").select("node", "label", F.explode("second").alias("b")).filter("label <> b.label")
+        .select(F.least("node", "b.node").alias("a"), F.greatest("node", "b.node").alias("b")).distinct()
     )
-    open_lists = materialise(labelled.join(main, "token"), "open-lists")
-    labels = rest_of_lists.select("node").distinct().join(found, "node", "left").select("node", F.coalesce("component", "node").alias("label"))
-    away = open_lists.filter("label <> main")
-    around = away.groupBy("main").agg(F.countDistinct("node").alias("away")).join(labels.groupBy(F.col("label").alias("main")).agg(F.count(F.lit(1)).alias("in")), "main")
-    # lists of one family have nearly the same members: they are compared once, with the component itself as the key
-    family = open_lists.groupBy("main").agg(F.max("n").alias("n"), F.max("n_out").alias("n_out")).join(around, "main").filter(
-        (F.col("away") <= 2 * F.col("n_out")) & (F.col("in") + F.col("away") <= 4 * F.col("n"))
-    ).select("main")
-    family = materialise(family, "families")
-    keyed = lambda rows, kind, c: rows.select(F.xxhash64(F.lit(kind), c).alias("key"), "node", "label")
-    single = materialise(open_lists.join(family, "main", "left_anti").select("token", "node", "label", "main"), "lists")
-    near = keyed(away.join(family, "main", "left_semi"), 0, "main").distinct()
-    inner = keyed(labels.join(family, F.col("label") == F.col("main"), "left_semi"), 0, "label")
-    outside = materialise(near.unionByName(keyed(single.filter("label <> main"), 1, "token")), "outside")
-    against = materialise(inner.unionByName(near).unionByName(keyed(single, 1, "token")), "against")
-    left, right = in_blocks(outside, against)
-    with_mini = lambda rows: rows.join(named.select(F.col("id").alias("node"), "mini"), "node")
-    partners = materialise(over_blocks(with_mini(left), with_mini(right), ("key", "node"), lambda a, b: block_partners(a, b, matches)).distinct(), "partners")
-    more = materialise(texts_of(docs, materialise(partners.select("node").distinct().join(wanted, "node", "left_anti"), "wanted")), "texts")
-    some = lambda rows: materialise(rows.join(partners, ["key", "node"], "left_semi").select("key", "node", "label"), "partners")
-    left, right = in_blocks(some(outside), some(against))
-    with_text = lambda rows: rows.join(texts.unionByName(more), "node")
-    rest = materialise(over_blocks(with_text(left), with_text(right), ("a", "b"), lambda a, b: block_links(a, b, threshold, width)), "links")
-    final = connected_components(first.unionByName(rest))
+    again = materialise(count_collisions(met, facts, matches, threshold).distinct(), "collisions")
+    links = links.unionByName(materialise(confirm_pairs(again, texts, threshold, width), "links"))
+    found = materialise(connected_components(links), "components")
+
+    rest = open_lists.join(second, "token").filter("node <> second[0].node AND node <> second[1].node")
+    open_lists = still_open(labelled(rest.select("token", "node", "hub"), found), ["token"])
+    related = hits.select(F.col("a").alias("node"), F.col("b").alias("hub"), F.lit(True).alias("related"))
+    family = materialise(open_lists.select("hub", "node", "label").distinct().join(related, ["hub", "node"], "left").withColumn("related", F.coalesce("related", F.lit(False))), "families")
+    unlike = family.filter("NOT related").select("hub").distinct()
+    of = lambda rows: rows.select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    apart = differences(of(still_open(family.filter("related"), ["hub"])), texts, width, True).withColumn("centred", F.lit(True))
+    whole = differences(of(family.join(unlike, "hub", "left_semi")), texts, width, False).withColumn("centred", F.lit(False))
+    members = apart.unionByName(whole).withColumnsRenamed({"a": "node", "b": "hub"}).join(family, ["hub", "node"])
+    fine = materialise(difference_postings(materialise(members, "differences"), found, threshold), "differences")
+
+    hubs = fine.groupBy("key", "d").agg(F.min(F.struct("s", "node", "label", "left", "related")).alias("h")).select("key", "d", *(F.col(f"h.{c}").alias(f"{c}_2") for c in ("s", "node", "label", "left", "related")))
+    pairs = lambda rows: rows.select(F.least("node", "node_2").alias("a"), F.greatest("node", "node_2").alias("b")).distinct()
+    links = links.unionByName(materialise(confirm_pairs(pairs(meeting(fine, hubs, threshold)), texts, threshold, width), "links"))
+    found = materialise(connected_components(links), "components")
+
+    left = materialise(still_open(labelled(fine.drop("label"), found), ["key", "d"]), "differences")
+    centre = labelled(hubs.select("key", "d", F.col("node_2").alias("node")), found, label="main").select("key", "d", "main")
+    outside = left.join(centre, ["key", "d"]).filter("label <> main")
+    others = left.select("key", "d", *(F.col(c).alias(f"{c}_2") for c in ("s", "node", "label", "left", "related")))
+    last = pairs(meeting(outside, others, threshold).filter("label_2 = main OR node < node_2"))
+    links = links.unionByName(materialise(confirm_pairs(last, texts, threshold, width), "links"))
+    final = connected_components(links)
 
     placed = classes.join(final, "node", "left").select("k1", "k2", "n", F.coalesce("component", "node").alias("component"))
     out = base.select("id", "n", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("k1")).alias("k1"), "k2").join(placed, ["k1", "k2", "n"], "left")
