@@ -24,7 +24,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Loops and repeated edges do no harm; null ends are ignored; no edges give no rows.
     """
     current = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u IS NOT NULL AND v IS NOT NULL AND u <> v").distinct(), "edges")
-    mark = None
+    state = lambda: tuple(current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    mark = state()
     while True:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(_least(both), "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -34,10 +35,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
             .unionByName(least.select(F.col("u").alias("a"), "m")).select(F.col("a").alias("u"), F.col("m").alias("v")).distinct()
         )
         current = materialise(small, "edges")
-        now = tuple(current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == mark:
+        before, mark = mark, state()
+        if mark == before:
             break
-        mark = now
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

@@ -326,6 +326,18 @@ def meeting(rows: DataFrame, others: DataFrame, threshold: int) -> DataFrame:
     return rows.join(others, ["key", "d"]).filter((F.col("label") != F.col("label_2")) & enough & ~(F.col("related") & F.col("related_2")))
 
 
+def contracted(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, component) after more ``links`` (materialised), of which only those between components count."""
+    between = labelled(labelled(links, found, "a", "la"), found, "b", "lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).filter("a <> b")
+    between = materialise(between.distinct(), "links")
+    if between.isEmpty():
+        return found
+    joined = materialise(connected_components(between), "components")
+    fresh = joined.join(found.select("node"), "node", "left_anti")
+    moved = found.join(joined.select(F.col("node").alias("component"), F.col("component").alias("_tm_to")), "component", "left")
+    return materialise(moved.select("node", F.coalesce("_tm_to", "component").alias("component")).unionByName(fresh), "components")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: int = 80) -> DataFrame:
     """(id, n_shingles, component_id) per row: connected components of Jaccard similarity over word shingles.
 
@@ -382,8 +394,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     hits = materialise(count_collisions(met, facts, matches, threshold).distinct(), "collisions")
     wanted = materialise(ends(hits).distinct(), "wanted")
     texts = materialise(texts_of(docs, wanted), "texts")
-    links = materialise(confirm_pairs(hits, texts, threshold, width), "links")
-    found = materialise(connected_components(links), "components")
+    found = materialise(connected_components(materialise(confirm_pairs(hits, texts, threshold, width), "links")), "components")
 
     open_lists = materialise(still_open(labelled(lists, found), ["token"]), "open-lists")
     more = materialise(open_lists.select("node").distinct().join(wanted, "node", "left_anti"), "wanted")
@@ -394,8 +405,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .select(F.least("node", "b.node").alias("a"), F.greatest("node", "b.node").alias("b")).distinct()
     )
     again = materialise(count_collisions(met, facts, matches, threshold).distinct(), "collisions")
-    links = links.unionByName(materialise(confirm_pairs(again, texts, threshold, width), "links"))
-    found = materialise(connected_components(links), "components")
+    found = contracted(found, materialise(confirm_pairs(again, texts, threshold, width), "links"))
 
     rest = open_lists.join(second, "token").filter("node <> second[0].node AND node <> second[1].node")
     open_lists = still_open(labelled(rest.select("token", "node", "hub"), found), ["token"])
@@ -410,16 +420,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     hubs = fine.groupBy("key", "d").agg(F.min(F.struct("s", "node", "label", "left", "related")).alias("h")).select("key", "d", *(F.col(f"h.{c}").alias(f"{c}_2") for c in ("s", "node", "label", "left", "related")))
     pairs = lambda rows: rows.select(F.least("node", "node_2").alias("a"), F.greatest("node", "node_2").alias("b")).distinct()
-    links = links.unionByName(materialise(confirm_pairs(pairs(meeting(fine, hubs, threshold)), texts, threshold, width), "links"))
-    found = materialise(connected_components(links), "components")
+    found = contracted(found, materialise(confirm_pairs(pairs(meeting(fine, hubs, threshold)), texts, threshold, width), "links"))
 
     left = materialise(still_open(labelled(fine.drop("label"), found), ["key", "d"]), "differences")
     centre = labelled(hubs.select("key", "d", F.col("node_2").alias("node")), found, label="main").select("key", "d", "main")
     outside = left.join(centre, ["key", "d"]).filter("label <> main")
     others = left.select("key", "d", *(F.col(c).alias(f"{c}_2") for c in ("s", "node", "label", "left", "related")))
     last = pairs(meeting(outside, others, threshold).filter("label_2 = main OR node < node_2"))
-    links = links.unionByName(materialise(confirm_pairs(last, texts, threshold, width), "links"))
-    final = connected_components(links)
+    final = contracted(found, materialise(confirm_pairs(last, texts, threshold, width), "links"))
 
     placed = classes.join(final, "node", "left").select("k1", "k2", "n", F.coalesce("component", "node").alias("component"))
     out = base.select("id", "n", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("k1")).alias("k1"), "k2").join(placed, ["k1", "k2", "n"], "left")
