@@ -287,6 +287,21 @@ def still_open(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(mixed.select(*keys), keys, "left_semi")
 
 
+def companions(family: DataFrame, tokens: DataFrame, matches: int) -> DataFrame:
+    """(hub, node) of the members (hub, node, label, related) that have at least ``matches`` values of their signature,
+    ``tokens`` (node, ts), in common with members of other labels in their family.
+
+    Collisions are counted list by list and not pair by pair; a member that has fewer can be like no other. Two
+    members that are both related to the hub don't count for each other, as their differences from it are compared.
+    """
+    rows = family.join(tokens.select("node", "ts"), "node").select("hub", "node", "label", "related", F.explode("ts").alias("token"))
+    unlike = F.when(~F.col("related"), F.col("label"))
+    lists = rows.groupBy("hub", "token").agg(F.min("label").alias("_a"), F.max("label").alias("_b"), F.min(unlike).alias("_c"), F.max(unlike).alias("_d")).filter("_a <> _b AND _c IS NOT NULL")
+    other = lambda low, high: (F.col(low) != F.col("label")) | (F.col(high) != F.col("label"))
+    met = rows.join(lists, ["hub", "token"]).filter(F.when(F.col("related"), other("_c", "_d")).otherwise(other("_a", "_b")))
+    return met.groupBy("hub", "node").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= matches).select("hub", "node")
+
+
 def difference_postings(members: DataFrame, hub_labels: DataFrame, threshold: int) -> DataFrame:
     """(key, d, node, label, s, left, related) from members (hub, centred, centre, node, own, n, related, label, ds).
 
@@ -350,13 +365,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
        so are classes with fewer shared values than matches.
     3. A posting list is never paired with itself. Its hub, the member with most shared values, meets each member:
        pairs are distinct, their collisions are counted, and those over the match threshold are confirmed on the
-       full sets. Components of these links contract the lists. Of lists that still hold several components, two
-       further hubs meet the members of other components in the same way.
-    4. What is open then are lists around a hub whose members differ from it in different ways. Each member is
-       written as its difference from the hub (``difference_postings``): what all have in common drops out, and
+       full sets. Components of these links contract the lists.
+    4. The lists that then hold several components are taken together by hub. Each member related to the hub is
+       written as its difference from it (``difference_postings``): what all have in common drops out, and
        members are posted again under the rarest elements of their differences, for which an exact overlap bound
        holds. These lists have a hub each too, contract, and only pairs of different components that the
-       bound admits are left to be confirmed. Members unlike the hub are posted under their whole sets.
+       bound admits are left to be confirmed. Members unlike the hub, and what they may be like, are posted under
+       their whole sets if they have enough values in common with other members at all (``companions``).
 
     So each pair that shares a posting and is not joined already is met or excluded by an exact bound, whatever its
     list's size; no list or candidate is capped. Values and postings are counted and joined on hashed keys, without
@@ -380,7 +395,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # rare values first: the count above 48 bits of the value's hash, one number to move and to sort by
     ranked = F.shiftleft(F.least(F.col("df"), F.lit(32767)).cast("bigint"), 48).bitwiseOR(F.col("token").bitwiseAND(F.lit((1 << 48) - 1)))
     shared = tokens.join(often, "token").select("node", ranked.alias("token")).groupBy("node").agg(F.array_sort(F.collect_set("token")).alias("ts"))
-    posted = shared.withColumn("c", F.size("ts")).filter(F.col("c") >= matches)
+    posted = materialise(shared.withColumn("c", F.size("ts")).filter(F.col("c") >= matches), "posted")
     postings = materialise(posted.select("node", "c", F.explode(F.slice("ts", 1, F.col("c") - matches + 1)).alias("token")).select("token", "node", "c"), "postings")
 
     hubs = postings.groupBy("token").agg(F.max(F.struct("c", "node")).alias("hub"), F.count(F.lit(1)).alias("m")).filter("m > 1")
@@ -396,26 +411,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = materialise(texts_of(docs, wanted), "texts")
     found = materialise(connected_components(materialise(confirm_pairs(hits, texts, threshold, width), "links")), "components")
 
-    open_lists = materialise(still_open(labelled(lists, found), ["token"]), "open-lists")
-    more = materialise(open_lists.select("node").distinct().join(wanted, "node", "left_anti"), "wanted")
-    texts = texts.unionByName(materialise(texts_of(docs, more), "texts"))
-    second = open_lists.groupBy("token").agg(F.array(F.min(F.struct("node", "label")), F.max(F.struct("node", "label"))).alias("second"))
-    met = (
-        open_lists.join(second, "token").select("node", "label", F.explode("second").alias("b")).filter("label <> b.label")
-        .select(F.least("node", "b.node").alias("a"), F.greatest("node", "b.node").alias("b")).distinct()
-    )
-    again = materialise(count_collisions(met, facts, matches, threshold).distinct(), "collisions")
-    found = contracted(found, materialise(confirm_pairs(again, texts, threshold, width), "links"))
-
-    rest = open_lists.join(second, "token").filter("node <> second[0].node AND node <> second[1].node")
-    open_lists = still_open(labelled(rest.select("token", "node", "hub"), found), ["token"])
+    open_lists = still_open(labelled(lists, found), ["token"])
     related = hits.select(F.col("a").alias("node"), F.col("b").alias("hub"), F.lit(True).alias("related"))
     family = materialise(open_lists.select("hub", "node", "label").distinct().join(related, ["hub", "node"], "left").withColumn("related", F.coalesce("related", F.lit(False))), "families")
     unlike = family.filter("NOT related").select("hub").distinct()
+    apart = materialise(companions(family.join(unlike, "hub", "left_semi"), posted, matches), "families")
+    more = materialise(apart.select("node").distinct().join(wanted, "node", "left_anti"), "wanted")
+    texts = texts.unionByName(materialise(texts_of(docs, more), "texts"))
     of = lambda rows: rows.select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    apart = differences(of(still_open(family.filter("related"), ["hub"])), texts, width, True).withColumn("centred", F.lit(True))
-    whole = differences(of(family.join(unlike, "hub", "left_semi")), texts, width, False).withColumn("centred", F.lit(False))
-    members = apart.unionByName(whole).withColumnsRenamed({"a": "node", "b": "hub"}).join(family, ["hub", "node"])
+    centred = differences(of(still_open(family.filter("related"), ["hub"])), texts, width, True).withColumn("centred", F.lit(True))
+    whole = differences(of(apart), texts, width, False).withColumn("centred", F.lit(False))
+    members = centred.unionByName(whole).withColumnsRenamed({"a": "node", "b": "hub"}).join(family, ["hub", "node"])
     fine = materialise(difference_postings(materialise(members, "differences"), found, threshold), "differences")
 
     hubs = fine.groupBy("key", "d").agg(F.min(F.struct("s", "node", "label", "left", "related")).alias("h")).select("key", "d", *(F.col(f"h.{c}").alias(f"{c}_2") for c in ("s", "node", "label", "left", "related")))
