@@ -10,18 +10,33 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def _beyond_ascii(fold):
+    """``fold``, which leaves ASCII as it is, on other texts alone: only these travel to Python."""
+
+    def folded(text: Column) -> Column:
+        text = F.col(text) if isinstance(text, str) else text
+        plain = F.octet_length(text) == F.char_length(text)
+        return F.when(plain, text).otherwise(fold(F.when(~plain, text)))
+
+    folded.__name__, folded.__doc__ = fold.__name__, fold.__doc__
+    return folded
+
+
+@_beyond_ascii
 @F.pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Unicode compatibility composition; Spark has no builtin."""
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
+@_beyond_ascii
 @F.pandas_udf(T.StringType())
 def strip_accents(s: pd.Series) -> pd.Series:
     """Compatibility decomposition without combining marks, in all scripts."""
     return s.map(lambda x: None if x is None else x if x.isascii() else "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)))
 
 
+@_beyond_ascii
 @F.pandas_udf(T.StringType())
 def strip_accents_mn(s: pd.Series) -> pd.Series:
     """Canonical decomposition without category Mn; ligatures and the like stay."""

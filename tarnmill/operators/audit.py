@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnmill.operators.metrics import bce
+from tarnmill.operators.ranking import with_position
 
 
 def _n(condition: Column) -> Column:
@@ -51,7 +52,7 @@ def confident_learning(df: DataFrame) -> DataFrame:
     A class's threshold is the mean probability that its labelled rows get for it. The confident joint counts rows by
     label and by the class whose threshold they pass (the likelier one if both). Its off-diagonal share times the
     class's size is the number of errors, taken by the least margin. Two combined aggregates give a few numbers per
-    target; the windows are by target and label.
+    target; positions come from counts of distinct margins.
     """
     rows = df.filter(F.col("y").isin(0.0, 1.0)).select("study", "target", "y", "p")
     y, p = F.col("y"), F.col("p")
@@ -66,10 +67,11 @@ def confident_learning(df: DataFrame) -> DataFrame:
     share = lambda off, on: F.coalesce(F.try_divide(F.col(off), F.col(off) + F.col(on)), F.lit(0.0))
     errors = joint.select("target", F.floor(F.col("n1") * share("c10", "c11") + 0.5).alias("k1"), F.floor(F.col("n0") * share("c01", "c00") + 0.5).alias("k0"))
     margin = F.when(y == 1, p - (1 - p)).otherwise((1 - p) - p)
-    ranked = rows.withColumn("m", F.row_number().over(Window.partitionBy("target", "y").orderBy(margin, "study"))).join(errors, "target")
+    ranked = with_position(rows.withColumn("margin", margin), "m", "margin", "study", ["target", "y"]).join(errors, "target")
     found = ranked.filter(F.col("m") <= F.when(y == 1, F.col("k1")).otherwise(F.col("k0")))
     own = F.when(y == 1, p).otherwise(1 - p)
-    return found.select("target", "study", F.row_number().over(Window.partitionBy("target").orderBy(own, "study")).alias("rank"), F.round(F.abs(y - p), 4).alias("abs_diff"))
+    placed = with_position(found.withColumn("own", own), "rank", "own", "study", ["target"])
+    return placed.select("target", "study", "rank", F.round(F.abs(y - p), 4).alias("abs_diff"))
 
 
 def validate(out: DataFrame, required: DataFrame, key: str, values: list[str]) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnmill.operators.metrics import clip
-from tarnmill.operators.ranking import rank_avg, rank_pct
+from tarnmill.operators.ranking import with_rank
 
 LOW, HIGH = 0.001, 0.999
 
@@ -25,30 +25,31 @@ def blend_mean(df: DataFrame, weights: dict[str, float]) -> DataFrame:
 def blend_rank(df: DataFrame, weights: dict[str, float], rerank: bool = False) -> DataFrame:
     """Weighted mean of percentile ranks within (target, model); ``rerank`` ranks the blend once more."""
     w = weight_map(weights)
-    ranked = df.filter(w.isNotNull()).withColumn("r", rank_pct(F.col("p"), ["target", "model"]))
+    ranked = with_rank(df.filter(w.isNotNull()), "r", "p", ["target", "model"], "pct")
     out = ranked.groupBy("study", "target").agg((F.sum(w * F.col("r")) / F.sum(w)).alias("p"))
     if rerank:
-        out = out.withColumn("p", rank_pct(F.round("p", 9), ["target"]))
+        out = with_rank(out.withColumn("p", F.round("p", 9)), "r", "p", ["target"], "pct").select("study", "target", F.col("r").alias("p"))
     return out.withColumn("p", clip(F.col("p"), LOW, HIGH))
 
 
 def blend_rank_by_fold(df: DataFrame) -> DataFrame:
     """Ranks within each model's fold, averaged over the models; studies that lack a model are left out."""
     n = df.select("model").distinct().count()
-    ranked = df.withColumn("r", rank_pct(F.col("p"), ["target", "model", "fold"]))
+    ranked = with_rank(df, "r", "p", ["target", "model", "fold"], "pct")
     return ranked.groupBy("study", "target").agg(F.avg("r").alias("p"), F.count(F.lit(1)).alias("k")).filter(F.col("k") == n).drop("k")
 
 
 def blend_half_rank(df: DataFrame) -> DataFrame:
     """Sum of average ranks over (models x studies)."""
-    ranked = df.withColumn("r", rank_avg(F.col("p"), ["target", "model"])).groupBy("study", "target").agg(F.sum("r").alias("s"), F.count(F.lit(1)).alias("k"))
-    return ranked.select("study", "target", (F.col("s") / (F.col("k") * F.count(F.lit(1)).over(Window.partitionBy("target")))).alias("p"))
+    ranked = with_rank(df, "r", "p", ["target", "model"]).groupBy("study", "target").agg(F.sum("r").alias("s"), F.count(F.lit(1)).alias("k"))
+    studies = ranked.groupBy(F.col("target").alias("t")).agg(F.count(F.lit(1)).alias("n"))
+    return ranked.join(studies, F.col("target") == F.col("t")).select("study", "target", (F.col("s") / (F.col("k") * F.col("n"))).alias("p"))
 
 
 def blend_rank_of_mean(df: DataFrame) -> DataFrame:
     """Rank of the mean probability over the family's members that are present."""
-    mean = df.groupBy("study", "target").agg(F.avg("p").alias("m"))
-    return mean.select("study", "target", rank_pct(F.round("m", 9), ["target"]).alias("p"))
+    mean = df.groupBy("study", "target").agg(F.round(F.avg("p"), 9).alias("m"))
+    return with_rank(mean, "p", "m", ["target"], "pct").select("study", "target", "p")
 
 
 def blend_masked(df: DataFrame, parent: str, other: str, weight: float, eligible: Column) -> DataFrame:
@@ -57,8 +58,9 @@ def blend_masked(df: DataFrame, parent: str, other: str, weight: float, eligible
         F.max(F.when(F.col("model") == parent, F.col("p"))).alias("a"), F.max(F.when(F.col("model") == other, F.col("p"))).alias("b")
     ).withColumn("ok", eligible)
     part = ["target", "ok"]
-    mixed = (1 - weight) * rank_pct(F.col("a"), part) + weight * rank_pct(F.col("b"), part)
-    return wide.select("study", "target", F.when(F.col("ok"), mixed).otherwise(rank_pct(F.col("a"), ["target"])).alias("p"))
+    ranked = with_rank(with_rank(with_rank(wide, "ra", "a", part, "pct"), "rb", "b", part, "pct"), "all", "a", ["target"], "pct")
+    mixed = (1 - weight) * F.col("ra") + weight * F.col("rb")
+    return ranked.select("study", "target", F.when(F.col("ok"), mixed).otherwise(F.col("all")).alias("p"))
 
 
 def logit(p: Column, eps: float = 1e-5) -> Column:

@@ -32,13 +32,15 @@ def grid(low: float, high: float, n: int) -> Column:
 def fit_temperature(df: DataFrame, by: list[str], low: float = 0.05, high: float = 5.0, n: int = 100) -> DataFrame:
     """(by, temperature): least negative log likelihood over a fixed grid; the first of equals.
 
-    Only y of 0 or 1 counts, and five rows are needed; else the temperature is 1. The grid is exploded per row and
-    combined before the shuffle, so what moves is (groups x grid) sums per task.
+    Only y of 0 or 1 counts, and five rows are needed; else the temperature is 1. Equal predictions are counted before
+    the grid is exploded, and its sums are combined before the shuffle.
     """
-    rows = df.filter(F.col("y").isin(0.0, 1.0)).select(*by, "y", logit(F.col("p")).alias("z"), F.explode(grid(low, high, n)).alias("t"))
+    equal = df.filter(F.col("y").isin(0.0, 1.0)).groupBy(*by, "y", "p").agg(F.count(F.lit(1)).alias("n"))
+    rows = equal.select(*by, "y", "n", logit(F.col("p")).alias("z"), F.explode(grid(low, high, n)).alias("t"))
     q = clip(1 / (1 + F.exp(-F.col("z") / F.col("t"))), 1e-7, 1 - 1e-7)
-    loss = F.round(F.avg(-(F.col("y") * F.log(q) + (1 - F.col("y")) * F.log(1 - q))), 9)
-    fits = rows.groupBy(*by, "t").agg(loss.alias("loss"), F.count(F.lit(1)).alias("rows"))
+    each = -(F.col("y") * F.log(q) + (1 - F.col("y")) * F.log(1 - q))
+    loss = F.round(F.sum(each * F.col("n")) / F.sum(F.when(each.isNotNull(), F.col("n"))), 9)
+    fits = rows.groupBy(*by, "t").agg(loss.alias("loss"), F.sum("n").alias("rows"))
     best = fits.groupBy(*by).agg(F.min(F.struct("loss", "t")).alias("best"), F.max("rows").alias("rows"))
     return best.select(*by, F.when(F.col("rows") >= 5, clip(F.col("best.t"), 0.1, 5.0)).otherwise(F.lit(1.0)).alias("temperature"))
 

@@ -22,8 +22,9 @@ def label_reports(
     """(id, target, label): 1 if a sentence asserts the finding without hedge or negation, else 0 if one denies it,
     else null.
 
-    Sentences are exploded, so each pattern sees a short string; the rules, of fixed number, are an array in the plan
-    and not a joined table. Labels are combined per report before the shuffle. With ``fold_accents`` the sentences,
+    Sentences are exploded, so each pattern sees a short string; the rules, of fixed number, are columns of the plan
+    and not a joined table. Most sentences name no anatomy, so a rule's patterns run only behind its gate, and negations
+    and hedges only behind an assertion. Flags are combined per report before the shuffle, and become rows after it. With ``fold_accents`` the sentences,
     not the rules, lose their accents, so accented rules cannot match, as is the convention of the rule tables.
 
     Null and empty texts give null labels; every report has a row for each target.
@@ -31,16 +32,19 @@ def label_reports(
     rules = rule_table() if rules is None else rules
     normal = tx.normalize_text(F.col(text_col), compose=fold_accents)
     sentence = F.explode_outer(tx.sentences(tx.strip_accents(normal) if fold_accents else normal))
-    rows = df.select(F.col(id_col), sentence.alias("s")).select(
-        id_col, "s", F.col("s").rlike(any_of(hedges)).alias("hedged"), F.col("s").rlike(any_of(negations)).alias("negated")
-    )
-    flags = F.array(*[
-        F.struct(F.lit(r.target).alias("target"), F.col("s").rlike(any_of(r.asserts)).alias("pos"), F.col("s").rlike(any_of(r.denies)).alias("neg")) for r in rules
+    s = F.col("s")
+    gates = [r.gate for r in rules]
+    rows = df.select(F.col(id_col), sentence.alias("s")).withColumn("named", s.rlike(any_of(gates)) if all(gates) else s.isNotNull())
+    flags = []
+    for k, r in enumerate(rules):
+        here = F.col("named") & s.rlike(any_of([r.gate])) if r.gate else F.col("named")
+        asserted = F.when(here & s.rlike(any_of(r.asserts)), ~s.rlike(any_of(hedges)) & ~s.rlike(any_of(negations)))
+        flags += [F.max(F.coalesce(asserted, F.lit(False))).alias(f"pos{k}"), F.max(F.coalesce(here & s.rlike(any_of(r.denies)), F.lit(False))).alias(f"neg{k}")]
+    found = rows.groupBy(id_col).agg(*flags)
+    labels = F.array(*[
+        F.struct(F.lit(r.target).alias("target"), F.when(F.col(f"pos{k}"), 1.0).when(F.col(f"neg{k}"), 0.0).alias("label")) for k, r in enumerate(rules)
     ])
-    marks = rows.select(id_col, "hedged", "negated", F.explode(flags).alias("f"))
-    clear = F.coalesce(F.col("f.pos") & ~F.col("hedged") & ~F.col("negated"), F.lit(False))
-    found = marks.groupBy(id_col, F.col("f.target").alias("target")).agg(F.max(clear).alias("pos"), F.max(F.coalesce("f.neg", F.lit(False))).alias("neg"))
-    return found.select(id_col, "target", F.when(F.col("pos"), 1.0).when(F.col("neg"), 0.0).alias("label"))
+    return found.select(id_col, F.explode(labels).alias("f")).select(id_col, "f.target", "f.label")
 
 
 def polarity(uncertain: Column, negative: Column, normal: Column, severe: Column) -> Column:

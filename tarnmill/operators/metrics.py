@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnmill.operators.ranking import rank_avg
+from tarnmill.operators.ranking import distinct_scores
 
 
 @dataclass(frozen=True)
@@ -40,22 +40,21 @@ DIALECTS = {
 
 
 def auc(df: DataFrame, by: list[str], dialect: AucDialect, y: str = "y", p: str = "p") -> DataFrame:
-    """(by, n_pos, n_neg, auc): area under the ROC curve from average ranks.
+    """(by, n_pos, n_neg, auc): area under the ROC curve from counts of distinct scores.
 
-    The sum of the positives' average ranks gives the area with ties counted half: one window by group and one
-    aggregate. Rows without truth never count.
+    A positive counts the negatives of smaller scores, and half of those of its own. Rows without truth never count.
     """
     rows = df.filter(F.col(y).isNotNull())
     if dialect.drop_half:
         rows = rows.filter(F.col(y) != 0.5)
     rows = rows.filter(F.col(p).isNotNull()) if dialect.drop_null_p else rows.withColumn(p, F.coalesce(p, F.lit(0.5)))
     positive = {">=": F.col(y) >= 0.5, ">": F.col(y) > 0.5, "=": F.col(y) == 1.0}[dialect.positive].cast("int")
-    ranked = rows.select(*by, positive.alias("_pos"), rank_avg(F.col(p), by).alias("_r"))
-    sums = ranked.groupBy(*by).agg(
-        F.sum("_pos").alias("n_pos"), F.sum(1 - F.col("_pos")).alias("n_neg"), F.sum(F.when(F.col("_pos") == 1, F.col("_r"))).alias("_sum")
+    scores = distinct_scores(rows.withColumn("_pos", positive), by, p, {"pos": F.col("_pos"), "neg": 1 - F.col("_pos")})
+    sums = scores.groupBy(*by).agg(
+        F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / F.lit(2.0))).alias("_sum")
     )
     both = (F.col("n_pos") > 0) & (F.col("n_neg") > 0) & (F.col("n_pos") + F.col("n_neg") >= dialect.min_rows)
-    area = (F.col("_sum") - F.col("n_pos") * (F.col("n_pos") + 1) / 2) / (F.col("n_pos") * F.col("n_neg"))
+    area = F.col("_sum") / (F.col("n_pos") * F.col("n_neg"))
     return sums.select(*by, "n_pos", "n_neg", F.when(both, area).otherwise(F.lit(dialect.single_class)).alias("auc"))
 
 

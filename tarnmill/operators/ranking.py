@@ -1,29 +1,75 @@
-"""Rank family, top-k, picks and deduplication as window expressions."""
+"""Rank family from counts of distinct scores: no group is ever sorted in one task."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Ranges of equal width between the least and the largest score of a group.
+RANGES = 1024
 
-def rank_avg(value: Column, partition: list[Column | str]) -> Column:
-    """Rank from 1 where ties share their mean rank. Spark has no such function; ``rank`` plus half the tie size is."""
-    ordered = Window.partitionBy(*partition).orderBy(value)
-    ties = Window.partitionBy(*partition, value)
-    return F.rank().over(ordered) + (F.count(F.lit(1)).over(ties) - 1) / F.lit(2.0)
 
+def same_keys_join(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """``a`` with the other columns of ``b``, joined on equal keys; nulls equal each other."""
+    if not keys:
+        return a.crossJoin(b)  # b has one row
+    there = b.withColumnsRenamed({k: f"_tm_{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_tm_{k}"))
+    return a.join(there, on).drop(*(f"_tm_{k}" for k in keys))
 
-def rank_pct(value: Column, partition: list[Column | str]) -> Column:
-    """Average rank over the number of rows, in (0, 1]; this is not ``percent_rank``."""
-    return rank_avg(value, partition) / F.count(F.lit(1)).over(Window.partitionBy(*partition))
 
+def distinct_scores(df: DataFrame, by: list[str], value: str, sums: dict[str, Column]) -> DataFrame:
+    """(by, value) once each, with every sum over its rows, over the rows of smaller values (``<name>_below``) and over all
+    rows of the group (``<name>_total``). Nulls come first and NaN last.
 
-def rank01(value: Column, partition: list[Column | str]) -> Column:
-    """(average rank - 1) / (n - 1), and 0.5 for a single row."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(*partition))
-    return F.when(n > 1, (rank_avg(value, partition) - 1) / (n - 1)).otherwise(F.lit(0.5))
+    The sums are combined before the shuffle. Prefix sums run in two levels: over the ``RANGES`` ranges of a group, and
+    over the distinct scores of one range; so a group, however large, is spread over many tasks.
+    """
+    counts = df.groupBy(*by, value).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    x = F.col(value).cast("double")
+    finite = F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
+    edges = counts.groupBy(*by).agg(F.min(finite).alias("_low"), F.max(finite).alias("_high")) if by else counts.agg(F.min(finite).alias("_low"), F.max(finite).alias("_high"))
+    width = F.col("_high") - F.col("_low")
+    within = F.when(width > 0, F.least(F.lit(RANGES - 1), F.floor((finite - F.col("_low")) / width * RANGES))).otherwise(F.lit(0))
+    outer = F.when(x.isNull(), -2).when(x == float("-inf"), -1).when(F.isnan(x) | (x == float("inf")), RANGES)
+    placed = same_keys_join(counts, edges, by).withColumn("_range", F.coalesce(outer, within).cast("int")).drop("_low", "_high")
+    ranges = placed.groupBy(*by, "_range").agg(*[F.sum(n).alias(n) for n in sums])
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select(
+        *by, "_range", *(F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"{n}_before") for n in sums), *(F.sum(n).over(Window.partitionBy(*by)).alias(f"{n}_total") for n in sums)
+    )
+    both = same_keys_join(placed, ranges, [*by, "_range"])
+    below = [(F.col(f"{n}_before") + F.coalesce(F.sum(n).over(inside), F.lit(0))).alias(f"{n}_below") for n in sums]
+    return both.select(*by, value, *sums, *below, *(f"{n}_total" for n in sums))
+
+
+def with_rank(df: DataFrame, out: str, value: str, by: list[str], kind: str = "avg") -> DataFrame:
+    """``df`` with the rank of ``value`` in its group as ``out``.
+
+    ``avg``: from 1, ties share their mean rank. ``pct``: that over the number of rows, in (0, 1]; not ``percent_rank``.
+    ``01``: (average rank - 1) / (n - 1), and 0.5 for a single row.
+    """
+    average = F.col("n_below") + (F.col("n") + 1) / F.lit(2.0)
+    rank = {
+        "avg": average,
+        "pct": average / F.col("n_total"),
+        "01": F.when(F.col("n_total") > 1, (average - 1) / (F.col("n_total") - 1)).otherwise(F.lit(0.5)),
+    }[kind]
+    ranks = distinct_scores(df, by, value, {"n": F.lit(1)}).select(*by, value, rank.alias("_tm_rank"))
+    return same_keys_join(df.drop(out) if out not in (value, *by) else df, ranks, [*by, value]).withColumn(out, F.col("_tm_rank")).drop("_tm_rank")
+
+
+def with_position(df: DataFrame, out: str, value: str, key: str, by: list[str]) -> DataFrame:
+    """``df`` with the position from 1 by ``value``, then by the number ``key``, which is unique in a group."""
+    values = distinct_scores(df, by, value, {"n": F.lit(1)}).select(*by, value, F.col("n_below").alias("_tm_smaller"))
+    ties = distinct_scores(df, [*by, value], key, {"n": F.lit(1)}).select(*by, value, key, (F.col("n_below") + 1).alias("_tm_nth"))
+    both = same_keys_join(same_keys_join(df, values, [*by, value]), ties, [*by, value, key])
+    return both.withColumn(out, F.col("_tm_smaller") + F.col("_tm_nth")).drop("_tm_smaller", "_tm_nth")
 
 
 def row_number(partition: list[Column | str], order: list[Column]) -> Column:
-    """Position from 1 in an explicit total order; callers end ``order`` in a unique key."""
+    """Position from 1 in an explicit total order; callers end ``order`` in a unique key. For groups of bounded size."""
     return F.row_number().over(Window.partitionBy(*partition).orderBy(*order))

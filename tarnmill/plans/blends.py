@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarnmill.operators import blend, calibrate, metrics
-from tarnmill.operators.ranking import rank_pct
+from tarnmill.operators.ranking import with_rank
 from tarnmill.plans import fixtures
 from tarnmill.plans.fixtures import PREDS_SQL
 from tarnmill.plans.registry import query
@@ -78,8 +78,9 @@ def blend_rank_three_way(spark, sf_dir):
     ours, own = 0.4, 0.6
     weights = {"m1": round(own * (1 - ours), 9), "m2": ours, "m3": round(1 - ours - own * (1 - ours), 9)}
     w = blend.weight_map(weights)
-    raw = fixtures.predictions(spark, sf_dir).withColumn("r", rank_pct(F.col("p"), ["target", "model"])).groupBy("study", "target").agg(F.round(F.sum(w * F.col("r")), 9).alias("b"))
-    return _rounded(raw.select("study", "target", rank_pct(F.col("b"), ["target"]).alias("p")))
+    ranked = with_rank(fixtures.predictions(spark, sf_dir), "r", "p", ["target", "model"], "pct")
+    raw = ranked.groupBy("study", "target").agg(F.round(F.sum(w * F.col("r")), 9).alias("b"))
+    return _rounded(with_rank(raw, "p", "b", ["target"], "pct"))
 
 
 _MASK = f""", w AS (SELECT study, target, max(p) FILTER (model = 'm1') AS a, max(p) FILTER (model = 'm2') AS b, study % 3 = 0 AS ok FROM preds GROUP BY 1, 2)
@@ -105,13 +106,16 @@ def blend_rank_residual(spark, sf_dir):
     """Only synovitis changes: towards a proxy of its own and effusion's consensus, ranked again at every step."""
     one = lambda m: F.max(F.when(F.col("model") == m, F.col("p"))).alias(m)
     wide = fixtures.predictions(spark, sf_dir).groupBy("study", "target").agg(one("m1"), one("m2"), one("m3"))
-    ranks = wide.select("study", "target", *[rank_pct(F.col(m), ["target"]).alias(m) for m in fixtures.MODELS])
-    consensus = ranks.withColumn("k", F.round(0.55 * F.col("m2") + 0.45 * F.col("m3"), 9)).withColumn("k", rank_pct(F.col("k"), ["target"]))
+    for m in fixtures.MODELS:
+        wide = with_rank(wide, f"r{m}", m, ["target"], "pct")
+    ranks = wide.select("study", "target", *[F.col(f"r{m}").alias(m) for m in fixtures.MODELS])
+    consensus = with_rank(ranks.withColumn("mix", F.round(0.55 * F.col("m2") + 0.45 * F.col("m3"), 9)), "k", "mix", ["target"], "pct")
     of = lambda t: F.max(F.when(F.col("target") == t, F.col("k")))
-    proxy = consensus.groupBy("study").agg(F.round(0.82 * of("synovitis") + 0.18 * of("effusion"), 9).alias("proxy")).withColumn("target", F.lit("synovitis"))
-    proxy = proxy.select("study", "target", rank_pct(F.col("proxy"), ["target"]).alias("proxy"))
+    proxy = consensus.groupBy("study").agg(F.round(0.82 * of("synovitis") + 0.18 * of("effusion"), 9).alias("own")).withColumn("target", F.lit("synovitis"))
+    proxy = with_rank(proxy, "proxy", "own", ["target"], "pct").select("study", "target", "proxy")
     mixed = consensus.join(proxy, ["study", "target"], "left").withColumn("m", F.round(0.7 * F.col("m1") + 0.3 * F.col("proxy"), 9))
-    return _rounded(mixed.select("study", "target", F.when(F.col("proxy").isNotNull(), rank_pct(F.col("m"), ["target"])).otherwise(F.col("m1")).alias("p")))
+    final = with_rank(mixed, "r", "m", ["target"], "pct")
+    return _rounded(final.select("study", "target", F.when(F.col("proxy").isNotNull(), F.col("r")).otherwise(F.col("m1")).alias("p")))
 
 
 _SOFT = f""", w AS (SELECT study, target, max(p) FILTER (model = 'm1') AS a, max(p) FILTER (model = 'm2') AS b FROM preds GROUP BY 1, 2),
@@ -125,7 +129,8 @@ def blend_soft_target(spark, sf_dir):
     one = lambda m: F.max(F.when(F.col("model") == m, F.col("p"))).alias(m)
     wide = fixtures.predictions(spark, sf_dir).groupBy("study", "target").agg(one("m1"), one("m2"))
     w = F.coalesce(blend.weight_map({"acl": 0.4, "effusion": 0.2}, "target"), F.lit(0.0))
-    return _rounded(wide.select("study", "target", ((1 - w) * rank_pct(F.col("m1"), ["target"]) + w * rank_pct(F.col("m2"), ["target"])).alias("p")))
+    ranked = with_rank(with_rank(wide, "r1", "m1", ["target"], "pct"), "r2", "m2", ["target"], "pct")
+    return _rounded(ranked.select("study", "target", ((1 - w) * F.col("r1") + w * F.col("r2")).alias("p")))
 
 
 @query("blend_prob_pair", PREDS_SQL + " SELECT study, target, round(0.65 * max(p) FILTER (model = 'm1') + 0.35 * max(p) FILTER (model = 'm2'), 6) AS p FROM preds GROUP BY 1, 2")
@@ -265,5 +270,6 @@ def opt_sweep_beta(spark, sf_dir):
 def check_protected(spark, sf_dir):
     """How many rows of each target a blend changed; protected targets must show 0."""
     one = lambda m: F.max(F.when(F.col("model") == m, F.col("p"))).alias(m)
-    base = fixtures.predictions(spark, sf_dir).groupBy("study", "target").agg(one("m1")).select("study", "target", F.round(rank_pct(F.col("m1"), ["target"]), 6).alias("before"))
+    wide = fixtures.predictions(spark, sf_dir).groupBy("study", "target").agg(one("m1"))
+    base = with_rank(wide, "r", "m1", ["target"], "pct").select("study", "target", F.round("r", 6).alias("before"))
     return base.join(blend_soft_target(spark, sf_dir), ["study", "target"]).groupBy("target").agg(F.sum((F.col("p") != F.col("before")).cast("long")).alias("n_changed"))

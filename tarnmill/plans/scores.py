@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnmill.operators import ranking
+from tarnmill.operators.metrics import AucDialect, auc
 from tarnmill.plans.registry import query
 from tarnmill.sources.tables import table
 
@@ -45,11 +45,5 @@ FROM auc WHERE n_pos > 0 AND n_neg > 0"""
 @query("auc_embeddings_macro", _CENTROID_SQL)
 def auc_embeddings_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = centroid_scores(table(spark, sf_dir, "embeddings"))
-    ranked = scores.select("target", "y", ranking.rank_avg(F.col("p"), ["target"]).alias("r"))
-    auc = ranked.groupBy("target").agg(
-        F.sum("y").alias("n_pos"), F.sum(1 - F.col("y")).alias("n_neg"), F.sum(F.when(F.col("y") == 1, F.col("r"))).alias("r_pos")
-    )
-    return auc.filter("n_pos > 0 AND n_neg > 0").agg(
-        F.round(F.avg((F.col("r_pos") - F.col("n_pos") * (F.col("n_pos") + 1) / 2) / (F.col("n_pos") * F.col("n_neg"))), 6).alias("macro_auc"),
-        F.count(F.lit(1)).alias("n_targets"),
-    )
+    found = auc(scores, ["target"], AucDialect(positive="=")).filter("n_pos > 0 AND n_neg > 0")
+    return found.agg(F.round(F.avg("auc"), 6).alias("macro_auc"), F.count(F.lit(1)).alias("n_targets"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarnmill.operators import picks
-from tarnmill.operators.ranking import rank01, rank_avg, rank_pct, row_number
+from tarnmill.operators.ranking import row_number, with_position, with_rank
 from tarnmill.plans import fixtures
 from tarnmill.plans.fixtures import PREDS_SQL, SERIES_KEY, SERIES_SQL
 from tarnmill.plans.registry import query
@@ -21,30 +21,32 @@ def _tie(desc: bool = False):
     return [F.desc(c) if desc else F.asc(c) for c in _TIE]
 
 
-def _rank_query(name: str, sql: str, make) -> None:
+def _rank_query(name: str, sql: str, kind: str) -> None:
     @query(name, PREDS_SQL + f" SELECT study, target, model, {sql} AS r FROM preds")
     def run(spark, sf_dir):
-        return fixtures.predictions(spark, sf_dir).select("study", "target", "model", make(F.col("p"), ["target", "model"]).alias("r"))
+        ranked = with_rank(fixtures.predictions(spark, sf_dir), "r", "p", ["target", "model"], kind)
+        return ranked.select("study", "target", "model", F.round("r", 9).alias("r"))
 
 
-_rank_query("rank_avg", _AVG, rank_avg)
-_rank_query("rank_pct", f"round({_AVG} / {_N}, 9)", lambda p, by: F.round(rank_pct(p, by), 9))
-_rank_query("rank01", f"CASE WHEN {_N} > 1 THEN round(({_AVG} - 1) / ({_N} - 1), 9) ELSE 0.5 END", lambda p, by: F.round(rank01(p, by), 9))
+_rank_query("rank_avg", _AVG, "avg")
+_rank_query("rank_pct", f"round({_AVG} / {_N}, 9)", "pct")
+_rank_query("rank01", f"CASE WHEN {_N} > 1 THEN round(({_AVG} - 1) / ({_N} - 1), 9) ELSE 0.5 END", "01")
 
 
 @query("rank_ordinal01", PREDS_SQL + f" SELECT study, target, model, round((row_number() OVER (PARTITION BY target, model ORDER BY p, study) - 1) / ({_N} - 1)::DOUBLE, 9) AS r FROM preds")
 def rank_ordinal01(spark, sf_dir):
-    n = F.count(F.lit(1)).over(picks.window(["target", "model"]))
-    r = (row_number(["target", "model"], [F.col("p"), F.col("study")]) - 1) / (n - 1)
-    return fixtures.predictions(spark, sf_dir).select("study", "target", "model", F.round(r, 9).alias("r"))
+    preds = fixtures.predictions(spark, sf_dir)
+    sizes = preds.groupBy("target", "model").agg(F.count(F.lit(1)).alias("n"))
+    placed = with_position(preds, "k", "p", "study", ["target", "model"]).join(sizes, ["target", "model"])
+    return placed.select("study", "target", "model", F.round((F.col("k") - 1) / (F.col("n") - 1), 9).alias("r"))
 
 
 @query("rank_within_target", PREDS_SQL + " SELECT target, study, row_number() OVER (PARTITION BY target ORDER BY CASE WHEN y = 1 THEN p ELSE 1 - p END, study) AS rank FROM preds WHERE model = 'm1' AND y IN (0, 1)")
 def rank_within_target(spark, sf_dir):
     """From the least self-confidence on: the probability given to the label."""
     own = F.when(F.col("y") == 1, F.col("p")).otherwise(1 - F.col("p"))
-    rows = fixtures.one_model(spark, sf_dir).filter(F.col("y").isin(0.0, 1.0))
-    return rows.select("target", "study", row_number(["target"], [own, F.col("study")]).alias("rank"))
+    rows = fixtures.one_model(spark, sf_dir).filter(F.col("y").isin(0.0, 1.0)).withColumn("own", own)
+    return with_position(rows, "rank", "own", "study", ["target"]).select("target", "study", "rank")
 
 
 @query("topn_sort", PREDS_SQL + " SELECT study, target, round(abs(y - p), 4) AS d FROM preds WHERE model = 'm1' AND y IS NOT NULL ORDER BY abs(y - p) DESC, study, target LIMIT 25")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import random
 
 import numpy as np
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tarnmill.functions import text as tx
 from tarnmill.operators import calibrate, geometry, labeling, metrics, sequential
-from tarnmill.operators.ranking import rank_avg
+from tarnmill.operators.ranking import with_position, with_rank
 from tarnmill.plans.fixtures import TARGETS
 
 
@@ -60,7 +61,22 @@ def test_auc_dialects_of_one_class(spark):
 
 def test_rank_avg(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (2.0,), (3.0,)], "v double").withColumn("g", F.lit(1))
-    assert sorted(r[0] for r in df.select(rank_avg(F.col("v"), ["g"])).collect()) == [1.0, 2.5, 2.5, 4.0]
+    assert sorted(r["r"] for r in with_rank(df, "r", "v", ["g"]).collect()) == [1.0, 2.5, 2.5, 4.0]
+
+
+def test_ranks_match_sorting(spark):
+    """Nulls first, NaN last, infinities, ties and groups of one, against a plain sort."""
+    rng = random.Random(3)
+    pool = [None, float("nan"), float("inf"), float("-inf"), 0.0, -0.0, 1e300, -5.0, 0.25, *(rng.random() for _ in range(30))]
+    rows = [(k, None if k % 5 == 4 else k % 5, rng.choice(pool)) for k in range(400)] + [(999, 77, 2.0)]
+    order = lambda v: (0, 0) if v is None else (3, 0) if v != v else (1, v)
+    df = spark.createDataFrame(rows, "id bigint, g int, v double")
+    got = {r["id"]: (r["avg"], r["pct"], r["one"], r["pos"]) for r in with_position(with_rank(with_rank(with_rank(df, "avg", "v", ["g"]), "pct", "v", ["g"], "pct"), "one", "v", ["g"], "01"), "pos", "v", "id", ["g"]).collect()}
+    for k, g, v in rows:
+        group = [(order(x), i) for i, h, x in rows if h == g]
+        below, same, n = sum(o < order(v) for o, _ in group), sum(o == order(v) for o, _ in group), len(group)
+        rank = below + (same + 1) / 2
+        assert got[k] == (rank, pytest.approx(rank / n), pytest.approx((rank - 1) / (n - 1) if n > 1 else 0.5), 1 + sum(x < (order(v), k) for x in group))
 
 
 def test_rules_compound(spark):
