@@ -16,8 +16,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tarnmill.llm import textbytes as tb
 from tarnmill.llm.common import materialise
 
-#: Bytes of benchmark text whose windows are sent to the executors at once.
+#: Bytes of benchmark text whose words are sent to the executors at once.
 BLOCK_BYTES = 32 << 20
+#: Empty places between the documents of a segment; the width of a window and the slack stay below it.
+GAP = 256
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
@@ -28,17 +30,15 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
     return tb.run_hashes(data, start, end), text, len(offsets) - 1
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: np.ndarray | None = None) -> DataFrame:
-    """The positional inverted index of ``docs``, one row for each segment of documents.
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The positional inverted index of all words of ``docs``, one row for each segment of documents.
 
     A segment holds some MB of whole texts: ``ids`` and ``n_words`` of its documents, its sorted ``terms`` (word
-    hashes), ``starts`` of each term's posting list, and the concatenated ``postings``. A posting is the ordinal of
-    a word among the segment's words, which with ``n_words`` gives document and position. Segments are independent,
-    so building and searching need no shuffle, and a hot term is spread over all segments.
-
-    ``vocabulary``: sorted hashes of the terms to keep; None keeps all.
+    hashes), ``starts`` of each term's posting list, and the concatenated ``postings``. A posting is the place of a
+    word in the segment: documents follow one another with ``GAP`` empty places between, so no phrase reaches from one
+    into the next. Segments are independent, so building and searching need no shuffle, and a hot term is spread over
+    all segments.
     """
-    kept = docs.sparkSession.sparkContext.broadcast(vocabulary)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     id_type = rows.schema["id"].dataType
     schema = T.StructType(
@@ -48,21 +48,17 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     arrow = to_arrow_schema(schema)
 
     def build(batches):
-        number, vocab, pack = 0, kept.value, zstandard.ZstdCompressor(level=1)
+        number, pack = 0, zstandard.ZstdCompressor(level=1)
         part = TaskContext.get().partitionId()
         for batch in batches:
             for piece in tb.slices(batch, "text"):
                 hashes, text, n = word_hashes(piece.column(1))
                 n_words = np.bincount(text, minlength=n).astype(np.int32)
-                ordinal = np.arange(len(hashes), dtype=np.int32)
-                if vocab is not None:
-                    at = np.searchsorted(vocab, hashes)
-                    known = (vocab[np.minimum(at, len(vocab) - 1)] == hashes) if len(vocab) else np.zeros(len(hashes), bool)
-                    hashes, ordinal = hashes[known], ordinal[known]
-                terms, which, counts = np.unique(hashes, return_inverse=True, return_counts=True)
-                postings = ordinal[np.argsort(which, kind="stable")]
-                starts = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                deltas = np.diff(postings, prepend=np.int32(0)).astype(np.int32)
+                place = (np.arange(len(hashes)) + GAP * text).astype(np.int32)
+                order = np.argsort(hashes, kind="stable")
+                terms, first = np.unique(hashes[order], return_index=True)
+                starts = np.append(first, len(hashes)).astype(np.int32)
+                deltas = np.diff(place[order], prepend=np.int32(0)).astype(np.int32)
                 out = [
                     pa.array([f"{part}-{number}"]), pa.array([piece.column(0).to_pylist()], arrow.field("ids").type), pa.array([n_words.tolist()], arrow.field("n_words").type),
                     *(pa.array([pack.compress(x.tobytes())], pa.binary()) for x in (terms, starts, deltas)),
@@ -74,61 +70,77 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 class Windows:
-    """The windows of benchmark items: hashes of their words in order, and the item of each."""
+    """The words of benchmark items, each once, and the windows over them: where each begins, its length and item."""
 
     def __init__(self, item_ids: list[str], texts: pa.Array, width: int) -> None:
-        hashes, text, n = word_hashes(texts)
-        first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=n))])
-        self.groups: list[tuple[int, np.ndarray, np.ndarray]] = []  # (length, hashes per window, item per window)
-        found: dict[int, list] = {}
-        for i in range(n):
-            own = hashes[first[i] : first[i + 1]]
-            if size := min(width, len(own)):
-                found.setdefault(size, []).append((np.lib.stride_tricks.sliding_window_view(own, size), i))
-        for size, parts in sorted(found.items()):
-            self.groups.append((size, np.concatenate([w for w, _ in parts]), np.concatenate([np.full(len(w), i) for w, i in parts])))
+        self.hashes, text, n = word_hashes(texts)
         self.items = item_ids
-        self.vocabulary = np.unique(hashes)
-
-
-def match(terms: np.ndarray, starts: np.ndarray, postings: np.ndarray, grams: np.ndarray, slack: int, most: int = 1 << 20):
-    """Yields (window, start ordinal, exact) arrays: each place where every word of a window is found within ``slack``
-    of its offset from the start.
-
-    The list of the window's rarest term gives the starts; the lists of its other terms, from the rarest on, are
+        count = np.bincount(text, minlength=n)
+        first = np.cumsum(count) - count
+        size = np.minimum(count, width)
+        windows = np.where(count > 0, count - size + 1, 0)
+        self.item = np.repeat(np.arange(n), windows)
+        self.start = np.arange(len(self.item)) - np.repeat(np.cumsum(windows) - windows, windows) + first[self.item]
+        self.size = size[self.item]
+
+    def parts(self, most: int = 1 << 15):
+        """Parts of at most ``most`` windows of one length: (length, places of their words in ``hashes``, items)."""
+        for size in np.unique(self.size).tolist():
+            own = np.flatnonzero(self.size == size)
+            for at in range(0, len(own), most):
+                w = own[at : at + most]
+                yield size, self.start[w][:, None] + np.arange(size), self.item[w]
+
+
+def match(starts: np.ndarray, postings: np.ndarray, ranks: np.ndarray, slack: int, most: int = 1 << 20):
+    """Yields (window, start, exact) arrays: each place in which a window begins, once.
+
+    A window begins where its first word stands, if each of its words stands within ``slack`` places of its own;
+    it is exact if all stand there. ``ranks``: (windows, words) positions of the words' terms among the lists, -1 for
+    words that no list has. Term k has the places postings[starts[k]:starts[k + 1]].
+
+    The list of a window's rarest term gives the starts; the lists of its other terms, from the rarest on, are
     intersected with it after adjusting for their offsets. All windows are intersected together: a posting's key is
-    its term's rank above its ordinal, so one sorted array holds all the lists.
+    its term's rank above its place, so one sorted array holds all the lists.
     """
-    n, size = grams.shape
-    if not len(terms) or not n:
+    size = ranks.shape[1]
+    window = np.flatnonzero((ranks >= 0).all(axis=1))
+    if not len(window):
         return
-    rank = np.minimum(np.searchsorted(terms, grams), len(terms) - 1)
-    present = (terms[rank] == grams).all(axis=1)
-    window = np.flatnonzero(present)
-    rank = rank[window].astype(np.int64)
+    rank = ranks[window].astype(np.int64)
     counts = np.diff(starts)[rank]
     order = np.argsort(counts, axis=1, kind="stable")
-    keys = (np.repeat(np.arange(len(terms), dtype=np.int64), np.diff(starts)) << 32) + postings
+    keys = (np.repeat(np.arange(len(starts) - 1, dtype=np.int64), np.diff(starts)) << 32) + postings
     anchors = np.take_along_axis(counts, order[:, :1], 1)[:, 0].astype(np.int64)
-    done, upto = 0, np.cumsum(anchors)
+    shifts = np.arange(-slack, slack + 1)
+    done, upto = 0, np.cumsum(anchors) * len(shifts)
+
+    def stands(wanted, within):
+        at = np.searchsorted(keys, wanted - within)
+        return (at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] <= wanted + within)
+
     while done < len(window):
         stop = max(done + 1, int(np.searchsorted(upto, (upto[done - 1] if done else 0) + most, "right")))
         rows = np.arange(done, stop)
         who = np.repeat(rows, anchors[rows])
-        within = np.arange(len(who)) - np.repeat(np.cumsum(anchors[rows]) - anchors[rows], anchors[rows])
+        nth = np.arange(len(who)) - np.repeat(np.cumsum(anchors[rows]) - anchors[rows], anchors[rows])
         place = order[who, 0]
-        start = postings[starts[rank[who, place]] + within].astype(np.int64) - place
+        start = postings[starts[rank[who, place]] + nth].astype(np.int64) - place
+        who, start = np.repeat(who, len(shifts)), (start[:, None] + shifts).reshape(-1)
+        begins = (start >= 0) & stands((rank[who, 0] << 32) + start, 0)
+        if slack:
+            who, start = np.unique(np.stack([who[begins], start[begins]]), axis=1)
+        else:
+            who, start = who[begins], start[begins]
         exact = np.ones(len(who), bool)
-        for j in range(1, size):
+        for j in range(size):
             if not len(who):
                 break
             place = order[who, j]
             wanted = (rank[who, place] << 32) + start + place
-            at = np.searchsorted(keys, wanted - slack)
-            near = (at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] <= wanted + slack)
+            near = stands(wanted, slack)
             if slack:
-                hit = np.searchsorted(keys, wanted)
-                exact &= (hit < len(keys)) & (keys[np.minimum(hit, len(keys) - 1)] == wanted)
+                exact &= stands(wanted, 0)
             who, start, exact = who[near], start[near], exact[near]
         yield window[who], start, exact
         done = stop
@@ -151,42 +163,41 @@ def search_index(index: DataFrame, windows: Windows, slack: int) -> DataFrame:
 
     def search(batches):
         w, unpack = sent.value, zstandard.ZstdDecompressor()
+        words, which = np.unique(w.hashes, return_inverse=True)
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {c: batch.column(i)[k] for i, c in enumerate(batch.schema.names)}
                 load = lambda c, kind: np.frombuffer(unpack.decompress(row[c].as_py()), kind)  # noqa: B023, E731
-                terms, starts, postings = load("terms", np.uint64), load("starts", np.int32), np.cumsum(load("postings", np.int32), dtype=np.int64)
                 n_words = np.asarray(row["n_words"].as_py(), np.int64)
-                first = np.concatenate([[0], np.cumsum(n_words)])
-                change = np.zeros(first[-1] + 1, np.int64)
-                exact_of: dict[int, set] = {}
-                near_of: dict[int, set] = {}
-                for size, grams, items in w.groups:
-                    for window, start, exact in match(terms, starts, postings, grams, slack):
-                        ok = (start >= 0) & (start + size <= first[-1])
-                        window, start, exact = window[ok], start[ok], exact[ok]
+                n = len(n_words)
+                first = np.concatenate([[0], np.cumsum(n_words + GAP)])
+                starts, postings = own_lists(load("terms", np.uint64), load("starts", np.int32), np.cumsum(load("postings", np.int32), dtype=np.int64), words)
+                change = np.zeros(first[-1] + 1, np.int32)
+                found: list[list[np.ndarray]] = [[], []]
+                rank = np.where(np.diff(starts) > 0, np.arange(len(words)), -1)[which.reshape(-1)]
+                for size, places, items in w.parts():
+                    for window, start, exact in match(starts, postings, rank[places], slack):
                         doc = np.searchsorted(first, start, "right") - 1
-                        ok = start + size <= first[doc + 1]
-                        window, start, exact, doc = window[ok], start[ok], exact[ok], doc[ok]
                         np.add.at(change, start[exact], 1)
                         np.add.at(change, start[exact] + size, -1)
-                        for d, i in np.unique(np.stack([doc[exact], items[window[exact]]], 1), axis=0).tolist():
-                            exact_of.setdefault(d, set()).add(i)
-                        for d, i in np.unique(np.stack([doc[~exact], items[window[~exact]]], 1), axis=0).tolist():
-                            near_of.setdefault(d, set()).add(i)
+                        for out, some in zip(found, (exact, ~exact)):
+                            out.append(np.unique(np.stack([doc[some], items[window[some]]], 1), axis=0))
+                exact_of, near_of = ({}, {})
+                for out, of in zip(found, (exact_of, near_of)):
+                    for d, i in np.concatenate(out).tolist() if out else ():
+                        of.setdefault(d, set()).add(i)
                 covered = np.flatnonzero(np.cumsum(change[:-1]) > 0)
-                hits: list = [[] for _ in n_words]
+                hits: list = [[] for _ in range(n)]
                 if len(covered):
                     doc = np.searchsorted(first, covered, "right") - 1
                     for d in np.unique(doc).tolist():
                         hits[d] = (covered[doc == d] - first[d]).tolist()
                 names = lambda s: sorted({w.items[i] for i in s})
-                n = len(n_words)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([row["segment"].as_py()] * n, arrow.field(0).type), pa.array(np.arange(n, dtype=np.int32)), pa.array(row["ids"].as_py(), arrow.field(2).type), pa.array(n_words),
                         pa.array(hits, arrow.field(4).type), pa.array([names(exact_of.get(d, ())) for d in range(n)], arrow.field(5).type),
-                        pa.array([names(near_of.get(d, set()) - exact_of.get(d, set())) for d in range(n)], arrow.field(6).type),
+                        pa.array([sorted({*names(near_of.get(d, ()))} - {*names(exact_of.get(d, ()))}) for d in range(n)], arrow.field(6).type),
                     ],
                     schema=arrow,
                 )
@@ -194,43 +205,51 @@ def search_index(index: DataFrame, windows: Windows, slack: int) -> DataFrame:
     return index.mapInArrow(search, schema)
 
 
+def own_lists(terms: np.ndarray, starts: np.ndarray, postings: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, postings) of the lists of the sorted ``words`` alone; words that are no term have an empty list."""
+    at = np.minimum(np.searchsorted(terms, words), max(0, len(terms) - 1))
+    known = terms[at] == words if len(terms) else np.zeros(len(words), bool)
+    count = np.where(known, np.diff(starts)[at], 0) if len(terms) else np.zeros(len(words), np.int64)
+    begin = np.concatenate([[0], np.cumsum(count)])
+    return begin, postings[np.arange(begin[-1]) + np.repeat((starts[at] if len(terms) else 0) - begin[:-1], count)]
+
+
 def contamination(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    width: int = 10, slack: int = 2, block_bytes: int = BLOCK_BYTES, min_item_words: int = 1,
+    width: int = 10, slack: int = 2, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """Where windows of ``width`` words of the benchmark occur in the documents.
 
     Returns per document: id (as ``id_col``), ``n_words``, ``hits`` (positions of the words inside exact matches),
-    ``items`` (ids as sorted strings) and ``near`` (items found only within ``slack`` words of each place). Items of
-    fewer words than ``width`` are one window; items of fewer than ``min_item_words`` are left out.
+    ``items`` (ids as sorted strings) and ``near`` (items that occur only with words off their places: the window's
+    first word stands where it begins, and each other within ``slack`` words of its own place). Items of fewer words
+    than ``width`` are one window.
 
-    The benchmark is the stated query set. It goes to the executors in blocks of about ``block_bytes`` bytes; one
-    block is the usual case, and then the index holds only the terms of the benchmark. With more, the index holds
-    all terms, is stored once, and is searched block by block, and each document's results are merged.
+    All words of the documents are indexed and the index is stored. The benchmark is the stated query set. It goes to
+    the executors in blocks of about ``block_bytes`` bytes, its words once and not once a window; the index is searched
+    block by block, and where there are several each document's results are merged.
 
     Defined cases: null and empty texts have no words and match nothing; rows that share an id are separate
     documents; items that share an id are one item; a null item id is written "null"; an empty benchmark matches
     nothing; other columns are dropped; an empty table gives an empty table.
     """
+    if width + slack >= GAP:
+        raise ValueError(f"width and slack together stay below {GAP}")
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
     size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     blocks = max(1, math.ceil(size / block_bytes))
-    index, found = None, []
+    index = materialise(build_index(docs, id_col, text_col), "phrase-index")
+    found = []
     for b in range(blocks):
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
-        rows = part.toPandas()
-        own = Windows(rows["item"].tolist(), pa.array(rows["text"], pa.string()), width)
-        if min_item_words > 1:
-            own.groups = [g for g in own.groups if g[0] >= min(width, min_item_words)]
-        if index is None:
-            index = materialise(build_index(docs, id_col, text_col, own.vocabulary if blocks == 1 else None), "phrase-index")
-        found.append(search_index(index, own, slack))
+        rows = part.toArrow()
+        found.append(search_index(index, Windows(rows["item"].to_pylist(), rows["text"].combine_chunks(), width), slack))
     out = found[0]
     if blocks > 1:
         for more in found[1:]:
             out = out.unionByName(more)
         merge = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
-        out = out.groupBy("segment", "row", "id", "n_words").agg(merge("hits"), F.array_sort(merge("items")).alias("items"), merge("near"))
+        out = out.groupBy("segment", "row", "id", "n_words").agg(merge("hits"), F.array_sort(merge("items")).alias("items"), F.array_sort(merge("near")).alias("near"))
         out = out.withColumn("near", F.array_except("near", "items"))
     return out.select(F.col("id").alias(id_col), "n_words", "hits", "items", "near")
 
@@ -242,6 +261,7 @@ def op9_phrase_index(spark, sf_dir: str) -> DataFrame:
     return out.select(
         "doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"),
+        F.size("near").cast("long").alias("n_near"), F.sha2(F.array_join("near", ","), 256).alias("near_sha256"),
     )
 
 
@@ -255,7 +275,14 @@ dw AS (SELECT rid, k, i, array_to_string(ws[i:i + k - 1], ' ') AS w
   FROM (SELECT rid, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM d CROSS JOIN (SELECT DISTINCT k FROM g) WHERE len(ws) >= k)),
 hit AS (SELECT rid, item_id, i, dw.k AS k FROM dw JOIN g ON dw.w = g.w AND dw.k = g.k),
 n AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + k)) AS p FROM hit) GROUP BY rid),
-its AS (SELECT rid, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT rid, item_id::VARCHAR AS s FROM hit) GROUP BY rid)
+its AS (SELECT rid, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT rid, item_id::VARCHAR AS s FROM hit) GROUP BY rid),
+gw AS (SELECT item_id, k, string_split(w, ' ') AS q FROM g),
+pl AS (SELECT rid, ws, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS s FROM d),
+second AS (SELECT rid, item_id, k, q, s, list_slice(ws, greatest(1, s - 2), s + k + 1) AS u, s - greatest(1, s - 2) AS before FROM pl JOIN gw ON x = q[1]
+  WHERE k = 1 OR list_contains(list_slice(ws, greatest(1, s - 1), s + 3), q[2])),
+close AS (SELECT DISTINCT rid, item_id::VARCHAR AS s FROM second WHERE len(list_filter(range(1, k + 1), lambda j: NOT list_contains(list_slice(u, greatest(1, before + j - 2), before + j + 2), q[j]))) = 0),
+nr AS (SELECT rid, count(*) AS n_near, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT * FROM close EXCEPT SELECT DISTINCT rid, item_id::VARCHAR FROM hit) GROUP BY rid)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN n USING (rid) LEFT JOIN its USING (rid)"""
+  sha256(coalesce(its.ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+  coalesce(n_near, 0)::BIGINT AS n_near, sha256(coalesce(nr.ids, '')) AS near_sha256
+FROM d LEFT JOIN n USING (rid) LEFT JOIN its USING (rid) LEFT JOIN nr USING (rid)"""
