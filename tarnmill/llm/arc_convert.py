@@ -27,9 +27,11 @@ ARC_FIELDS = {
     2: ("url", "ip", "date", "content_type", "status", "checksum", "location", "offset", "filename", "length"),
 }
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+# A content type may hold blanks after its first part; dates have 14 digits, or fewer pairs, or 17.
+_DATE, _TYPE = rb"\d{4}(?:\d\d){0,5}(?:\d{3})?", rb"[^ /]+/[^ ]+(?: [^ ]+)*|[^ ]+"
 _HEADER = {
-    1: re.compile(rb"^\S+ \S+ \d{14} \S+ \d+$"),
-    2: re.compile(rb"^\S+ \S+ \d{14} \S+ \S+ \S+ \S+ \d+ \S+ \d+$"),
+    1: re.compile(rb"^(\S+) (\S+) (" + _DATE + rb") (" + _TYPE + rb") (\d+)$"),
+    2: re.compile(rb"^(\S+) (\S+) (" + _DATE + rb") (" + _TYPE + rb") (\S+) (\S+) (\S+) (\d+) (\S+) (\d+)$"),
 }
 #: An archive is closed once it holds so many bytes of content, or so many records.
 ROLL_BYTES, ROLL_RECORDS = 8 << 20, 20_000
@@ -87,35 +89,75 @@ def arc_record(version: int, url: str, ip: str, date: str, content_type: str, st
     return f"{line} {len(content)}\n".encode() + content + b"\n"
 
 
+class _Lines:
+    """A stream that takes back bytes already read."""
+
+    def __init__(self, stream) -> None:
+        self.stream, self.back, self.offset = stream, b"", 0
+
+    def readline(self) -> bytes:
+        if self.back:
+            at = self.back.find(b"\n") + 1
+            line, self.back = (self.back[:at], self.back[at:]) if at else (self.back + self.stream.readline(), b"")
+        else:
+            line = self.stream.readline()
+        self.offset += len(line)
+        return line
+
+    def read(self, n: int) -> bytes:
+        out, self.back = self.back[:n], self.back[n:]
+        if len(out) < n:
+            out += self.stream.read(n - len(out))
+        self.offset += len(out)
+        return out
+
+    def unread(self, data: bytes) -> None:
+        self.back = data + self.back
+        self.offset -= len(data)
+
+
 def read_arc(stream) -> Iterator[tuple[int, ArcRecord]]:
     """(version, record) of an uncompressed ARC stream; the first record is the version block.
 
     The version block is a version-1 or version-2 line by its number of fields; its content begins with the
     version, which tells how the lines of all other records are read. A record whose declared length passes the
-    end of the archive, or bytes that are no header line, give a record with ``problem``, and reading goes on at
-    the next header line.
+    end of the archive or does not end at a line's end, and bytes that are no header line, give a record with
+    ``problem``. After a wrong length reading goes on at the first header line behind the record's own, so that no
+    later record is lost; what lies between is the record's content.
     """
-    version, offset, first = 1, 0, True
+    version, first, lines = 1, True, _Lines(stream)
     while True:
-        line = stream.readline()
+        at, line = lines.offset, lines.readline()
         if not line:
             return
-        at, offset = offset, offset + len(line)
         bare = line.rstrip(b"\r\n")
         if not bare:
             continue
-        use = next((v for v in (2, 1) if _HEADER[v].match(bare)), None) if first else version if _HEADER[version].match(bare) else None
-        if use is None:
+        found = next((v for v in (2, 1) if _HEADER[v].match(bare)), None) if first else version if _HEADER[version].match(bare) else None
+        if found is None:
             yield version, ArcRecord(at, {}, bare, "not a header line")
             continue
-        fields = dict(zip(ARC_FIELDS[use], bare.decode("utf-8", "replace").split(" ")))
-        content = stream.read(int(fields["length"]))
-        offset += len(content)
-        problem = None if len(content) == int(fields["length"]) else "shorter than its declared length"
-        if first and fields["url"].startswith("filedesc:"):
-            number = content[:1]
-            version = int(number) if number in (b"1", b"2") else use
-        first = False
+        fields = dict(zip(ARC_FIELDS[found], (x.decode("utf-8", "replace") for x in _HEADER[found].match(bare).groups())))
+        length = int(fields["length"])
+        content, problem = lines.read(length), None
+        if first:
+            declared = content[:1] if fields["url"].startswith("filedesc:") else b""
+            version, first = int(declared) if declared in (b"1", b"2") else found, False
+        if len(content) < length:
+            problem = "shorter than its declared length"
+        else:
+            after = lines.read(1)
+            lines.unread(after)
+            if after not in (b"", b"\n", b"\r") and not content.endswith(b"\n"):
+                problem = "its declared length ends inside a line"
+        if problem:
+            lines.unread(content)
+            content = b""
+            while line := lines.readline():
+                if _HEADER[version].match(line.rstrip(b"\r\n")):
+                    lines.unread(line)
+                    break
+                content += line
         yield version, ArcRecord(at, fields, content, problem)
 
 
@@ -123,7 +165,8 @@ def read_arc(stream) -> Iterator[tuple[int, ArcRecord]]:
 
 
 def warc_date(date: str) -> str:
-    d = date.ljust(14, "0")
+    """A missing month or day is the first one, a missing time midnight; milliseconds are left out."""
+    d = date[:14] + "00000101000000"[len(date) :]
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
@@ -189,6 +232,13 @@ def read_warc(stream) -> Iterator[tuple[dict[str, str], bytes]]:
 # Spark jobs
 
 _MANIFEST = T.StructType([T.StructField("path", T.StringType()), T.StructField("records", T.LongType())])
+_CONVERTED = T.StructType([*_MANIFEST.fields, T.StructField("refused", T.LongType())])
+
+
+def _spread(archives: DataFrame, n: int) -> DataFrame:
+    """The list of ``n`` archives dealt out to tasks: one each, or several where the archives are many."""
+    most = 4 * int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return archives.repartition(max(1, min(n, most)))
 
 
 def _attempt(kind: str, number: int) -> str:
@@ -201,7 +251,8 @@ def write_arcs(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     The archives lie in the shared folder. A task's attempt writes files of its own, and the manifest, a table with
     Spark's commit protocol, names only those of attempts that succeeded. A page's id travels in an HTTP header.
-    Blanks in URLs are escaped; a null URL is written "-".
+    Blanks in URLs are escaped; a null URL is written "-". Null html is an empty payload; a null id has no header and
+    is read back as null; other columns are dropped; an empty table gives an empty manifest.
     """
     folder = new_path(pages.sparkSession, "arc")
     rows = pages.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("-")).alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
@@ -263,16 +314,17 @@ def index_arcs(manifest: DataFrame) -> DataFrame:
 
 
 def convert_arcs(manifest: DataFrame, min_payload: int = 0) -> DataFrame:
-    """Converts the ARC archives of a manifest, one WARC for each, and returns the manifest of the WARCs.
+    """Converts the ARC archives of a manifest, one WARC for each, and returns the manifest (path, records, refused) of
+    the WARCs.
 
     Records with equal payloads of at least ``min_payload`` bytes become one response, that of the smallest page
     number (then page text, archive and place), and revisits that refer to it. Only index rows (no content) are
     grouped by digest, with a map-side combined minimum; each archive is then rewritten by one task from a list of
-    its own revisits, which an archive's size bounds. Records with a problem are not converted.
+    its own revisits, which an archive's size bounds. Records with a problem are not converted but counted as
+    ``refused``; ``index_arcs`` lists them. An empty manifest gives an empty one.
     """
     n = manifest.count()
-    spread = manifest.repartition(max(1, n)) if n else manifest
-    index = materialise(index_arcs(spread).filter("problem IS NULL"), "arc-index")
+    index = materialise(index_arcs(_spread(manifest, n)).filter("problem IS NULL"), "arc-index")
     place = F.struct(F.col("page").isNull().alias("none"), F.expr("try_cast(page AS DECIMAL(38,0))").alias("number"), "page", "path", "offset", "url", "date")
     first = index.filter(F.col("payload_bytes") >= min_payload).groupBy("digest", "payload_bytes").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     revisits = (
@@ -280,8 +332,8 @@ def convert_arcs(manifest: DataFrame, min_payload: int = 0) -> DataFrame:
         .groupBy("path").agg(F.collect_list(F.struct("offset", F.col("first.path").alias("to_path"), F.col("first.offset").alias("to_offset"), F.col("first.url").alias("to_url"), F.col("first.date").alias("to_date"))).alias("revisits"))
     )
     folder = new_path(manifest.sparkSession, "warc")
-    plan = manifest.select("path").join(revisits, "path", "left").repartition(max(1, n))
-    arrow = to_arrow_schema(_MANIFEST)
+    plan = manifest.select("path").join(revisits, "path", "left")
+    arrow = to_arrow_schema(_CONVERTED)
 
     def convert(batches):
         number = 0
@@ -289,24 +341,27 @@ def convert_arcs(manifest: DataFrame, min_payload: int = 0) -> DataFrame:
             for path, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 archive = path.rpartition("/")[2]
                 to = {r["offset"]: (record_id(r["to_path"].rpartition("/")[2], r["to_offset"]), r["to_url"], r["to_date"]) for r in own or ()}
-                out = ArchiveWriter(f"{folder}/{_attempt('warc', number)}")
+                out, refused = ArchiveWriter(f"{folder}/{_attempt('warc', number)}"), 0
                 number += 1
                 with open_read(path) as stream:
                     for version, r in read_arc(stream):
                         if r.problem is None:
                             out.write(arc_to_warc(version, r, archive, to.get(r.offset)))
                             out.records += 1
+                        else:
+                            refused += 1
                 out.close()
-                yield pa.RecordBatch.from_pylist([{"path": out.path, "records": out.records}], schema=arrow)
+                yield pa.RecordBatch.from_pylist([{"path": out.path, "records": out.records, "refused": refused}], schema=arrow)
 
-    return materialise(plan.mapInArrow(convert, _MANIFEST), "warc-manifest")
+    return materialise(_spread(plan, n).mapInArrow(convert, _CONVERTED), "warc-manifest")
 
 
 def read_warcs(manifest: DataFrame) -> DataFrame:
     """The records of the archives but warcinfo: record id, type, URI, date, page, digest, payload_bytes, refers_to.
 
     Of a response, digest and length are those of the payload as read; a digest that differs from the header's
-    raises an error. A revisit holds no payload; its header has both.
+    raises an error. A revisit holds no payload; its
+    HTTP header has the length, which is null without one. An empty manifest gives no rows.
     """
     names = ("record_id", "record_type", "uri", "date", "page", "payload_digest", "refers_to_id")
     schema = T.StructType([*(T.StructField(c, T.StringType()) for c in names), T.StructField("payload_bytes", T.LongType())])
@@ -326,13 +381,14 @@ def read_warcs(manifest: DataFrame) -> DataFrame:
                         digest = h["warc-payload-digest"].removeprefix("sha1:")
                         size = len(payload)
                         if kind == "revisit":
-                            size = int(re.search(rb"\r\nContent-Length: ([0-9]+)\r\n", http)[1])
+                            length = re.search(rb"\r\nContent-Length: ([0-9]+)\r\n", http)
+                            size = int(length[1]) if length else None
                         elif sha1_base32(payload) != digest:
                             raise ValueError(f"{path}: the payload of {h['warc-record-id']} does not have its digest")
                         rows.append(dict(zip(names, (h["warc-record-id"], kind, h["warc-target-uri"], h["warc-date"], page and page[1].decode(), digest, h.get("warc-refers-to")))) | {"payload_bytes": size})
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    return manifest.select("path").repartition(max(1, manifest.count())).mapInArrow(read, schema)
+    return _spread(manifest.select("path"), manifest.count()).mapInArrow(read, schema)
 
 
 def op2_arc_convert(spark, sf_dir: str) -> DataFrame:
