@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from array import array
 from bisect import bisect_left, bisect_right
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
@@ -29,6 +31,8 @@ _WORD = re.compile(r"\S+")
 _EDGES = "\"'`.,;:!?()[]{}<>|#*$%&="
 #: Characters of a context word, those nearest to the entity.
 WORD_CHARS = 64
+#: Entities and candidates, beside those of one more text, that a task holds at once.
+MENTIONS = 1 << 14
 
 
 def luhn(digits: str) -> bool:
@@ -139,26 +143,38 @@ def mentions(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
     arrow = to_arrow_schema(schema)
 
-    def entries(text: str, spans: list[tuple[int | None, int, int]]) -> list[dict]:
-        context = Context(text) if spans else None
-        instance = lambda a, b: xxhash.xxh64_intdigest(text[a:b].lower()) - (1 << 63)
-        return [{"instance": instance(a, b), "kind": kind, "start": a, "end": b, "patterns": context.patterns_of(a, b)} for kind, a, b in spans]
+    def lists(kind: pa.DataType, bounds: list[int], columns: list[pa.Array]) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.StructArray.from_arrays(columns, fields=list(kind.value_type)), type=kind)
 
     def find(batches):
         number = TaskContext.get().partitionId() << 40
         for batch in batches:
             for piece in tb.slices(batch, "text"):
-                spans, found = [], []
-                for text in piece.column(1).to_pylist():
-                    text = text or ""
-                    base = base_spans(text)
-                    spans.append([{"kind": k, "start": a, "end": b} for k, a, b in base])
-                    found.append(entries(text, base + [(None, a, b) for a, b in candidates(text, base)]))
-                n = piece.num_rows
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(range(number, number + n), pa.int64()), piece.column(0).cast(arrow.field(1).type), pa.array(spans, arrow.field(2).type), pa.array(found, arrow.field(3).type)], schema=arrow
-                )
-                number += n
+                texts, first = piece.column(1), 0
+                while first < piece.num_rows:
+                    base_at, all_at, instances, kinds, starts, ends, patterns, base = [0], [0], array("q"), [], array("q"), array("q"), [], []
+                    row = first
+                    while row < piece.num_rows and len(instances) < MENTIONS:
+                        text = texts[row].as_py() or ""
+                        spans = base_spans(text)
+                        base += spans
+                        found = [*spans, *((None, a, b) for a, b in candidates(text, spans))]
+                        context = Context(text) if found else None
+                        for kind, a, b in found:
+                            instances.append(xxhash.xxh64_intdigest(text[a:b].lower()) - (1 << 63))
+                            kinds.append(kind)
+                            starts.append(a)
+                            ends.append(b)
+                            patterns += context.patterns_of(a, b)
+                        base_at.append(len(base))
+                        all_at.append(len(instances))
+                        row += 1
+                    spans = lists(arrow.field(2).type, base_at, [pa.array([x[0] for x in base], pa.int32()), *(pa.array([x[k] for x in base], pa.int64()) for k in (1, 2))])
+                    pairs = pa.ListArray.from_arrays(pa.array(np.arange(len(instances) + 1, dtype=np.int32) * 2), pa.array(patterns, pa.string()), type=arrow.field(3).type.value_type.field(4).type)
+                    whole = lists(arrow.field(3).type, all_at, [pa.array(np.frombuffer(instances, np.int64)), pa.array(kinds, pa.int32()), pa.array(np.frombuffer(starts, np.int64)), pa.array(np.frombuffer(ends, np.int64)), pairs])
+                    n = row - first
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(number, number + n)), piece.column(0).slice(first, n).cast(arrow.field(1).type), spans, whole], schema=arrow)
+                    number, first = number + n, row
 
     return rows.mapInArrow(find, schema)
 
