@@ -130,6 +130,57 @@ def test_arc_both_versions_and_problems():
         assert heads[1]["warc-record-id"] == arc.record_id("a.arc", at)
 
 
+def _arc(records, version=1):
+    """An archive of (url, date, content type, content, declared length or None)."""
+    data = arc.arc_version_block(version, "a.arc", "20080102030405")
+    for url, date, kind, body, length in records:
+        line = arc.arc_record(version, url, "10.0.0.1", date, kind, "200", "a.arc", len(data), body)
+        data += line if length is None else line.replace(f" {len(body)}\n".encode(), f" {length}\n".encode(), 1)
+    return data
+
+
+@pytest.mark.parametrize("version", [1, 2])
+@pytest.mark.parametrize("length", [99999, 40, 30, 5])
+def test_arc_wrong_lengths_lose_no_later_record(version, length):
+    rows = [(f"http://x{k}.org/", "20080102030405", "text/html", f"<p>content {k}</p>\nmore".encode(), length if k == 1 else None) for k in range(4)]
+    read = [r for _, r in arc.read_arc(io.BytesIO(_arc(rows, version)))][1:]
+    assert [r.fields["url"] for r in read] == [f"http://x{k}.org/" for k in range(4)]
+    assert [bool(r.problem) for r in read] == [False, True, False, False]
+    assert read[2].content == rows[2][3] and read[1].content.startswith(rows[1][3])
+
+
+@pytest.mark.parametrize("version", [1, 2])
+def test_arc_types_with_blanks_and_other_dates(version):
+    rows = [("http://a/", "20080102030405", "text/html; charset=utf-8", b"a", None), ("http://b/", "200801020304", "text/html", b"b", None), ("http://c/", "2008", "no-type", b"c", None), ("http://d/", "20080102030405123", "text/plain", b"d", None)]
+    read = [r for _, r in arc.read_arc(io.BytesIO(_arc(rows, version)))][1:]
+    assert [(r.fields["content_type"], r.content, r.problem) for r in read] == [(k, c, None) for _, _, k, c, _ in rows]
+    assert [arc.warc_date(r.fields["date"]) for r in read] == ["2008-01-02T03:04:05Z", "2008-01-02T03:04:00Z", "2008-01-01T00:00:00Z", "2008-01-02T03:04:05Z"]
+
+
+def test_refused_records_are_counted(spark, tmp_path):
+    data = _arc([("http://a/", "20080102030405", "text/html", b"same", None), ("http://b/", "20080102030405", "text/html", b"cut", 99999), ("http://c/", "20080102030405", "text/html", b"same", None)])
+    path = str(tmp_path / "a.arc.gz")
+    with arc.gzip.open(path, "wb") as f:
+        f.write(data)
+    manifest = spark.createDataFrame([(path, 4)], "path string, records bigint")
+    out = arc.convert_arcs(manifest)
+    assert [(r["records"], r["refused"]) for r in out.collect()] == [(3, 1)]
+    assert sorted((r["uri"], r["record_type"]) for r in arc.read_warcs(out).collect()) == [("http://a/", "resource"), ("http://c/", "revisit")]
+    assert [r["url"] for r in arc.index_arcs(manifest).filter("problem IS NOT NULL").collect()] == ["http://b/"]
+
+
+def test_pages_edges(spark, tmp_path):
+    html = LONG * 20
+    rows = [(1, "u", html, "page", "digest"), (2, "u", html, "page", "digest")]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string, page string, digest string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r["page_id"]: (r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in arc.op2_arc_convert(spark, str(tmp_path)).collect()}
+    digest = arc.sha1_base32(html.encode())
+    assert got == {1: (len(html), digest, "response", None), 2: (len(html), digest, "revisit", 1)}
+    spark.createDataFrame([], "page_id bigint, url string, html string").write.parquet(str(tmp_path / "empty" / "pages.parquet"))
+    empty = arc.op2_arc_convert(spark, str(tmp_path / "empty"))
+    assert empty.columns == ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"] and empty.count() == 0
+
+
 def test_pages_with_equal_payloads(spark, tmp_path):
     rows = [(5, "http://a b/", "same"), (2, None, "same"), (9, "u", "same"), (9, "u", "same"), (3, "u", None), (4, "u", ""), (None, "u", "same"), (8, "u", "é\r\n\r\nWARC/1.1")]
     spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
@@ -279,6 +330,67 @@ def test_pii_found_identifiers_are_seeds(spark):
     assert got[300] == [("found_email", 25, 33)] and got[301] == []
 
 
+def plain_pii(texts, rounds=3, smoothing=2.0, min_confidence=0.6, min_seeds=3):
+    """The whole extraction with dictionaries: base and found spans of each text."""
+    said, kinds = [], {}
+    for t in texts:
+        base = pii_bootstrap.base_spans(t)
+        context = pii_bootstrap.Context(t)
+        said.append([(k, a, b, t[a:b].lower(), context.patterns_of(a, b)) for k, a, b in [*base, *((None, a, b) for a, b in pii_bootstrap.candidates(t, base))]])
+        for k, _, _, x, patterns in said[-1]:
+            for p in patterns:
+                known = kinds.setdefault(p, {}).get(x)
+                kinds[p][x] = known if k is None else k if known is None else min(k, known)
+    seeds = {(p, k): sum(v == k for v in xs.values()) for p, xs in kinds.items() for k in set(xs.values()) - {None}}
+    scored = {(p, k): (n, n / (len(kinds[p]) + smoothing)) for (p, k), n in seeds.items()}
+    good = lambda n, c: n >= min_seeds and c >= min_confidence
+    for _ in range(rounds - 1):
+        left, best = {}, {}
+        for (p, k), (n, c) in scored.items():
+            for x in (x for x, v in kinds[p].items() if v is None):
+                left[x, k] = left.get((x, k), 1.0) * (1 - min(c, 0.999))
+                if good(n, c):
+                    best[x] = max(best.get(x, (0, -9)), (c, -k))
+        gained = {}
+        for p, xs in kinds.items():
+            for x in (x for x, v in xs.items() if v is None):
+                for k in range(4):
+                    if (x, k) in left:
+                        n, g = gained.get((p, k), (0, 0.0))
+                        taken = x in best and -best[x][1] == k
+                        gained[p, k] = (n + taken, g + (float(taken) if x in best else 1 - left[x, k]))
+        scored = {(p, k): (seeds.get((p, k), 0) + gained.get((p, k), (0, 0))[0], (seeds.get((p, k), 0) + gained.get((p, k), (0, 0))[1]) / (len(kinds[p]) + smoothing)) for p, k in {*seeds, *gained}}
+    out = []
+    for mentions in said:
+        base, found = [(pii_bootstrap.KINDS[k], a, b) for k, a, b, _, _ in mentions if k is not None], []
+        for k, a, b, _, patterns in mentions:
+            fits = [(scored[p, j][1], -j) for p in patterns for j in range(4) if (p, j) in scored and good(*scored[p, j])]
+            if k is None and fits:
+                found.append((-max(fits)[1], a, b))
+        out.append(base + [(f"found_{pii_bootstrap.KINDS[k]}", a, b) for k, a, b in sorted(found)])
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_pii_matches_plain_python(spark, seed):
+    rng = random.Random(seed)
+    made = [lambda: f"u{rng.randint(0, 30)}@s.org", lambda: f"10.0.0.{rng.randint(0, 40)}", lambda: f"+49 30 {rng.randint(1000000, 1000030)}", lambda: f"id-{rng.randint(0, 25)}z", lambda: f"{rng.randint(0, 60)}"]
+    frames = ["mail {} now", "host {} is up", "call {} please", "see {} there", "mail {} please", "host {} now"]
+    texts = [" ".join(rng.choice(frames).format(rng.choice(made[(k := rng.randrange(6)) % 3 : k % 3 + 3])()) for _ in range(rng.randint(1, 4))) for _ in range(150)]
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in pii_bootstrap.extract_pii(docs(spark, [(k, t, "s") for k, t in enumerate(texts)]), min_confidence=0.3).collect()}
+    want = plain_pii(texts, min_confidence=0.3)
+    assert [got[k] for k in range(len(texts))] == want
+    assert sum(x[0].startswith("found_") for w in want for x in w) > 20
+
+
+def test_pii_many_mentions_in_parts(spark, monkeypatch):
+    texts = [f"host 10.0.0.{k} is up, see id-{k} there" * (k % 4) for k in range(60)]
+    rows = docs(spark, [(k, t, "s") for k, t in enumerate(texts)])
+    whole = sorted(pii_bootstrap.mentions(rows, "doc_id", "text").drop("row").collect())
+    monkeypatch.setattr(pii_bootstrap, "MENTIONS", 5)
+    assert sorted(pii_bootstrap.mentions(rows, "doc_id", "text").drop("row").collect()) == whole
+
+
 def test_pii_candidates_are_grouped():
     found = lambda t, taken=(): [t[a:b] for a, b in pii_bootstrap.candidates(t, list(taken))]
     assert found("iban DE89 3704 0044 0532 0130 00, paid") == ["DE89 3704 0044 0532 0130 00"]
@@ -379,14 +491,54 @@ def test_phrases_exact_near_and_in_blocks(spark):
         assert got[3]["items"] == [] and got[4]["items"] == ["11"] and got[5]["n_words"] == 0
 
 
-def test_match_finds_all_places():
+@pytest.mark.parametrize("slack", [0, 2])
+def test_match_finds_all_places(slack):
     rng = np.random.default_rng(5)
-    tokens = rng.integers(0, 4, 400).astype(np.uint64)
-    terms, which, counts = np.unique(tokens, return_inverse=True, return_counts=True)
+    tokens = rng.integers(0, 6, 400)
+    terms, counts = np.unique(tokens, return_counts=True)
     starts = np.concatenate([[0], np.cumsum(counts)])
-    grams = np.lib.stride_tricks.sliding_window_view(rng.integers(0, 5, 60).astype(np.uint64), 4)
-    got = {(int(w), int(s)) for ws, ss, ex in phrase_index.match(terms, starts, np.argsort(which, kind="stable"), grams, 0, most=50) for w, s in zip(ws, ss)}
-    assert got == {(w, s) for w in range(len(grams)) for s in range(397) if (tokens[s : s + 4] == grams[w]).all()}
+    grams = np.lib.stride_tricks.sliding_window_view(rng.integers(0, 7, 60), 4)
+    ranks = np.where(grams < 6, grams, -1)
+    got = [(int(w), int(s), bool(e)) for ws, ss, ex in phrase_index.match(starts, np.argsort(tokens, kind="stable"), ranks, slack, most=50) for w, s, e in zip(ws, ss, ex)]
+    assert len(got) == len(set(got))
+    near = lambda w, s: tokens[s] == grams[w][0] and all(x in tokens[max(0, s + j - slack) : s + j + slack + 1] for j, x in enumerate(grams[w]))
+    exact = lambda w, s: s <= 396 and (tokens[s : s + 4] == grams[w]).all()
+    assert set(got) == {(w, s, bool(exact(w, s))) for w in range(len(grams)) for s in range(400) if near(w, s)}
+
+
+def plain_phrases(text, items, width, slack):
+    """(hit positions, items with exact windows, items with near ones only) by looking everywhere."""
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
+    d, hits, exact, near = words(text), set(), set(), set()
+    for name, t in items:
+        q = words(t)
+        size = min(width, len(q))
+        for a in range(len(q) - size + 1 if size else 0):
+            w = q[a : a + size]
+            for s in range(len(d)):
+                if d[s : s + size] == w:
+                    hits |= set(range(s, s + size))
+                    exact.add(str(name))
+                elif d[s] == w[0] and all(x in d[max(0, s + j - slack) : s + j + slack + 1] for j, x in enumerate(w)):
+                    near.add(str(name))
+    return sorted(hits), sorted(exact), sorted(near - exact)
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_phrases_match_brute_force(spark, parts):
+    """Documents that break off inside a window and go on in the next row are no match, however rows are dealt."""
+    rng = random.Random(11)
+    items = [(k, " ".join(rng.choice("abcdefg") for _ in range(rng.randint(1, 9)))) for k in range(12)]
+    texts = []
+    for _ in range(80):
+        q = rng.choice(items)[1].split()
+        cut, k = rng.randint(0, len(q)), rng.randrange(len(q) + 1)
+        texts += [" ".join(rng.choice("abcdefg") for _ in range(3)) + " " + " ".join(q[:cut]), " ".join(q[cut:]) + " x y", " ".join(q[:k] + ["odd"] * rng.randint(0, 3) + q[k:])]
+    df = docs(spark, [(k, t, "s") for k, t in enumerate(texts)]).repartitionByRange(parts, "doc_id")
+    bench = spark.createDataFrame(items, "item_id int, text string")
+    got = {r["doc_id"]: (sorted(r["hits"]), r["items"], r["near"]) for r in phrase_index.contamination(df, bench, width=5, slack=2).collect()}
+    assert got == {k: plain_phrases(t, items, 5, 2) for k, t in enumerate(texts)}
+    assert sum(bool(x[2]) for x in got.values()) > 20
 
 
 # 10
