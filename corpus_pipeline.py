@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnmill.llm.common import materialise, text_or_empty
@@ -21,29 +21,49 @@ def _documents(df: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Failing lines go, and so do the documents that the rules reject."""
-    return _documents(clean_lines(docs).filter("kept").withColumn("text", F.col("cleaned")))
+    """Failing lines go, and so do the documents that the rules reject.
+
+    A null or empty text has no words and is rejected; rows with a null id are judged like others; equal rows are
+    judged alike and all stay or go; other columns are dropped; an empty table gives an empty table.
+    """
+    # a row number keeps the filter above the projection, which would else be copied into it and run twice
+    judged = clean_lines(docs).withColumn("_tm_row", F.monotonically_increasing_id())
+    return _documents(judged.filter("kept AND _tm_row >= 0").withColumn("text", F.col("cleaned")))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that five documents share stay in one of them."""
+    """Lines that five documents share stay in one of them.
+
+    Every row stays: a null or empty text is one empty line and comes back as the empty text; a text all of whose
+    lines go is empty; rows that share an id are one document in the count; an empty table gives an empty table.
+    """
     return _documents(drop_shared_lines(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five words, 0.8) the document with the smallest id stays.
 
-    Rows without an id are linked with nothing and stay; of rows that share an id the first by text stays.
+    A document is an id and a text. Rows that share an id but not the text are documents of their own, so each stays
+    unless it is like a smaller one (by id, then by a hash of the text); of rows equal in both the first by the other
+    columns stays. Rows without an id are linked with nothing and stay, as do null and empty texts; an empty table
+    gives an empty table.
     """
-    kept = near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    once = Window.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars")
-    named = docs.filter("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").withColumn("_tm_k", F.row_number().over(once)).filter("_tm_k = 1")
-    return named.select(*COLUMNS).unionByName(docs.filter("doc_id IS NULL").select(*COLUMNS))
+    keyed = docs.withColumn("_tm_th", F.xxhash64(text_or_empty(F.col("text"))))
+    named = keyed.filter("doc_id IS NOT NULL")
+    groups = near_duplicates(named.select(F.struct("doc_id", "_tm_th").alias("key"), "text"), id_col="key")
+    kept = groups.filter("key = component_id").select("key.doc_id", "key._tm_th").distinct()
+    rest = [c for c in COLUMNS if c != "doc_id"]
+    once = named.join(kept, ["doc_id", "_tm_th"], "left_semi").groupBy("doc_id", "_tm_th").agg(F.min(F.struct(*rest)).alias("first"))
+    return once.select("doc_id", *(F.col(f"first.{c}") for c in rest)).select(*COLUMNS).unionByName(keyed.filter("doc_id IS NULL").select(*COLUMNS))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a window of ten words of a benchmark item occurs go, and those that hold the whole of an
-    item of fewer words."""
+    item of fewer words.
+
+    Null and empty texts hold nothing and stay; rows that share an id are judged by their own texts; equal rows stay
+    or go together; an empty benchmark lets all stay; an empty table gives an empty table.
+    """
     keyed = docs.withColumn("_tm_th", F.xxhash64(text_or_empty(F.col("text"))))
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
     found = contamination(keyed.select(F.struct("doc_id", "_tm_th").alias("key"), "text"), benchmark, id_col="key")
@@ -53,7 +73,11 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixed corpus: each document once or more, with epoch, block and place in the block."""
+    """The mixed corpus: each document once or more, with epoch, block and place in the block.
+
+    Null sources are a source of their own; texts without words cost no tokens and appear once; equal rows are
+    scheduled each; an empty table gives an empty table.
+    """
     schedule = mix_sources(docs, target_entropy=0.998, max_repetition=2.0).select(
         F.col("id").alias("_tm_id"), F.col("source").alias("_tm_source"), F.col("th").alias("_tm_th"), F.col("epoch").cast("long").alias("epoch"), "block", "pos"
     )
@@ -73,7 +97,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents. Each stage's result is written to the shared folder, as its successor reads
-    it more than once."""
+    it more than once. What a stage defines for nulls, repeated rows and empty tables holds for the whole."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
