@@ -11,9 +11,10 @@ ANY_BYTE = frozenset(range(256))
 
 
 class _Nfa:
-    """Thompson construction; a fragment is (entry, exit)."""
+    """Thompson construction; a fragment is (entry, exit). ``reverse``: of the strings read backwards."""
 
-    def __init__(self) -> None:
+    def __init__(self, reverse: bool = False) -> None:
+        self.reverse = reverse
         self.empty: list[list[int]] = []
         self.moves: list[tuple[frozenset, int] | None] = []
 
@@ -35,11 +36,13 @@ class _Nfa:
         return first, last
 
     def build(self, tree) -> tuple[int, int]:
-        return self.sequence(self.item(op, arg) for op, arg in tree)
+        items = list(tree)
+        return self.sequence(self.item(op, arg) for op, arg in (items[::-1] if self.reverse else items))
 
     def item(self, op, arg) -> tuple[int, int]:
         if op is sre.LITERAL:
-            return self.sequence(self.on(frozenset([b])) for b in chr(arg).encode())
+            symbols = chr(arg).encode()
+            return self.sequence(self.on(frozenset([b])) for b in (symbols[::-1] if self.reverse else symbols))
         if op is sre.IN:
             return self.on(_members(arg))
         if op is sre.SUBPATTERN:
@@ -88,6 +91,70 @@ def _members(items) -> frozenset:
     return ANY_BYTE - out if negate else frozenset(out)
 
 
+def deterministic(patterns: list[str], restart: bool, sink: bool = False, reverse: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(classes, table, accepts) of the minimal automaton of all ``patterns`` together; bit k of ``accepts`` is pattern k."""
+    nfa = _Nfa(reverse)
+    begin, accept = nfa.state(), {}
+    for k, p in enumerate(patterns):
+        a, b = nfa.build(sre_parser.parse(p))
+        nfa.empty[begin].append(a)
+        accept[b] = 1 << k
+    classes, members = Automaton._symbol_classes([m[0] for m in nfa.moves if m])
+    return classes, *Automaton._minimise(*Automaton._subsets(nfa, begin, accept, members, restart, sink))
+
+
+class Spans:
+    """The leftmost longest matches, one after the other, of every pattern in a string of bytes.
+
+    One automaton of all patterns reads the string backwards and tells at each byte which patterns have a match that
+    begins there. From the first such place, and then from the first behind each match, the pattern's own automaton
+    runs on to the longest match. So a byte is read once backwards, and once more for each pattern that it matches.
+    A pattern is (head, body); ``find`` tells where the longest head of a match ends.
+    """
+
+    def __init__(self, patterns: list[tuple[str, str]]) -> None:
+        def plain(classes, table, accepts):
+            dead = [bool((row == k).all() and not accepts[k]) for k, row in enumerate(table)]
+            return classes.tobytes(), [r.tolist() for r in table], accepts.tolist(), dead
+
+        self.begins = plain(*deterministic([h + b for h, b in patterns], restart=True, reverse=True))
+        self.whole = [plain(*deterministic([h + b], restart=False)) for h, b in patterns]
+        self.heads = [plain(*deterministic([h], restart=False)) if h else None for h, b in patterns]
+        if any(machine[2][0] for machine in self.whole):
+            raise ValueError("a pattern matches the empty string")
+
+    @staticmethod
+    def _longest(machine, text: bytes, at: int) -> int:
+        classes, table, accepts, dead = machine
+        state, end = 0, at
+        for k in range(at, len(text)):
+            state = table[state][classes[text[k]]]
+            if dead[state]:
+                break
+            if accepts[state]:
+                end = k + 1
+        return end
+
+    def find(self, text: bytes) -> list[tuple[int, int, int, int]]:
+        """(pattern, start, end of the head, end) of each match, by pattern, then start."""
+        classes, table, accepts, _ = self.begins
+        state, places = 0, [[] for _ in self.whole]
+        for at in range(len(text) - 1, -1, -1):
+            state = table[state][classes[text[at]]]
+            if accepts[state]:
+                for k in range(len(places)):
+                    if accepts[state] >> k & 1:
+                        places[k].append(at)
+        out = []
+        for k, own in enumerate(places):
+            free = 0
+            for at in reversed(own):
+                if at >= free:
+                    free = self._longest(self.whole[k], text, at)
+                    out.append((k, at, self._longest(self.heads[k], text, at) if self.heads[k] else at, free))
+        return out
+
+
 class Automaton:
     """Minimal automaton that finds whether any rule occurs anywhere in a string of bytes.
 
@@ -96,15 +163,9 @@ class Automaton:
     """
 
     def __init__(self, patterns: list[str]) -> None:
-        nfa = _Nfa()
-        begin, accept = nfa.state(), set()
-        for p in patterns:
-            a, b = nfa.build(sre_parser.parse(p))
-            nfa.empty[begin].append(a)
-            accept.add(b)
-        self.classes, members = self._symbol_classes([m[0] for m in nfa.moves if m])
-        table, accepting = self._subsets(nfa, begin, accept, members)
-        self.table, self.hit = self._minimise(table, accepting)
+        self.classes, self.table, accepts = deterministic(patterns, restart=True, sink=True)
+        hit = np.flatnonzero(accepts)
+        self.hit = int(hit[0]) if len(hit) else -1
 
     @staticmethod
     def _symbol_classes(sets) -> tuple[np.ndarray, list[int]]:
@@ -114,7 +175,10 @@ class Automaton:
         return classes, [int(np.flatnonzero(classes == k)[0]) for k in range(len(keys))]
 
     @staticmethod
-    def _subsets(nfa: _Nfa, begin: int, accept: set[int], members: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    def _subsets(nfa: _Nfa, begin: int, accept: dict[int, int], members: list[int], restart: bool, sink: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(table, for each state the rules, as bits, that it accepts). ``restart``: a match may begin anywhere; ``sink``: a
+        state that accepts is never left."""
+
         def closure(states) -> frozenset:
             seen, todo = set(states), list(states)
             while todo:
@@ -127,25 +191,25 @@ class Automaton:
         start = closure([begin])
         ahead = {s: closure([m[1]]) for s, m in enumerate(nfa.moves) if m}
         by_class = [{s: ahead[s] for s, m in enumerate(nfa.moves) if m and b in m[0]} for b in members]
-        sink = frozenset(accept)
+        end = frozenset(accept)
         numbers, todo, rows = {start: 0}, [start], []
         for current in todo:
             row = []
             for moves in by_class:
-                found = current if current == sink else start.union(*(moves[s] for s in current if s in moves))
-                if found & accept:
-                    found = sink
+                found = current if sink and current == end else (start if restart else frozenset()).union(*(moves[s] for s in current if s in moves))
+                if sink and found & end:
+                    found = end
                 if found not in numbers:
                     numbers[found] = len(numbers)
                     todo.append(found)
                 row.append(numbers[found])
             rows.append(row)
-        return np.array(rows, np.int32), np.array([bool(s & accept) for s in numbers])
+        return np.array(rows, np.int32), np.array([sum({accept[x] for x in s if x in accept}) for s in numbers], np.int64)
 
     @staticmethod
-    def _minimise(table: np.ndarray, accepting: np.ndarray) -> tuple[np.ndarray, int]:
-        """Moore's refinement: states stay together while their successors' blocks agree."""
-        block = accepting.astype(np.int64)
+    def _minimise(table: np.ndarray, accepts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Moore's refinement: states stay together while they accept the same and their successors' blocks agree."""
+        block = np.unique(accepts, return_inverse=True)[1].reshape(-1).astype(np.int64)
         while True:
             _, refined = np.unique(np.column_stack([block, block[table]]), axis=0, return_inverse=True)
             refined = refined.reshape(-1)
@@ -156,8 +220,7 @@ class Automaton:
         renumber = np.empty(len(order), np.int64)
         renumber[order] = np.arange(len(order))
         first = np.array([int(np.flatnonzero(block == b)[0]) for b in order])
-        hit = np.flatnonzero(accepting[first])
-        return renumber[block[table[first]]].astype(np.int32), int(hit[0]) if len(hit) else -1
+        return renumber[block[table[first]]].astype(np.int32), accepts[first]
 
     def scan(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, few: int = 64) -> np.ndarray:
         """Whether a rule occurs in each of the byte ranges, in one pass over their bytes.

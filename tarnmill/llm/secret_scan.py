@@ -1,8 +1,7 @@
-"""Secret scans: all rules in one minimal automaton over the bytes, exact spans on the lines that it flags."""
+"""Secret scans: all rules in one minimal automaton over the bytes, spans by automata on the lines that it flags."""
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -14,21 +13,21 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tarnmill.llm import textbytes as tb
-from tarnmill.llm.automaton import Automaton
+from tarnmill.llm.automaton import Automaton, Spans
 
 
 @dataclass(frozen=True)
 class SecretRule:
-    """``scan`` goes into the automaton and occurs wherever ``exact`` has a match that counts.
+    """``scan`` goes into the automaton that reads all bytes, and occurs wherever the rule has a match that counts.
 
-    ``exact`` gives the leftmost non-overlapping matches of a line; those whose ``group`` has fewer than
-    ``min_chars`` characters are dropped. No rule matches a newline.
+    ``head`` and ``body`` together give the leftmost longest non-overlapping matches of a line; those whose body has
+    fewer than ``min_chars`` bytes are dropped. No rule matches a newline.
     """
 
     kind: str
     scan: str
-    exact: str
-    group: int = 0
+    head: str
+    body: str
     min_chars: int = 1
     base: bool = False
 
@@ -37,29 +36,29 @@ _KEYWORDS = "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee]
 _SETS = "[\"']?\\x20*[:=]\\x20*[\"']?"
 
 RULES = (
-    SecretRule("assign", _KEYWORDS + _SETS + "[A-Za-z0-9+/_.=-]{6}", _KEYWORDS + _SETS + "([A-Za-z0-9+/_.=-]+)", 2, 6, True),
-    SecretRule("access", "AKIA[A-Z0-9]{16}", "AKIA[A-Z0-9]+", 0, 20, True),
-    SecretRule("hex", "[0-9a-f]{24}", "[0-9a-f]+", 0, 24, True),
-    SecretRule("github", "gh[pousr]_[A-Za-z0-9]{4}", "gh[pousr]_[A-Za-z0-9]+", 0, 40),
-    SecretRule("slack", "xox[abprs]-[0-9]", "xox[abprs]-[0-9]+-[A-Za-z0-9-]+", 0, 24),
-    SecretRule("google", "AIza[0-9A-Za-z_-]{4}", "AIza[0-9A-Za-z_-]+", 0, 39),
-    SecretRule("jwt", "eyJ[A-Za-z0-9_-]{4}", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
-    SecretRule("private_key", "-----BEGIN ", "-----BEGIN ([A-Z]+ )*PRIVATE KEY-----", 0, 1),
+    SecretRule("assign", _KEYWORDS + _SETS + "[A-Za-z0-9+/_.=-]{6}", _KEYWORDS + _SETS, "([A-Za-z0-9+/_.=-]+)", 6, True),
+    SecretRule("access", "AKIA[A-Z0-9]{16}", "", "AKIA[A-Z0-9]+", 20, True),
+    SecretRule("hex", "[0-9a-f]{24}", "", "[0-9a-f]+", 24, True),
+    SecretRule("github", "gh[pousr]_[A-Za-z0-9]{4}", "", "gh[pousr]_[A-Za-z0-9]+", 40),
+    SecretRule("slack", "xox[abprs]-[0-9]", "", "xox[abprs]-[0-9]+-[A-Za-z0-9-]+", 24),
+    SecretRule("google", "AIza[0-9A-Za-z_-]{4}", "", "AIza[0-9A-Za-z_-]+", 39),
+    SecretRule("jwt", "eyJ[A-Za-z0-9_-]", "", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 40),
+    SecretRule("private_key", "-----BEGIN ", "", "-----BEGIN ([A-Z]+ )*PRIVATE KEY-----", 1),
 )
 
 
 @lru_cache(maxsize=4)
-def compiled(rules: tuple[SecretRule, ...]) -> Automaton:
-    """The automaton of the rules; the driver builds it once and sends its arrays, some hundred KB, to the executors."""
-    return Automaton([r.scan for r in rules])
+def compiled(rules: tuple[SecretRule, ...]) -> tuple[Automaton, Spans]:
+    """The automata of the rules; the driver builds them once and sends their arrays, some hundred KB, to the executors."""
+    return Automaton([r.scan for r in rules]), Spans([(r.head, r.body) for r in rules])
 
 
 def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[SecretRule, ...] = RULES) -> DataFrame:
     """(id, spans): the secrets in each text, spans being an array of (kind, start, end, base), offsets in code points
     with an exclusive end, ordered by start, then by the order of the rules.
 
-    Each line is a lane of one array pass through the automaton; on the few lines where it ends in the hit state
-    the exact rules give the spans. One narrow pass over the rows, in slices of bounded bytes; no shuffle.
+    Each line is a lane of one array pass through the automaton of all rules; on the few lines where it ends in the hit
+    state ``Spans`` gives the matches, in time linear in the line. One narrow pass over the rows, in slices of bounded bytes; no shuffle.
 
     Defined cases: null and empty texts have no spans; a text of one very long line is scanned whole; equal rows
     get equal results and each is returned; other columns are dropped; an empty table gives an empty table.
@@ -72,8 +71,7 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sent = df.sparkSession.sparkContext.broadcast(compiled(rules))
 
     def scan(batches):
-        automaton = sent.value
-        exact = [(r, re.compile(r.exact)) for r in rules]
+        automaton, matcher = sent.value
         for batch in batches:
             for piece in tb.slices(batch, "text"):
                 data, offsets = tb.text_buffer(piece.column(1))
@@ -85,15 +83,13 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 found: list[list] = [[] for _ in range(len(offsets) - 1)]
                 flagged = np.flatnonzero(automaton.scan(data, start, end)) if len(start) else []
                 if len(flagged):
-                    before = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # code points before a byte
+                    before = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int32)])  # code points before a byte
                     doc = np.searchsorted(offsets, start, "right") - 1
                     for k in flagged:
-                        line = data[start[k] : end[k]].tobytes().decode()
-                        shift = int(before[start[k]] - before[offsets[doc[k]]])
-                        for n, (rule, pattern) in enumerate(exact):
-                            for m in pattern.finditer(line):
-                                if m.end(rule.group) - m.start(rule.group) >= rule.min_chars:
-                                    found[doc[k]].append((shift + m.start(), n, shift + m.end()))
+                        point = lambda at: int(before[start[k] + at] - before[offsets[doc[k]]])  # noqa: B023, E731
+                        for n, a, head, b in matcher.find(data[start[k] : end[k]].tobytes()):
+                            if b - head >= rules[n].min_chars:
+                                found[doc[k]].append((point(a), n, point(b)))
                 spans = [[{"kind": rules[n].kind, "start": a, "end": b, "base": rules[n].base} for a, n, b in sorted(x)] for x in found]
                 yield pa.RecordBatch.from_arrays([piece.column(0).cast(arrow.field(0).type), pa.array(spans, arrow.field(1).type)], schema=arrow)
 
@@ -121,9 +117,9 @@ def _sql() -> str:
     parts = []
     for n, r in enumerate(RULES):
         parts.append(
-            f"SELECT rid, {n} AS k, '{r.kind}' AS kind, {r.base} AS base, {r.min_chars} AS least, unnest(regexp_extract_all(t, '{lit(r.exact)}')) AS m, "
-            f"unnest(regexp_extract_all(t, '{lit(r.exact)}', {r.group})) AS g, unnest(string_split_regex(t, '{lit(r.exact)}')) AS piece, "
-            f"unnest(range(len(string_split_regex(t, '{lit(r.exact)}')))) AS i FROM d"
+            f"SELECT rid, {n} AS k, '{r.kind}' AS kind, {r.base} AS base, {r.min_chars} AS least, unnest(regexp_extract_all(t, '{lit(r.head + r.body)}')) AS m, "
+            f"unnest(regexp_extract_all(t, '{lit(r.head + r.body)}', {2 if r.head else 0})) AS g, unnest(string_split_regex(t, '{lit(r.head + r.body)}')) AS piece, "
+            f"unnest(range(len(string_split_regex(t, '{lit(r.head + r.body)}')))) AS i FROM d"
         )
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),

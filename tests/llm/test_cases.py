@@ -452,6 +452,38 @@ def test_automaton_matches_regexes():
     assert got.tolist() == [any(re.search(r.scan, x) for r in secret_scan.RULES) for x in lines]
 
 
+#: The contract's patterns, spelt out: (kind, pattern, group, least characters).
+_BASE_SECRETS = (
+    ("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", r"AKIA[A-Z0-9]+", 0, 20),
+    ("hex", r"[0-9a-f]+", 0, 24),
+)
+
+
+def test_secret_spans_match_brute_force():
+    rng = random.Random(9)
+    spans = secret_scan.compiled(secret_scan.RULES)[1]
+    parts = ["token", "Secret", "=", ":", " ", '"', "'", "AKIA", "ABCDEFGH12345678", "a" * 9, "0f3c9", "apikey", "API_KEY", "x", "passwd", "eyJ", "eyJa.eyJb." + "Z" * 32, "ghp_", "-----BEGIN ", "RSA ", "PRIVATE KEY-----", "é", "\r"]
+    others = [(r.kind, r.head + r.body, 0, r.min_chars) for r in secret_scan.RULES if not r.base]
+    seen = set()
+    for _ in range(4000):
+        line = "".join(rng.choice(parts) for _ in range(rng.randint(0, 30)))
+        data = line.encode()
+        got = [(secret_scan.RULES[n].kind, len(data[:a].decode()), len(data[:b].decode())) for n, a, h, b in spans.find(data) if b - h >= secret_scan.RULES[n].min_chars]
+        want = [(k, m.start(), m.end()) for k, p, g, least in (*_BASE_SECRETS, *others) for m in re.finditer(p, line) if m.end(g) - m.start(g) >= least]
+        assert got == want, line
+        hit = secret_scan.compiled(secret_scan.RULES)[0].scan(np.frombuffer(data, np.uint8), np.array([0]), np.array([len(data)])) if data else [False]
+        assert not want or hit[0]
+        seen |= {k for k, _, _ in want}
+    assert {"assign", "access", "hex", "jwt", "private_key"} <= seen
+
+
+def test_secret_spans_are_linear():
+    spans = secret_scan.compiled(secret_scan.RULES)[1]
+    for t in (b"eyJ" * 100_000, b"token" * 50_000, b"0f" * 150_000, b"-----BEGIN " + b"A " * 100_000):
+        spans.find(t)
+
+
 def test_secret_spans(spark):
     rows = [(1, 'é secret=token:abcdefgh\npassword: "hunter22" ' + "0f" * 15, "s"), (2, "x" * 50_000 + " API_KEY=Zz09+/_.=- ghp_" + "Qz" * 18, "s")]
     got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in secret_scan.scan_secrets(docs(spark, rows)).collect()}
