@@ -17,8 +17,9 @@ from tarnmill.llm import textbytes as tb
 from tarnmill.llm.common import materialise
 from tarnmill.llm.graph import connected_components
 
-#: Coordinates of a signature, and the chance with which a pair right at the threshold may be missed.
-COORDINATES, MISS = 48, 1e-8
+#: Coordinates of a signature, the least values under so many permutations that each holds, and the chance with which a
+#: pair right at the threshold may be missed.
+COORDINATES, VALUES, MISS = 32, 2, 1e-8
 #: Most 64-bit words (8 MB) of the filter that keeps texts of no interest out of a shuffle.
 FILTER_WORDS = 1 << 20
 #: Packed bytes of the texts that are read at once.
@@ -29,10 +30,10 @@ _TIMES = _RANDOM.integers(0, 2**64, 256, dtype=np.uint64) | np.uint64(1)
 _XOR = _RANDOM.integers(0, 2**64, 256, dtype=np.uint64)
 
 
-def match_threshold(threshold: int, coordinates: int = COORDINATES, miss: float = MISS) -> int:
+def match_threshold(threshold: int, coordinates: int = COORDINATES, values: int = VALUES, miss: float = MISS) -> int:
     """The largest number of equal coordinates that a pair of Jaccard similarity ``threshold`` percent reaches but
-    with chance ``miss``: coordinates agree independently with that probability."""
-    p, below = threshold / 100, 0.0
+    with chance ``miss``: each of a coordinate's ``values`` agrees independently with that probability."""
+    p, below = (threshold / 100) ** values, 0.0
     for k in range(coordinates + 1):
         below += math.comb(coordinates, k) * p**k * (1 - p) ** (coordinates - k)
         if below > miss:
@@ -81,11 +82,11 @@ def _sequence(words: np.ndarray, step: np.uint64) -> np.uint64:
 
 
 def signatures(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """(texts, COORDINATES) least values of the shingles under each coordinate's permutation; for non-empty sets."""
+    """(texts, COORDINATES * VALUES) least values of the shingles under each permutation; for non-empty sets."""
     filled = np.flatnonzero(np.diff(bounds))
-    out = np.zeros((len(bounds) - 1, COORDINATES), np.uint64)
+    out = np.zeros((len(bounds) - 1, COORDINATES * VALUES), np.uint64)
     if len(filled):
-        for j in range(COORDINATES):
+        for j in range(COORDINATES * VALUES):
             out[filled, j] = np.minimum.reduceat((values ^ _XOR[j]) * _TIMES[j], bounds[filled])
     return out
 
@@ -96,7 +97,8 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 def text_signatures(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """(id, n, k1, k2, sig, mini) of each row: set size, a 128-bit key of the set, the signature (empty without
-    shingles), and as bytes 16 bits of each of its coordinates, with which collisions are counted."""
+    shingles) as one number for each coordinate, and as bytes 16 bits of each of its values, in which collisions of a
+    pair are counted."""
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     long = T.LongType()
     schema = T.StructType(
@@ -112,10 +114,14 @@ def text_signatures(df: DataFrame, id_col: str, text_col: str, width: int) -> Da
                     sums = [np.concatenate([[np.uint64(0)], np.cumsum(v, dtype=np.uint64)]) for v in (values, tb.mix(values ^ np.uint64(0x5851F42D4C957F2D)))]
                     k1, k2 = (s[bounds[1:]] - s[bounds[:-1]] for s in sums)
                 size = np.diff(bounds)
-                sig = signatures(values, bounds)[size > 0]
+                least = signatures(values, bounds)[size > 0]
+                with np.errstate(over="ignore"):
+                    sig = least[:, ::VALUES]
+                    for j in range(1, VALUES):
+                        sig = tb.mix(sig) + least[:, j::VALUES]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum((size > 0) * COORDINATES)]).astype(np.int32)), _signed(sig.reshape(-1)))
-                mini = np.zeros((len(size), COORDINATES), np.uint16)
-                mini[size > 0] = (tb.mix(sig) & np.uint64(0xFFFF)).astype(np.uint16)
+                mini = np.zeros((len(size), COORDINATES * VALUES), np.uint16)
+                mini[size > 0] = (tb.mix(least) & np.uint64(0xFFFF)).astype(np.uint16)
                 yield pa.RecordBatch.from_arrays(
                     [
                         piece.column(0).cast(arrow.field(0).type), pa.array(size.astype(np.int64)), _signed(k1), _signed(k2), lists.cast(arrow.field(4).type),
@@ -203,14 +209,14 @@ def _pair_filter(pairs: DataFrame, columns: tuple[str, ...], kept) -> DataFrame:
 
 
 def _minis(col: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(col.to_pylist()), np.uint16).reshape(-1, COORDINATES)
+    return np.frombuffer(b"".join(col.to_pylist()), np.uint16).reshape(-1, COORDINATES * VALUES)
 
 
 def count_collisions(pairs: DataFrame, facts: DataFrame, matches: int, threshold: int) -> DataFrame:
-    """(a, b) of the distinct pairs (a, b) of fitting sizes with at least ``matches`` equal coordinates.
+    """(a, b) of the distinct pairs (a, b) of fitting sizes with at least ``matches`` equal values.
 
-    The merged lists were the short ones; the long ones that merging skipped are probed here, coordinate by
-    coordinate, for each pair that a short list names. ``facts``: (node, n, mini).
+    The merged lists were the short ones; the long ones that merging skipped are probed here, value by value, for each
+    pair that a short list names. ``facts``: (node, n, mini).
     """
     side = lambda c: facts.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("mini").alias(f"mini_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").filter(100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
@@ -287,21 +293,6 @@ def still_open(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(mixed.select(*keys), keys, "left_semi")
 
 
-def companions(family: DataFrame, tokens: DataFrame, matches: int) -> DataFrame:
-    """(hub, node) of the members (hub, node, label, related) that have at least ``matches`` values of their signature,
-    ``tokens`` (node, ts), in common with members of other labels in their family.
-
-    Collisions are counted list by list and not pair by pair; a member that has fewer can be like no other. Two
-    members that are both related to the hub don't count for each other, as their differences from it are compared.
-    """
-    rows = family.join(tokens.select("node", "ts"), "node").select("hub", "node", "label", "related", F.explode("ts").alias("token"))
-    unlike = F.when(~F.col("related"), F.col("label"))
-    lists = rows.groupBy("hub", "token").agg(F.min("label").alias("_a"), F.max("label").alias("_b"), F.min(unlike).alias("_c"), F.max(unlike).alias("_d")).filter("_a <> _b AND _c IS NOT NULL")
-    other = lambda low, high: (F.col(low) != F.col("label")) | (F.col(high) != F.col("label"))
-    met = rows.join(lists, ["hub", "token"]).filter(F.when(F.col("related"), other("_c", "_d")).otherwise(other("_a", "_b")))
-    return met.groupBy("hub", "node").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= matches).select("hub", "node")
-
-
 def difference_postings(members: DataFrame, hub_labels: DataFrame, threshold: int) -> DataFrame:
     """(key, d, node, label, s, left, related) from members (hub, centred, centre, node, own, n, related, label, ds).
 
@@ -358,7 +349,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     1. Each text's shingle set gives a key and a MinHash signature; equal sets become one class, named by its least
        id, with a combined minimum.
-    2. Classes are posted under each (coordinate, value). Two sets at the threshold agree in ``match_threshold`` of
+    2. Classes are posted under each (coordinate, value), where the value of a coordinate is a pair of least values:
+       unlike sets that share a frequent shingle then rarely meet, however large the corpus. Two sets at the threshold
+       agree in ``match_threshold`` of
        the coordinates but for one case in 10**8, so by the prefix principle they share a posting among the
        coordinates - matches + 1 rarest of both. Only these lists are merged; the long ones are skipped, and probed
        through the signature for the pairs that the short ones name. Values that only one class has are dropped, and
@@ -370,8 +363,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
        written as its difference from it (``difference_postings``): what all have in common drops out, and
        members are posted again under the rarest elements of their differences, for which an exact overlap bound
        holds. These lists have a hub each too, contract, and only pairs of different components that the
-       bound admits are left to be confirmed. Members unlike the hub, and what they may be like, are posted under
-       their whole sets if they have enough values in common with other members at all (``companions``).
+       bound admits are left to be confirmed. Where a family has members unlike the hub, its members are posted under
+       their whole sets too, for the pairs with one of these.
 
     So each pair that shares a posting and is not joined already is met or excluded by an exact bound, whatever its
     list's size; no list or candidate is capped. Values and postings are counted and joined on hashed keys, without
@@ -383,7 +376,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     share an id count as one document, whose rows are in one component; rows with a null id are linked with nothing
     and have a null component; other columns are dropped; an empty table gives an empty table.
     """
-    matches = match_threshold(threshold)
+    matches, equal_values = match_threshold(threshold), match_threshold(threshold, COORDINATES * VALUES, 1)
     least = max(1, math.ceil(100 / (100 - threshold)) - 1) if threshold < 100 else 1 << 62  # smaller sets link only with their equals
     base = materialise(text_signatures(df, id_col, text_col, width), "signatures")
     named = base.filter("n > 0 AND id IS NOT NULL")
@@ -395,7 +388,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # rare values first: the count above 48 bits of the value's hash, one number to move and to sort by
     ranked = F.shiftleft(F.least(F.col("df"), F.lit(32767)).cast("bigint"), 48).bitwiseOR(F.col("token").bitwiseAND(F.lit((1 << 48) - 1)))
     shared = tokens.join(often, "token").select("node", ranked.alias("token")).groupBy("node").agg(F.array_sort(F.collect_set("token")).alias("ts"))
-    posted = materialise(shared.withColumn("c", F.size("ts")).filter(F.col("c") >= matches), "posted")
+    posted = shared.withColumn("c", F.size("ts")).filter(F.col("c") >= matches)
     postings = materialise(posted.select("node", "c", F.explode(F.slice("ts", 1, F.col("c") - matches + 1)).alias("token")).select("token", "node", "c"), "postings")
 
     hubs = postings.groupBy("token").agg(F.max(F.struct("c", "node")).alias("hub"), F.count(F.lit(1)).alias("m")).filter("m > 1")
@@ -406,7 +399,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = df.select(F.col(id_col).alias("node"), F.col(text_col).cast("string").alias("text"))
     ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("node"))
 
-    hits = materialise(count_collisions(met, facts, matches, threshold).distinct(), "collisions")
+    hits = materialise(count_collisions(met, facts, equal_values, threshold).distinct(), "collisions")
     wanted = materialise(ends(hits).distinct(), "wanted")
     texts = materialise(texts_of(docs, wanted), "texts")
     found = materialise(connected_components(materialise(confirm_pairs(hits, texts, threshold, width), "links")), "components")
@@ -414,8 +407,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     open_lists = still_open(labelled(lists, found), ["token"])
     related = hits.select(F.col("a").alias("node"), F.col("b").alias("hub"), F.lit(True).alias("related"))
     family = materialise(open_lists.select("hub", "node", "label").distinct().join(related, ["hub", "node"], "left").withColumn("related", F.coalesce("related", F.lit(False))), "families")
-    unlike = family.filter("NOT related").select("hub").distinct()
-    apart = materialise(companions(family.join(unlike, "hub", "left_semi"), posted, matches), "families")
+    apart = still_open(family, ["hub"]).join(family.filter("NOT related").select("hub").distinct(), "hub", "left_semi")
     more = materialise(apart.select("node").distinct().join(wanted, "node", "left_anti"), "wanted")
     texts = texts.unionByName(materialise(texts_of(docs, more), "texts"))
     of = lambda rows: rows.select(F.col("node").alias("a"), F.col("hub").alias("b"))

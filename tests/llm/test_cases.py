@@ -234,7 +234,8 @@ def test_near_duplicates_match_brute_force(spark, width, seed):
 
 
 def test_match_threshold():
-    assert near_dedup.match_threshold(80, 48) < 48 * 0.8 and near_dedup.match_threshold(100) == near_dedup.COORDINATES
+    assert near_dedup.match_threshold(80, 64, 1) < 64 * 0.8 and near_dedup.match_threshold(80, 32, 2) < 32 * 0.64
+    assert near_dedup.match_threshold(100) == near_dedup.COORDINATES
 
 
 def test_components_of_a_path_and_a_star(spark):
