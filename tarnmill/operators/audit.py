@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnmill.operators.metrics import bce
 from tarnmill.operators.ranking import with_position
+from tarnmill.sources.files import written
 
 
 def _n(condition: Column) -> Column:
@@ -70,7 +71,7 @@ def confident_learning(df: DataFrame) -> DataFrame:
     ranked = with_position(rows.withColumn("margin", margin), "m", "margin", "study", ["target", "y"]).join(errors, "target")
     found = ranked.filter(F.col("m") <= F.when(y == 1, F.col("k1")).otherwise(F.col("k0")))
     own = F.when(y == 1, p).otherwise(1 - p)
-    placed = with_position(found.withColumn("own", own), "rank", "own", "study", ["target"])
+    placed = with_position(written(found.select("target", "study", "y", "p", own.alias("own")), "issues"), "rank", "own", "study", ["target"])
     return placed.select("target", "study", "rank", F.round(F.abs(y - p), 4).alias("abs_diff"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnmill.operators.metrics import clip
 from tarnmill.operators.ranking import with_rank
+from tarnmill.sources.files import written
 
 LOW, HIGH = 0.001, 0.999
 
@@ -16,6 +17,13 @@ def weight_map(weights: dict[str, float], by: str = "model") -> Column:
     return F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])[F.col(by)]
 
 
+def with_ranks(df: DataFrame, ranks: dict[str, tuple[str, list[str]]]) -> DataFrame:
+    """``df`` with a percentile rank for each name -> (value, group). A rank reads its input twice, so inputs are written."""
+    for name, (value, by) in ranks.items():
+        df = with_rank(written(df, "ranks"), name, value, by, "pct")
+    return df
+
+
 def blend_mean(df: DataFrame, weights: dict[str, float]) -> DataFrame:
     """Weighted mean by study and target over the models present, clipped."""
     w = weight_map(weights)
@@ -28,10 +36,24 @@ def blend_rank(df: DataFrame, weights: dict[str, float], rerank: bool = False) -
     ranked = with_rank(df.filter(w.isNotNull()), "r", "p", ["target", "model"], "pct")
     out = ranked.groupBy("study", "target").agg((F.sum(w * F.col("r")) / F.sum(w)).alias("p"))
     if rerank:
-        out = with_rank(out.withColumn("p", F.round("p", 9)), "r", "p", ["target"], "pct").select("study", "target", F.col("r").alias("p"))
+        out = with_rank(written(out.withColumn("p", F.round("p", 9)), "blend"), "r", "p", ["target"], "pct").select("study", "target", F.col("r").alias("p"))
     return out.withColumn("p", clip(F.col("p"), LOW, HIGH))
 
 
+def blend_rank_members(df: DataFrame, weights: dict[str, dict[str, float]]) -> DataFrame:
+    """Percentile ranks of each member, weighted by target and member (``weights[target][model]``, 0 if absent) and divided
+    by the sum of the weights present. A row without any vote is an error."""
+    w = F.coalesce(F.create_map(*[F.lit(x) for t, ms in weights.items() for m, v in ms.items() for x in (f"{t}:{m}", v)])[F.concat_ws(":", "target", "model")], F.lit(0.0))
+    votes = with_rank(df, "r", "p", ["target", "model"], "pct").withColumn("w", w).groupBy("study", "target").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("r")).alias("s"))
+    p = F.when(F.col("w") > 0, F.col("s") / F.col("w")).otherwise(F.raise_error(F.concat(F.lit("no vote for "), F.col("target"))).cast("double"))
+    return votes.select("study", "target", p.alias("p"))
+
+
+def tta_mix(a: Column, b: Column, weight: float = 0.65) -> Column:
+    """The probability of a mix of two logits. Fixed value: 0.65 of the first."""
+    return sigmoid(weight * logit(a) + (1 - weight) * logit(b))
+
+
 def blend_rank_by_fold(df: DataFrame) -> DataFrame:
     """Ranks within each model's fold, averaged over the models; studies that lack a model are left out."""
     n = df.select("model").distinct().count()
@@ -49,7 +71,7 @@ def blend_half_rank(df: DataFrame) -> DataFrame:
 def blend_rank_of_mean(df: DataFrame) -> DataFrame:
     """Rank of the mean probability over the family's members that are present."""
     mean = df.groupBy("study", "target").agg(F.round(F.avg("p"), 9).alias("m"))
-    return with_rank(mean, "p", "m", ["target"], "pct").select("study", "target", "p")
+    return with_rank(written(mean, "blend"), "p", "m", ["target"], "pct").select("study", "target", "p")
 
 
 def blend_masked(df: DataFrame, parent: str, other: str, weight: float, eligible: Column) -> DataFrame:
@@ -58,7 +80,7 @@ def blend_masked(df: DataFrame, parent: str, other: str, weight: float, eligible
         F.max(F.when(F.col("model") == parent, F.col("p"))).alias("a"), F.max(F.when(F.col("model") == other, F.col("p"))).alias("b")
     ).withColumn("ok", eligible)
     part = ["target", "ok"]
-    ranked = with_rank(with_rank(with_rank(wide, "ra", "a", part, "pct"), "rb", "b", part, "pct"), "all", "a", ["target"], "pct")
+    ranked = with_ranks(wide, {"ra": ("a", part), "rb": ("b", part), "all": ("a", ["target"])})
     mixed = (1 - weight) * F.col("ra") + weight * F.col("rb")
     return ranked.select("study", "target", F.when(F.col("ok"), mixed).otherwise(F.col("all")).alias("p"))
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges of equal width between the least and the largest score of a group.
-RANGES = 1024
+#: Ranges of scores between a power of two and the next.
+RANGES = 64
 
 
 def same_keys_join(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
@@ -24,17 +24,15 @@ def distinct_scores(df: DataFrame, by: list[str], value: str, sums: dict[str, Co
     """(by, value) once each, with every sum over its rows, over the rows of smaller values (``<name>_below``) and over all
     rows of the group (``<name>_total``). Nulls come first and NaN last.
 
-    The sums are combined before the shuffle. Prefix sums run in two levels: over the ``RANGES`` ranges of a group, and
-    over the distinct scores of one range; so a group, however large, is spread over many tasks.
+    The sums are combined before the shuffle. Prefix sums run in two levels: over the ranges of a group, of which each
+    power of two has ``RANGES``, and over the distinct scores of one range; so a large group is spread over many tasks.
     """
     counts = df.groupBy(*by, value).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
     x = F.col(value).cast("double")
-    finite = F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
-    edges = counts.groupBy(*by).agg(F.min(finite).alias("_low"), F.max(finite).alias("_high")) if by else counts.agg(F.min(finite).alias("_low"), F.max(finite).alias("_high"))
-    width = F.col("_high") - F.col("_low")
-    within = F.when(width > 0, F.least(F.lit(RANGES - 1), F.floor((finite - F.col("_low")) / width * RANGES))).otherwise(F.lit(0))
-    outer = F.when(x.isNull(), -2).when(x == float("-inf"), -1).when(F.isnan(x) | (x == float("inf")), RANGES)
-    placed = same_keys_join(counts, edges, by).withColumn("_range", F.coalesce(outer, within).cast("int")).drop("_low", "_high")
+    most = 2000 * RANGES  # above all exponents
+    size = F.floor(F.log2(F.abs(x)) * RANGES) + most
+    spot = F.when(x.isNull(), -3 * most).when(F.isnan(x) | (x == float("inf")), 3 * most).when(x == float("-inf"), -3 * most + 1)
+    placed = counts.withColumn("_range", spot.when(x == 0, 0).when(x > 0, size).otherwise(-size).cast("int"))
     ranges = placed.groupBy(*by, "_range").agg(*[F.sum(n).alias(n) for n in sums])
     before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     inside = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)

@@ -197,7 +197,7 @@ def validate_output(spark, sf_dir):
     return audit.validate(out, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("study")), "study", ["p"])
 
 
-@query("validate_contract", "SELECT 'rows' AS name, (SELECT count(*) FROM labels) = (SELECT count(*) FROM documents) AS passed UNION ALL SELECT 'unique', true UNION ALL SELECT 'same_ids', false UNION ALL SELECT 'no_null', (SELECT count(*) FROM labels WHERE quality IS NULL OR toxic IS NULL) = 0 UNION ALL SELECT 'in_range', true")
+@query("validate_contract", "SELECT 'rows' AS name, (SELECT count(*) FROM labels) = (SELECT count(*) FROM documents) AS passed UNION ALL SELECT 'unique', (SELECT count(*) = count(DISTINCT doc_id) FROM labels) UNION ALL SELECT 'same_ids', (SELECT count(*) FROM (SELECT doc_id FROM labels) l FULL JOIN (SELECT doc_id FROM documents) d USING (doc_id) WHERE l.doc_id IS NULL OR d.doc_id IS NULL) = 0 UNION ALL SELECT 'no_null', (SELECT count(*) FROM labels WHERE quality IS NULL OR toxic IS NULL) = 0 UNION ALL SELECT 'in_range', (SELECT count(*) FROM labels WHERE quality < 0 OR quality > 1 OR toxic < 0 OR toxic > 1) = 0")
 def validate_contract(spark, sf_dir):
     """A table that does not cover the required ids: the report names what fails."""
     return audit.validate(table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents").select("doc_id"), "doc_id", ["quality", "toxic"])
@@ -205,8 +205,13 @@ def validate_contract(spark, sf_dir):
 
 @query("sink_atomic_default", PREDS_SQL + " SELECT doc_id, coalesce(p, 0.5) AS p FROM documents LEFT JOIN (SELECT study, p FROM preds WHERE model = 'm1' AND target = 'mcl' AND NOT is_gold) ON study = doc_id")
 def sink_atomic_default(spark, sf_dir):
-    """A whole default table first; predictions replace its values as far as there are any."""
+    """A whole default table is written first; predictions replace its values as far as there are any."""
     from tarnmill.operators.relational import align
+    from tarnmill.sources import files
 
+    first = files.scratch(spark, "default")
+    table(spark, sf_dir, "documents").select("doc_id", F.lit(0.5).alias("p")).write.parquet(first)
     have = fixtures.one_model(spark, sf_dir).filter("target = 'mcl' AND NOT is_gold").select(F.col("study").alias("doc_id"), "p")
-    return align(table(spark, sf_dir, "documents").select("doc_id"), have, "doc_id", {"p": 0.5})
+    final = files.scratch(spark, "final")
+    align(spark.read.parquet(first).select("doc_id"), have, "doc_id", {"p": 0.5}).write.mode("overwrite").parquet(final)
+    return spark.read.parquet(final)

@@ -9,6 +9,7 @@ from tarnmill.operators.ranking import with_rank
 from tarnmill.plans import fixtures
 from tarnmill.plans.fixtures import PREDS_SQL
 from tarnmill.plans.registry import query
+from tarnmill.sources.files import written
 
 W = {"m1": 0.5, "m2": 0.3, "m3": 0.2}
 _W = "CASE model WHEN 'm1' THEN 0.5::DOUBLE WHEN 'm2' THEN 0.3::DOUBLE ELSE 0.2::DOUBLE END"
@@ -47,6 +48,30 @@ def blend_rank_pair(spark, sf_dir):
     return _rounded(blend.blend_rank(fixtures.predictions(spark, sf_dir), {"m1": 0.7, "m2": 0.3}, rerank=True))
 
 
+_MEMBERS = "CASE WHEN target = 'acl' THEN CASE model WHEN 'm1' THEN 0.5::DOUBLE WHEN 'm2' THEN 0.5 ELSE 0 END WHEN model = 'm1' THEN 0.2::DOUBLE WHEN model = 'm2' THEN 0.3 ELSE 0.4 END"
+
+
+@query("blend_rank_members", PREDS_SQL + _RANKED + f" SELECT study, target, round(sum({_MEMBERS} * r) / sum({_MEMBERS}), 6) AS p FROM r GROUP BY 1, 2")
+def blend_rank_members(spark, sf_dir):
+    """One target uses two members, the others three whose weights don't sum to 1."""
+    weights = {t: {"m1": 0.5, "m2": 0.5} if t == "acl" else {"m1": 0.2, "m2": 0.3, "m3": 0.4} for t in fixtures.TARGETS}
+    return _rounded(blend.blend_rank_members(fixtures.predictions(spark, sf_dir), weights))
+
+
+_LOGIT_SQL = "ln(greatest(1e-5, least(1 - 1e-5, {0})) / (1 - greatest(1e-5, least(1 - 1e-5, {0}))))"
+_TTA = (
+    ", w AS (SELECT study, target, max(p) FILTER (model = 'm1') AS a, max(p) FILTER (model = 'm2') AS b FROM preds GROUP BY 1, 2) SELECT study, target, round(1 / (1 + exp(-greatest(-11.5, least(11.5, 0.65::DOUBLE * "
+    + _LOGIT_SQL.format("a") + " + (1 - 0.65::DOUBLE) * " + _LOGIT_SQL.format("b") + ")))), 6) AS p FROM w"
+)
+
+
+@query("tta_mix", PREDS_SQL + _TTA)
+def tta_mix(spark, sf_dir):
+    one = lambda m: F.max(F.when(F.col("model") == m, F.col("p"))).alias(m)
+    wide = fixtures.predictions(spark, sf_dir).groupBy("study", "target").agg(one("m1"), one("m2"))
+    return _rounded(wide.select("study", "target", blend.tta_mix(F.col("m1"), F.col("m2")).alias("p")))
+
+
 @query("blend_rank_by_fold", PREDS_SQL + f", r AS (SELECT *, {_pct('p', 'target, model, fold')} AS r FROM preds) SELECT study, target, round(avg(r), 6) AS p FROM r GROUP BY 1, 2 HAVING count(*) = 3")
 def blend_rank_by_fold(spark, sf_dir):
     return _rounded(blend.blend_rank_by_fold(fixtures.predictions(spark, sf_dir)))
@@ -80,7 +105,7 @@ def blend_rank_three_way(spark, sf_dir):
     w = blend.weight_map(weights)
     ranked = with_rank(fixtures.predictions(spark, sf_dir), "r", "p", ["target", "model"], "pct")
     raw = ranked.groupBy("study", "target").agg(F.round(F.sum(w * F.col("r")), 9).alias("b"))
-    return _rounded(with_rank(raw, "p", "b", ["target"], "pct"))
+    return _rounded(blend.with_ranks(raw, {"p": ("b", ["target"])}))
 
 
 _MASK = f""", w AS (SELECT study, target, max(p) FILTER (model = 'm1') AS a, max(p) FILTER (model = 'm2') AS b, study % 3 = 0 AS ok FROM preds GROUP BY 1, 2)
@@ -106,15 +131,14 @@ def blend_rank_residual(spark, sf_dir):
     """Only synovitis changes: towards a proxy of its own and effusion's consensus, ranked again at every step."""
     one = lambda m: F.max(F.when(F.col("model") == m, F.col("p"))).alias(m)
     wide = fixtures.predictions(spark, sf_dir).groupBy("study", "target").agg(one("m1"), one("m2"), one("m3"))
-    for m in fixtures.MODELS:
-        wide = with_rank(wide, f"r{m}", m, ["target"], "pct")
+    wide = blend.with_ranks(wide, {f"r{m}": (m, ["target"]) for m in fixtures.MODELS})
     ranks = wide.select("study", "target", *[F.col(f"r{m}").alias(m) for m in fixtures.MODELS])
-    consensus = with_rank(ranks.withColumn("mix", F.round(0.55 * F.col("m2") + 0.45 * F.col("m3"), 9)), "k", "mix", ["target"], "pct")
+    consensus = written(blend.with_ranks(ranks.withColumn("mix", F.round(0.55 * F.col("m2") + 0.45 * F.col("m3"), 9)), {"k": ("mix", ["target"])}), "consensus")
     of = lambda t: F.max(F.when(F.col("target") == t, F.col("k")))
     proxy = consensus.groupBy("study").agg(F.round(0.82 * of("synovitis") + 0.18 * of("effusion"), 9).alias("own")).withColumn("target", F.lit("synovitis"))
-    proxy = with_rank(proxy, "proxy", "own", ["target"], "pct").select("study", "target", "proxy")
+    proxy = blend.with_ranks(proxy, {"proxy": ("own", ["target"])}).select("study", "target", "proxy")
     mixed = consensus.join(proxy, ["study", "target"], "left").withColumn("m", F.round(0.7 * F.col("m1") + 0.3 * F.col("proxy"), 9))
-    final = with_rank(mixed, "r", "m", ["target"], "pct")
+    final = blend.with_ranks(mixed, {"r": ("m", ["target"])})
     return _rounded(final.select("study", "target", F.when(F.col("proxy").isNotNull(), F.col("r")).otherwise(F.col("m1")).alias("p")))
 
 
@@ -129,7 +153,7 @@ def blend_soft_target(spark, sf_dir):
     one = lambda m: F.max(F.when(F.col("model") == m, F.col("p"))).alias(m)
     wide = fixtures.predictions(spark, sf_dir).groupBy("study", "target").agg(one("m1"), one("m2"))
     w = F.coalesce(blend.weight_map({"acl": 0.4, "effusion": 0.2}, "target"), F.lit(0.0))
-    ranked = with_rank(with_rank(wide, "r1", "m1", ["target"], "pct"), "r2", "m2", ["target"], "pct")
+    ranked = blend.with_ranks(wide, {"r1": ("m1", ["target"]), "r2": ("m2", ["target"])})
     return _rounded(ranked.select("study", "target", ((1 - w) * F.col("r1") + w * F.col("r2")).alias("p")))
 
 
@@ -271,5 +295,5 @@ def check_protected(spark, sf_dir):
     """How many rows of each target a blend changed; protected targets must show 0."""
     one = lambda m: F.max(F.when(F.col("model") == m, F.col("p"))).alias(m)
     wide = fixtures.predictions(spark, sf_dir).groupBy("study", "target").agg(one("m1"))
-    base = with_rank(wide, "r", "m1", ["target"], "pct").select("study", "target", F.round("r", 6).alias("before"))
+    base = blend.with_ranks(wide, {"r": ("m1", ["target"])}).select("study", "target", F.round("r", 6).alias("before"))
     return base.join(blend_soft_target(spark, sf_dir), ["study", "target"]).groupBy("target").agg(F.sum((F.col("p") != F.col("before")).cast("long")).alias("n_changed"))

@@ -110,6 +110,40 @@ def scan_csv(spark, sf_dir):
     return files.read_csv(spark, path, "doc_id string, quality int, toxic int").select(F.col("doc_id").cast("bigint").alias("doc_id"), "quality", "toxic")
 
 
+@query("scan_csv_dtype", "SELECT c_custkey::VARCHAR AS c_custkey, c_mktsegment FROM customer")
+def scan_csv_dtype(spark, sf_dir):
+    """Ids as text and two of the columns: the header is peeked at for the schema, and the scan is pruned to what is used."""
+    from tarnmill.sources import files
+
+    path = files.scratch(spark, "csv")
+    files.write_csv(table(spark, sf_dir, "customer"), path)
+    return files.read_columns(spark, path, ["c_custkey", "c_mktsegment"], {"c_custkey": "string", "c_mktsegment": "string"})
+
+
+@query("scan_embedded", "SELECT * FROM (VALUES ('acl', 0.7::DOUBLE), ('mcl', 0.5::DOUBLE), ('effusion', NULL)) AS t(target, weight)")
+def scan_embedded(spark, sf_dir):
+    """A table that travels inside the code, made here from its three lines."""
+    import base64
+    import gzip
+
+    from tarnmill.sources import files
+
+    payload = base64.b64encode(gzip.compress(b"target,weight\nacl,0.7\nmcl,0.5\neffusion,\n")).decode()
+    return files.read_embedded(spark, payload, "target string, weight double")
+
+
+@query("scan_binary_tree", "SELECT source AS grp, count(*) AS n FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL) GROUP BY source")
+def scan_binary_tree(spark, sf_dir):
+    """Files below a folder, one folder a group; contents are not read. One file is written for each source."""
+    from tarnmill.sources import files
+
+    path = files.scratch(spark, "tree")
+    groups = table(spark, sf_dir, "documents").filter("source IS NOT NULL").select("source").distinct().withColumn("value", F.col("source"))
+    groups.repartition(1, "source").write.partitionBy("source").text(path)
+    found = files.read_binary_tree(spark, path, "*.txt")
+    return found.groupBy(F.regexp_replace("group", "^source=", "").alias("grp")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("scan_jsonl", "SELECT conv_id, turn, role, text FROM conversations")
 def scan_jsonl(spark, sf_dir):
     from tarnmill.sources import files

@@ -309,17 +309,30 @@ def agg_text_lengths(spark, sf_dir):
     return words.crossJoin(top).filter("n < top").agg(F.count(F.lit(1)).alias("n_docs"), F.round(F.avg("n"), 6).alias("mean"), F.max("n").alias("most"))
 
 
-@query("agg_hash_digest", "SELECT source, sha256(string_agg(doc_id::VARCHAR, chr(10) ORDER BY doc_id)) AS digest FROM documents GROUP BY source")
+_DIGEST = """WITH r AS (SELECT source, doc_id // 4096 AS part, sha256(string_agg(doc_id::VARCHAR, chr(10) ORDER BY doc_id)) AS digest FROM documents GROUP BY 1, 2)
+SELECT source, sha256(string_agg(digest, chr(10) ORDER BY part)) AS digest FROM r GROUP BY source"""
+
+
+@query("agg_hash_digest", _DIGEST)
 def agg_hash_digest(spark, sf_dir):
-    """SHA-256 of a group's ordered ids; a group is one manifest, which its writer bounds."""
-    ids = F.transform(F.sort_array(F.collect_list("doc_id")), lambda x: x.cast("string"))
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.sha2(F.array_join(ids, "\n"), 256).alias("digest"))
+    """SHA-256 of the digests of a group's ranges of 4,096 ids, in order, each over its ordered ids: no task holds all
+    ids of a large group."""
+    ordered = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(c)), lambda x: x["v"]), "\n")
+    rows = table(spark, sf_dir, "documents").select("source", F.floor(F.col("doc_id") / 4096).alias("part"), F.struct(F.col("doc_id").alias("k"), F.col("doc_id").cast("string").alias("v")).alias("id"))
+    parts = rows.groupBy("source", "part").agg(F.sha2(ordered("id"), 256).alias("digest"))
+    return parts.select("source", F.struct(F.col("part").alias("k"), F.col("digest").alias("v")).alias("d")).groupBy("source").agg(F.sha2(ordered("d"), 256).alias("digest"))
 
 
 @query("sink_append_resume", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY doc_id")
 def sink_append_resume(spark, sf_dir):
-    """What a restarted job still has to do: input ids without a row in the output."""
-    return rel.remaining(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "doc_id")
+    """What a restarted job still has to do: input ids without a row in the output, appended to what it then wrote."""
+    from tarnmill.sources import files
+
+    path = files.scratch(spark, "appended")
+    rest = rel.remaining(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "doc_id")
+    rest.write.parquet(path)
+    rel.remaining(rest, spark.read.schema(rest.schema).parquet(path), "doc_id").write.mode("append").parquet(path)  # a second start adds nothing
+    return spark.read.schema(rest.schema).parquet(path)
 
 
 @query("running_totals_stop", "WITH t AS (SELECT event_id, user_id, sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS cost FROM events WHERE value IS NOT NULL) SELECT event_id, user_id, round(cost, 4) AS cost FROM t WHERE cost <= 100")

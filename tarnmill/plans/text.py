@@ -226,9 +226,10 @@ def cosine_similarity(spark, sf_dir):
     return v.join(nxt, "vec_id").select("vec_id", F.round(tx.cosine(F.col("embedding"), F.col("b")), 5).alias("c"))
 
 
-@query("l2_normalize", "SELECT vec_id, round(embedding[1]::DOUBLE / (sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) + 1e-8), 6) AS first FROM embeddings")
+@query("l2_normalize", "SELECT vec_id, i - 1 AS pos, round(embedding[i]::DOUBLE / n, 6) AS v FROM (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) + 1e-8 AS n, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)")
 def l2_normalize(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(tx.l2_normalize(F.col("embedding"))[0], 6).alias("first"))
+    unit = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(tx.l2_normalize(F.col("embedding"))).alias("pos", "v"))
+    return unit.select("vec_id", "pos", F.round("v", 6).alias("v"))
 
 
 _TFIDF = """WITH w AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, len(t) - 1), lambda i: substr(t, i, 3)))) AS g, t FROM (SELECT doc_id, ' ' || lower(text) || ' ' AS t FROM documents)),
@@ -250,6 +251,10 @@ def tfidf_char_fingerprint(spark, sf_dir):
 def sink_json_bundle(spark, sf_dir):
     """A nested record per study, written as JSON and read back; its digest shows that nothing is lost."""
     rows = fixtures.one_model(spark, sf_dir).groupBy("study").agg(F.sort_array(F.collect_list(F.struct("target", "p"))).alias("radar"))
-    back = rows.select("study", F.from_json(F.to_json(F.struct("radar")), "radar array<struct<target:string,p:double>>").alias("j"))
-    line = F.array_join(F.transform("j.radar", lambda x: F.concat(x["target"], F.lit("="), F.format_string("%.4f", x["p"]))), ",")
-    return back.select("study", F.md5(line).alias("digest"), F.size("j.radar").cast("bigint").alias("n"))
+    from tarnmill.sources import files
+
+    path = files.scratch(spark, "bundle")
+    rows.write.json(path)
+    back = files.read_jsonl(spark, path, rows.schema)
+    line = F.array_join(F.transform("radar", lambda x: F.concat(x["target"], F.lit("="), F.format_string("%.4f", x["p"]))), ",")
+    return back.select("study", F.md5(line).alias("digest"), F.size("radar").cast("bigint").alias("n"))

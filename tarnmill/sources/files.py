@@ -14,7 +14,10 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the session's shared folder; a local master without one gets a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
-        if not spark.sparkContext.master.startswith("local["):
+        found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        base = found.get() if found.isDefined() else None
+    if base is None:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tarnmill-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -27,11 +30,25 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` after a round trip through the shared folder, for what several steps read."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """CSV with a header and an explicit schema: no pass to infer types, ids stay text."""
     return spark.read.csv(path, header=True, schema=schema, multiLine=False, escape='"')
 
 
+def read_columns(spark: SparkSession, path: str, columns: list[str], types: dict[str, str]) -> DataFrame:
+    """Some columns of a CSV with a header, with given types (else text); the header's names are read from one line."""
+    header = spark.read.csv(path, header=True, inferSchema=False, escape='"').columns
+    schema = ", ".join(f"`{c}` {types.get(c, 'string')}" for c in header)
+    return read_csv(spark, path, schema).select(*columns)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.csv(path, header=True, escape='"')
 
