@@ -22,8 +22,8 @@ from tarnmill.llm.graph import connected_components
 COORDINATES, VALUES, MISS = 32, 2, 1e-8
 #: Most 64-bit words (8 MB) of the filter that keeps texts of no interest out of a shuffle.
 FILTER_WORDS = 1 << 20
-#: Packed bytes of the texts that are read at once.
-PART_BYTES = 1 << 20
+#: Bytes of the texts that are signed at once, and packed bytes of those that are compared.
+SIGN_BYTES, PART_BYTES = 2 << 20, 1 << 19
 
 _RANDOM = np.random.default_rng(20240607)
 _TIMES = _RANDOM.integers(0, 2**64, 256, dtype=np.uint64) | np.uint64(1)
@@ -108,7 +108,7 @@ def text_signatures(df: DataFrame, id_col: str, text_col: str, width: int) -> Da
 
     def sign(batches):
         for batch in batches:
-            for piece in tb.slices(batch, "text"):
+            for piece in tb.slices(batch, "text", SIGN_BYTES):
                 values, bounds = shingle_sets(piece.column(1), width)
                 with np.errstate(over="ignore"):
                     sums = [np.concatenate([[np.uint64(0)], np.cumsum(v, dtype=np.uint64)]) for v in (values, tb.mix(values ^ np.uint64(0x5851F42D4C957F2D)))]
