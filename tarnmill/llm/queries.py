@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tarnmill.llm import arc_convert, chat_format, licence_scan, line_dedup, line_quality, mixing, near_dedup, phrase_index, pii_bootstrap, secret_scan
+from tarnmill.llm import arc_convert, chat_format, licence_scan, line_dedup, line_quality, mixing, near_dedup, phrase_index, pii_bootstrap, prefix_trie
+from tarnmill.llm import secret_scan, set_relations, vector_codes
 
 _ALL = {
     "op1_mixing": (mixing.op1_mixing, mixing.OP1_SQL),
@@ -15,6 +16,9 @@ _ALL = {
     "op8_line_dedup": (line_dedup.op8_line_dedup, line_dedup.OP8_SQL),
     "op9_phrase_index": (phrase_index.op9_phrase_index, phrase_index.OP9_SQL),
     "op10_chat_format": (chat_format.op10_chat_format, chat_format.OP10_SQL),
+    "op11_set_join": (set_relations.op11_set_join, set_relations.OP11_SQL),
+    "op12_prefix_trie": (prefix_trie.op12_prefix_trie, prefix_trie.OP12_SQL),
+    "op13_vector_codes": (vector_codes.op13_vector_codes, vector_codes.OP13_SQL),
 }
 
 
