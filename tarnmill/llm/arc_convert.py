@@ -45,6 +45,7 @@ class ArcRecord:
     fields: dict[str, str]
     content: bytes
     problem: str | None = None
+    version_block: bool = False
 
 
 def open_read(path: str):
@@ -117,7 +118,8 @@ class _Lines:
 
 
 def read_arc(stream) -> Iterator[tuple[int, ArcRecord]]:
-    """(version, record) of an uncompressed ARC stream; the first record is the version block.
+    """(version, record) of an uncompressed ARC stream; the first record is the version block, and no later one is,
+    whatever its URL.
 
     The version block is a version-1 or version-2 line by its number of fields; its content begins with the
     version, which tells how the lines of all other records are read. A record whose declared length passes the
@@ -140,9 +142,9 @@ def read_arc(stream) -> Iterator[tuple[int, ArcRecord]]:
         fields = dict(zip(ARC_FIELDS[found], (x.decode("utf-8", "replace") for x in _HEADER[found].match(bare).groups())))
         length = int(fields["length"])
         content, problem = lines.read(length), None
+        block = first and fields["url"].startswith("filedesc:")
         if first:
-            declared = content[:1] if fields["url"].startswith("filedesc:") else b""
-            version, first = int(declared) if declared in (b"1", b"2") else found, False
+            version, first = int(content[:1]) if block and content[:1] in (b"1", b"2") else found, False
         if len(content) < length:
             problem = "shorter than its declared length"
         else:
@@ -158,7 +160,7 @@ def read_arc(stream) -> Iterator[tuple[int, ArcRecord]]:
                     lines.unread(line)
                     break
                 content += line
-        yield version, ArcRecord(at, fields, content, problem)
+        yield version, ArcRecord(at, fields, content, problem, block)
 
 
 # WARC
@@ -198,7 +200,7 @@ def arc_to_warc(version: int, record: ArcRecord, archive: str, refers_to: tuple[
     """
     f = record.fields
     headers = [("WARC-Type", ""), ("WARC-Record-ID", record_id(archive, record.offset)), ("WARC-Date", warc_date(f["date"]))]
-    if f["url"].startswith("filedesc:"):
+    if record.version_block:
         headers[0] = ("WARC-Type", "warcinfo")
         return warc_record([*headers, ("WARC-Filename", archive), ("Content-Type", "application/warc-fields")], f"format: WARC File Format 1.1\r\nconverted-from: ARC/{version}\r\n".encode())
     http, payload = split_http(record.content)
@@ -300,7 +302,7 @@ def index_arcs(manifest: DataFrame) -> DataFrame:
                 rows = []
                 with open_read(path) as stream:
                     for _, r in read_arc(stream):
-                        if r.fields.get("url", "").startswith("filedesc:"):
+                        if r.version_block:
                             continue
                         http, payload = split_http(r.content)
                         page = re.search(rb"\r\nX-Page-Id: ([^\r]*)\r\n", http)
