@@ -28,11 +28,11 @@ def bigrams(words: Column) -> Column:
 
 
 def template_array(spark: SparkSession, templates) -> tuple[Column, int]:
-    """The templates as one literal, array of (licence, n, bigrams), and the least n. Their number and size are fixed in
+    """The templates as one literal, array of (licence, n, length, bigrams), and the least n; ``length`` counts repeated ones. Their number and size are fixed in
     the code."""
     rows = spark.createDataFrame([(k, name, text) for k, (name, text) in enumerate(templates)], "k int, name string, text string")
-    hashed = rows.orderBy("k").select("name", bigrams(normalised_words(F.col("text"))).alias("b")).collect()
-    table = F.array(*[F.struct(F.lit(r["name"]).alias("licence"), F.lit(len(r["b"])).alias("n"), F.array(*map(F.lit, r["b"])).alias("bigrams")) for r in hashed])
+    hashed = rows.orderBy("k").select("name", bigrams(normalised_words(F.col("text"))).alias("b"), F.size(ordered_bigrams(normalised_words(F.col("text")))).alias("length")).collect()
+    table = F.array(*[F.struct(F.lit(r["name"]).alias("licence"), F.lit(len(r["b"])).alias("n"), F.lit(r["length"]).alias("length"), F.array(*map(F.lit, r["b"])).alias("bigrams")) for r in hashed])
     return table, min((len(r["b"]) for r in hashed), default=0)
 
 
@@ -40,10 +40,11 @@ def windows(seq: Column, distinct: Column, table: Column, vocabulary: Column, le
     """Array of (start, stop, licence, n, shared, total): for each template, the best runs of bigrams ``seq[start..stop]``
     at or over ``threshold``, of those that share bigrams the best, then the first.
 
-    A best run begins and ends with a bigram of the template and holds at least ``need`` distinct ones, among at most
-    ``most`` distinct bigrams. So a template is dropped unless the whole text shares ``need`` with it, and a start
-    unless ``need`` of them lie ahead within such a size. From each start left every end is scored: a bigram is new
-    to a run if its previous place lies before the start.
+    A run has at most ``reach`` bigrams, the template's own number times the ratio of sizes that can match; so each start
+    costs the same however often the text repeats itself, and the whole is linear in the text. A best run begins and ends
+    with a bigram of the template and holds at least ``need`` distinct ones. So a template is dropped unless the whole
+    text shares ``need`` with it, and a start unless ``need`` of them lie ahead within such a length. From each start
+    left every end is scored: a bigram is new to a run if its previous place lies before the start.
     """
     seen = F.array_intersect(distinct, vocabulary)
     close = let(
@@ -51,7 +52,7 @@ def windows(seq: Column, distinct: Column, table: Column, vocabulary: Column, le
         lambda s: F.when(
             F.size(s) * (200 - threshold) >= least * threshold,
             F.filter(
-                F.transform(table, lambda t: F.struct(t["licence"].alias("licence"), t["n"].alias("n"), F.array_intersect(t["bigrams"], s).alias("b"))),
+                F.transform(table, lambda t: F.struct(t["licence"].alias("licence"), t["n"].alias("n"), t["length"].alias("length"), F.array_intersect(t["bigrams"], s).alias("b"))),
                 lambda t: (F.size(t["b"]) > 0) & (F.size(t["b"]) * (200 - threshold) >= t["n"] * threshold),
             ),
         ),
@@ -63,8 +64,8 @@ def windows(seq: Column, distinct: Column, table: Column, vocabulary: Column, le
     )
     previous = F.transform(F.array_sort(placed), lambda x: x["prev"])
 
-    def best_end(a, reach, steps, n):
-        """The best end of a run from ``a``, scored over ``reach`` bigrams."""
+    def best_end(a, steps, n):
+        """The best end of a run from ``a``, scored over the bigrams ``steps``."""
         zero = F.struct(*[F.lit(0).alias(c) for c in ("at", "shared", "size", "best", "of", "stop")])
 
         def step(s, x):
@@ -74,42 +75,52 @@ def windows(seq: Column, distinct: Column, table: Column, vocabulary: Column, le
             keep = lambda value, old: F.when(better, value).otherwise(s[old]).alias(old)
             return F.struct((s["at"] + 1).alias("at"), shared.alias("shared"), size.alias("size"), keep(shared, "best"), keep(size, "of"), keep(a + s["at"], "stop"))
 
-        return F.aggregate(F.slice(steps, a + 1, reach), zero, step)
+        return F.aggregate(steps, zero, step)
 
     def runs(t, prev):
         need = F.ceil(t["n"] * threshold / (200 - threshold)).cast("int")
-        most = F.floor(t["n"] * (200 - threshold) / threshold).cast("int")
+        reach = F.floor(t["length"] * (200 - threshold) / threshold).cast("int")
         steps = F.transform(seq, lambda g, i: F.struct(i.alias("i"), F.array_contains(t["b"], g).cast("int").alias("hit"), F.get(prev, i).alias("prev")))
 
         def from_starts(steps):
             hits = F.transform(F.filter(steps, lambda x: x["hit"] == 1), lambda x: x["i"])
-            distinct_in = lambda a, length: F.size(F.array_distinct(F.slice(seq, a + 1, length)))
             starts = let(
                 hits,
-                lambda h: F.filter(
-                    F.transform(h, lambda a, k: F.struct(a.alias("a"), F.get(h, k + need - 1).alias("z"))),
-                    lambda x: F.coalesce((x["z"] - x["a"] < most) | (distinct_in(x["a"], x["z"] - x["a"] + 1) <= most), F.lit(False)),
+                lambda h: F.transform(
+                    F.filter(F.transform(h, lambda a, k: F.struct(a.alias("a"), F.get(h, k + need - 1).alias("z"))), lambda x: F.coalesce(x["z"] - x["a"] < reach, F.lit(False))), lambda x: x["a"]
                 ),
             )
-            # A reach with more than ``most`` distinct bigrams holds every run in question.
-            reach = lambda a: F.when(distinct_in(a, 2 * most) > most, 2 * most).when(distinct_in(a, 16 * most) > most, 16 * most).otherwise(F.size(seq))
-            ahead = F.filter(
-                F.transform(starts, lambda x: F.struct(x["a"].alias("a"), reach(x["a"]).alias("reach"))),
-                lambda x: F.size(F.array_intersect(F.slice(seq, x["a"] + 1, x["reach"]), t["b"])) >= need,
-            )
+            ahead = F.filter(starts, lambda a: F.size(F.array_intersect(F.slice(seq, a + 1, reach), t["b"])) >= need)
             ends = F.transform(
                 ahead,
-                lambda x: let(
-                    best_end(x["a"], x["reach"], steps, t["n"]),
+                lambda a: let(
+                    best_end(a, F.slice(steps, a + 1, reach), t["n"]),
                     lambda e: F.struct(
-                        (-2.0 * e["best"] / (t["n"] + e["of"])).alias("dice"), x["a"].alias("start"), e["stop"].alias("stop"), t["licence"].alias("licence"), t["n"].alias("n"),
+                        (-2.0 * e["best"] / (t["n"] + e["of"])).alias("dice"), a.alias("start"), e["stop"].alias("stop"), t["licence"].alias("licence"), t["n"].alias("n"),
                         e["best"].alias("shared"), (t["n"] + e["of"]).alias("total"),
                     ),
                 ),
             )
             good = F.array_sort(F.filter(ends, lambda e: 200 * e["shared"] >= threshold * e["total"]))
-            pick = lambda told, e: F.when(F.exists(told, lambda o: (o["start"] <= e["stop"]) & (e["start"] <= o["stop"])), told).otherwise(F.concat(told, F.array(e)))
-            return let(good, lambda g: F.aggregate(g, F.filter(g, lambda _: F.lit(False)), pick))
+
+            def apart(g):
+                """The best first, each but those that overlap one taken before.
+
+                A run holds ``need`` bigrams at least, so of runs apart at most one starts in each ``need`` places; one that
+                overlaps a candidate starts in one of few such blocks.
+                """
+                block = lambda i: F.floor(i / need).cast("int")
+                none = F.array_repeat(F.get(g, F.lit(-1)), block(F.size(steps)) + 1)
+
+                def pick(told, e):
+                    low = F.greatest(F.lit(0), block(e["start"] - reach))
+                    beside = F.slice(told, low + 1, block(e["stop"]) - low + 1)
+                    taken = F.exists(beside, lambda o: F.coalesce((o["start"] <= e["stop"]) & (e["start"] <= o["stop"]), F.lit(False)))
+                    return F.when(taken, told).otherwise(F.transform(told, lambda o, i: F.when(i == block(e["start"]), e).otherwise(o)))
+
+                return F.when(F.size(g) > 0, F.filter(F.aggregate(g, none, pick), lambda o: o.isNotNull())).otherwise(g)
+
+            return let(good, apart)
 
         return let(steps, from_starts)
 
@@ -125,9 +136,10 @@ def scan_licences(df: DataFrame, text_col: str = "text", threshold: int = 80, te
     replace input columns of the same name. Paragraphs are told apart by blank lines and compared only where there
     are at least two; a text of one line is not compared again as a line.
 
-    A window is any run of words, over line and paragraph ends too, so a template is found with whatever stands around
-    it. Of windows of a template that overlap, the best is told. A window that overlaps a matched unit is not told
-    again where that unit was itself compared with the template, its size being within the bounds.
+    A window is a run of words, over line and paragraph ends too, so a template is found with whatever stands around
+    it; its bigrams, repeated ones counted, are within the size bound of the template's. Of windows of a template that overlap, the best is told. A
+    window that overlaps a matched unit is not told again if that unit matches the same licence at least as well, nor one
+    within a unit that matches another licence at least as well.
 
     A Dice coefficient of t needs sizes within t / (2 - t) of each other, so a template outside these bounds is
     pruned before any intersection. Windows are looked for only where the text shares enough bigrams with a template for
@@ -172,18 +184,21 @@ def scan_licences(df: DataFrame, text_col: str = "text", threshold: int = 80, te
     counts = lambda parts: F.transform(parts, lambda x: F.size(normalised_words(x)))
 
     def told_anew(found, wins):
-        """The windows that overlap no matched unit which was compared with their template."""
+        """The windows that overlap no unit which matches their licence at least as well, and lie in none which matches
+        another one so."""
 
         def ranged(line_words, paragraph_words):
             span = lambda sizes, p: F.struct(F.aggregate(F.slice(sizes, 1, p), F.lit(0), lambda s, x: s + x).alias("first"), F.get(sizes, p).alias("words"))
             whole = F.struct(F.lit(0).alias("first"), (F.size("_tm_seq") + 1).alias("words"))
             at = lambda m: F.when(m["unit"] == "text", whole).when(m["unit"] == "line", span(line_words, m["place"])).otherwise(span(paragraph_words, m["place"]))
-            return F.transform(found, lambda m: F.struct(at(m).alias("at"), m["size"].alias("size")))
+            return F.transform(found, lambda m: F.struct(at(m).alias("at"), m["licence"].alias("licence"), m["shared"].alias("shared"), m["total"].alias("total")))
 
         units = let(counts(lines), lambda a: let(counts(paragraphs), lambda b: ranged(a, b)))
-        compared = lambda u, w: (w["n"] * (200 - threshold) >= u["size"] * threshold) & (u["size"] * (200 - threshold) >= w["n"] * threshold)
+        as_good = lambda u, w: u["shared"].cast("long") * w["total"] >= w["shared"].cast("long") * u["total"]
         overlap = lambda u, w: (w["start"] < u["at"]["first"] + u["at"]["words"]) & (w["stop"] + 1 >= u["at"]["first"])
-        return let(units, lambda us: F.filter(wins, lambda w: ~F.exists(us, lambda u: compared(u, w) & overlap(u, w))))
+        inside = lambda u, w: (w["start"] >= u["at"]["first"]) & (w["stop"] + 1 < u["at"]["first"] + u["at"]["words"])
+        explains = lambda u, w: as_good(u, w) & F.when(u["licence"] == w["licence"], overlap(u, w)).otherwise(inside(u, w))
+        return let(units, lambda us: F.filter(wins, lambda w: ~F.exists(us, lambda u: explains(u, w))))
 
     told = lambda ms, unit, place: F.transform(
         ms, lambda m: F.struct(unit(m).alias("unit"), place(m).alias("place"), m["licence"].alias("licence"), m["shared"].alias("shared"), m["total"].alias("total"))

@@ -192,9 +192,11 @@ def test_pages_edges(spark, tmp_path):
 
 def test_pages_with_equal_payloads(spark, tmp_path):
     rows = [(5, "http://a b/", "same"), (2, None, "same"), (9, "u", "same"), (9, "u", "same"), (3, "u", None), (4, "u", ""), (None, "u", "same"), (8, "u", "é\r\n\r\nWARC/1.1")]
+    rows += [(20, "filedesc://b.arc", "block"), (21, "filedesc://b.arc", "block"), (22, "WARC/1.0", "x"), (23, "filedesc:", None)]
     spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     got = sorted(((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in arc.op2_arc_convert(spark, str(tmp_path)).collect()), key=repr)
     want = [(5, 4, "revisit", 2), (2, 4, "response", None), (9, 4, "revisit", 2), (9, 4, "revisit", 2), (3, 0, "response", None), (4, 0, "revisit", 3), (None, 4, "revisit", 2), (8, 14, "response", None)]
+    want += [(20, 5, "response", None), (21, 5, "revisit", 20), (22, 1, "response", None), (23, 0, "revisit", 3)]
     assert got == sorted(want, key=repr)
 
 
@@ -278,13 +280,13 @@ You should have received a copy of the GNU Affero General Public License along w
 
 
 def _best_window(text, template):
-    """Brute force over all runs of words: the best Dice coefficient."""
+    """Brute force over all runs of words within the size bound: the best Dice coefficient."""
     words = lambda t: re.findall(r"[^\W_]+", t.lower())
     grams = lambda t: list(zip(words(t), words(t)[1:]))
     g, t, best = grams(text), set(grams(template)), 0.0
     for a in range(len(g)):
         run = set()
-        for b in range(a, len(g)):
+        for b in range(a, min(len(g), a + len(grams(template)) * 120 // 80)):
             run.add(g[b])
             best = max(best, 2 * len(run & t) / (len(run) + len(t)))
     return best
@@ -319,6 +321,21 @@ def test_licence_windows_match_brute_force(spark):
             assert whole or max(found, default=0) == (pytest.approx(best) if best >= 0.8 else 0), (text, name)
 
 
+@pytest.mark.parametrize("k", [2, 28, 60])
+def test_every_copy_of_a_licence_is_told(spark, k):
+    """Copies with words between, in one paragraph and in many, beside a template that repeats itself."""
+    from tarnmill.llm.licence_texts import TEMPLATES
+
+    isc = next(t for name, t in TEMPLATES if name == "ISC")
+    rows = [(1, " ".join(f"made word{j} {isc}" for j in range(k)), "s"), (2, "\n\n".join(f"made word{j} {isc}" for j in range(k)), "s"), (3, "ab cd " * 200 + isc, "s")]
+    got = {r["doc_id"]: r["licences"] for r in licence_scan.scan_licences(docs(spark, rows)).collect()}
+    size = len(isc.split())
+    for i in (1, 2):
+        starts = [m["place"] for m in got[i] if m["unit"] == "window" and m["licence"] == "ISC" and 2 * m["shared"] == m["total"]]
+        assert len(starts) == k and all(b - a >= size for a, b in itertools.pairwise(starts))
+    assert [(m["place"], m["shared"] * 2 == m["total"]) for m in got[3] if m["unit"] == "window" and m["licence"] == "ISC"] == [(400, True)]
+
+
 # 5
 
 
