@@ -140,9 +140,10 @@ n_reach AS (SELECT a AS node, a AS seen FROM n_b UNION SELECT r.node, n_b.b FROM
 d3 AS (SELECT doc_id, t FROM d2 WHERE doc_id NOT IN (SELECT node FROM n_reach WHERE seen < node)),
 -- decontamination
 c_b AS (SELECT item_id, regexp_extract_all({_LOW.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
-c_g AS (SELECT DISTINCT array_to_string(ws[i:i + 9], ' ') AS g FROM (SELECT ws, unnest(range(1, len(ws) - 8)) AS i FROM c_b WHERE len(ws) >= 10)),
+c_g AS (SELECT DISTINCT w, array_to_string(ws[i:i + w - 1], ' ') AS g FROM (SELECT ws, w, unnest(range(1, len(ws) - w + 2)) AS i FROM (SELECT ws, least(len(ws), 10) AS w FROM c_b WHERE len(ws) > 0))),
 c_d AS (SELECT doc_id, regexp_extract_all({_LOW.format("t")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM d3),
-c_h AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, array_to_string(ws[i:i + 9], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 8)) AS i FROM c_d WHERE len(ws) >= 10)) JOIN c_g USING (g)),
+c_h AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, w, array_to_string(ws[i:i + w - 1], ' ') AS g
+  FROM (SELECT doc_id, ws, w, unnest(range(1, len(ws) - w + 2)) AS i FROM c_d, (SELECT DISTINCT w FROM c_g) WHERE len(ws) >= w)) JOIN c_g USING (w, g)),
 d4 AS (SELECT doc_id, lang, source, d3.t AS t FROM d3 JOIN d0 USING (doc_id) WHERE doc_id NOT IN (SELECT doc_id FROM c_h)),
 -- mixing
 m_d AS (SELECT doc_id AS id, source, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+'))::BIGINT AS n FROM d4),
