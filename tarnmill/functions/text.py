@@ -114,14 +114,3 @@ def cosine(a: Column, b: Column) -> Column:
 def l2_normalize(v: Column, eps: float = 1e-8) -> Column:
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     return F.transform(v, lambda x: x.cast("double") / (norm + eps))
-
-
-def char_ngrams(text: Column, n: int) -> Column:
-    """Distinct n-grams of characters; none for shorter texts.
-
-    The characters are an array bound once, as taking substrings by position rereads a string from its start.
-    """
-    grams = lambda c: F.when(
-        F.size(c) >= n, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(c) - n), lambda i: F.concat(*[c[i + k] for k in range(n)])))
-    ).otherwise(F.array().cast("array<string>"))
-    return F.transform(F.array(F.array_remove(F.split(text, "", -1), "")), grams)[0]

@@ -1,9 +1,7 @@
-"""Slice geometry as array expressions, and image operators on binary columns in Arrow batches."""
+"""Slice geometry as array expressions."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,36 +31,3 @@ def plane(orientation: Column) -> Column:
     """By the largest absolute component of the normal, the first of equals."""
     a = F.transform(slice_normal(orientation), lambda x: F.abs(x))
     return F.when((a[0] >= a[1]) & (a[0] >= a[2]), "Sagittal").when(a[1] >= a[2], "Coronal").otherwise("Axial")
-
-
-def window_pixels(pixels: np.ndarray, center: float | None, width: float | None, invert: bool = False, low: float = 1.0, high: float = 99.0) -> np.ndarray:
-    """Linear VOI window to 0..255, truncated; without a window the band between two percentiles."""
-    img = pixels.astype(np.float32)
-    if invert:
-        img = img.max() - img
-    if center is not None and width is not None and width > 0:
-        a, b = center - 0.5 - (width - 1) / 2.0, center - 0.5 + (width - 1) / 2.0
-    else:
-        a, b = np.percentile(img, low), np.percentile(img, high)
-    if not b > a:
-        return np.zeros(img.shape, np.uint8)
-    return ((np.clip(img, a, b) - a) / (b - a) * 255.0).astype(np.uint8)
-
-
-def crop_box(pixels: np.ndarray, threshold: float, margin: int) -> tuple[int, int, int, int]:
-    """(top, bottom, left, right) of the pixels over the threshold with a margin; the whole image if there are none."""
-    rows, cols = np.nonzero(pixels > threshold)
-    if not len(rows):
-        return 0, pixels.shape[0], 0, pixels.shape[1]
-    h, w = pixels.shape
-    return max(0, rows.min() - margin), min(h, rows.max() + margin + 1), max(0, cols.min() - margin), min(w, cols.max() + margin + 1)
-
-
-def window_udf(center: float | None = None, width: float | None = None):
-    """Windows arrays of pixel values; a null stays null."""
-
-    @F.pandas_udf("array<int>")
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else window_pixels(np.asarray(v, np.float32), center, width).astype(np.int32))
-
-    return run

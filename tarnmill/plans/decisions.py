@@ -71,13 +71,6 @@ def sort_slices(spark, sf_dir):
     return pos.select("vec_id", "label", row_number(["label"], [F.col("position"), F.col("vec_id")]).alias("k"))
 
 
-@query("img_window", None)
-def img_window(spark, sf_dir):
-    """Embeddings stand in for pixel rows: a window around 0 of width 1."""
-    pixels = F.transform("embedding", lambda x: x.cast("double"))
-    return table(spark, sf_dir, "embeddings").select("vec_id", geometry.window_udf(0.0, 2.0)(pixels).alias("pixels"))
-
-
 @query("fold_multilabel", None)
 def fold_multilabel(spark, sf_dir):
     wide = fixtures.one_model(spark, sf_dir).groupBy("study").pivot("target", list(fixtures.TARGETS)).agg(F.max("y"))

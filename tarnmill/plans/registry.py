@@ -27,7 +27,7 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from tarnmill.plans import audits, blends, decisions, metrics, relational, scores, text, windows  # noqa: F401
+    from tarnmill.plans import audits, blends, decisions, images, metrics, relational, scores, stacking, text, vectors, windows  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

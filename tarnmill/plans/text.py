@@ -232,21 +232,6 @@ def l2_normalize(spark, sf_dir):
     return unit.select("vec_id", "pos", F.round("v", 6).alias("v"))
 
 
-_TFIDF = """WITH w AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, len(t) - 1), lambda i: substr(t, i, 3)))) AS g, t FROM (SELECT doc_id, ' ' || lower(text) || ' ' AS t FROM documents)),
-df AS (SELECT g, count(*) AS df FROM w GROUP BY g HAVING count(*) >= 3), n AS (SELECT count(*) AS n FROM documents)
-SELECT doc_id, count(*) AS n_terms, round(sum(ln((1 + n) / (1 + df)::DOUBLE) + 1), 4) AS weight FROM w JOIN df USING (g), n GROUP BY doc_id"""
-
-
-@query("tfidf_char_fingerprint", _TFIDF)
-def tfidf_char_fingerprint(spark, sf_dir):
-    """Inverse document frequencies of the distinct character trigrams of each document that at least 3 documents have."""
-    rows = _docs(spark, sf_dir).select("doc_id", F.explode(tx.char_ngrams(F.concat(F.lit(" "), F.lower("text"), F.lit(" ")), 3)).alias("g"))
-    df = rows.groupBy("g").agg(F.count(F.lit(1)).alias("df")).filter("df >= 3")
-    n = table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("n"))
-    idf = df.crossJoin(n).select("g", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    return rows.join(idf, "g").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_terms"), F.round(F.sum("idf"), 4).alias("weight"))
-
-
 @query("sink_json_bundle", PREDS_SQL + " SELECT study, md5(string_agg(target || '=' || format('{:.4f}', p), ',' ORDER BY target)) AS digest, count(*) AS n FROM preds WHERE model = 'm1' GROUP BY study")
 def sink_json_bundle(spark, sf_dir):
     """A nested record per study, written as JSON and read back; its digest shows that nothing is lost."""
