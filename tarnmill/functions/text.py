@@ -65,13 +65,101 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"[.\n;•\->]+"), lambda s: F.trim(s)), lambda s: s != "")
 
 
-def clauses(text: Column, long_words: int = 25) -> Column:
-    """Sentences, a header and what follows its colon together; those of over ``long_words`` words are cut at commas."""
-    n_words = lambda s: F.size(F.split(F.trim(s), r"\s+"))
-    pieces = F.filter(F.transform(F.split(text, r"[.\n;•]+"), lambda s: F.trim(s)), lambda s: s != "")
-    merged = F.transform(pieces, lambda s: F.regexp_replace(s, r":\s*", ": "))
-    cut = F.transform(merged, lambda s: F.when(n_words(s) > long_words, F.split(s, ",")).otherwise(F.array(s)))
-    return F.filter(F.transform(F.flatten(cut), lambda s: F.trim(s)), lambda s: s != "")
+#: A header has at most so many words, and a clause of more than so many is also cut at commas, into parts of
+#: at least so many.
+HEADER_WORDS, LONG_WORDS, PART_WORDS = 14, 25, 3
+_BLANKS = r"[\x20\x09-\x0D]+"
+
+
+def n_words(text: Column) -> Column:
+    return F.size(F.array_remove(F.split(text, _BLANKS, -1), ""))
+
+
+def clauses(text: Column) -> Column:
+    """The statements of a text, an array.
+
+    Pieces end at line breaks and at a full stop, semicolon, exclamation or question mark before a blank. A piece that
+    ends in a colon and is short is a header: it is read with the next piece, which also stays by itself, and not alone.
+    A long clause is followed by its parts between commas, as each may say something of its own.
+    """
+    lines = F.split(F.regexp_replace(text, r"([.;!?])" + _BLANKS, "$1\n"), r"\n+", -1)
+    pieces = F.filter(F.transform(lines, lambda s: F.trim(s)), lambda s: s != "")
+    header = lambda s: s.endswith(":") & (n_words(s) <= HEADER_WORDS)
+    merged = F.transform(F.array(pieces), lambda p: F.transform(p, lambda s, i: F.when(header(s) & (i + 1 < F.size(p)), F.concat_ws(" ", s, F.get(p, i + 1))).otherwise(s)))[0]
+    parts = lambda s: F.filter(F.transform(F.split(s, ",", -1), lambda x: F.trim(x)), lambda x: n_words(x) >= PART_WORDS)
+    return F.flatten(F.transform(merged, lambda s: F.when(n_words(s) > LONG_WORDS, F.concat(F.array(s), parts(s))).otherwise(F.array(s))))
+
+
+def match_spans(text: Column, pattern: str) -> Column:
+    """Array of (start, stop) of the matches of a pattern in order, in characters, ends exclusive; no match may be empty.
+
+    SQL regexes give no positions: a match begins after all pieces between matches, and all matches, before it.
+    """
+    hits = F.transform(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), lambda h: F.char_length(h))
+    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.char_length(g))
+    steps = F.zip_with(gaps, hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("spans"))
+
+    def step(s, x):
+        start = s["at"] + x["gap"]
+        return F.struct((start + x["hit"]).alias("at"), F.array_append(s["spans"], F.struct(start.alias("start"), (start + x["hit"]).alias("stop"))).alias("spans"))
+
+    return F.when(text.isNotNull(), F.aggregate(F.filter(steps, lambda x: x["hit"].isNotNull()), none, step, lambda s: s["spans"]))
+
+
+def span_distance(stems: Column, qualifiers: Column, reach: int = 55) -> Column:
+    """The fewest characters between a span of each array, 0 where they overlap; null if no qualifier lies within
+    ``reach`` characters of a stem, its whole length counted.
+
+    One pass over the spans of both in order of their starts: nearest to a span is the last one of the other kind.
+    Spans of one kind do not overlap, and no qualifier is longer than ``reach``.
+    """
+    kind = lambda spans, k: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("kind"), s["stop"].alias("stop")))
+    both = F.array_sort(F.concat(kind(stems, 0), kind(qualifiers, 1)))
+    far = F.lit(-(1 << 30))
+    zero = F.struct(far.alias("m0"), far.alias("m1"), far.alias("q0"), far.alias("q1"), F.lit(None).cast("int").alias("best"))
+
+    def step(s, x):
+        stem = x["kind"] == 0
+        fits = F.when(stem, s["q0"] >= x["start"] - reach).otherwise(x["stop"] <= s["m1"] + reach)
+        gap = F.greatest(F.lit(0), x["start"] - F.when(stem, s["q1"]).otherwise(s["m1"]))
+        keep = lambda mine, value, old: F.when(mine, value).otherwise(s[old]).alias(old)
+        best = F.when(fits, F.least(s["best"], gap)).otherwise(s["best"]).alias("best")
+        return F.struct(keep(stem, x["start"], "m0"), keep(stem, x["stop"], "m1"), keep(~stem, x["start"], "q0"), keep(~stem, x["stop"], "q1"), best)
+
+    return F.aggregate(both, zero, step, lambda s: s["best"])
+
+
+def nearest_side(own: Column, other: Column) -> Column:
+    """Which of two distances is the nearer: "own", also where they are equal, "other", or null without either."""
+    return F.when(own.isNotNull() & (other.isNull() | (own <= other)), "own").when(other.isNotNull(), "other")
+
+
+#: One metric of a log line: a name, a colon or equals sign, a number.
+METRIC = r"([A-Za-z][A-Za-z0-9_ ]*?) *[=:] *(-?[0-9]+(?:\.[0-9]+)?)"
+
+
+def log_blocks(text: Column) -> Column:
+    """Array of (epoch, fold, metrics) of the summaries in a log of several lines.
+
+    A block begins with "--- Epoch n/m Summary (Fold f) ---" and ends before the next one; metrics are (name, value) in
+    order. Text before the first block is skipped.
+    """
+    head = r"--- Epoch ([0-9]+)/[0-9]+ Summary \(Fold ([0-9]+)\) ---"
+    blocks = F.filter(F.split(text, "(?=--- Epoch [0-9]+/[0-9]+ Summary)", -1), lambda b: b.rlike("^" + head))
+
+    def parsed(b):
+        body = F.regexp_replace(b, "^" + head, "")
+        names, values = (F.regexp_extract_all(body, F.lit(METRIC), F.lit(k)) for k in (1, 2))
+        pairs = F.zip_with(names, values, lambda n, v: F.struct(F.regexp_replace(n, " +", " ").alias("name"), v.cast("double").alias("value")))
+        return F.struct(F.regexp_extract(b, head, 1).cast("int").alias("epoch"), F.regexp_extract(b, head, 2).cast("int").alias("fold"), pairs.alias("metrics"))
+
+    return F.transform(blocks, parsed)
+
+
+def metric(metrics: Column, name: str) -> Column:
+    """The last value of a name in (name, value) pairs, null without one."""
+    return F.try_element_at(F.filter(metrics, lambda m: m["name"] == name), F.lit(-1))["value"]
 
 
 def language(text: Column, rules: list[tuple[str, str]], default: str = "other") -> Column:

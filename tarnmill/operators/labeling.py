@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,30 +49,68 @@ def label_reports(
 
 
 def polarity(uncertain: Column, negative: Column, normal: Column, severe: Column) -> Column:
-    """What a clause says: doubt before denial before normality (unless a severe sign is named) before assertion."""
-    return F.when(uncertain, "uncertain").when(negative, "negative").when(normal & ~severe, "normal").otherwise("positive")
-
+    """What a clause says of a finding: doubt comes before denial, and denial before normality, which denies too unless a
+    severe sign stands beside it."""
+    return F.when(uncertain, "uncertain").when(negative | (normal & ~severe), "negative").otherwise("positive")
+
+
+#: Fixed values of graded scores: weights of a strong, a weak and a plain mention, factors of contexts, weight of doubt.
+STRONG, WEAK, PLAIN, PENALTY, BONUS, DOUBT = 1.0, 0.45, 0.75, 0.45, 1.35, 0.30
+
+
+@dataclass(frozen=True)
+class GradedRule:
+    """Patterns of one graded finding. A clause counts if it names the anatomy and, where one is given, the pathology, and
+    no decoy. Without the pathology it denies if it says normal and nothing else does. ``penalty`` and ``bonus`` are contexts."""
+
+    target: str
+    anatomy: str
+    uncertain: str
+    negative: str
+    normal: str
+    severe: str
+    high: str
+    low: str
+    pathology: str | None = None
+    decoy: str | None = None
+    penalty: str | None = None
+    bonus: str | None = None
+
+
+def graded_score(best: Column, n_pos: Column, n_neg: Column, n_unc: Column) -> Column:
+    """Struct (score, confidence) from the strongest mention and the numbers of clauses. Slopes and caps."""
+    found = F.struct(
+        F.least(F.lit(0.95), 0.50 + 0.42 * best + 0.03 * F.least(n_pos, F.lit(3))).alias("score"), F.least(F.lit(1.0), 0.55 + 0.15 * n_pos).alias("confidence")
+    )
+    denied = F.struct(F.greatest(F.lit(0.04), 0.20 - 0.04 * n_neg).alias("score"), F.least(F.lit(0.9), 0.45 + 0.12 * n_neg).alias("confidence"))
+    silent = F.struct(F.lit(0.28).alias("score"), F.lit(0.05).alias("confidence"))
+    return F.when(n_pos + n_unc > 0, found).when(n_neg > 0, denied).otherwise(silent)
 
-def graded_score(best: Column, n_pos: Column, n_neg: Column, silence: float = 0.28) -> Column:
-    """Score from the best severity and the numbers of clauses. Slopes and caps."""
-    positive = F.least(F.lit(0.95), 0.50 + 0.42 * best + 0.03 * F.least(n_pos, F.lit(3)))
-    return F.when(n_pos > 0, positive).when(n_neg > 0, F.greatest(F.lit(0.04), 0.20 - 0.04 * n_neg)).otherwise(F.lit(silence))
 
+def graded_labels(df: DataFrame, id_col: str, text: Column, rule: GradedRule) -> DataFrame:
+    """(id, target, n_pos, n_neg, n_unc, score, confidence) of one finding from the clauses of each text.
 
-def graded_labels(df: DataFrame, id_col: str, text_col: str, target: str, severe: str, moderate: str, negative: str, uncertain: str) -> DataFrame:
-    """(id, target, n_pos, n_neg, score) of one finding from its clauses: severity 1, 0.75 or 0.30 if in doubt."""
-    s = F.col("s")
-    rows = df.select(id_col, F.explode(tx.sentences(F.lower(text_col))).alias("s")).filter(s.rlike(f"{severe}|{moderate}"))
-    kind = polarity(s.rlike(uncertain), s.rlike(negative), F.lit(False), s.rlike(severe))
-    grade = F.when(kind == "uncertain", 0.30).when(s.rlike(severe), 1.0).otherwise(0.75)
-    marked = rows.select(id_col, kind.alias("kind"), grade.alias("grade"))
-    positive = F.col("kind").isin("positive", "uncertain")
-    agg = marked.groupBy(id_col).agg(
-        F.max(F.when(positive, F.col("grade"))).alias("best"), F.sum(positive.cast("long")).alias("n_pos"), F.sum((F.col("kind") == "negative").cast("long")).alias("n_neg")
-    )
-    all_ids = df.select(id_col).join(agg, id_col, "left")
-    n_pos, n_neg = F.coalesce("n_pos", F.lit(0)), F.coalesce("n_neg", F.lit(0))
-    return all_ids.select(id_col, F.lit(target).alias("target"), n_pos.alias("n_pos"), n_neg.alias("n_neg"), F.round(graded_score(F.coalesce("best", F.lit(0.0)), n_pos, n_neg), 6).alias("score"))
+    Mentions are graded by strength and context, and the strongest counts; denials matter only where nothing is asserted
+    or in doubt; silence has a score of its own. Clauses are exploded and combined per id before they move. Null and
+    empty texts are silent; rows that share an id are one text.
+    """
+    c = F.col("_tm_c")
+    has = lambda p: c.rlike(p) if p else F.lit(False)
+    rows = df.select(id_col, F.explode(tx.clauses(text)).alias("_tm_c")).filter(has(rule.anatomy) & ~has(rule.decoy))
+    named = has(rule.pathology) if rule.pathology else F.lit(True)
+    kind = F.when(named, polarity(has(rule.uncertain), has(rule.negative), has(rule.normal), has(rule.severe))).when(has(rule.normal) & ~has(rule.negative), "negative")
+    strength = F.when(has(rule.high) & ~has(rule.low), STRONG).when(has(rule.low) & ~has(rule.high), WEAK).otherwise(PLAIN)
+    strength = strength * F.when(has(rule.penalty), PENALTY).otherwise(1.0)
+    strength = F.when(has(rule.bonus), F.least(F.lit(1.0), strength * BONUS)).otherwise(strength)
+    marked = rows.select(id_col, kind.alias("_tm_k"), F.when(kind == "positive", strength).when(kind == "uncertain", DOUBT).alias("_tm_w"))
+    count = lambda k: F.sum((F.col("_tm_k") == k).cast("long"))
+    found = marked.groupBy(id_col).agg(F.max("_tm_w").alias("_tm_best"), count("positive").alias("p"), count("negative").alias("n"), count("uncertain").alias("u"))
+    n_pos, n_neg, n_unc = (F.coalesce(x, F.lit(0)) for x in "pnu")
+    both = df.select(id_col).distinct().join(found, id_col, "left").withColumn("_tm_s", graded_score(F.coalesce("_tm_best", F.lit(0.0)), n_pos, n_neg, n_unc))
+    return both.select(
+        id_col, F.lit(rule.target).alias("target"), n_pos.alias("n_pos"), n_neg.alias("n_neg"), n_unc.alias("n_unc"),
+        F.round("_tm_s.score", 6).alias("score"), F.round("_tm_s.confidence", 6).alias("confidence"),
+    )
 
 
 def cross_target_fix(wide: DataFrame) -> DataFrame:

@@ -96,28 +96,3 @@ def pick_unused(df: DataFrame, group: str, order: list[str], slots: list[tuple[s
         rows = rows.withColumn("used", F.when(F.col(f"pick{n}").isNotNull(), F.array_append("used", F.col(f"pick{n}")["i"])).otherwise(F.col("used")))
     picked = F.array(*[F.struct(F.lit(n).alias("slot"), F.col(f"pick{n}")["key"].alias(key), F.col(f"pick{n}").isNotNull().alias("ok")) for n in range(len(slots))])
     return rows.select(group, F.explode(F.filter(picked, lambda x: x["ok"])).alias("p")).select(group, "p.slot", f"p.{key}")
-
-
-def span_distance(text: str, stems, qualifiers, reach: int = 55) -> int | None:
-    """Least distance in characters between a stem and a qualifier, at most ``reach``; each qualifier counts once."""
-    found = [m.span() for m in stems.finditer(text)]
-    best = None
-    for q in qualifiers.finditer(text):
-        for a, b in found:
-            d = max(q.start() - b, a - q.end(), 0)
-            if d <= reach and (best is None or d < best):
-                best = d
-    return best
-
-
-def proximity(df: DataFrame, id_col: str, text_col: str, stem: str, qualifier: str, reach: int = 55) -> DataFrame:
-    """(id, distance) per row: SQL regexes give no match positions, so spans are measured in Arrow batches."""
-
-    @F.pandas_udf("int")
-    def distance(s: pd.Series) -> pd.Series:
-        import re
-
-        a, b = re.compile(stem, re.I), re.compile(qualifier, re.I)
-        return s.map(lambda t: None if t is None else span_distance(t, a, b, reach)).astype("Int32")
-
-    return df.select(id_col, distance(text_col).alias("distance"))

@@ -88,11 +88,6 @@ def pick_prefer_unused(spark, sf_dir):
     return sequential.pick_unused(rows, "study", ["seq", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"], [("A", 1), ("A", 0), ("N", 1), ("R", 1)], "plane", "fluid", "l_partkey")
 
 
-@query("text_proximity", None)
-def text_proximity(spark, sf_dir):
-    return sequential.proximity(table(spark, sf_dir, "documents"), "doc_id", "text", r"\b(the|le|die|la)\b", r"\b(with|avec|mit|para)\b")
-
-
 @query("scan_csv", "SELECT doc_id, quality, toxic FROM labels")
 def scan_csv(spark, sf_dir):
     """A round trip through CSV with a header, ids as text and an explicit schema."""

@@ -44,15 +44,46 @@ def split_sentences(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.size(tx.sentences(F.col("text"))).cast("bigint").alias("n"))
 
 
-_CLAUSE = """WITH p AS (SELECT doc_id, unnest(list_filter(list_transform(string_split_regex(text, '[.\\n;•]+'), lambda x: trim(x)), lambda x: x <> '')) AS s FROM documents),
-c AS (SELECT doc_id, unnest(CASE WHEN len(string_split_regex(trim(m), '\\s+')) > 25 THEN string_split(m, ',') ELSE [m] END) AS c FROM (SELECT doc_id, regexp_replace(s, ':\\s*', ': ', 'g') AS m FROM p))
-SELECT doc_id, count(*) AS n FROM c WHERE trim(c) <> '' GROUP BY doc_id"""
+_NW = r"len(list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda w: w <> ''))"
+_CLAUSES = rf"""WITH raw AS (SELECT doc_id, list_filter(list_transform(string_split_regex(regexp_replace(lower(text), '([.;!?])[\x20\x09-\x0D]+', '\1' || chr(10), 'g'), '\n+'), lambda x: trim(x)), lambda x: x <> '') AS r FROM documents),
+mg AS (SELECT doc_id, unnest(list_transform(range(1, len(r) + 1), lambda i: CASE WHEN r[i] LIKE '%:' AND {_NW.format("r[i]")} <= 14 AND i < len(r) THEN r[i] || ' ' || r[i + 1] ELSE r[i] END)) AS c FROM raw),
+cl AS (SELECT doc_id, c FROM mg UNION ALL SELECT doc_id, x FROM (SELECT doc_id, trim(unnest(string_split(c, ','))) AS x FROM mg WHERE {_NW.format("c")} > 25) WHERE {_NW.format("x")} >= 3)"""
 
 
-@query("split_clauses", _CLAUSE)
+@query("split_clauses", _CLAUSES + " SELECT doc_id, count(*) AS n, sum(length(c))::BIGINT AS n_chars, max(length(c))::BIGINT AS longest FROM cl GROUP BY doc_id")
 def split_clauses(spark, sf_dir):
-    rows = _docs(spark, sf_dir).select("doc_id", F.size(tx.clauses(F.col("text"))).cast("bigint").alias("n"))
-    return rows.filter("n > 0")
+    rows = _docs(spark, sf_dir).select("doc_id", F.explode(tx.clauses(F.lower("text"))).alias("c"))
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("c")).alias("n_chars"), F.max(F.char_length("c")).cast("bigint").alias("longest"))
+
+
+_STEM, _OWN, _OTHER = "(?i)(for|para|pour|für)", "(?i)(the|le|que)", "(?i)(of|de|la|der)"
+
+
+def _near_sql(side: str) -> str:
+    """Distances of the stems to one side's words: each span against the last one of the other kind before it."""
+    before = "OVER (PARTITION BY doc_id ORDER BY start, kind ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    return f"""(SELECT doc_id, min(greatest(0, start - before)) AS d FROM (SELECT doc_id, start, CASE WHEN kind = 0
+  THEN CASE WHEN max(CASE WHEN kind > 0 THEN start END) {before} >= start - 55 THEN max(CASE WHEN kind > 0 THEN stop END) {before} END
+  ELSE CASE WHEN stop <= max(CASE WHEN kind = 0 THEN stop END) {before} + 55 THEN max(CASE WHEN kind = 0 THEN stop END) {before} END END AS before
+  FROM spans WHERE kind IN (0, {side})) WHERE before IS NOT NULL GROUP BY doc_id)"""
+
+
+_PROXIMITY = (
+    "WITH m AS ("
+    + " UNION ALL ".join(f"SELECT doc_id, {k} AS kind, regexp_extract_all(text, '{p}') AS hits, string_split_regex(text, '{p}') AS gaps FROM documents WHERE text IS NOT NULL" for k, p in enumerate((_STEM, _OWN, _OTHER)))
+    + f"""), e AS (SELECT doc_id, kind, unnest(range(1, len(hits) + 1)) AS i, unnest(list_transform(hits, lambda h: length(h))) AS h, unnest(list_transform(gaps[1:len(hits)], lambda g: length(g))) AS g FROM m),
+spans AS (SELECT doc_id, kind, stop - h AS start, stop FROM (SELECT doc_id, kind, h, sum(g + h) OVER (PARTITION BY doc_id, kind ORDER BY i) AS stop FROM e))
+SELECT documents.doc_id, own.d::INT AS own, other.d::INT AS other, CASE WHEN own.d IS NOT NULL AND (other.d IS NULL OR own.d <= other.d) THEN 'own' WHEN other.d IS NOT NULL THEN 'other' END AS side
+FROM documents LEFT JOIN {_near_sql("1")} own ON own.doc_id = documents.doc_id LEFT JOIN {_near_sql("2")} other ON other.doc_id = documents.doc_id"""
+)
+
+
+@query("text_proximity", _PROXIMITY)
+def text_proximity(spark, sf_dir):
+    """How near the words of two sides come to a stem, and which side is the nearer."""
+    spans = _docs(spark, sf_dir).select("doc_id", *(tx.match_spans(F.col("text"), p).alias(n) for n, p in (("stem", _STEM), ("a", _OWN), ("b", _OTHER))))
+    near = spans.select("doc_id", tx.span_distance(F.col("stem"), F.col("a")).alias("own"), tx.span_distance(F.col("stem"), F.col("b")).alias("other"))
+    return near.withColumn("side", tx.nearest_side(F.col("own"), F.col("other")))
 
 
 #: Rules over words that the documents hold: the engine's rule tables are data.
@@ -105,16 +136,43 @@ def label_medical_rules(spark, sf_dir):
     return labeling.label_reports(_docs(spark, sf_dir), "doc_id", "text").groupBy("target", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
-_GRADE = """WITH s0 AS (SELECT doc_id, unnest(list_filter(list_transform(string_split_regex(lower(text), '[.\\n;•\\->]+'), lambda x: trim(x)), lambda x: x <> '')) AS s FROM documents),
-k AS (SELECT doc_id, CASE WHEN regexp_matches(s, 'that is|this is') THEN 'uncertain' WHEN regexp_matches(s, '(^| )(no|pas|nicht) ') THEN 'negative' ELSE 'positive' END AS kind, regexp_matches(s, 'para|pour|für') AS severe FROM s0 WHERE regexp_matches(s, 'para|pour|für|with|avec|mit')),
-g AS (SELECT doc_id, max(CASE WHEN kind = 'negative' THEN NULL WHEN kind = 'uncertain' THEN 0.3 WHEN severe THEN 1.0 ELSE 0.75 END) AS best, count(*) FILTER (kind <> 'negative') AS n_pos, count(*) FILTER (kind = 'negative') AS n_neg FROM k GROUP BY doc_id)
-SELECT doc_id, 'x' AS target, coalesce(n_pos, 0) AS n_pos, coalesce(n_neg, 0) AS n_neg, round(CASE WHEN coalesce(n_pos, 0) > 0 THEN least(0.95, 0.5 + 0.42 * best + 0.03 * least(n_pos, 3)) WHEN coalesce(n_neg, 0) > 0 THEN greatest(0.04, 0.2 - 0.04 * n_neg) ELSE 0.28 END::DOUBLE, 6) AS score
-FROM documents LEFT JOIN g USING (doc_id)"""
+#: A graded rule over words that the documents hold.
+TEST_GRADED = labeling.GradedRule(
+    "x", anatomy="the|le |die|que", pathology="in|an|er", decoy="lorem|subscribe", uncertain="that is|this is", negative="(^| )(no|pas|nicht) ", normal="tion", severe="ness|ing ",
+    high="re ", low="es ", penalty="st ", bonus="nd ",
+)
+
+
+def _graded_sql(select: str) -> str:
+    r = TEST_GRADED
+    has = lambda p: f"regexp_matches(c, '{p}')"
+    return _CLAUSES + f""", k AS (SELECT doc_id, CASE WHEN {has(r.pathology)} THEN CASE WHEN {has(r.uncertain)} THEN 'uncertain' WHEN {has(r.negative)} OR ({has(r.normal)} AND NOT {has(r.severe)}) THEN 'negative' ELSE 'positive' END
+  WHEN {has(r.normal)} AND NOT {has(r.negative)} THEN 'negative' END AS kind,
+  CASE WHEN {has(r.high)} AND NOT {has(r.low)} THEN 1.0::DOUBLE WHEN {has(r.low)} AND NOT {has(r.high)} THEN 0.45 ELSE 0.75 END * CASE WHEN {has(r.penalty)} THEN 0.45::DOUBLE ELSE 1.0 END AS w0, {has(r.bonus)} AS bonus
+  FROM cl WHERE {has(r.anatomy)} AND NOT {has(r.decoy)}),
+w AS (SELECT doc_id, kind, CASE WHEN kind = 'positive' THEN CASE WHEN bonus THEN least(1.0, w0 * 1.35::DOUBLE) ELSE w0 END WHEN kind = 'uncertain' THEN 0.3 END AS w FROM k),
+g AS (SELECT doc_id, max(w) AS best, count(*) FILTER (kind = 'positive') AS p, count(*) FILTER (kind = 'negative') AS n, count(*) FILTER (kind = 'uncertain') AS u FROM w GROUP BY doc_id) {select}"""
+
+
+_GRADE = _graded_sql(
+    """SELECT doc_id, 'x' AS target, coalesce(p, 0) AS n_pos, coalesce(n, 0) AS n_neg, coalesce(u, 0) AS n_unc,
+ round(CASE WHEN coalesce(p + u, 0) > 0 THEN least(0.95::DOUBLE, 0.5::DOUBLE + 0.42::DOUBLE * coalesce(best, 0) + 0.03::DOUBLE * least(p, 3)) WHEN coalesce(n, 0) > 0 THEN greatest(0.04::DOUBLE, 0.2::DOUBLE - 0.04::DOUBLE * n) ELSE 0.28 END, 6) AS score,
+ round(CASE WHEN coalesce(p + u, 0) > 0 THEN least(1.0::DOUBLE, 0.55::DOUBLE + 0.15::DOUBLE * p) WHEN coalesce(n, 0) > 0 THEN least(0.9::DOUBLE, 0.45::DOUBLE + 0.12::DOUBLE * n) ELSE 0.05 END, 6) AS confidence
+FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN g USING (doc_id)"""
+)
 
 
 @query("label_graded_score", _GRADE)
 def label_graded_score(spark, sf_dir):
-    return labeling.graded_labels(_docs(spark, sf_dir), "doc_id", "text", "x", "para|pour|für", "with|avec|mit", "(^| )(no|pas|nicht) ", "that is|this is")
+    return labeling.graded_labels(_docs(spark, sf_dir), "doc_id", F.lower("text"), TEST_GRADED)
+
+
+@query("label_polarity", _graded_sql("SELECT kind, count(*) AS n FROM k WHERE kind IS NOT NULL GROUP BY kind"))
+def label_polarity(spark, sf_dir):
+    """How many clauses that name the finding doubt, deny and assert it."""
+    out = label_graded_score(spark, sf_dir).agg(*(F.sum(f"n_{k}").alias(n) for k, n in (("pos", "positive"), ("neg", "negative"), ("unc", "uncertain"))))
+    kinds = F.array(*[F.struct(F.lit(n).alias("kind"), F.col(n).alias("n")) for n in ("positive", "negative", "uncertain")])
+    return out.select(F.explode(kinds).alias("k")).select("k.kind", "k.n").filter("n > 0")
 
 
 _FIX = PREDS_SQL + """, w AS (SELECT study, max(p) FILTER (target = 'effusion') AS effusion, CASE WHEN study % 2 = 0 THEN 0.28 ELSE max(p) FILTER (target = 'synovitis') END AS synovitis,
@@ -161,17 +219,39 @@ def seq_annotate(spark, sf_dir):
     )
 
 
-@query("scan_json_log", "SELECT event_id, length(props) AS n_chars, len(json_keys(props)) AS n_keys FROM events WHERE props IS NOT NULL")
+_LOG_SQL = """WITH e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, round(value, 2) AS v FROM events)"""
+
+
+def _logs(spark, sf_dir):
+    """(user_id, events): one array of JSON events for each user, whose data together are a log of several lines."""
+    rows = table(spark, sf_dir, "events").select("user_id", F.struct("event_id", F.round("value", 2).alias("v")).alias("e"))
+    lists = rows.groupBy("user_id").agg(F.array_sort(F.collect_list("e")).alias("es"))
+    line = lambda e, k: F.concat(
+        F.lit("--- Epoch "), (k + 1).cast("string"), F.lit("/"), F.size("es").cast("string"), F.lit(" Summary (Fold "), (k % 3).cast("string"), F.lit(") ---\n"),
+        F.when(e["v"].isNull(), "no data\n").otherwise(F.concat(F.lit("Train Loss: "), F.format_string("%.2f", e["v"]), F.lit("\nGold   AUC = "), F.format_string("%.2f", e["v"]), F.lit("\n\n"))),
+    )
+    parts = F.transform("es", lambda e, k: F.struct(F.lit("stdout").alias("stream"), line(e, k).alias("data")))
+    return lists.select("user_id", F.to_json(parts).alias("events"))
+
+
+@query("scan_json_log", _LOG_SQL + """, d AS (SELECT user_id, k, '--- Epoch ' || k || '/' || count(*) OVER (PARTITION BY user_id) || ' Summary (Fold ' || (k - 1) % 3 || ') ---' || chr(10)
+  || CASE WHEN v IS NULL THEN 'no data' || chr(10) ELSE 'Train Loss: ' || format('{:.2f}', v) || chr(10) || 'Gold   AUC = ' || format('{:.2f}', v) || chr(10) || chr(10) END AS data FROM e)
+SELECT user_id, count(*) AS n_events, sum(length(data))::BIGINT AS n_chars, md5(string_agg(data, '' ORDER BY k)) AS digest FROM d GROUP BY user_id""")
 def scan_json_log(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").filter("props IS NOT NULL")
-    return rows.select("event_id", F.char_length("props").cast("bigint").alias("n_chars"), F.size(F.json_object_keys("props")).cast("bigint").alias("n_keys"))
+    """Arrays of JSON events are exploded, and their data joined in order."""
+    parsed = _logs(spark, sf_dir).select("user_id", F.posexplode(F.from_json("events", "array<struct<stream:string,data:string>>")).alias("k", "e"))
+    joined = parsed.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("k", F.col("e.data").alias("data")))).alias("ds"))
+    text = F.array_join(F.transform("ds", lambda d: d["data"]), "")
+    return joined.select("user_id", F.size("ds").cast("bigint").alias("n_events"), F.char_length(text).cast("bigint").alias("n_chars"), F.md5(text).alias("digest"))
 
 
-@query("log_regex_extract", "SELECT event_id, regexp_extract(line, 'value=([0-9.]+)', 1) AS value, regexp_extract(line, 'type=(\\w+)', 1) AS kind FROM (SELECT event_id, 'epoch ' || event_id || ' type=' || event_type || ' value=' || format('{:.1f}', round(value, 1)) AS line FROM events WHERE value IS NOT NULL)")
+@query("log_regex_extract", _LOG_SQL + " SELECT user_id, k::INT AS epoch, ((k - 1) % 3)::INT AS fold, v AS train_loss, v AS gold_auc FROM e")
 def log_regex_extract(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").filter("value IS NOT NULL")
-    line = F.concat(F.lit("epoch "), F.col("event_id").cast("string"), F.lit(" type="), F.col("event_type"), F.lit(" value="), F.format_string("%.1f", F.round("value", 1)))
-    return rows.select("event_id", F.regexp_extract(line, r"value=([0-9.]+)", 1).alias("value"), F.regexp_extract(line, r"type=(\w+)", 1).alias("kind"))
+    """The summary blocks of each user's log, with the metrics on their lines."""
+    events = F.from_json("events", "array<struct<stream:string,data:string>>")
+    text = F.array_join(F.transform(events, lambda e: e["data"]), "")
+    blocks = _logs(spark, sf_dir).select("user_id", F.explode(tx.log_blocks(text)).alias("b"))
+    return blocks.select("user_id", "b.epoch", "b.fold", tx.metric(F.col("b.metrics"), "Train Loss").alias("train_loss"), tx.metric(F.col("b.metrics"), "Gold AUC").alias("gold_auc"))
 
 
 _FENCE = """WITH r AS (SELECT study, target, CASE WHEN study % 5 = 0 THEN 'MAYBE' WHEN y = 1 THEN 'yes' ELSE 'NO' END AS status, p FROM preds WHERE model = 'm1' AND target = 'acl')

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import re
 import random
 
 import numpy as np
@@ -103,12 +104,9 @@ def test_folds_are_balanced(spark):
         assert per.max() - per.min() <= 3
 
 
-def test_quota_and_spans():
-    import re
-
+def test_quota():
     assert sequential.allocate_quota([5, 1, 9], [5, 1, 9], 6) == [2, 0, 4]
     assert sum(sequential.allocate_quota([1, 1, 10], [5, 5, 1], 8)) == 8
-    assert sequential.span_distance("tear of the acl", re.compile("tear"), re.compile("acl")) == 8
 
 
 def test_text_functions(spark):
@@ -132,3 +130,61 @@ def test_entry(spark):
 
     assert e.entry(spark).count() == 1
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_clauses(spark):
+    long = "one two three, four five, six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty a b c d e f"
+    cases = {
+        "Ligaments:\nNo rupture. Cartilage thin; menisci fine": ["Ligaments: No rupture.", "No rupture.", "Cartilage thin;", "menisci fine"],
+        "Last header:": ["Last header:"],
+        " ".join("w" for _ in range(15)) + ":\nvalue": [" ".join("w" for _ in range(15)) + ":", "value"],
+        "3.5 mm wide.Next": ["3.5 mm wide.Next"],
+        "A:\nB:\nc": ["A: B:", "B: c", "c"],
+        long: [long, "one two three", long.split(", ")[2]],
+        "": [],
+        " \n ": [],
+    }
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(cases)] + [(99, None)], "k int, t string")
+    got = {r["k"]: r["c"] for r in df.select("k", tx.clauses(F.col("t")).alias("c")).collect()}
+    assert [got[k] for k in range(len(cases))] == list(cases.values()) and got[99] is None
+
+
+def test_span_distances_match_brute_force(spark):
+    rng, rows = np.random.default_rng(4), []
+    for k in range(150):
+        rows.append((k, " ".join(rng.choice(["stem", "sidé", "x", "yy", "zzz", "stemside"], rng.integers(0, 60), p=[0.04, 0.04, 0.3, 0.3, 0.3, 0.02]))))
+    df = spark.createDataFrame([*rows, (900, None)], "k int, t string")
+    spans = df.select("k", tx.match_spans(F.col("t"), "(?i)stem").alias("a"), tx.match_spans(F.col("t"), "sid[eé]").alias("b"))
+    got = {r["k"]: r for r in spans.withColumn("d", tx.span_distance(F.col("a"), F.col("b"))).collect()}
+    for k, t in rows:
+        a, b = ([m.span() for m in re.finditer(p, t)] for p in ("stem", "sid[eé]"))
+        assert [tuple(s) for s in got[k]["a"]] == a and [tuple(s) for s in got[k]["b"]] == b
+        near = [max(0, q0 - m1, m0 - q1) for m0, m1 in a for q0, q1 in b if q0 >= m0 - 55 and q1 <= m1 + 55]
+        assert got[k]["d"] == min(near, default=None)
+    assert got[900]["a"] is None and got[900]["d"] is None
+    sides = spark.createDataFrame([(1, 2), (2, 1), (1, 1), (None, 1), (1, None), (None, None)], "a int, b int").select(tx.nearest_side(F.col("a"), F.col("b")))
+    assert [r[0] for r in sides.collect()] == ["own", "other", "own", "other", "own", None]
+
+
+def test_graded_labels(spark):
+    rule = labeling.GradedRule(
+        "effusion", anatomy="effusion|fluid", uncertain="possible", negative="no |without", normal="normal|physiologic", severe="tear", high="large|marked", low="small|trace",
+        decoy="cyst fluid", penalty="old", bonus="acute",
+    )
+    texts = {
+        "Large effusion. Small effusion.": (2, 0, 0, 0.98, 0.85), "Trace of fluid": (1, 0, 0, 0.719, 0.7), "Acute effusion": (1, 0, 0, 0.95, 0.7), "Old effusion": (1, 0, 0, 0.67175, 0.7),
+        "Possible effusion": (0, 0, 1, 0.626, 0.55), "No effusion. Without fluid.": (0, 2, 0, 0.12, 0.69), "Normal fluid": (0, 1, 0, 0.16, 0.57), "Normal fluid beside the tear": (1, 0, 0, 0.845, 0.7),
+        "Cyst fluid": (0, 0, 0, 0.28, 0.05), "": (0, 0, 0, 0.28, 0.05),
+    }
+    df = spark.createDataFrame([*enumerate(texts), (99, None)], "k int, t string")
+    got = {r["k"]: tuple(r)[2:] for r in labeling.graded_labels(df, "k", F.lower("t"), rule).collect()}
+    for k, want in enumerate(texts.values()):
+        assert got[k][:3] == want[:3] and got[k][3] == pytest.approx(min(0.95, want[3]), abs=1e-4) and got[k][4] == pytest.approx(want[4], abs=1e-6), k
+    assert got[99] == (0, 0, 0, 0.28, 0.05)
+
+
+def test_log_blocks(spark):
+    log = "start\n--- Epoch 1/9 Summary (Fold 0) ---\nTrain Loss: 0.50 | lr=-2\nGold   AUC = 0.9\n\n--- Epoch 2/9 Summary (Fold 3) ---\nnothing here\n"
+    got = spark.createDataFrame([(log,), ("",), (None,)], "t string").select(tx.log_blocks(F.col("t")).alias("b")).collect()
+    assert [(b["epoch"], b["fold"], [tuple(m) for m in b["metrics"]]) for b in got[0]["b"]] == [(1, 0, [("Train Loss", 0.5), ("lr", -2.0), ("Gold AUC", 0.9)]), (2, 3, [])]
+    assert got[1]["b"] == [] and got[2]["b"] is None
