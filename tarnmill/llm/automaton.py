@@ -103,6 +103,35 @@ def deterministic(patterns: list[str], restart: bool, sink: bool = False, revers
     return classes, *Automaton._minimise(*Automaton._subsets(nfa, begin, accept, members, restart, sink))
 
 
+def covers(scan: str, head: str, body: str, least: int) -> bool:
+    """Whether every string of head and body with at least ``least`` bytes of body holds an occurrence of ``scan``.
+
+    All strings of the two are followed through the automaton of ``scan`` at once, by the states of both and the bytes of
+    body so far (at most ``least``); one that ends outside the hit state is a string that ``scan`` would miss.
+    """
+    machine, nfa = Automaton([scan]), _Nfa()
+    first = nfa.build(sre_parser.parse(head))
+    n_head = len(nfa.moves)
+    last = nfa.build(sre_parser.parse(body))
+    nfa.empty[first[1]].append(last[0])
+    members = [frozenset(np.flatnonzero(machine.classes == c).tolist()) for c in range(machine.table.shape[1])]
+    table = machine.table.tolist()
+    steps = {s: [(c, m[1]) for c in range(len(members)) if members[c] & m[0]] for s, m in enumerate(nfa.moves) if m}
+    todo = [(first[0], 0, 0)] if machine.hit != 0 else []
+    seen = set(todo)
+    while todo:
+        state, n, at = todo.pop()
+        if state == last[1] and n >= least:
+            return False
+        following = [(t, n, at) for t in nfa.empty[state]]
+        following += [(t, min(least, n + (state >= n_head)), table[at][c]) for c, t in steps.get(state, ()) if table[at][c] != machine.hit]
+        for x in following:
+            if x not in seen:
+                seen.add(x)
+                todo.append(x)
+    return True
+
+
 class Spans:
     """The leftmost longest matches, one after the other, of every pattern in a string of bytes.
 

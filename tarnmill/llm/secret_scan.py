@@ -13,12 +13,13 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tarnmill.llm import textbytes as tb
-from tarnmill.llm.automaton import Automaton, Spans
+from tarnmill.llm.automaton import Automaton, Spans, covers
 
 
 @dataclass(frozen=True)
 class SecretRule:
-    """``scan`` goes into the automaton that reads all bytes, and occurs wherever the rule has a match that counts.
+    """``scan`` goes into the automaton that reads all bytes; it must occur wherever the rule has a match that counts, which
+    is verified when rules are compiled.
 
     ``head`` and ``body`` together give the leftmost longest non-overlapping matches of a line; those whose body has
     fewer than ``min_chars`` bytes are dropped. No rule matches a newline.
@@ -49,7 +50,13 @@ RULES = (
 
 @lru_cache(maxsize=4)
 def compiled(rules: tuple[SecretRule, ...]) -> tuple[Automaton, Spans]:
-    """The automata of the rules; the driver builds them once and sends their arrays, some hundred KB, to the executors."""
+    """The automata of the rules; the driver builds them once and sends their arrays, some hundred KB, to the executors.
+
+    A rule whose ``scan`` does not occur in each of its matches that count would lose matches, and is an error.
+    """
+    for r in rules:
+        if not covers(r.scan, r.head, r.body, r.min_chars):
+            raise ValueError(f"rule {r.kind}: {r.scan!r} does not occur in all of its matches")
     return Automaton([r.scan for r in rules]), Spans([(r.head, r.body) for r in rules])
 
 

@@ -244,6 +244,16 @@ def test_near_duplicates_match_brute_force(spark, width, seed):
     assert got == {i: c for i, c in brute_components([(i, t and t.lower(), s) for i, t, s in rows], width, 80).items()}
 
 
+def test_scan_patterns_are_verified():
+    from tarnmill.llm.automaton import covers
+
+    assert all(covers(r.scan, r.head, r.body, r.min_chars) for r in secret_scan.RULES)
+    assert covers("b", "a?", "b+", 1) and covers("x{2}", "x*", "x+", 2)
+    assert not covers("[0-9a-f]{25}", "", "[0-9a-f]+", 24) and not covers("ab", "a?", "b+", 1) and not covers("x{3}", "x*", "x+", 2)
+    with pytest.raises(ValueError, match="rule mine"):
+        secret_scan.compiled((secret_scan.SecretRule("mine", "key=[0-9]{4}", "key=", "[0-9]+", 3),))
+
+
 def test_match_threshold():
     assert near_dedup.match_threshold(80, 64, 1) < 64 * 0.8 and near_dedup.match_threshold(80, 32, 2) < 32 * 0.64
     assert near_dedup.match_threshold(100) == near_dedup.COORDINATES
