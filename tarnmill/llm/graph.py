@@ -8,32 +8,31 @@ from pyspark.sql import functions as F
 from tarnmill.llm.common import materialise
 
 
-def _least(edges: DataFrame) -> DataFrame:
-    """(u, m): for each start u of an edge the least of u and its neighbours."""
-    return edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+#: Most edges whose least neighbours are broadcast; those of more edges are joined by node.
+BROADCAST_EDGES = 1 << 20
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b); the component is named by its least node.
 
     Each round hangs a node's larger neighbours under the least node that it sees, then its smaller ones; the edges
-    become stars in a number of rounds that grows with the logarithm of the largest component. A round is two
-    combined minima and two joins on the node, which AQE splits where a node has many neighbours; its edges are
-    written to the shared folder. Only a count and a checksum reach the driver.
+    become stars in a number of rounds that grows with the logarithm of the largest component. An edge is kept from its
+    larger end, so the least node that a node sees is a combined minimum over the edges that it begins. A round is two such minima
+    and two joins on the node: broadcast for at most ``BROADCAST_EDGES`` counted edges, else shuffled, where AQE
+    splits a node with many neighbours. The edges of a round are written to the shared folder; only a count and a
+    checksum reach the driver.
 
     Loops and repeated edges do no harm; null ends are ignored; no edges give no rows.
     """
     current = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u IS NOT NULL AND v IS NOT NULL AND u <> v").distinct(), "edges")
     state = lambda: tuple(current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     mark = state()
-    while True:
-        both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_least(both), "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(least, "u").select(F.col("v").alias("a"), "m").filter("a <> m")
-            .unionByName(least.select(F.col("u").alias("a"), "m")).select(F.col("a").alias("u"), F.col("m").alias("v")).distinct()
-        )
+    while mark[0]:
+        sent = F.broadcast if mark[0] <= BROADCAST_EDGES else lambda df: df
+        least = lambda rows, node: sent(rows.groupBy(F.col("u").alias(node)).agg(F.min("v").alias("m")))
+        large = current.join(least(current, "v"), "v", "left").select("u", F.coalesce("m", "v").alias("v"))
+        hung = large.join(least(large, "u"), "u")
+        small = hung.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
         current = materialise(small, "edges")
         before, mark = mark, state()
         if mark == before:
