@@ -178,8 +178,8 @@ def similar_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = materialise(text_heads(df, id_col, text_col, width, threshold), "heads")
     named = base.filter("n > 0 AND id IS NOT NULL")
     classes = materialise(named.groupBy("k1", "k2", "n").agg(F.min("id").alias("node")), "classes")
-    facts = named.filter(F.col("n") >= smallest).join(classes.filter(F.col("n") >= smallest).select("k1", "k2", "n", F.col("node").alias("id")), ["k1", "k2", "n", "id"], "left_semi")
-    heads = facts.dropDuplicates(["id", "k1", "k2"]).select(F.col("id").alias("node"), "n", "head", "least")
+    chosen = named.filter(F.col("n") >= smallest).groupBy("k1", "k2", "n").agg(F.min("id").alias("node"), F.min_by(F.struct("head", "least"), "id").alias("h"))
+    heads = materialise(chosen.select("node", "n", "h.head", "h.least"), "class-heads")  # heads move once
 
     entries = materialise(skipped(materialise(index_entries(heads, threshold), "entries"), threshold), "entries")
     hubs = entries.groupBy("token", "block").agg(F.max(F.struct("c", "node", "n", "spare", "left")).alias("h"), F.count(F.lit(1)).alias("m")).filter("m > 1")
