@@ -55,8 +55,9 @@ def confident_learning(df: DataFrame) -> DataFrame:
     class's size is the number of errors, taken by the least margin. Two combined aggregates give a few numbers per
     target; positions come from counts of distinct margins.
     """
-    rows = df.filter(F.col("y").isin(0.0, 1.0)).select("study", "target", "y", "p")
     y, p = F.col("y"), F.col("p")
+    margin = F.when(y == 1, p - (1 - p)).otherwise((1 - p) - p)
+    rows = written(df.filter(y.isin(0.0, 1.0)).select("study", "target", "y", "p", margin.alias("margin")), "labelled")
     limits = rows.groupBy("target").agg(
         F.avg(F.when(y == 1, p)).alias("t1"), F.avg(F.when(y == 0, 1 - p)).alias("t0"), _n(y == 1).alias("n1"), _n(y == 0).alias("n0")
     )
@@ -67,8 +68,7 @@ def confident_learning(df: DataFrame) -> DataFrame:
     )
     share = lambda off, on: F.coalesce(F.try_divide(F.col(off), F.col(off) + F.col(on)), F.lit(0.0))
     errors = joint.select("target", F.floor(F.col("n1") * share("c10", "c11") + 0.5).alias("k1"), F.floor(F.col("n0") * share("c01", "c00") + 0.5).alias("k0"))
-    margin = F.when(y == 1, p - (1 - p)).otherwise((1 - p) - p)
-    ranked = with_position(rows.withColumn("margin", margin), "m", "margin", "study", ["target", "y"]).join(errors, "target")
+    ranked = with_position(rows, "m", "margin", "study", ["target", "y"]).join(errors, "target")
     found = ranked.filter(F.col("m") <= F.when(y == 1, F.col("k1")).otherwise(F.col("k0")))
     own = F.when(y == 1, p).otherwise(1 - p)
     placed = with_position(written(found.select("target", "study", "y", "p", own.alias("own")), "issues"), "rank", "own", "study", ["target"])
@@ -91,3 +91,20 @@ def validate(out: DataFrame, required: DataFrame, key: str, values: list[str]) -
     }
     one = have.crossJoin(want).crossJoin(odd)  # one row each
     return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), c.alias("passed")) for n, c in checks.items()])).alias("c")).select("c.name", "c.passed")
+
+
+def contract(out: DataFrame, required: DataFrame, columns: list[str], values: list[str]) -> DataFrame:
+    """(name, passed) for an output's contract: its columns by name and order, numbers in the value columns, all finite, and
+    then what ``validate`` checks, with the first column as the key."""
+    numeric = all(dict(out.dtypes).get(v, "").split("(")[0] in ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal") for v in values)
+    cells = F.array(*[F.col(v).cast("double") for v in values]) if numeric else F.array().cast("array<double>")
+    odd = out.agg(F.coalesce(F.sum(F.exists(cells, lambda x: F.coalesce(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(False))).cast("long")), F.lit(0)).alias("odd"))
+    checks = {"columns": F.lit(out.columns == columns), "numeric": F.lit(numeric), "finite": F.col("odd") == 0}
+    first = odd.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), c.alias("passed")) for n, c in checks.items()])).alias("c")).select("c.name", "c.passed")
+    return first.unionByName(validate(out, required, columns[0], values)) if numeric and set(columns) <= set(out.columns) else first
+
+
+def realigned(out: DataFrame, required: DataFrame, key: str, columns: list[str], defaults: dict[str, float]) -> DataFrame:
+    """One row for each required id with the columns in order; an id that the output lacks gets the defaults."""
+    have = out.dropDuplicates([key])
+    return required.select(key).distinct().join(have, key, "left").select(*(F.coalesce(F.col(c), F.lit(defaults[c])).alias(c) if c in defaults else F.col(c) for c in columns))

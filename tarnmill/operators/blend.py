@@ -110,6 +110,26 @@ def blend_zlogit(df: DataFrame, weights: dict[str, float], by: list[str]) -> Dat
     return zlogit(df.filter(w.isNotNull()), by).groupBy("study", "target").agg(sigmoid(F.sum(w * F.col("z")) / F.sum(w)).alias("p"))
 
 
+def blend_families(
+    df: DataFrame, keys: DataFrame, priors: DataFrame, families: dict[str, tuple[str, ...]], weights: dict[str, float], by: list[str], special: dict[str, dict[str, float]] | None = None
+) -> DataFrame:
+    """(study, target, p) for every key (study, target): families of members blended in standardised logits.
+
+    The members of a family that a row has are averaged; the families that it has are blended by weight (``special``:
+    other weights for some targets), so that a single family stands for itself; a row without any member gets its
+    target's prior, and 0.5 without one. Sums are combined before the shuffle.
+    """
+    family = F.create_map(*[F.lit(x) for f, ms in families.items() for m in ms for x in (m, f)])[F.col("model")]
+    cells = {f"{t}:{f}": w for t, ws in (special or {}).items() for f, w in ws.items()}
+    w = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])[F.col("family")]
+    if cells:
+        w = F.coalesce(F.create_map(*[F.lit(x) for pair in cells.items() for x in pair])[F.concat_ws(":", "target", "family")], w)
+    means = zlogit(df.filter(family.isNotNull()), by).groupBy("study", "target", family.alias("family")).agg(F.avg("z").alias("z"))
+    blended = means.withColumn("w", w).groupBy("study", "target").agg((F.sum(F.col("w") * F.col("z")) / F.sum("w")).alias("z"))
+    every = keys.select("study", "target").distinct().join(blended, ["study", "target"], "left").join(priors.select("target", F.col("p").alias("prior")), "target", "left")
+    return every.select("study", "target", F.coalesce(F.when(F.col("z").isNotNull(), sigmoid(F.col("z"))), F.col("prior"), F.lit(0.5)).alias("p"))
+
+
 def pool_windows(values: Column, mode: str) -> Column:
     """Pools an array of window probabilities: max, mean, logit_mean, top2, top3 or soft."""
     n = F.size(values)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnmill.operators.blend import logit, sigmoid
 from tarnmill.operators.metrics import AucDialect, auc, clip
+from tarnmill.sources.files import written
 
 #: Fixed values: (cause, threshold, raised target, factor), applied one after the other; caps at 0.99.
 COOCCURRENCE_RULES = (
@@ -60,23 +61,38 @@ def cooccurrence(positives: DataFrame) -> DataFrame:
     return pairs.join(n, "j").select("i", "j", (F.col("both") / F.col("n")).alias("p"))
 
 
-def bayes_evidence(preds: DataFrame, matrix: DataFrame, beta: float) -> DataFrame:
-    """(study, target, p): logit(p) plus beta times the logit of the evidence of the study's other targets.
+def evidence(preds: DataFrame, matrix: DataFrame) -> DataFrame:
+    """(study, target, y, p, e): the evidence of the study's other targets, null without any.
 
     Evidence for target i: sum over j of P(i given j) * p_j over the sum of P(i given j), the diagonal left out.
     """
     off = matrix.filter("i <> j").select("i", "j", F.col("p").alias("c"))
-    evidence = (
+    found = (
         preds.select("study", F.col("target").alias("j"), "p").join(off, "j").groupBy("study", F.col("i").alias("target"))
         .agg((F.sum(F.col("c") * F.col("p")) / F.sum("c")).alias("e"))
     )
-    raised = sigmoid(logit(F.col("p")) + beta * logit(F.col("e")))
-    return preds.join(evidence, ["study", "target"], "left").select("study", "target", "y", F.coalesce(raised, F.col("p")).alias("p"))
+    return preds.join(found, ["study", "target"], "left").select("study", "target", "y", "p", "e")
+
+
+def raised(beta: Column | float) -> Column:
+    """The probability of logit(p) plus beta times the logit of the evidence; p itself without evidence."""
+    return F.coalesce(sigmoid(logit(F.col("p")) + beta * logit(F.col("e"))), F.col("p"))
+
+
+def bayes_evidence(preds: DataFrame, matrix: DataFrame, beta: float) -> DataFrame:
+    """(study, target, y, p) raised by the evidence of the study's other targets."""
+    return evidence(preds, matrix).select("study", "target", "y", raised(beta).alias("p"))
 
 
 def search_weight(wide: DataFrame, a: str, b: str, low: float, high: float, n: int, dialect: AucDialect) -> DataFrame:
-    """(target, w, auc): the weight of b in (1 - w) a + w b with the best AUC per target; the first of equals."""
-    tried = wide.withColumn("w", F.explode(grid(low, high, n))).withColumn("p", F.round((1 - F.col("w")) * F.col(a) + F.col("w") * F.col(b), 6))
-    scores = auc(tried, ["target", "w"], dialect).withColumn("auc", F.round("auc", 9))
+    """(target, w, auc): the weight of b in (1 - w) a + w b with the best AUC per target; the first of equals.
+
+    Equal rows are counted and written before the weights are exploded.
+    """
+    equal = written(wide.groupBy("target", "y", a, b).agg(F.count(F.lit(1)).alias("_tm_rows")), "equal-scores")
+    tried = equal.withColumn("w", F.explode(grid(low, high, n))).withColumn("p", F.round((1 - F.col("w")) * F.col(a) + F.col("w") * F.col(b), 6))
+    # blends that became equal are counted together once, so that the passes over ranges read the fewest rows
+    tried = written(tried.groupBy("target", "w", "y", "p").agg(F.sum("_tm_rows").alias("_tm_rows")), "equal-blends")
+    scores = auc(tried, ["target", "w"], dialect, n="_tm_rows").withColumn("auc", F.round("auc", 9))
     order = Window.partitionBy("target").orderBy(F.desc_nulls_last("auc"), "w")
     return scores.withColumn("k", F.row_number().over(order)).filter("k = 1").select("target", "w", F.round("auc", 6).alias("auc"))

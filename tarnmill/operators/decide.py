@@ -83,3 +83,9 @@ def recommend(wide: DataFrame, threshold: float = 0.5, catalog=CATALOG) -> DataF
 def biomarker_probs(columns: dict[str, tuple[str, float, float]]) -> list[Column]:
     """Clipped linear maps: name -> (measure, slope, intercept)."""
     return [clip(slope * F.col(m) + intercept, 0.02, 0.98).alias(name) for name, (m, slope, intercept) in columns.items()]
+
+
+def likeliest(names: list[str]) -> Column:
+    """The name of the column with the largest value, the first of equals; null where all are null."""
+    pairs = F.filter(F.array(*[F.struct(F.col(n).alias("p"), F.lit(-k).alias("k"), F.lit(n).alias("name")) for k, n in enumerate(names)]), lambda x: x["p"].isNotNull())
+    return F.array_max(pairs)["name"]

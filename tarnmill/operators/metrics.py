@@ -39,17 +39,19 @@ DIALECTS = {
 }
 
 
-def auc(df: DataFrame, by: list[str], dialect: AucDialect, y: str = "y", p: str = "p") -> DataFrame:
+def auc(df: DataFrame, by: list[str], dialect: AucDialect, y: str = "y", p: str = "p", n: str | None = None) -> DataFrame:
     """(by, n_pos, n_neg, auc): area under the ROC curve from counts of distinct scores.
 
     A positive counts the negatives of smaller scores, and half of those of its own. Rows without truth never count.
+    ``n``: a column with the number of equal rows that a row stands for.
     """
     rows = df.filter(F.col(y).isNotNull())
     if dialect.drop_half:
         rows = rows.filter(F.col(y) != 0.5)
     rows = rows.filter(F.col(p).isNotNull()) if dialect.drop_null_p else rows.withColumn(p, F.coalesce(p, F.lit(0.5)))
     positive = {">=": F.col(y) >= 0.5, ">": F.col(y) > 0.5, "=": F.col(y) == 1.0}[dialect.positive].cast("int")
-    scores = distinct_scores(rows.withColumn("_pos", positive), by, p, {"pos": F.col("_pos"), "neg": 1 - F.col("_pos")})
+    times = F.col(n) if n else F.lit(1)
+    scores = distinct_scores(rows.withColumn("_pos", positive), by, p, {"pos": F.col("_pos") * times, "neg": (1 - F.col("_pos")) * times})
     sums = scores.groupBy(*by).agg(
         F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / F.lit(2.0))).alias("_sum")
     )
@@ -98,3 +100,9 @@ def confusion(df: DataFrame, by: list[str], truth: Column, called: Column) -> Da
         zero(2 * tp, 2 * tp + fp + fn).alias("f1"), rate(tp, tp + fn).alias("sensitivity"), rate(tn, tn + fp).alias("specificity"),
         rate(tn, tn + fn).alias("npv"), rate(fn, tp + fn).alias("miss_rate"), rate(fp, fp + tn).alias("false_alarm_rate"),
     )
+
+
+def efficiency(seconds: Column, score: Column, base: float, best: float) -> Column:
+    """Time over the squared share of the way from a base score to the best one; null where there is no gain."""
+    gain = (score - base) / (best - base)
+    return F.when(gain > 0, seconds / (gain * gain))

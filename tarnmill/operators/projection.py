@@ -70,6 +70,11 @@ def fit_pca(df: DataFrame, vector: str, k: int) -> tuple[np.ndarray, np.ndarray,
     return mean, with_fixed_sign(vectors[:, order].T), values[order]
 
 
+def _lists(x: np.ndarray) -> pa.ListArray:
+    """The rows of a matrix as lists."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(np.ascontiguousarray(x).ravel()))
+
+
 def _numbers(x: np.ndarray) -> Column:
     return F.array(*[F.lit(float(v)) for v in x])
 
@@ -179,7 +184,7 @@ def truncated_svd(weights: DataFrame, dims: int = DIMS, rounds: int = 4, extra:
                     sums[k[starts]] += np.add.reduceat(y[r] * w[:, None], starts, axis=0)
                     met[k[starts]] = True
             found = np.flatnonzero(met)
-            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(sums[found].tolist(), schema.field(1).type)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), _lists(sums[found])], schema=schema)
 
         sums = rows.select("ks", "ws").mapInArrow(run, "k int, z array<double>").groupBy("k").agg(*[F.sum(F.col("z")[j]).alias(f"z{j}") for j in range(matrix.shape[1])]).toArrow()
         out = np.zeros(matrix.shape)
@@ -200,7 +205,7 @@ def truncated_svd(weights: DataFrame, dims: int = DIMS, rounds: int = 4, extra:
             y = times(batch, sent.value)
             y /= np.linalg.norm(y, axis=1, keepdims=True) + eps
             schema = schema or pa.schema([batch.schema.field(0), ("fingerprint", pa.list_(pa.float64()))])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(y.tolist(), schema.field(1).type)], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(y)], schema=schema)
 
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(project, f"id {kind}, fingerprint array<double>"), np.sqrt(np.clip(values[order], 0, None))

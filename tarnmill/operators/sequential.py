@@ -4,79 +4,51 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def stratified_folds(df: DataFrame, targets: list[str], n_folds: int = 5, seed: int = 0, group_rows: int = 20_000) -> DataFrame:
     """(study, fold) with each target's positives spread over the folds.
 
-    Iterative stratification: within a group the rarest remaining target is dealt first, each of its rows to the fold
-    that lacks most of it. Rows are cut into hash groups of about ``group_rows`` and each is balanced by itself, so
-    the whole is balanced within one row per target and group, and no task holds more than a group.
+    Rows are dealt one after the other, those with most positives first and in a seeded order among equals: to the fold
+    that lacks most of the row's rarest positive target, or, without positives, most rows; the first of equals. Rows are
+    cut into hash groups of about ``group_rows`` and each is dealt by itself in one pass, so no task holds more than a
+    group. Unknown and unsure (0.5 counts as positive) follow ``y >= 0.5``; repeated rows are dealt each.
     """
-    n = df.count()
-    groups = max(1, round(n / group_rows))
+    groups = max(1, round(df.count() / group_rows))
 
     def deal(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("study").reset_index(drop=True)
-        y = (pdf[targets].fillna(0.0).to_numpy() >= 0.5).astype(int)
-        rng = np.random.default_rng(seed)
-        order = rng.permutation(len(pdf))
-        fold = np.full(len(pdf), -1)
-        want_rows = np.full(n_folds, len(pdf) / n_folds)
-        want = np.tile(y.sum(axis=0) / n_folds, (n_folds, 1))
-        left = set(order.tolist())
-        while left:
-            rest = np.array(sorted(left))
-            counts = y[rest].sum(axis=0)
-            open_targets = np.flatnonzero(counts)
-            if not len(open_targets):
-                for i in [i for i in order if i in left]:
-                    k = int(np.argmax(want_rows))
-                    fold[i] = k
-                    want_rows[k] -= 1
-                break
-            t = open_targets[np.argmin(counts[open_targets])]
-            for i in [i for i in order if i in left and y[i, t]]:
-                best = np.flatnonzero(want[:, t] == want[:, t].max())
-                k = int(best[np.argmax(want_rows[best])])
-                fold[i] = k
-                want_rows[k] -= 1
-                want[k] -= y[i]
-                left.discard(i)
-        return pd.DataFrame({"study": pdf["study"], "fold": fold.astype("int32")})
-
-    keyed = df.select("study", *targets).withColumn("_g", F.pmod(F.xxhash64("study"), F.lit(groups)))
-    return keyed.groupBy("_g").applyInPandas(lambda pdf: deal(pdf), "study bigint, fold int")
-
-
-def allocate_quota(capacities: list[int], weights: list[float], total: int) -> list[int]:
-    """Whole numbers near ``total`` shared by weight, none over its capacity: largest remainders, then the rest in turn."""
-    total = min(total, sum(capacities))
-    share = [w / sum(weights) * total if sum(weights) else 0 for w in weights]
-    out = [min(c, int(s)) for c, s in zip(capacities, share)]
-    for i in sorted(range(len(out)), key=lambda i: (-(share[i] - int(share[i])), i)):
-        if sum(out) < total and out[i] < capacities[i]:
-            out[i] += 1
-    while sum(out) < total:
-        for i in range(len(out)):
-            if sum(out) < total and out[i] < capacities[i]:
-                out[i] += 1
-    return out
+        y = (pdf[targets].fillna(0.0).to_numpy(float) >= 0.5).astype(int)
+        order = np.lexsort((pdf["study"], pdf["_tm_order"], -y.sum(axis=1)))
+        counts = y.sum(axis=0)
+        rarest = np.where(y > 0, counts, np.iinfo(np.int64).max).argmin(axis=1)
+        lack, room = np.tile(counts / n_folds, (n_folds, 1)), np.full(n_folds, len(y) / n_folds)
+        fold = np.zeros(len(y), np.int32)
+        for i in order:
+            k = int((lack[:, rarest[i]] if y[i].any() else room).argmax())
+            fold[i] = k
+            lack[k] -= y[i]
+            room[k] -= 1
+        return pd.DataFrame({"study": pdf["study"], "fold": fold})
+
+    keyed = df.select("study", *targets, F.xxhash64("study", F.lit(seed)).alias("_tm_order")).withColumn("_tm_g", F.pmod(F.xxhash64("study"), F.lit(groups)))
+    return keyed.groupBy("_tm_g").applyInPandas(lambda pdf: deal(pdf), "study bigint, fold int")
 
 
 def quota_per_group(df: DataFrame, by: str, slot: str, total: int) -> DataFrame:
-    """(by, slot, quota): each group's total dealt to its slots by their sizes; a group has few slots."""
-    sizes = df.groupBy(by, slot).agg(F.count(F.lit(1)).alias("n"))
-    lists = sizes.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(slot, "n"))).alias("s"))
+    """(by, slot, quota): each group's total dealt to its slots in proportion to their sizes, never more than a size.
 
-    @F.pandas_udf("array<int>")
-    def quota(counts: pd.Series) -> pd.Series:
-        return counts.map(lambda c: allocate_quota(list(map(int, c)), [float(x) for x in c], total))
-
-    dealt = lists.select(by, "s", quota(F.transform("s", lambda x: x["n"])).alias("q"))
-    return dealt.select(by, F.explode(F.arrays_zip(F.transform("s", lambda x: x[slot]).alias("slot"), F.col("q").alias("quota"))).alias("z")).select(by, F.col("z.slot").alias(slot), F.col("z.quota").alias("quota"))
+    Whole shares first, then one each to the largest remainders, the first slot among equals. Shares and remainders are
+    whole numbers, so ties are exact; a group has few slots, which is all that its window sorts.
+    """
+    sizes = df.groupBy(by, slot).agg(F.count(F.lit(1)).alias("n"))
+    group = Window.partitionBy(by)
+    shares = sizes.withColumn("all", F.sum("n").over(group)).withColumn("share", F.col("n") * F.least(F.lit(total), F.col("all")))
+    whole = shares.withColumn("whole", F.floor(F.col("share") / F.col("all"))).withColumn("rest", F.col("share") % F.col("all"))
+    place = F.row_number().over(group.orderBy(F.desc("rest"), slot))
+    left = F.least(F.lit(total), F.col("all")) - F.sum("whole").over(group)
+    return whole.select(by, slot, (F.col("whole") + (place <= left).cast("int")).cast("int").alias("quota"))
 
 
 def pick_unused(df: DataFrame, group: str, order: list[str], slots: list[tuple[str, int]], kind: str, flag: str, key: str) -> DataFrame:

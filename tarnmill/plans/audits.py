@@ -197,10 +197,22 @@ def validate_output(spark, sf_dir):
     return audit.validate(out, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("study")), "study", ["p"])
 
 
-@query("validate_contract", "SELECT 'rows' AS name, (SELECT count(*) FROM labels) = (SELECT count(*) FROM documents) AS passed UNION ALL SELECT 'unique', (SELECT count(*) = count(DISTINCT doc_id) FROM labels) UNION ALL SELECT 'same_ids', (SELECT count(*) FROM (SELECT doc_id FROM labels) l FULL JOIN (SELECT doc_id FROM documents) d USING (doc_id) WHERE l.doc_id IS NULL OR d.doc_id IS NULL) = 0 UNION ALL SELECT 'no_null', (SELECT count(*) FROM labels WHERE quality IS NULL OR toxic IS NULL) = 0 UNION ALL SELECT 'in_range', (SELECT count(*) FROM labels WHERE quality < 0 OR quality > 1 OR toxic < 0 OR toxic > 1) = 0")
+_CONTRACT = PREDS_SQL + """, w AS (SELECT study, max(p) FILTER (target = 'acl') AS acl, max(p) FILTER (target = 'mcl') AS mcl FROM preds WHERE model = 'm1' AND is_gold GROUP BY study),
+f AS (SELECT doc_id AS study, coalesce(acl, 0.5) AS acl, coalesce(mcl, 0.5) AS mcl FROM documents LEFT JOIN w ON study = doc_id),
+c AS (SELECT 'before' AS stage, (SELECT count(*) FROM w) AS n, (SELECT count(*) FROM w WHERE acl NOT BETWEEN 0 AND 1 OR mcl NOT BETWEEN 0 AND 1) AS outside UNION ALL SELECT 'after', (SELECT count(*) FROM f), (SELECT count(*) FROM f WHERE acl NOT BETWEEN 0 AND 1 OR mcl NOT BETWEEN 0 AND 1))
+SELECT stage, name, CASE name WHEN 'columns' THEN stage = 'after' WHEN 'rows' THEN n = (SELECT count(*) FROM documents) WHEN 'same_ids' THEN n = (SELECT count(*) FROM documents) WHEN 'in_range' THEN outside = 0 ELSE true END AS passed
+FROM c, (SELECT unnest(['columns', 'numeric', 'finite', 'rows', 'unique', 'same_ids', 'no_null', 'in_range']) AS name)"""
+
+
+@query("validate_contract", _CONTRACT)
 def validate_contract(spark, sf_dir):
-    """A table that does not cover the required ids: the report names what fails."""
-    return audit.validate(table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents").select("doc_id"), "doc_id", ["quality", "toxic"])
+    """An output that covers some ids, with its columns in another order, before and after it is aligned to the contract."""
+    columns, required = ["study", "acl", "mcl"], table(spark, sf_dir, "documents").select(F.col("doc_id").alias("study"))
+    one = lambda t: F.max(F.when(F.col("target") == t, F.col("p"))).alias(t)
+    out = fixtures.one_model(spark, sf_dir).filter("is_gold").groupBy("study").agg(one("mcl"), one("acl"))
+    fixed = audit.realigned(out, required, "study", columns, {"acl": 0.5, "mcl": 0.5})
+    check = lambda df, stage: audit.contract(df, required, columns, columns[1:]).select(F.lit(stage).alias("stage"), "name", "passed")
+    return check(out, "before").unionByName(check(fixed, "after"))
 
 
 @query("sink_atomic_default", PREDS_SQL + " SELECT doc_id, coalesce(p, 0.5) AS p FROM documents LEFT JOIN (SELECT study, p FROM preds WHERE model = 'm1' AND target = 'mcl' AND NOT is_gold) ON study = doc_id")

@@ -128,18 +128,21 @@ SELECT study, target, round(CASE WHEN target = 'synovitis' THEN {_pct("m", "targ
 
 @query("blend_rank_residual", PREDS_SQL + _RESID)
 def blend_rank_residual(spark, sf_dir):
-    """Only synovitis changes: towards a proxy of its own and effusion's consensus, ranked again at every step."""
-    one = lambda m: F.max(F.when(F.col("model") == m, F.col("p"))).alias(m)
-    wide = fixtures.predictions(spark, sf_dir).groupBy("study", "target").agg(one("m1"), one("m2"), one("m3"))
-    wide = blend.with_ranks(wide, {f"r{m}": (m, ["target"]) for m in fixtures.MODELS})
-    ranks = wide.select("study", "target", *[F.col(f"r{m}").alias(m) for m in fixtures.MODELS])
-    consensus = written(blend.with_ranks(ranks.withColumn("mix", F.round(0.55 * F.col("m2") + 0.45 * F.col("m3"), 9)), {"k": ("mix", ["target"])}), "consensus")
-    of = lambda t: F.max(F.when(F.col("target") == t, F.col("k")))
-    proxy = consensus.groupBy("study").agg(F.round(0.82 * of("synovitis") + 0.18 * of("effusion"), 9).alias("own")).withColumn("target", F.lit("synovitis"))
-    proxy = blend.with_ranks(proxy, {"proxy": ("own", ["target"])}).select("study", "target", "proxy")
-    mixed = consensus.join(proxy, ["study", "target"], "left").withColumn("m", F.round(0.7 * F.col("m1") + 0.3 * F.col("proxy"), 9))
-    final = blend.with_ranks(mixed, {"r": ("m", ["target"])})
-    return _rounded(final.select("study", "target", F.when(F.col("proxy").isNotNull(), F.col("r")).otherwise(F.col("m1")).alias("p")))
+    """Only synovitis changes: towards a proxy of its own and effusion's consensus, ranked again at every step.
+
+    Members are ranked in long form in one pass; the consensus is ranked for the two targets that the proxy reads, and the
+    last rank is taken of the changed target alone.
+    """
+    preds = written(fixtures.predictions(spark, sf_dir).select("study", "target", "model", "p"), "preds")
+    one = lambda m: F.max(F.when(F.col("model") == m, F.col("r"))).alias(m)
+    ranks = written(with_rank(preds, "r", "p", ["target", "model"], "pct").groupBy("study", "target").agg(*map(one, fixtures.MODELS)), "ranks")
+    read = ranks.filter(F.col("target").isin("synovitis", "effusion")).withColumn("mix", F.round(0.55 * F.col("m2") + 0.45 * F.col("m3"), 9))
+    consensus = with_rank(read, "k", "mix", ["target"], "pct")
+    of = lambda c, t: F.max(F.when(F.col("target") == t, F.col(c)))
+    proxy = consensus.groupBy("study").agg(F.round(0.82 * of("k", "synovitis") + 0.18 * of("k", "effusion"), 9).alias("own"), of("m1", "synovitis").alias("m1"))
+    proxy = with_rank(written(proxy, "proxy"), "q", "own", [], "pct").select("study", F.round(0.7 * F.col("m1") + 0.3 * F.col("q"), 9).alias("m"))
+    changed = with_rank(written(proxy, "mixed"), "r", "m", [], "pct").select("study", F.lit("synovitis").alias("target"), F.col("r").alias("p"))
+    return _rounded(changed.unionByName(ranks.filter("target <> 'synovitis'").select("study", "target", F.col("m1").alias("p"))))
 
 
 _SOFT = f""", w AS (SELECT study, target, max(p) FILTER (model = 'm1') AS a, max(p) FILTER (model = 'm2') AS b FROM preds GROUP BY 1, 2),
@@ -173,8 +176,28 @@ def zlogit_calibrate(spark, sf_dir):
     return blend.zlogit(fixtures.predictions(spark, sf_dir), ["model", "fold", "target"]).select("study", "target", "model", F.round("z", 4).alias("z"))
 
 
-@query("blend_zlogit_family", PREDS_SQL + _Z + f" SELECT study, target, round(1 / (1 + exp(-greatest(-11.5, least(11.5, sum({_W} * zs) / sum({_W}))))), 5) AS p FROM zz GROUP BY 1, 2")
+_FAMILY_WEIGHT = "CASE WHEN target = 'acl' THEN 0.5::DOUBLE WHEN f = 'a' THEN 0.6::DOUBLE ELSE 0.4::DOUBLE END"
+_FAMILIES = (
+    PREDS_SQL + ", av AS (SELECT * FROM preds WHERE NOT (model = 'm3' AND study % 4 = 1) AND NOT (model <> 'm3' AND study % 6 = 1))" + _Z.replace("FROM preds)", "FROM av)")
+    + f""", fm AS (SELECT study, target, CASE WHEN model = 'm3' THEN 'b' ELSE 'a' END AS f, avg(zs) AS z FROM zz GROUP BY 1, 2, 3),
+bl AS (SELECT study, target, sum({_FAMILY_WEIGHT} * z) / sum({_FAMILY_WEIGHT}) AS z FROM fm GROUP BY 1, 2), pr AS (SELECT target, avg(p) AS p FROM av GROUP BY 1)
+SELECT k.study, k.target, round(CASE WHEN bl.z IS NOT NULL THEN 1 / (1 + exp(-greatest(-11.5, least(11.5, bl.z)))) ELSE pr.p END, 5) AS p
+FROM (SELECT DISTINCT study, target FROM preds) k LEFT JOIN bl ON bl.study = k.study AND bl.target = k.target JOIN pr ON pr.target = k.target"""
+)
+
+
+@query("blend_zlogit_family", _FAMILIES)
 def blend_zlogit_family(spark, sf_dir):
+    """Two families of members, of which some studies lack one and some both."""
+    preds = fixtures.predictions(spark, sf_dir)
+    have = preds.filter(~((F.col("model") == "m3") & (F.col("study") % 4 == 1)) & ~((F.col("model") != "m3") & (F.col("study") % 6 == 1)))
+    priors = have.groupBy("target").agg(F.avg("p").alias("p"))
+    out = blend.blend_families(have, preds, priors, {"a": ("m1", "m2"), "b": ("m3",)}, {"a": 0.6, "b": 0.4}, ["model", "fold", "target"], {"acl": {"a": 0.5, "b": 0.5}})
+    return _rounded(out, 5)
+
+
+@query("blend_zlogit", PREDS_SQL + _Z + f" SELECT study, target, round(1 / (1 + exp(-greatest(-11.5, least(11.5, sum({_W} * zs) / sum({_W}))))), 5) AS p FROM zz GROUP BY 1, 2")
+def blend_zlogit(spark, sf_dir):
     return _rounded(blend.blend_zlogit(fixtures.predictions(spark, sf_dir), W, ["model", "fold", "target"]), 5)
 
 
@@ -281,13 +304,12 @@ _SWEEP = (
 
 @query("opt_sweep_beta", _SWEEP)
 def opt_sweep_beta(spark, sf_dir):
-    """Macro AUC for each strength of the evidence."""
-    preds, matrix, out = fixtures.one_model(spark, sf_dir), calibrate.cooccurrence(_positives(spark, sf_dir)), None
-    for beta in _BETAS:
-        scored = calibrate.bayes_evidence(preds, matrix, beta).withColumn("p", F.round("p", 6))
-        row = metrics.macro(metrics.auc(scored, ["target"], metrics.DIALECTS["training"]), []).select(F.lit(beta).alias("beta"), "macro_auc")
-        out = row if out is None else out.unionByName(row)
-    return out
+    """Macro AUC for each strength of the evidence, which is computed once."""
+    known = calibrate.evidence(fixtures.one_model(spark, sf_dir), calibrate.cooccurrence(_positives(spark, sf_dir)))
+    tried = known.withColumn("beta", F.explode(F.array(*map(F.lit, _BETAS))))
+    scored = tried.select("target", "beta", "y", F.round(calibrate.raised(F.col("beta")), 6).alias("p")).groupBy("target", "beta", "y", "p").agg(F.count(F.lit(1)).alias("n"))
+    found = metrics.auc(written(scored, "equal-scores"), ["target", "beta"], metrics.DIALECTS["training"], n="n")
+    return metrics.macro(found, ["beta"]).select("beta", "macro_auc")
 
 
 @query("check_protected", PREDS_SQL + _SOFT.replace("SELECT study, target, round((1 - w) * a + w * b, 6) AS p FROM r", "SELECT target, count(*) FILTER (round((1 - w) * a + w * b, 6) <> round(a, 6)) AS n_changed FROM r GROUP BY target"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tarnmill.operators import decide, geometry, sequential
 from tarnmill.plans import fixtures
+from tarnmill.plans.fixtures import SERIES_SQL
 from tarnmill.plans.blends import _WIDE, wide_predictions
 from tarnmill.plans.fixtures import PREDS_SQL
 from tarnmill.plans.registry import query
@@ -40,11 +41,24 @@ def rule_recommend(spark, sf_dir):
     return decide.recommend(wide_predictions(spark, sf_dir))
 
 
-@query("rule_biomarker_probs", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(greatest(0.02, least(0.98, 0.015 * l_quantity + 0.1)), 6) AS effusion, round(greatest(0.02, least(0.98, 4.0 * l_discount + 0.2)), 6) AS acl FROM lineitem")
+#: Linear maps of four measures to the 12 probabilities, constants by rule.
+_MEASURES = ("l_quantity / 50", "l_discount * 10", "l_tax * 12", "l_extendedprice / 97003")
+_MAPS = {t: (_MEASURES[k % 4], round(0.35 + 0.05 * k, 2), round(0.3 - 0.02 * k, 2)) for k, t in enumerate(fixtures.TARGETS)}
+_BIOMARKERS = (
+    "WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, "
+    + ", ".join(f"round(greatest(0.02::DOUBLE, least(0.98::DOUBLE, {slope}::DOUBLE * ({m.replace(' / ', '::DOUBLE / ').replace(' * ', '::DOUBLE * ')}) + {start}::DOUBLE)), 6) AS {t}" for t, (m, slope, start) in _MAPS.items())
+    + " FROM lineitem) SELECT *, CASE greatest(" + ", ".join(_MAPS) + ") " + " ".join(f"WHEN {t} THEN '{t}'" for t in _MAPS) + " END AS likeliest FROM p"
+)
+
+
+@query("rule_biomarker_probs", _BIOMARKERS)
 def rule_biomarker_probs(spark, sf_dir):
-    maps = {"effusion": ("l_quantity", 0.015, 0.1), "acl": ("l_discount", 4.0, 0.2)}
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *decide.biomarker_probs(maps))
-    return rows.withColumns({c: F.round(c, 6) for c in maps})
+    """Twelve clipped linear maps and the target that they make the likeliest."""
+    rows = table(spark, sf_dir, "lineitem").withColumns({f"_m{k}": F.expr(m).cast("double") for k, m in enumerate(_MEASURES)})
+    maps = {t: (f"_m{k % 4}", slope, start) for k, (t, (_, slope, start)) in enumerate(_MAPS.items())}
+    probs = rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", *decide.biomarker_probs(maps))
+    rounded = probs.withColumns({t: F.round(t, 6) for t in maps})
+    return rounded.withColumn("likeliest", decide.likeliest(list(maps)))
 
 
 def _vectors(spark, sf_dir):
@@ -77,12 +91,27 @@ def fold_multilabel(spark, sf_dir):
     return sequential.stratified_folds(wide, list(fixtures.TARGETS))
 
 
-@query("quota_allocate", None)
+_QUOTA = """, z AS (SELECT study, plane, count(*) AS n FROM series GROUP BY 1, 2), s AS (SELECT *, sum(n) OVER (PARTITION BY study)::BIGINT AS total FROM z),
+w AS (SELECT *, (n * least(8, total)) // total AS whole, (n * least(8, total)) % total AS rest FROM s)
+SELECT study, plane, (whole + (row_number() OVER (PARTITION BY study ORDER BY rest DESC, plane) <= least(8, total) - sum(whole) OVER (PARTITION BY study))::INT)::INT AS quota FROM w"""
+
+
+@query("quota_allocate", SERIES_SQL + _QUOTA)
 def quota_allocate(spark, sf_dir):
     return sequential.quota_per_group(fixtures.series(spark, sf_dir), "study", "plane", 8)
 
 
-@query("pick_prefer_unused", None)
+def _unused_sql() -> str:
+    """Each slot takes the first unused row of its kind, one with the wanted flag before others."""
+    out, used = SERIES_SQL + """, r AS (SELECT study, plane, fluid, l_partkey::BIGINT AS l_partkey, row_number() OVER (PARTITION BY study ORDER BY seq, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS i FROM series)""", []
+    for n, (kind, wish) in enumerate((("A", 1), ("A", 0), ("N", 1), ("R", 1))):
+        free = "".join(f" AND NOT EXISTS (SELECT 1 FROM {u} WHERE {u}.study = r.study AND {u}.i = r.i)" for u in used)
+        out += f", s{n} AS (SELECT study, i, {n} AS slot, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY study ORDER BY (fluid = {wish}) DESC, i) AS k FROM r WHERE plane = '{kind}'{free}) WHERE k = 1)"
+        used.append(f"s{n}")
+    return out + " " + " UNION ALL ".join(f"SELECT study, slot, l_partkey FROM {u}" for u in used)
+
+
+@query("pick_prefer_unused", _unused_sql())
 def pick_prefer_unused(spark, sf_dir):
     rows = fixtures.series(spark, sf_dir).withColumn("l_partkey", F.col("l_partkey").cast("bigint"))
     return sequential.pick_unused(rows, "study", ["seq", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"], [("A", 1), ("A", 0), ("N", 1), ("R", 1)], "plane", "fluid", "l_partkey")
@@ -120,16 +149,18 @@ def scan_embedded(spark, sf_dir):
     return files.read_embedded(spark, payload, "target string, weight double")
 
 
-@query("scan_binary_tree", "SELECT source AS grp, count(*) AS n FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL) GROUP BY source")
+@query("scan_binary_tree", "SELECT source AS grp, count(*) AS n_lines, sum(length(doc_id::VARCHAR) + 1)::BIGINT AS n_bytes FROM documents WHERE source IS NOT NULL AND doc_id IS NOT NULL GROUP BY source")
 def scan_binary_tree(spark, sf_dir):
-    """Files below a folder, one folder a group; contents are not read. One file is written for each source."""
+    """Files below a folder, one folder a group, with their contents: the ids of each source, in as many files as tasks
+    wrote."""
     from tarnmill.sources import files
 
     path = files.scratch(spark, "tree")
-    groups = table(spark, sf_dir, "documents").filter("source IS NOT NULL").select("source").distinct().withColumn("value", F.col("source"))
-    groups.repartition(1, "source").write.partitionBy("source").text(path)
+    ids = table(spark, sf_dir, "documents").filter("source IS NOT NULL AND doc_id IS NOT NULL").select("source", F.col("doc_id").cast("string").alias("value"))
+    ids.write.partitionBy("source").text(path)
     found = files.read_binary_tree(spark, path, "*.txt")
-    return found.groupBy(F.regexp_replace("group", "^source=", "").alias("grp")).agg(F.count(F.lit(1)).alias("n"))
+    lines = F.size(F.split(F.decode("content", "UTF-8"), "\n", -1)) - 1
+    return found.groupBy(F.regexp_replace("group", "^source=", "").alias("grp")).agg(F.sum(lines).alias("n_lines"), F.sum("length").alias("n_bytes"))
 
 
 @query("scan_jsonl", "SELECT conv_id, turn, role, text FROM conversations")

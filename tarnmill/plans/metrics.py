@@ -114,3 +114,9 @@ def validate_degenerate(spark, sf_dir):
     return per.groupBy("model").agg(F.round(F.avg("sd"), 6).alias("mean_sd"), (F.avg("sd") < 1e-4).alias("constant"))
 
 
+@query("metric_efficiency", PREDS_SQL + """, s AS (SELECT target, model, avg(p) AS score, count(*) / 1000.0::DOUBLE AS seconds FROM preds GROUP BY 1, 2)
+SELECT target, model, round(CASE WHEN score > 0.45 THEN seconds / (((score - 0.45::DOUBLE) / (0.9::DOUBLE - 0.45)) * ((score - 0.45::DOUBLE) / (0.9::DOUBLE - 0.45))) END, 4) AS efficiency FROM s""")
+def metric_efficiency(spark, sf_dir):
+    """A cost over the squared gain of each model and target, with mean scores for the quality."""
+    rows = fixtures.predictions(spark, sf_dir).groupBy("target", "model").agg(F.avg("p").alias("score"), (F.count(F.lit(1)) / 1000.0).alias("seconds"))
+    return rows.select("target", "model", F.round(metrics.efficiency(F.col("seconds"), F.col("score"), 0.45, 0.9), 4).alias("efficiency"))

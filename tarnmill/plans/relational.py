@@ -301,12 +301,13 @@ def agg_slot_coverage(spark, sf_dir):
     return rows.groupBy("plane", "fluid").agg(F.countDistinct("study").alias("k")).crossJoin(total).select("plane", "fluid", F.round(F.col("k") / F.col("n"), 6).alias("share"))
 
 
-@query("agg_text_lengths", "WITH w AS (SELECT len(string_split_regex(trim(text), '[ \\n]+')) AS n FROM documents), q AS (SELECT quantile_cont(n, 0.99) AS top FROM w) SELECT count(*) AS n_docs, round(avg(n), 6) AS mean, max(n) AS most FROM w, q WHERE n < top")
+@query("agg_text_lengths", "WITH w AS (SELECT len(string_split_regex(trim(text), '[ \\n]+')) AS n FROM documents), q AS (SELECT quantile_cont(n, 0.99) AS top FROM w) SELECT (n // 25)::BIGINT AS bin, count(*) AS n_docs, round(avg(n), 6) AS mean, min(n) AS least, max(n) AS most FROM w, q WHERE n < top GROUP BY 1")
 def agg_text_lengths(spark, sf_dir):
-    """Word counts below their 99th percentile; the percentile is one row."""
+    """The distribution of word counts below their 99th percentile, in bins of 25; the percentile is one row."""
     words = table(spark, sf_dir, "documents").select(F.size(F.split(F.trim("text"), "[ \n]+")).cast("long").alias("n"))
     top = words.agg(F.percentile("n", F.lit(0.99)).alias("top"))
-    return words.crossJoin(top).filter("n < top").agg(F.count(F.lit(1)).alias("n_docs"), F.round(F.avg("n"), 6).alias("mean"), F.max("n").alias("most"))
+    below = words.crossJoin(top).filter("n < top").groupBy(F.floor(F.col("n") / 25).alias("bin"))
+    return below.agg(F.count(F.lit(1)).alias("n_docs"), F.round(F.avg("n"), 6).alias("mean"), F.min("n").alias("least"), F.max("n").alias("most"))
 
 
 _DIGEST = """WITH r AS (SELECT source, doc_id // 4096 AS part, sha256(string_agg(doc_id::VARCHAR, chr(10) ORDER BY doc_id)) AS digest FROM documents GROUP BY 1, 2)
@@ -323,16 +324,19 @@ def agg_hash_digest(spark, sf_dir):
     return parts.select("source", F.struct(F.col("part").alias("k"), F.col("digest").alias("v")).alias("d")).groupBy("source").agg(F.sha2(ordered("d"), 256).alias("digest"))
 
 
-@query("sink_append_resume", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY doc_id")
+@query("sink_append_resume", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END AS attempt FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def sink_append_resume(spark, sf_dir):
-    """What a restarted job still has to do: input ids without a row in the output, appended to what it then wrote."""
+    """A job that was cut after a third of its rows: started again it appends the rows whose ids the output lacks, and a
+    further start appends none."""
     from tarnmill.sources import files
 
     path = files.scratch(spark, "appended")
-    rest = rel.remaining(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "doc_id")
-    rest.write.parquet(path)
-    rel.remaining(rest, spark.read.schema(rest.schema).parquet(path), "doc_id").write.mode("append").parquet(path)  # a second start adds nothing
-    return spark.read.schema(rest.schema).parquet(path)
+    todo = rel.remaining(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "doc_id")
+    todo.filter("doc_id % 3 = 0").withColumn("attempt", F.lit(1)).write.parquet(path)
+    for attempt in (2, 3):
+        done = spark.read.schema("doc_id bigint, attempt int").parquet(path)
+        files.written(rel.remaining(todo, done, "doc_id"), "resumed").withColumn("attempt", F.lit(attempt)).write.mode("append").parquet(path)
+    return spark.read.schema("doc_id bigint, attempt int").parquet(path)
 
 
 @query("running_totals_stop", "WITH t AS (SELECT event_id, user_id, sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS cost FROM events WHERE value IS NOT NULL) SELECT event_id, user_id, round(cost, 4) AS cost FROM t WHERE cost <= 100")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarnmill.functions import text as tx
-from tarnmill.functions.finding_rules import FindingRule
+from tarnmill.functions.finding_rules import FindingRule, training_negations
 from tarnmill.operators import labeling
 from tarnmill.plans import fixtures
 from tarnmill.plans.fixtures import PREDS_SQL
@@ -136,6 +136,12 @@ def label_medical_rules(spark, sf_dir):
     return labeling.label_reports(_docs(spark, sf_dir), "doc_id", "text").groupBy("target", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("label_dialect_training", None)
+def label_dialect_training(spark, sf_dir):
+    """The same rules under the negations of the training dialect."""
+    return labeling.label_reports(_docs(spark, sf_dir), "doc_id", "text", negations=training_negations()).groupBy("target", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
 #: A graded rule over words that the documents hold.
 TEST_GRADED = labeling.GradedRule(
     "x", anatomy="the|le |die|que", pathology="in|an|er", decoy="lorem|subscribe", uncertain="that is|this is", negative="(^| )(no|pas|nicht) ", normal="tion", severe="ness|ing ",

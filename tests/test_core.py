@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnmill.functions import text as tx
-from tarnmill.operators import calibrate, geometry, labeling, metrics, sequential
+from tarnmill.operators import audit, calibrate, geometry, labeling, metrics, sequential
 from tarnmill.operators.ranking import with_position, with_rank
 from tarnmill.plans.fixtures import TARGETS
 
@@ -41,6 +41,14 @@ def test_hedge_is_not_an_assertion(spark):
     assert _label(spark, "A small tear of the medial meniscus is possible but not certain.")["medial_meniscus"] != 1.0
 
 
+def test_training_dialect_knows_fewer_negations(spark):
+    from tarnmill.functions.finding_rules import NEGATIONS, training_negations
+
+    df = spark.createDataFrame([(1, "Rupture du menisque interne, patella normale")], "id int, t string")
+    label = lambda negations: {r["target"]: r["label"] for r in labeling.label_reports(df, "id", "t", negations=negations).collect()}["medial_meniscus"]
+    assert set(training_negations()) < set(NEGATIONS) and label(NEGATIONS) != 1.0 and label(training_negations()) == 1.0
+
+
 def test_labels_of_nothing(spark):
     assert set(_label(spark, None).values()) == {None} and set(_label(spark, "").values()) == {None}
 
@@ -104,9 +112,29 @@ def test_folds_are_balanced(spark):
         assert per.max() - per.min() <= 3
 
 
-def test_quota():
-    assert sequential.allocate_quota([5, 1, 9], [5, 1, 9], 6) == [2, 0, 4]
-    assert sum(sequential.allocate_quota([1, 1, 10], [5, 5, 1], 8)) == 8
+def test_quota(spark):
+    rows = [(g, s) for g, ns in ((1, (5, 1, 9)), (2, (1, 1, 1)), (3, (2, 2, 2, 2))) for s, n in zip("abcd", ns) for _ in range(n)]
+    out = sequential.quota_per_group(spark.createDataFrame(rows, "g int, s string"), "g", "s", 6).collect()
+    got = {(r["g"], r["s"]): r["quota"] for r in out}
+    assert [got[1, s] for s in "abc"] == [2, 0, 4] and [got[2, s] for s in "abc"] == [1, 1, 1] and [got[3, s] for s in "abcd"] == [2, 2, 1, 1]
+
+
+def test_folds_deal_dense_rows_first(spark):
+    df = spark.createDataFrame([(k, 1.0, 1.0) for k in range(5)] + [(10 + k, 1.0, None) for k in range(10)] + [(100 + k, 0.0, 0.0) for k in range(10)], "study bigint, a double, b double")
+    fold = {r["study"]: r["fold"] for r in sequential.stratified_folds(df, ["a", "b"]).collect()}
+    assert sorted(fold[k] for k in range(5)) == [0, 1, 2, 3, 4]
+    for ids in (range(10, 20), range(100, 110)):
+        assert sorted(fold[k] for k in ids) == [0, 0, 1, 1, 2, 2, 3, 3, 4, 4]
+
+
+def test_contract_of_other_columns(spark):
+    ids = spark.createDataFrame([(1,), (2,)], "k int")
+    of = lambda rows, schema: {r["name"]: r["passed"] for r in audit.contract(spark.createDataFrame(rows, schema), ids, ["k", "p"], ["p"]).collect()}
+    assert all(of([(1, 0.5), (2, 0.1)], "k int, p double").values())
+    bad = of([(1, float("nan")), (1, None)], "k int, p double")
+    assert not any(bad[n] for n in ("finite", "unique", "same_ids", "no_null")) and bad["columns"] and bad["rows"]
+    assert of([(1, "x")], "k int, p string") == {"columns": True, "numeric": False, "finite": True}
+    assert of([(1, 0.5)], "k int, q double") == {"columns": False, "numeric": False, "finite": True}
 
 
 def test_text_functions(spark):
