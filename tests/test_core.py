@@ -194,6 +194,12 @@ def test_span_distances_match_brute_force(spark):
     assert [r[0] for r in sides.collect()] == ["own", "other", "own", "other", "own", None]
 
 
+def test_spans_ignore_case_in_all_scripts(spark):
+    df = spark.createDataFrame([("FÜR für Für x",)], "t string")
+    spans = df.select(tx.match_spans(F.col("t"), "(?i)(für)").alias("a"), tx.match_spans(F.col("t"), "für").alias("b")).first()
+    assert [tuple(s) for s in spans["a"]] == [(0, 3), (4, 7), (8, 11)] and [tuple(s) for s in spans["b"]] == [(4, 7)]
+
+
 def test_graded_labels(spark):
     rule = labeling.GradedRule(
         "effusion", anatomy="effusion|fluid", uncertain="possible", negative="no |without", normal="normal|physiologic", severe="tear", high="large|marked", low="small|trace",
