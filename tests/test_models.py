@@ -77,6 +77,33 @@ def test_vocabulary_is_cut_by_counts_then_text(spark):
     assert got == {" cd", " cd ", "cd ", " ab"}
 
 
+def test_gram_counts_match_brute_force():
+    texts = ["a bb  cçc\tdéjà-vu 😀x", "", " \n ", "bb bb\x00b\x0bB\u00a0x", "x" * 300, "aa aa aaa"]
+    text, x, times, chars, size = projection._gram_counts(texts)
+    got = {(int(t), "".join(map(chr, c[:n]))): int(k) for t, c, n, k in zip(text, chars, size, times)}
+    want = {}
+    for t, words in enumerate(texts):
+        for w in words.encode().split():
+            w = f" {w.decode()} "
+            for n in (3, 4, 5):
+                for i in range(len(w) - n + 1):
+                    want[t, w[i : i + n]] = want.get((t, w[i : i + n]), 0) + 1
+    assert got == want and len(set(x.tolist())) == len({g for _, g in want})
+
+
+def test_term_rows_of_repeated_ids(spark):
+    rows = [(k % 40, "ab cd " * (k % 3) + f"w{k % 5}") for k in range(60)]
+    joined = {}
+    for k, t in rows:
+        joined[k] = f"{joined.get(k, '')} {t}"
+    kinds = []
+    for df in (spark.createDataFrame(rows, "id int, t string"), spark.createDataFrame([*joined.items()], "id int, t string")):
+        out, terms = projection.term_rows(df, "id", F.col("t"))
+        kinds.append((terms, {r["id"]: (r["ks"], [round(w, 9) for w in r["ws"]]) for r in out.collect()}))
+    assert kinds[0] == kinds[1] and len(kinds[0][1]) == 40
+    assert all(ks == sorted(ks) and abs(sum(w * w for w in ws) - 1) < 1e-6 for ks, ws in kinds[0][1].values())
+
+
 # second-level models
 
 TARGETS = ("a", "b", "c")
