@@ -104,6 +104,16 @@ def test_term_rows_of_repeated_ids(spark):
     assert all(ks == sorted(ks) and abs(sum(w * w for w in ws) - 1) < 1e-6 for ks, ws in kinds[0][1].values())
 
 
+def test_svd_of_rows_sends_packed_cells_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(projection, "PART_CELLS", 3)
+    rng = np.random.default_rng(8)
+    a = np.where(rng.random((30, 12)) < 0.4, rng.random((30, 12)), 0)
+    a[:, 0] = 1
+    rows = [(k, [int(j) for j in np.flatnonzero(r)], [float(x) for x in r[r > 0]]) for k, r in enumerate(a)]
+    out, values = projection.svd_of_rows(spark.createDataFrame(rows, "id int, ks array<int>, ws array<double>"), 12, dims=4)
+    assert np.allclose(values, np.linalg.svd(a, compute_uv=False)[:4], rtol=1e-6) and out.count() == 30
+
+
 # second-level models
 
 TARGETS = ("a", "b", "c")
