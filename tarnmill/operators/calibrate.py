@@ -87,12 +87,10 @@ def bayes_evidence(preds: DataFrame, matrix: DataFrame, beta: float) -> DataFram
 def search_weight(wide: DataFrame, a: str, b: str, low: float, high: float, n: int, dialect: AucDialect) -> DataFrame:
     """(target, w, auc): the weight of b in (1 - w) a + w b with the best AUC per target; the first of equals.
 
-    Equal rows are counted and written before the weights are exploded.
+    Equal rows are counted and written before the weights are exploded; blends move once.
     """
     equal = written(wide.groupBy("target", "y", a, b).agg(F.count(F.lit(1)).alias("_tm_rows")), "equal-scores")
     tried = equal.withColumn("w", F.explode(grid(low, high, n))).withColumn("p", F.round((1 - F.col("w")) * F.col(a) + F.col("w") * F.col(b), 6))
-    # blends that became equal are counted together once, so that the passes over ranges read the fewest rows
-    tried = written(tried.groupBy("target", "w", "y", "p").agg(F.sum("_tm_rows").alias("_tm_rows")), "equal-blends")
-    scores = auc(tried, ["target", "w"], dialect, n="_tm_rows").withColumn("auc", F.round("auc", 9))
+    scores = auc(tried, ["target", "w"], dialect, n="_tm_rows", few_equal=True).withColumn("auc", F.round("auc", 9))
     order = Window.partitionBy("target").orderBy(F.desc_nulls_last("auc"), "w")
     return scores.withColumn("k", F.row_number().over(order)).filter("k = 1").select("target", "w", F.round("auc", 6).alias("auc"))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnmill.operators.ranking import distinct_scores
+from tarnmill.operators.ranking import distinct_scores, pair_areas
 
 
 @dataclass(frozen=True)
@@ -39,11 +39,12 @@ DIALECTS = {
 }
 
 
-def auc(df: DataFrame, by: list[str], dialect: AucDialect, y: str = "y", p: str = "p", n: str | None = None) -> DataFrame:
+def auc(df: DataFrame, by: list[str], dialect: AucDialect, y: str = "y", p: str = "p", n: str | None = None, few_equal: bool = False) -> DataFrame:
     """(by, n_pos, n_neg, auc): area under the ROC curve from counts of distinct scores.
 
     A positive counts the negatives of smaller scores, and half of those of its own. Rows without truth never count.
-    ``n``: a column with the number of equal rows that a row stands for.
+    ``n``: a column with the number of equal rows that a row stands for. ``few_equal``: few rows have equal scores, so
+    that counts before the shuffle would not be fewer; rows then move once.
     """
     rows = df.filter(F.col(y).isNotNull())
     if dialect.drop_half:
@@ -51,10 +52,14 @@ def auc(df: DataFrame, by: list[str], dialect: AucDialect, y: str = "y", p: str
     rows = rows.filter(F.col(p).isNotNull()) if dialect.drop_null_p else rows.withColumn(p, F.coalesce(p, F.lit(0.5)))
     positive = {">=": F.col(y) >= 0.5, ">": F.col(y) > 0.5, "=": F.col(y) == 1.0}[dialect.positive].cast("int")
     times = F.col(n) if n else F.lit(1)
-    scores = distinct_scores(rows.withColumn("_pos", positive), by, p, {"pos": F.col("_pos") * times, "neg": (1 - F.col("_pos")) * times})
-    sums = scores.groupBy(*by).agg(
-        F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / F.lit(2.0))).alias("_sum")
-    )
+    if few_equal:
+        counted = rows.withColumn("_pos", positive * times).withColumn("_neg", (1 - positive) * times)
+        sums = pair_areas(counted, by, p, "_pos", "_neg").withColumnsRenamed({"n1": "n_pos", "n0": "n_neg", "s": "_sum"})
+    else:
+        scores = distinct_scores(rows.withColumn("_pos", positive), by, p, {"pos": F.col("_pos") * times, "neg": (1 - F.col("_pos")) * times})
+        sums = scores.groupBy(*by).agg(
+            F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / F.lit(2.0))).alias("_sum")
+        )
     both = (F.col("n_pos") > 0) & (F.col("n_neg") > 0) & (F.col("n_pos") + F.col("n_neg") >= dialect.min_rows)
     area = F.col("_sum") / (F.col("n_pos") * F.col("n_neg"))
     return sums.select(*by, "n_pos", "n_neg", F.when(both, area).otherwise(F.lit(dialect.single_class)).alias("auc"))

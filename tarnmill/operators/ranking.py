@@ -20,6 +20,32 @@ def same_keys_join(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(there, on).drop(*(f"_tm_{k}" for k in keys))
 
 
+def score_range(value: str) -> Column:
+    """The number of the range that a score lies in; ranges are in the order of their scores."""
+    x = F.col(value).cast("double")
+    most = 2000 * RANGES  # above all exponents
+    size = F.floor(F.log2(F.abs(x)) * RANGES) + most
+    spot = F.when(x.isNull(), -3 * most).when(F.isnan(x) | (x == float("inf")), 3 * most).when(x == float("-inf"), -3 * most + 1)
+    return spot.when(x == 0, 0).when(x > 0, size).otherwise(-size).cast("int")
+
+
+def pair_areas(df: DataFrame, by: list[str], value: str, pos: str, neg: str) -> DataFrame:
+    """(by, n1, n0, s): sums of ``pos`` and ``neg``, and the pairs of one of each in which the score of ``pos`` is the
+    greater, those of equal scores as halves; as from ``distinct_scores``, for scores of which few are equal.
+
+    Rows move once, to the task of their range, where equal scores are counted and ordered; a range then is one row.
+    """
+    placed = df.select(*by, score_range(value).alias("_range"), value, pos, neg).repartition(*by, "_range")
+    counts = placed.groupBy(*by, "_range", value).agg(F.sum(pos).alias(pos), F.sum(neg).alias(neg))
+    inside = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    within = counts.withColumn("_below", F.coalesce(F.sum(neg).over(inside), F.lit(0)))
+    pairs = F.sum(F.col(pos) * (F.col("_below") + F.col(neg) / F.lit(2.0)))
+    ranges = within.groupBy(*by, "_range").agg(F.sum(pos).alias("n1"), F.sum(neg).alias("n0"), pairs.alias("s"))
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    summed = ranges.withColumn("s", F.col("s") + F.col("n1") * F.coalesce(F.sum("n0").over(before), F.lit(0)))
+    return summed.groupBy(*by).agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"), F.sum("s").alias("s"))
+
+
 def distinct_scores(df: DataFrame, by: list[str], value: str, sums: dict[str, Column]) -> DataFrame:
     """(by, value) once each, with every sum over its rows, over the rows of smaller values (``<name>_below``) and over all
     rows of the group (``<name>_total``). Nulls come first and NaN last.
@@ -28,11 +54,7 @@ def distinct_scores(df: DataFrame, by: list[str], value: str, sums: dict[str, Co
     power of two has ``RANGES``, and over the distinct scores of one range; so a large group is spread over many tasks.
     """
     counts = df.groupBy(*by, value).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-    x = F.col(value).cast("double")
-    most = 2000 * RANGES  # above all exponents
-    size = F.floor(F.log2(F.abs(x)) * RANGES) + most
-    spot = F.when(x.isNull(), -3 * most).when(F.isnan(x) | (x == float("inf")), 3 * most).when(x == float("-inf"), -3 * most + 1)
-    placed = counts.withColumn("_range", spot.when(x == 0, 0).when(x > 0, size).otherwise(-size).cast("int"))
+    placed = counts.withColumn("_range", score_range(value))
     ranges = placed.groupBy(*by, "_range").agg(*[F.sum(n).alias(n) for n in sums])
     before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     inside = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tarnmill.functions import text as tx
 from tarnmill.operators import audit, calibrate, geometry, labeling, metrics, sequential
-from tarnmill.operators.ranking import with_position, with_rank
+from tarnmill.operators.ranking import pair_areas, with_position, with_rank
 from tarnmill.plans.fixtures import TARGETS
 
 
@@ -88,6 +88,19 @@ def test_ranks_match_sorting(spark):
         assert got[k] == (rank, pytest.approx(rank / n), pytest.approx((rank - 1) / (n - 1) if n > 1 else 0.5), 1 + sum(x < (order(v), k) for x in group))
 
 
+def test_pair_areas_match_distinct_scores_and_move_rows_once(spark):
+    rng = np.random.default_rng(6)
+    rows = [(str(rng.integers(3)), float(rng.choice([-0.5, 0.0, 0.25, rng.random(), 1e-9])), int(rng.integers(3)), int(rng.integers(3))) for _ in range(500)]
+    df = spark.createDataFrame(rows, "g string, p double, pos long, neg long")
+    got = pair_areas(df, ["g"], "p", "pos", "neg")
+    for r in got.collect():
+        mine = [x for x in rows if x[0] == r["g"]]
+        want = sum(a[2] * b[3] * (1.0 if a[1] > b[1] else 0.5 if a[1] == b[1] else 0.0) for a in mine for b in mine)
+        assert (r["n1"], r["n0"], r["s"]) == (sum(x[2] for x in mine), sum(x[3] for x in mine), want)
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning(g") == 2 and "Join" not in plan  # rows, then one row a range
+
+
 def test_rules_compound(spark):
     row = {t: 0.5 for t in TARGETS} | {"acl": 0.9, "medial_oa": 0.8}
     out = calibrate.apply_rules(spark.createDataFrame([row])).first()
