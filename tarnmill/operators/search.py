@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnmill.operators.metrics import clip
-from tarnmill.operators.ranking import distinct_scores
+from tarnmill.operators.ranking import pair_areas
 from tarnmill.sources.files import written
 
 Values = Callable[[list[np.ndarray]], np.ndarray]
@@ -37,9 +37,7 @@ def _blended(counts: DataFrame, members: list[str], points: list[np.ndarray]) ->
 
 def _areas(blended: DataFrame, by: list[str]) -> DataFrame:
     """(by, auc) of the groups with both classes."""
-    sums = distinct_scores(blended, by, "p", {"pos": F.col("pos"), "neg": F.col("neg")}).groupBy(*by).agg(
-        F.sum("pos").alias("n1"), F.sum("neg").alias("n0"), F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / F.lit(2.0))).alias("s")
-    )
+    sums = pair_areas(blended, by, "p", "pos", "neg")
     return sums.filter("n1 > 0 AND n0 > 0").select(*by, (F.col("s") / (F.col("n1") * F.col("n0"))).alias("auc"))
 
 
