@@ -293,6 +293,18 @@ def still_open(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(mixed.select(*keys), keys, "left_semi")
 
 
+def sharing(asked: DataFrame) -> DataFrame:
+    """The rows (key, node, own, o, ds, ...) with at least ``o`` elements that another row of their key has too.
+
+    An element that one row alone has is told by its count, and its row by the least one of its group, so elements are
+    counted with a combined aggregate and are not joined back; only one count a row is.
+    """
+    asked = asked.filter(F.size("ds") >= F.col("o"))
+    groups = asked.select("key", "node", "own", F.explode("ds").alias("d")).groupBy("key", "d").agg(F.count(F.lit(1)).alias("df"), F.min("node").alias("node"), F.min("own").alias("own"))
+    alone = groups.filter("df = 1").groupBy("key", "node", "own").agg(F.count(F.lit(1)).alias("alone"))
+    return asked.join(alone, ["key", "node", "own"], "left").filter(F.size("ds") - F.coalesce("alone", F.lit(0)) >= F.col("o")).drop("alone")
+
+
 def difference_postings(members: DataFrame, hub_labels: DataFrame, threshold: int) -> DataFrame:
     """(key, d, node, label, s, left, related) from members (hub, centred, centre, node, own, n, related, label, ds).
 
@@ -300,26 +312,25 @@ def difference_postings(members: DataFrame, hub_labels: DataFrame, threshold: in
     2 (100 + t) |D_x & D_y| >= s_x + s_y with s = (100 + t) |D| - (100 - t) n. So a pair needs common elements of D, and
     by the prefix principle one among each member's rarest ``c - o + 1``, with c the elements that it has in common with
     any member of another label and o the least overlap that any such member asks for. ``left`` counts the elements of
-    a member from a posting on, which bounds the overlap of two members that meet first there.
+    a member from a posting on, which bounds the overlap of two members that meet first there. Members that have fewer
+    than o elements in common with all others (``sharing``) drop out before elements are joined to their counts.
     """
     t = threshold
     keyed = members.withColumn("key", F.xxhash64("hub", "centred", "centre")).withColumn("s", (100 + t) * F.size("ds").cast("long") - (100 - t) * F.col("n"))
     keyed = labelled(keyed, hub_labels, "hub", "hub_label").select("key", "centred", "node", "own", "n", "s", "related", "label", "ds", (F.col("label") == F.col("hub_label")).alias("inside"))
     low = keyed.groupBy("key").agg(F.min("s").alias("low"), F.min(F.when(~F.col("inside"), F.col("s"))).alias("low_out"))
-    elements = keyed.select("key", "centred", "node", "own", "related", "label", F.explode("ds").alias("d"))
+    asked = keyed.join(low, "key").withColumn(
+        # a member of the hub's component looks for members outside it; without a centre sizes give the bound
+        "least", F.when(F.col("centred"), F.when(F.col("inside"), F.col("low_out")).otherwise(F.col("low"))).otherwise(F.ceil(2 * t * t * F.col("n") / 100))
+    ).filter("least IS NOT NULL").withColumn("o", F.greatest(F.lit(1), F.ceil((F.col("s") + F.col("least")) / (2 * (100 + t)))).cast("int"))
+    facts = materialise(sharing(asked), "sharing")
+    elements = facts.select("key", "centred", "node", "own", "related", "label", F.explode("ds").alias("d"))
     groups = (
         elements.groupBy("key", "d").agg(F.count(F.lit(1)).alias("df"), F.min("label").alias("_a"), F.max("label").alias("_b"), F.min("related").alias("_r"), F.max("centred").alias("_c"))
         .filter("df > 1 AND _a <> _b AND (_c OR NOT _r)").select("key", "d", "df")
     )
     common = elements.join(groups, ["key", "d"]).groupBy("key", "node", "own").agg(F.array_sort(F.collect_list(F.struct("df", "d"))).alias("ds"))
-    facts = keyed.drop("ds").join(low, "key").withColumn(
-        # a member of the hub's component looks for members outside it; without a centre sizes give the bound
-        "least", F.when(F.col("centred"), F.when(F.col("inside"), F.col("low_out")).otherwise(F.col("low"))).otherwise(F.ceil(2 * t * t * F.col("n") / 100))
-    )
-    ready = (
-        common.join(facts.filter("least IS NOT NULL"), ["key", "node", "own"]).withColumn("c", F.size("ds"))
-        .withColumn("o", F.greatest(F.lit(1), F.ceil((F.col("s") + F.col("least")) / (2 * (100 + t)))).cast("int")).filter("c >= o")
-    )
+    ready = common.join(facts.drop("ds"), ["key", "node", "own"]).withColumn("c", F.size("ds")).filter("c >= o")
     return ready.select("key", "centred", "node", "label", "s", "related", "c", F.posexplode(F.slice("ds", 1, F.col("c") - F.col("o") + 1)).alias("pos", "e")).select(
         "key", F.col("e.d").alias("d"), "node", "label", "s", (F.col("c") - F.col("pos")).alias("left"), (F.col("related") & ~F.col("centred")).alias("related")
     )

@@ -259,6 +259,15 @@ def test_match_threshold():
     assert near_dedup.match_threshold(100) == near_dedup.COORDINATES
 
 
+def test_members_that_share_too_little_are_not_posted(spark):
+    """Of many unlike members of a family with a common passage, only the two that may be similar reach the join by element."""
+    common = list(range(10))
+    rows = [("k", n, n, 20, common + [1000 * n + j for j in range(15)]) for n in range(1, 41)]
+    rows += [("k", 50, 50, 20, common + list(range(900, 915))), ("k", 51, 51, 20, common + list(range(902, 917))), ("k", 52, 52, 20, common), ("other", 1, 1, 1, [5])]
+    asked = spark.createDataFrame(rows, "key string, node long, own long, o int, ds array<long>")
+    assert sorted(r["node"] for r in near_dedup.sharing(asked).collect()) == [50, 51]
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(7, 7), (None, 3)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
