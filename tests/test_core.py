@@ -7,6 +7,8 @@ import re
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,6 +158,36 @@ def test_text_functions(spark):
     assert row["n"] == "é x . . y" and row["s"] == "E x;\ny" and row["j"]["status"] == "yes"
 
 
+def test_texts_are_folded_in_bounded_slices(monkeypatch):
+    monkeypatch.setattr(tx, "SLICE_BYTES", 12)
+    seen = []
+
+    def fold(x):
+        seen.append(x)
+        return x.upper()
+
+    slices, to_list = [], pa.Array.to_pylist
+    texts = pa.array(["é" * 5, None, "a", "", "ж" * 20, "b", None, "c" * 11, "d"])
+
+    class Counted:
+        def __init__(self, held):
+            self.held, self.type = held, held.type
+
+        def __len__(self):
+            return len(self.held)
+
+        def slice(self, at, n):
+            slices.append(sum(len(x.encode()) for x in to_list(self.held.slice(at, n)) if x))
+            return self.held.slice(at, n)
+
+    monkeypatch.setattr(tx.pc, "binary_length", lambda x, f=pa.compute.binary_length: f(x.held if isinstance(x, Counted) else x))
+    out = tx.by_slices(Counted(texts), fold)
+    assert out.to_pylist() == [x and x.upper() for x in texts.to_pylist()] and sum(slices) == sum(len(x.encode()) for x in texts.to_pylist() if x)
+    assert sorted(slices)[-1] == 40 and sorted(slices)[-2] <= 12 and len(seen) == 7
+    assert tx.by_slices(texts.slice(2, 0), fold).to_pylist() == [] and tx.by_slices(texts.slice(3, 2), fold).to_pylist() == ["", "Ж" * 20]
+
+
+
 def test_stream_matches_batch(spark, sf_dir, tmp_path):
     from tarnmill.streaming import events as ev
 
