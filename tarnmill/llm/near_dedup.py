@@ -20,8 +20,10 @@ from tarnmill.llm.graph import connected_components
 #: Coordinates of a signature, the least values under so many permutations that each holds, and the chance with which a
 #: pair right at the threshold may be missed.
 COORDINATES, VALUES, MISS = 32, 2, 1e-8
-#: Most 64-bit words (8 MB) of the filter that keeps texts of no interest out of a shuffle.
+#: Most 64-bit words (8 MB) of the filter that keeps texts of no interest out of a shuffle, and of the table of counts.
 FILTER_WORDS = 1 << 20
+#: Elements of differences that are ordered at once.
+ELEMENTS = 1 << 18
 #: Bytes of the texts that are signed at once, and packed bytes of those that are compared.
 SIGN_BYTES, PART_BYTES = 2 << 20, 1 << 19
 
@@ -305,15 +307,56 @@ def sharing(asked: DataFrame) -> DataFrame:
     return asked.join(alone, ["key", "node", "own"], "left").filter(F.size("ds") - F.coalesce("alone", F.lit(0)) >= F.col("o")).drop("alone")
 
 
+def rare_first(rows: DataFrame, groups: DataFrame, count: int) -> DataFrame:
+    """``rows`` (key, ds, ...) with the elements of ``ds`` that are in ``groups`` (key, d, df), and few others, rare ones first.
+
+    The counts ``df`` are summed into a table of one to two numbers for each of the ``count`` elements, but at most
+    ``FILTER_WORDS``, which is broadcast. An element has two places in it, and the smaller number there is its rank: at
+    least its count, and zero only if it is in no group. Equal elements of a key get equal ranks, so all members have
+    one order, and what the prefix principle asks for holds with any: a table that is too full lets more
+    elements through and orders them less well, which costs time and no pair.
+    """
+    size = min(FILTER_WORDS, max(1 << 10, 1 << count.bit_length()))
+    mixed = F.col("key").bitwiseXOR(F.col("d"))
+    spots = F.explode(F.array(*[F.shiftrightunsigned(mixed, 24 * k).bitwiseAND(F.lit(size - 1)) for k in range(2)]))
+    sums = groups.select("df", spots.alias("spot")).groupBy("spot").agg(F.sum("df").alias("n")).toArrow()
+    table = np.zeros(size, np.int64)
+    table[sums["spot"].to_numpy()] = sums["n"].to_numpy()
+    sent = rows.sparkSession.sparkContext.broadcast(table)
+    arrow = to_arrow_schema(rows.schema)
+    at_key, at_ds = rows.columns.index("key"), rows.columns.index("ds")
+
+    def run(batches):
+        numbers = sent.value
+        for batch in batches:
+            upto, at = np.concatenate([[0], np.cumsum(batch.column(at_ds).value_lengths().to_numpy())]), 0
+            while at < batch.num_rows:
+                stop = max(at + 1, int(np.searchsorted(upto, upto[at] + ELEMENTS, "right")) - 1)
+                piece = batch.slice(at, stop - at)
+                value, owner = piece.column(at_ds).flatten().to_numpy(), np.repeat(np.arange(stop - at), np.diff(upto[at : stop + 1]))
+                spot = (piece.column(at_key).to_numpy()[owner] ^ value).view(np.uint64)
+                rank = np.minimum(*(numbers[(spot >> np.uint64(24 * k)) & np.uint64(size - 1)] for k in range(2)))
+                value, owner, rank = (x[rank > 0] for x in (value, owner, rank))
+                value = value[np.lexsort((value, rank, owner))]
+                bounds = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=stop - at))]).astype(np.int32)
+                columns = [c.cast(f.type) for c, f in zip(piece.columns, arrow, strict=True)]
+                columns[at_ds] = pa.ListArray.from_arrays(pa.array(bounds), pa.array(value)).cast(arrow.field(at_ds).type)
+                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+                at = stop
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def difference_postings(members: DataFrame, hub_labels: DataFrame, threshold: int) -> DataFrame:
     """(key, d, node, label, s, left, related) from members (hub, centred, centre, node, own, n, related, label, ds).
 
     Let D be the difference of a set from its centre. Two sets x, y of one centre are similar exactly if
     2 (100 + t) |D_x & D_y| >= s_x + s_y with s = (100 + t) |D| - (100 - t) n. So a pair needs common elements of D, and
     by the prefix principle one among each member's rarest ``c - o + 1``, with c the elements that it has in common with
-    any member of another label and o the least overlap that any such member asks for. ``left`` counts the elements of
-    a member from a posting on, which bounds the overlap of two members that meet first there. Members that have fewer
-    than o elements in common with all others (``sharing``) drop out before elements are joined to their counts.
+    any member of another label (and few others, ``rare_first``) and o the least overlap that any such member asks for.
+    ``left`` counts the elements of a member from a posting on, which bounds the overlap of two members that meet first
+    there. Members that have fewer than o elements in common with all others (``sharing``) drop out before. Elements are
+    counted with combined aggregates and never joined to their counts.
     """
     t = threshold
     keyed = members.withColumn("key", F.xxhash64("hub", "centred", "centre")).withColumn("s", (100 + t) * F.size("ds").cast("long") - (100 - t) * F.col("n"))
@@ -324,15 +367,15 @@ def difference_postings(members: DataFrame, hub_labels: DataFrame, threshold: in
         "least", F.when(F.col("centred"), F.when(F.col("inside"), F.col("low_out")).otherwise(F.col("low"))).otherwise(F.ceil(2 * t * t * F.col("n") / 100))
     ).filter("least IS NOT NULL").withColumn("o", F.greatest(F.lit(1), F.ceil((F.col("s") + F.col("least")) / (2 * (100 + t)))).cast("int"))
     facts = materialise(sharing(asked), "sharing")
-    elements = facts.select("key", "centred", "node", "own", "related", "label", F.explode("ds").alias("d"))
+    elements = facts.select("key", "centred", "related", "label", F.explode("ds").alias("d"))
     groups = (
         elements.groupBy("key", "d").agg(F.count(F.lit(1)).alias("df"), F.min("label").alias("_a"), F.max("label").alias("_b"), F.min("related").alias("_r"), F.max("centred").alias("_c"))
         .filter("df > 1 AND _a <> _b AND (_c OR NOT _r)").select("key", "d", "df")
     )
-    common = elements.join(groups, ["key", "d"]).groupBy("key", "node", "own").agg(F.array_sort(F.collect_list(F.struct("df", "d"))).alias("ds"))
-    ready = common.join(facts.drop("ds"), ["key", "node", "own"]).withColumn("c", F.size("ds")).filter("c >= o")
-    return ready.select("key", "centred", "node", "label", "s", "related", "c", F.posexplode(F.slice("ds", 1, F.col("c") - F.col("o") + 1)).alias("pos", "e")).select(
-        "key", F.col("e.d").alias("d"), "node", "label", "s", (F.col("c") - F.col("pos")).alias("left"), (F.col("related") & ~F.col("centred")).alias("related")
+    count = facts.agg(F.sum(F.size("ds"))).first()[0] or 0
+    ready = rare_first(facts, groups, count).withColumn("c", F.size("ds")).filter("c >= o")
+    return ready.select("key", "centred", "node", "label", "s", "related", "c", F.posexplode(F.slice("ds", 1, F.col("c") - F.col("o") + 1)).alias("pos", "d")).select(
+        "key", "d", "node", "label", "s", (F.col("c") - F.col("pos")).alias("left"), (F.col("related") & ~F.col("centred")).alias("related")
     )
 
 

@@ -268,6 +268,35 @@ def test_members_that_share_too_little_are_not_posted(spark):
     assert sorted(r["node"] for r in near_dedup.sharing(asked).collect()) == [50, 51]
 
 
+@pytest.mark.parametrize("words", [1 << 20, 4])
+def test_differences_meet_without_a_join_by_element(spark, monkeypatch, words):
+    """Elements are never joined to their counts, and also with a table of counts that is far too full each similar pair of
+    different components shares a posting that its bound admits."""
+    monkeypatch.setattr(near_dedup, "FILTER_WORDS", words)
+    rng, t = random.Random(3), 80
+    pool = [rng.getrandbits(63) - (1 << 62) for _ in range(60)]
+    sets = {n: rng.sample(pool[:20] if n % 2 else pool, 8) + [rng.getrandbits(62) for _ in range(rng.randint(0, 6))] for n in range(1, 81)}
+    rows = [(0, True, 7, n, n, 60 + n % 9, True, 0 if n % 3 else n, ds) for n, ds in sets.items()]
+    members = spark.createDataFrame(rows, "hub long, centred boolean, centre long, node long, own long, n long, related boolean, label long, ds array<long>")
+    found = near_dedup.difference_postings(members, spark.createDataFrame([(0, 0)], "node long, component long"), t)
+    got = found.collect()
+    assert not re.search(r"Join \[key#\d+L?, d#", found._jdf.queryExecution().executedPlan().toString())
+    label, size = {r[3]: r[7] for r in rows}, {r[3]: r[5] for r in rows}
+    s = {n: (100 + t) * len(ds) - (100 - t) * size[n] for n, ds in sets.items()}
+    lists = {}
+    for r in got:
+        lists.setdefault((r["key"], r["d"]), []).append((r["node"], r["left"]))
+    met = {(a, b) for found in lists.values() for a, i in found for b, j in found if a < b and 2 * (100 + t) * min(i, j) >= s[a] + s[b]}
+    want = {(a, b) for a, b in itertools.combinations(sets, 2) if label[a] != label[b] and 2 * (100 + t) * len({*sets[a]} & {*sets[b]}) >= s[a] + s[b]}
+    assert want and want <= met
+
+
+def test_common_elements_come_rare_first(spark):
+    rows = spark.createDataFrame([(1, 5, [10, 20, 30, 40]), (2, 5, [10, 40]), (3, 6, [])], "node long, key long, ds array<long>")
+    groups = spark.createDataFrame([(5, 10, 9), (5, 30, 2), (5, 40, 4)], "key long, d long, df long")
+    assert {r["node"]: r["ds"] for r in near_dedup.rare_first(rows, groups, 6).collect()} == {1: [30, 40, 10], 2: [40, 10], 3: []}
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(7, 7), (None, 3)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
