@@ -65,13 +65,19 @@ def evidence(preds: DataFrame, matrix: DataFrame) -> DataFrame:
     """(study, target, y, p, e): the evidence of the study's other targets, null without any.
 
     Evidence for target i: sum over j of P(i given j) * p_j over the sum of P(i given j), the diagonal left out.
+    The matrix has a row for each pair of the at most 12 targets; it is collected and becomes weights in the plan, so a
+    study has one row of sums for all its targets, combined before the shuffle. The study's rows meet it unsorted.
     """
-    off = matrix.filter("i <> j").select("i", "j", F.col("p").alias("c"))
-    found = (
-        preds.select("study", F.col("target").alias("j"), "p").join(off, "j").groupBy("study", F.col("i").alias("target"))
-        .agg((F.sum(F.col("c") * F.col("p")) / F.sum("c")).alias("e"))
-    )
-    return preds.join(found, ["study", "target"], "left").select("study", "target", "y", "p", "e")
+    c = {(r["i"], r["j"]): r["p"] for r in matrix.filter("i <> j").collect()}
+    targets, causes = (sorted({pair[k] for pair in c}) for k in (0, 1))
+    if not targets:
+        return preds.select("study", "target", "y", "p", F.lit(None).cast("double").alias("e"))
+    chosen = lambda names, value: F.coalesce(*[F.when(F.col("target") == x, value(x)) for x in names])
+    weighed = preds.select("study", "p", chosen(causes, lambda j: F.array(*[F.lit(c.get((i, j))).cast("double") for i in targets])).alias("_tm_c"))
+    share = lambda k: F.sum(F.col("_tm_c")[k] * F.col("p")) / F.sum(F.col("_tm_c")[k])
+    found = weighed.groupBy("study").agg(*[share(k).alias(f"_tm_e{k}") for k in range(len(targets))])
+    own = chosen(targets, lambda i: F.col(f"_tm_e{targets.index(i)}"))
+    return preds.join(found.hint("shuffle_hash"), "study", "left").select("study", "target", "y", "p", own.alias("e"))
 
 
 def raised(beta: Column | float) -> Column:

@@ -267,3 +267,20 @@ def test_log_blocks(spark):
     got = spark.createDataFrame([(log,), ("",), (None,)], "t string").select(tx.log_blocks(F.col("t")).alias("b")).collect()
     assert [(b["epoch"], b["fold"], [tuple(m) for m in b["metrics"]]) for b in got[0]["b"]] == [(1, 0, [("Train Loss", 0.5), ("lr", -2.0), ("Gold AUC", 0.9)]), (2, 3, [])]
     assert got[1]["b"] == [] and got[2]["b"] is None
+
+
+def test_evidence_has_one_row_of_sums_a_study(spark):
+    """A study's sums are one row, met by its rows unsorted; null studies and targets meet none, and null predictions count in
+    the weights alone."""
+    preds = spark.createDataFrame(
+        [(1, "a", 1.0, 0.2), (1, "b", 0.0, 0.6), (1, "b", 0.0, 0.8), (1, "c", None, None), (2, "a", 1.0, 0.9), (None, "a", 1.0, 0.5), (None, "b", 1.0, 0.5), (3, "z", 1.0, 0.5), (3, None, 1.0, 0.5), (4, "z", 0.0, 0.1), (4, "b", 0.0, 0.4)],
+        "study long, target string, y double, p double",
+    )
+    matrix = spark.createDataFrame([("a", "b", 0.5), ("a", "c", 0.25), ("b", "a", 0.75), ("c", "b", 0.125), ("a", "a", 1.0)], "i string, j string, p double")
+    found = calibrate.evidence(preds, matrix)
+    e = {(r["study"], r["target"], r["p"]): r["e"] for r in found.collect()}
+    want = {(1, "a", 0.2): (0.5 * 0.6 + 0.5 * 0.8) / 1.25, (1, "b", 0.6): 0.2, (1, "b", 0.8): 0.2, (1, "c", None): 0.7}
+    assert {k: v for k, v in e.items() if v is not None} == pytest.approx(want) and len(e) == 11
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin [study#" in plan and "Sort [" not in plan and not re.search(r"Join \[study#\d+L?, target", plan)
+    assert [r["e"] for r in calibrate.evidence(preds, matrix.limit(0)).distinct().select("e").distinct().collect()] == [None]
