@@ -284,3 +284,24 @@ def test_evidence_has_one_row_of_sums_a_study(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "ShuffledHashJoin [study#" in plan and "Sort [" not in plan and not re.search(r"Join \[study#\d+L?, target", plan)
     assert [r["e"] for r in calibrate.evidence(preds, matrix.limit(0)).distinct().select("e").distinct().collect()] == [None]
+
+
+def test_gates_run_behind_their_literals(spark):
+    """Sentences without any literal of a gate do not reach it, and labels are the same as without literals."""
+    from dataclasses import replace
+
+    from tarnmill.functions import finding_rules as fr
+
+    rules = fr.rule_table()
+    lists = (fr.ACL, fr.MCL, fr.MEDIAL_MENISCUS, fr.LATERAL_MENISCUS, fr.MEDIAL_COMPARTMENT, fr.LATERAL_COMPARTMENT, fr.PATELLOFEMORAL, fr.EFFUSION, fr.SYNOVITIS, fr.BAKERS, fr.CONTUSION, fr.FRACTURE)
+    words = [w for x in lists for w in x.replace("[eé]", "e").replace("?", "").replace(r"\b", "").split("|")]
+    words += ["meniscos ambos", "menisco los dos", "medial y lateral", "meniscos", "SIVI ARTISI", "commen", "MM", "film"]
+    texts = [f"{a} {w} {b}" for w in words for a, b in (("", "tear"), ("", "ulcer"), ("no", ""), ("lesion of the", "normal"), ("é", "INTACT oa"))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = lambda rs, fold: {tuple(r) for r in labeling.label_reports(docs, "doc_id", "text", rs, fold_accents=fold).collect()}
+    for fold in (True, False):
+        got = found(rules, fold)
+        assert got == found([replace(r, stems=()) for r in rules], fold) and len({(t, x) for _, t, x in got}) == 36
+    plan = labeling.label_reports(docs, "doc_id", "text")._jdf.queryExecution().executedPlan().toString()
+    assert "Contains(_tm_low" in plan
+    assert fr.stems(r"collat[eé]ral m[eé]dial|meniscos? (medial|sıvı)|mm\b") == ("collat", "menisco", "medial", "sivi", "mm")
