@@ -295,6 +295,12 @@ def still_open(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(mixed.select(*keys), keys, "left_semi")
 
 
+def with_unlike(rows: DataFrame) -> DataFrame:
+    """The rows (hub, node, label, related) of the families that hold several labels and a member unlike their hub."""
+    mixed = rows.groupBy("hub").agg(F.min("label").alias("_tm_low"), F.max("label").alias("_tm_high"), F.min("related").alias("_tm_all")).filter("_tm_low <> _tm_high AND NOT _tm_all")
+    return rows.join(mixed.select("hub"), "hub", "left_semi")
+
+
 def sharing(asked: DataFrame) -> DataFrame:
     """The rows (key, node, own, o, ds, ...) with at least ``o`` elements that another row of their key has too.
 
@@ -347,8 +353,9 @@ def rare_first(rows: DataFrame, groups: DataFrame, count: int) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
-def difference_postings(members: DataFrame, hub_labels: DataFrame, threshold: int) -> DataFrame:
-    """(key, d, node, label, s, left, related) from members (hub, centred, centre, node, own, n, related, label, ds).
+def difference_postings(members: DataFrame, hub_labels: DataFrame, threshold: int, whole: DataFrame | None = None, apart: DataFrame | None = None) -> DataFrame:
+    """(key, d, node, label, s, left, related) from members (hub, centre, node, own, n, related, label, ds), and from the
+    whole sets (node, own, n, related, label, ds) of the families ``apart`` (hub, node, label, related).
 
     Let D be the difference of a set from its centre. Two sets x, y of one centre are similar exactly if
     2 (100 + t) |D_x & D_y| >= s_x + s_y with s = (100 + t) |D| - (100 - t) n. So a pair needs common elements of D, and
@@ -357,15 +364,21 @@ def difference_postings(members: DataFrame, hub_labels: DataFrame, threshold: in
     ``left`` counts the elements of a member from a posting on, which bounds the overlap of two members that meet first
     there. Members that have fewer than o elements in common with all others (``sharing``) drop out before. Elements are
     counted with combined aggregates and never joined to their counts.
+
+    The centre of whole sets is empty, so one for all families: a set's elements are counted and ordered once, in however
+    many families it is, and only the postings are made by family.
     """
-    t = threshold
-    keyed = members.withColumn("key", F.xxhash64("hub", "centred", "centre")).withColumn("s", (100 + t) * F.size("ds").cast("long") - (100 - t) * F.col("n"))
-    keyed = labelled(keyed, hub_labels, "hub", "hub_label").select("key", "centred", "node", "own", "n", "s", "related", "label", "ds", (F.col("label") == F.col("hub_label")).alias("inside"))
+    t, columns = threshold, ["key", "centred", "node", "own", "s", "related", "label", "ds", "o"]
+    weighed = lambda rows: rows.withColumn("s", (100 + t) * F.size("ds").cast("long") - (100 - t) * F.col("n"))
+    overlap = F.greatest(F.lit(1), F.ceil((F.col("s") + F.col("least")) / (2 * (100 + t)))).cast("int")
+    keyed = labelled(weighed(members).withColumns({"key": F.xxhash64("hub", F.lit(True), "centre"), "centred": F.lit(True)}), hub_labels, "hub", "hub_label")
+    keyed = keyed.withColumn("inside", F.col("label") == F.col("hub_label"))
     low = keyed.groupBy("key").agg(F.min("s").alias("low"), F.min(F.when(~F.col("inside"), F.col("s"))).alias("low_out"))
-    asked = keyed.join(low, "key").withColumn(
-        # a member of the hub's component looks for members outside it; without a centre sizes give the bound
-        "least", F.when(F.col("centred"), F.when(F.col("inside"), F.col("low_out")).otherwise(F.col("low"))).otherwise(F.ceil(2 * t * t * F.col("n") / 100))
-    ).filter("least IS NOT NULL").withColumn("o", F.greatest(F.lit(1), F.ceil((F.col("s") + F.col("least")) / (2 * (100 + t)))).cast("int"))
+    # a member of the hub's component looks for members outside it; without a centre sizes give the bound
+    asked = keyed.join(low, "key").withColumn("least", F.when(F.col("inside"), F.col("low_out")).otherwise(F.col("low"))).filter("least IS NOT NULL").withColumn("o", overlap).select(columns)
+    if whole is not None:
+        sets = weighed(whole).withColumns({"key": F.lit(0).cast("bigint"), "centred": F.lit(False), "least": F.ceil(2 * t * t * F.col("n") / 100)})
+        asked = asked.unionByName(sets.withColumn("o", overlap).select(columns))
     facts = materialise(sharing(asked), "sharing")
     elements = facts.select("key", "centred", "related", "label", F.explode("ds").alias("d"))
     groups = (
@@ -373,10 +386,25 @@ def difference_postings(members: DataFrame, hub_labels: DataFrame, threshold: in
         .filter("df > 1 AND _a <> _b AND (_c OR NOT _r)").select("key", "d", "df")
     )
     count = facts.agg(F.sum(F.size("ds"))).first()[0] or 0
-    ready = rare_first(facts, groups, count).withColumn("c", F.size("ds")).filter("c >= o")
-    return ready.select("key", "centred", "node", "label", "s", "related", "c", F.posexplode(F.slice("ds", 1, F.col("c") - F.col("o") + 1)).alias("pos", "d")).select(
-        "key", "d", "node", "label", "s", (F.col("c") - F.col("pos")).alias("left"), (F.col("related") & ~F.col("centred")).alias("related")
-    )
+    ready = rare_first(facts, groups, count).withColumn("c", F.size("ds")).filter("c >= o").withColumn("ds", F.slice("ds", 1, F.col("c") - F.col("o") + 1))
+    ready = ready if whole is None else materialise(ready, "prefixes")
+    prefix = ["key", "node", "label", "s", "related", "c", "ds"]
+    posted = ready.filter("centred").withColumn("related", F.lit(False)).select(prefix)
+    if whole is not None:
+        sets = ready.filter("NOT centred").drop("key", "related")
+        there = with_unlike(apart.join(sets.select("node").distinct(), "node", "left_semi")).select("node", "related", F.xxhash64("hub", F.lit(False)).alias("key"))
+        posted = posted.unionByName(sets.join(there, "node").select(prefix))
+    return posted.select("key", "node", "label", "s", "related", "c", F.posexplode("ds").alias("pos", "d")).select("key", "d", "node", "label", "s", (F.col("c") - F.col("pos")).alias("left"), "related")
+
+
+def family_postings(family: DataFrame, apart: DataFrame, texts: DataFrame, hub_labels: DataFrame, threshold: int, width: int) -> DataFrame:
+    """``difference_postings`` of the families (hub, node, label, related), of which those in ``apart`` have members unlike
+    their hub and so are posted under their whole sets too; each text of these is read once."""
+    related = still_open(family.filter("related"), ["hub"])
+    centred = differences(related.select(F.col("node").alias("a"), F.col("hub").alias("b")), texts, width, True).withColumnsRenamed({"a": "node", "b": "hub"}).join(family, ["hub", "node"])
+    sets = apart.groupBy("node").agg(F.min("label").alias("label"), F.min("related").alias("related"))
+    whole = differences(sets.select(F.col("node").alias("a"), F.col("node").alias("b")), texts, width, False).select(F.col("a").alias("node"), "own", "n", "ds").join(sets, "node")
+    return materialise(difference_postings(materialise(centred, "differences"), hub_labels, threshold, materialise(whole, "differences"), apart), "differences")
 
 
 def meeting(rows: DataFrame, others: DataFrame, threshold: int) -> DataFrame:
@@ -418,7 +446,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
        members are posted again under the rarest elements of their differences, for which an exact overlap bound
        holds. These lists have a hub each too, contract, and only pairs of different components that the
        bound admits are left to be confirmed. Where a family has members unlike the hub, its members are posted under
-       their whole sets too, for the pairs with one of these.
+       their whole sets too, for the pairs with one of these; a whole set is read, counted and ordered once, in however
+       many families it is.
 
     So each pair that shares a posting and is not joined already is met or excluded by an exact bound, whatever its
     list's size; no list or candidate is capped. Values and postings are counted and joined on hashed keys, without
@@ -461,14 +490,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     open_lists = still_open(labelled(lists, found), ["token"])
     related = hits.select(F.col("a").alias("node"), F.col("b").alias("hub"), F.lit(True).alias("related"))
     family = materialise(open_lists.select("hub", "node", "label").distinct().join(related, ["hub", "node"], "left").withColumn("related", F.coalesce("related", F.lit(False))), "families")
-    apart = still_open(family, ["hub"]).join(family.filter("NOT related").select("hub").distinct(), "hub", "left_semi")
+    apart = materialise(with_unlike(family), "apart")
     more = materialise(apart.select("node").distinct().join(wanted, "node", "left_anti"), "wanted")
     texts = texts.unionByName(materialise(texts_of(docs, more), "texts"))
-    of = lambda rows: rows.select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    centred = differences(of(still_open(family.filter("related"), ["hub"])), texts, width, True).withColumn("centred", F.lit(True))
-    whole = differences(of(apart), texts, width, False).withColumn("centred", F.lit(False))
-    members = centred.unionByName(whole).withColumnsRenamed({"a": "node", "b": "hub"}).join(family, ["hub", "node"])
-    fine = materialise(difference_postings(materialise(members, "differences"), found, threshold), "differences")
+    fine = family_postings(family, apart, texts, found, threshold, width)
 
     hubs = fine.groupBy("key", "d").agg(F.min(F.struct("s", "node", "label", "left", "related")).alias("h")).select("key", "d", *(F.col(f"h.{c}").alias(f"{c}_2") for c in ("s", "node", "label", "left", "related")))
     pairs = lambda rows: rows.select(F.least("node", "node_2").alias("a"), F.greatest("node", "node_2").alias("b")).distinct()

@@ -163,7 +163,7 @@ def similar_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
        members are similar exactly if their differences share enough (``near_dedup.difference_postings``). The lists
        of these differences are skipped in blocks by position as well (``block_meeting``); only pairs of different
        components that the bound admits are compared in full. Members unlike the hub are posted under their whole
-       sets, within their family.
+       sets, within their family; a whole set is counted once, in however many families it is.
 
     No pair of a block is formed but with its hub or under a rare element of a difference; no list or partner is
     capped, and frequent elements come last in every order. Every pair of similar sets shares a block of a list, and so is met,
@@ -198,14 +198,10 @@ def similar_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     related = hits.select(F.col("a").alias("node"), F.col("b").alias("hub"), F.lit(True).alias("related"))
     family = open_lists.select("hub", "node", "label").distinct().join(related, ["hub", "node"], "left").withColumn("related", F.coalesce("related", F.lit(False)))
     family = materialise(family, "families")
-    apart = nd.still_open(family, ["hub"]).join(family.filter("NOT related").select("hub").distinct(), "hub", "left_semi")
+    apart = materialise(nd.with_unlike(family), "apart")
     more = materialise(apart.select("node").distinct().join(wanted, "node", "left_anti"), "wanted")
     texts = texts.unionByName(materialise(nd.texts_of(docs, more), "texts"))
-    of = lambda rows: rows.select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    centred = nd.differences(of(nd.still_open(family.filter("related"), ["hub"])), texts, width, True).withColumn("centred", F.lit(True))
-    whole = nd.differences(of(apart), texts, width, False).withColumn("centred", F.lit(False))
-    members = materialise(centred.unionByName(whole).withColumnsRenamed({"a": "node", "b": "hub"}).join(family, ["hub", "node"]), "differences")
-    fine = materialise(nd.difference_postings(members, found, threshold), "differences")
+    fine = nd.family_postings(family, apart, texts, found, threshold, width)
 
     columns = ("s", "node", "label", "left", "related")
     hubs = fine.groupBy("key", "d").agg(F.min(F.struct(*columns)).alias("h")).select("key", "d", *(F.col(f"h.{c}").alias(f"{c}_2") for c in columns))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tarnmill.llm import arc_convert as arc
-from tarnmill.llm import chat_format, licence_scan, line_dedup, line_quality, mixing, near_dedup, phrase_index, pii_bootstrap, secret_scan
+from tarnmill.llm import chat_format, licence_scan, line_dedup, line_quality, mixing, near_dedup, phrase_index, pii_bootstrap, secret_scan, set_relations
 from tarnmill.llm import textbytes as tb
 from tarnmill.llm.automaton import Automaton
 from tarnmill.llm.graph import connected_components
@@ -291,6 +291,52 @@ def test_differences_meet_without_a_join_by_element(spark, monkeypatch, words):
     assert want and want <= met
 
 
+@pytest.mark.parametrize("query", [near_dedup.near_duplicates, set_relations.similar_sets])
+def test_whole_sets_are_counted_once(spark, monkeypatch, query):
+    """Texts with several common passages are in families of several hubs; their whole sets are counted once and not by family."""
+    rng, most, count = random.Random(5), [], near_dedup.sharing
+    passages = [[f"p{k}x{j}" for j in range(30)] for k in range(4)]
+    rows = [(n, " ".join(sum(rng.sample(passages, 2), []) + [f"n{n}w{j}" for j in range(rng.randint(5, 20))])) for n in range(150)]
+    rows += [(1000 + n, t + " more") for n, t in rows[:30]]
+
+    def spy(asked):
+        most.append([r["k"] for r in asked.filter("NOT centred").groupBy("node", "own").agg(F.count(F.lit(1)).alias("k")).collect()])
+        return count(asked)
+
+    monkeypatch.setattr(near_dedup, "sharing", spy)
+    got = {r["doc_id"]: r["component_id"] for r in query(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()}
+    assert got == brute_components([(i, t, "s") for i, t in rows], 2, 80)
+    assert most[0] and set(most[0]) == {1}
+
+
+def test_whole_sets_meet_within_their_families(spark):
+    """Each similar pair of a family, of different labels and not both like the hub, shares a posting of the family that its
+    bound admits, and no other family has one."""
+    rng, t = random.Random(8), 80
+    pool = [rng.getrandbits(63) - (1 << 62) for _ in range(120)]
+    bases = [rng.sample(pool, 40) for _ in range(12)]
+    sets = {n: sorted({*rng.sample(bases[n % 12], 37), *rng.sample(pool, 2), *(rng.getrandbits(62) for _ in range(n % 3))}) for n in range(1, 121)}
+    label = {n: n if n % 4 else 4 * (n // 16) for n in sets}
+    apart = sorted({(rng.randint(1001, 1008), n, label[n]) for n in sets for _ in range(4)})
+    apart = [(*r, rng.random() < 0.4) for r in apart]
+    low = {n: min(r[3] for r in apart if r[1] == n) for n in sets}
+    whole = spark.createDataFrame([(n, n, len(ds), low[n], label[n], ds) for n, ds in sets.items()], "node long, own long, n long, related boolean, label long, ds array<long>")
+    none = spark.createDataFrame([], "hub long, centre long, node long, own long, n long, related boolean, label long, ds array<long>")
+    families = spark.createDataFrame(apart, "hub long, node long, label long, related boolean")
+    lists = {}
+    for r in near_dedup.difference_postings(none, spark.createDataFrame([], "node long, component long"), t, whole, families).collect():
+        lists.setdefault((r["key"], r["d"]), []).append((r["node"], r["left"], r["s"], r["related"]))
+    met = {(k, a, b) for (k, _), found in lists.items() for a, i, s, x in found for b, j, z, y in found if a < b and 2 * (100 + t) * min(i, j) >= s + z and not (x and y)}
+    members = {}
+    for hub, n, _, related in apart:
+        members.setdefault(hub, {})[n] = related
+    keys = {r["hub"]: r["key"] for r in families.select("hub", F.xxhash64("hub", F.lit(False)).alias("key")).distinct().collect()}
+    inside = [(hub, a, b) for hub, m in members.items() for a, b in itertools.combinations(sorted(m), 2) if label[a] != label[b] and not (m[a] and m[b])]
+    want = {(keys[hub], a, b) for hub, a, b in inside if 100 * len({*sets[a]} & {*sets[b]}) >= t * len({*sets[a]} | {*sets[b]})}
+    assert want and want <= met
+    assert {(k, n) for (k, _), found in lists.items() for n, *_ in found} <= {(keys[hub], n) for hub, m in members.items() for n in m}
+
+
 def test_common_elements_come_rare_first(spark):
     rows = spark.createDataFrame([(1, 5, [10, 20, 30, 40]), (2, 5, [10, 40]), (3, 6, [])], "node long, key long, ds array<long>")
     groups = spark.createDataFrame([(5, 10, 9), (5, 30, 2), (5, 40, 4)], "key long, d long, df long")
