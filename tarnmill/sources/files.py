@@ -30,10 +30,10 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` after a round trip through the shared folder, for what several steps read."""
+def written(df: DataFrame, name: str, **options) -> DataFrame:
+    """``df`` after a round trip through the shared folder, for what several steps read. ``options`` are the writer's."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

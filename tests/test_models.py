@@ -114,6 +114,27 @@ def test_svd_of_rows_sends_packed_cells_in_parts(spark, monkeypatch):
     assert np.allclose(values, np.linalg.svd(a, compute_uv=False)[:4], rtol=1e-6) and out.count() == 30
 
 
+def test_svd_of_texts_reads_packed_counts_in_dense_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    words = ["alpha", "beta", "gamma", "delta", "omega", "kappa", "sigma"]
+    texts = [*enumerate(" ".join(rng.choice(words, rng.integers(1, 9))) for _ in range(60)), (3, "beta"), (70, "kappa " * 300), (71, ""), (72, None), (None, "beta")]
+    df = spark.createDataFrame(texts, "id int, t string").repartition(3)
+    rows, terms = projection.term_rows(df, "id", F.col("t"), min_df=2)
+    want, singular = projection.svd_of_rows(rows, len(terms), dims=5)
+    want, made = {r["id"]: r["fingerprint"] for r in want.collect()}, []
+    for name, most in (("PART_CELLS", 90), ("BLOCK_CELLS", 300), ("BLOCK_TERMS", 7), ("ORDER_BYTES", 200)):
+        monkeypatch.setattr(projection, name, most)
+    written = projection.written
+    monkeypatch.setattr(projection, "written", lambda *a, **b: made.append(written(*a, **b)) or made[-1])
+    out, values = projection.svd_of_texts(df, "id", F.col("t"), min_df=2, dims=5)
+    got = {r["id"]: r["fingerprint"] for r in out.collect()}
+    assert np.allclose(values, singular) and sorted(got) == sorted(want) == [*range(60), 70]
+    assert all(np.allclose(got[k], want[k], atol=1e-6) for k in want)
+    size = {r["id"]: len(r["cells"]) for r in made[0].collect()}
+    n = {r["id"]: len(r["ks"]) for r in rows.collect()}
+    assert all(size[k] == (3 if k < 70 else 4) * n[k] + 1 for k in n)
+
+
 # second-level models
 
 TARGETS = ("a", "b", "c")
