@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from tarnmill.functions import text as tx
 from tarnmill.operators import audit, calibrate, geometry, labeling, metrics, sequential
 from tarnmill.operators.ranking import pair_areas, with_position, with_rank
+from tarnmill.plans import registry
 from tarnmill.plans.fixtures import TARGETS
+from tests import oracle
 
 
 def _label(spark, text):
@@ -55,6 +57,22 @@ def test_labels_of_nothing(spark):
     assert set(_label(spark, None).values()) == {None} and set(_label(spark, "").values()) == {None}
 
 
+ODD_TEXTS = (
+    None, "", " ... ", "\u00a0", "\u3000.\u00a0", "-\f-", "x\vno para", "that\vis para", "no a\u2028b que", "with a\u0085b the", "by \u2029 of", "\u00a0no para", "para.\u2003no para",
+    "W\u0130TH x THE", "N\u0130CHT para", "w\u0131th x the", "th\u0131s is para", "by " + "\u0130" * 20 + "of", "no " + "\u0130" * 40 + "que", "pa\u017f para", "no " + "x" * 41 + "que",
+)
+
+
+@pytest.mark.parametrize("name", ["label_dataframe", "split_sentences", "label_sentence", "split_clauses", "label_graded_score", "label_polarity"])
+def test_queries_read_odd_texts_as_their_sql(spark, tmp_path, name):
+    words = ("no", "with", "the", "para", "THIS IS", "que", "\u0130", "\u0131", "\u00a0", "\v", "\f", "\u2028", ". ", "; ", ", ")
+    rng = np.random.default_rng(4)
+    texts = [*ODD_TEXTS, *(" ".join(rng.choice(words, 12)) for _ in range(100))]
+    rows = [(k, t, "en", "a") for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    oracle.check(spark, str(tmp_path), registry.queries()[name], registry.oracle_sql()[name])
+
+
 def test_auc_matches_pair_counting(spark):
     rng = np.random.default_rng(1)
     y, p = rng.integers(0, 2, 60), rng.integers(0, 10, 60) / 10
