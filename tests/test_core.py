@@ -63,7 +63,7 @@ ODD_TEXTS = (
 )
 
 
-@pytest.mark.parametrize("name", ["label_dataframe", "split_sentences", "label_sentence", "split_clauses", "label_graded_score", "label_polarity"])
+@pytest.mark.parametrize("name", ["label_dataframe", "label_finding", "split_sentences", "label_sentence", "split_clauses", "label_graded_score", "label_polarity"])
 def test_queries_read_odd_texts_as_their_sql(spark, tmp_path, name):
     words = ("no", "with", "the", "para", "THIS IS", "que", "\u0130", "\u0131", "\u00a0", "\v", "\f", "\u2028", ". ", "; ", ", ")
     rng = np.random.default_rng(4)
